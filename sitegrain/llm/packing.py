@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import materialize, text_runs
 from .tokens import ChunkTokenizer
@@ -123,7 +124,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_salt: int = 200_000)
     place of its own. An empty table gives an empty table.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    columns = pieces.columns
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     sizes = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     if any(not 1 <= k <= capacity for k in sizes):
         raise ValueError("a piece is empty or longer than the capacity")
@@ -132,7 +134,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_salt: int = 200_000)
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("long")).select(*pieces.columns, "_rank")
+    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("long")).select(*columns, "_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = slots.value
@@ -146,7 +148,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_salt: int = 200_000)
                 first, m, base, begin = own[np.searchsorted(own[:, 0], rank[at], "right") - 1].T
                 sequence[at] = base + (rank[at] - first) // m
                 offset[at] = begin + (rank[at] - first) % m * k
-            yield pa.record_batch([*(batch.column(c) for c in pieces.columns), pa.array(sequence), pa.array(offset)], names=[*pieces.columns, "sequence_id", "offset"])
+            yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, schema)
 
@@ -161,8 +163,6 @@ def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str, capacity: int
 
     A sequence holds ``capacity`` ids at most, so its group is bounded.
     """
-    from pyspark.sql import types as T
-
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = ChunkTokenizer(vocabulary)
         for batch in batches:
@@ -175,7 +175,7 @@ def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str, capacity: int
                         docs_.append(d), piece.append(p), out.append(ids[at : min(b, at + capacity)].astype(np.int64))
                 yield pa.record_batch([pa.array(docs_, pa.int64()), pa.array(piece, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "piece", "ids"])
 
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(ids_of, T._parse_datatype_string("doc_id bigint, piece int, ids array<bigint>"))
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(ids_of, "doc_id bigint, piece int, ids array<bigint>")
     placed = made.join(packed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
     parts = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.flatten("parts.ids").alias("ids"), F.col("parts.doc_id").alias("documents"))
