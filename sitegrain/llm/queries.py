@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination, nearest, oracles, personal_data
 from .grammar import read_tokens, write_tokens
 from .packing import pack_documents
 from .tokens import vocabulary_path
@@ -20,14 +21,37 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` against all windows of ``benchmark``."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.digest(decontamination.find_hits(docs, _table(spark, sf_dir, "benchmark")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` written as grammar-compressed token files and read back."""
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in whole ``documents``."""
+    return personal_data.digest(personal_data.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all ``embeddings`` for every vector whose vec_id 50 divides."""
+    return nearest.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
+    "op9_personal_data": op9_personal_data,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": oracles.OP4,
+    "op9_personal_data": oracles.OP9,
+    "op10_exact_top_k": oracles.OP10,
+}
