@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import fresh_dir, materialize, open_uri, text_runs, write_file
-from .tokens import ChunkTokenizer
+from .tokens import shared_tokenizer
 
 MAGIC = b"SGRPAIR1"
+MIX, TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 20
 HEAD = struct.Struct("<8s7q")
 MANIFEST = "partition bigint, shard int, path string, n_docs bigint, n_tokens bigint, n_symbols bigint, n_rules bigint"
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -48,29 +49,33 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int, rounds: int = 4,
         if len(seq) < 2:
             break
         codes = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        pairs, counts = np.unique(codes[~last[:-1]], return_counts=True)
-        often = counts >= least
-        pairs, counts = pairs[often], counts[often]
-        if not len(pairs):
+        inner = np.flatnonzero(~last[:-1])
+        ordered = np.sort(codes[inner])
+        begins = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
+        counts = np.diff(begins)
+        often = np.flatnonzero(counts >= least)
+        if not len(often):
             break
-        chosen = np.sort(pairs[np.argsort(-counts, kind="stable")[:pairs_per_round]])
+        pairs, counts = ordered[begins[often]], counts[often]
+        chosen = pairs[np.argsort(-counts, kind="stable")[:pairs_per_round]]
         left, right = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
-        top = int(seq.max()) + 1
-        is_left, is_right = np.zeros(top, bool), np.zeros(top, bool)
-        is_left[left], is_right[right] = True, True
-        may = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
-        rule = np.searchsorted(chosen, codes[may])
-        rule[rule == len(chosen)] = 0
-        real = chosen[rule] == codes[may]
-        at, rule = may[real], rule[real]
+        # Pairs find their rule by a table of hashes; of pairs that collide the most frequent is taken, the others wait for the next round.
+        slots = chosen * MIX >> np.uint64(64 - TABLE_BITS)
+        table = np.full(1 << TABLE_BITS, -1, np.int32)
+        table[slots[::-1]] = np.arange(len(chosen) - 1, -1, -1)
+        rule = table[(codes * MIX >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+        at = inner[np.flatnonzero((rule[inner] >= 0) & (chosen[rule[inner]] == codes[inner]))]
+        rule = rule[at]
         if len(at):
             begins = np.concatenate([[True], np.diff(at) != 1])
             run = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
-            at, rule = at[run % 2 == 0], rule[run % 2 == 0]
+            even = np.flatnonzero(run % 2 == 0)
+            at, rule = at[even], rule[even]
         seq[at] = (first_free + len(rules) + rule).astype(np.uint32)
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        keep = np.flatnonzero(keep)
         seq, last = seq[keep], last[keep]
         rules = np.concatenate([rules, np.stack([left, right], 1)])
     return seq, last, rules
@@ -161,30 +166,32 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, first_free:
     root = fresh_dir(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, shard = ChunkTokenizer(vocabulary), TaskContext.get().partitionId(), 0
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal shard, held
-            doc_ids = [d for x in held for d in x[0]]
-            ids, counts = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-            if int(ids.max()) >= first_free:
-                raise ValueError("first_free is not above every id")
-            held = []
-            data, symbols, rules = to_bytes(doc_ids, ids, counts, first_free, **how)
+        tokenizer, part, shard = shared_tokenizer(vocabulary), TaskContext.get().partitionId(), 0
+        held = [[], np.empty(0, np.uint32), np.empty(0, np.int64)]  # doc_ids, their ids, how many each has
+
+        def flush(stop: int) -> pa.RecordBatch:
+            """Write the first ``stop`` documents held."""
+            nonlocal shard
+            doc_ids, ids, counts = held
+            n = int(counts[:stop].sum())
+            data, symbols, rules = to_bytes(doc_ids[:stop], ids[:n], counts[:stop], first_free, **how)
             path = f"{root}/{part:06d}-{shard:06d}-{uuid.uuid4().hex}.rp"
             write_file(path, data)
-            row = [part, shard, path, len(doc_ids), len(ids), symbols, rules]
+            row = [part, shard, path, stop, n, symbols, rules]
+            held[:] = [doc_ids[stop:], ids[n:].copy(), counts[stop:]]
             shard += 1
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 4])], names=["partition", "shard", "path", "n_docs", "n_tokens", "n_symbols", "n_rules"])
 
         for batch in batches:
-            for rows in text_runs(batch, "text", 2 << 20):
-                held.append((rows.column("doc_id").to_pylist(), *tokenizer.encode([x or "" for x in rows.column("text").to_pylist()], end_id)))
-                if sum(len(x[1]) for x in held) >= shard_tokens:
-                    yield flush()
-        if held:
-            yield flush()
+            for rows in text_runs(batch, "text", 8 << 20):
+                ids, counts = tokenizer.encode([x or "" for x in rows.column("text").to_pylist()], end_id)
+                if len(ids) and int(ids.max()) >= first_free:
+                    raise ValueError("first_free is not above every id")
+                held[:] = [held[0] + rows.column("doc_id").to_pylist(), np.concatenate([held[1], ids]), np.concatenate([held[2], counts])]
+                while (stop := int(np.searchsorted(np.cumsum(held[2]), shard_tokens)) + 1) <= len(held[2]):
+                    yield flush(stop)
+        if held[0]:
+            yield flush(len(held[0]))
 
     ranged = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ranged.mapInArrow(run, MANIFEST), "manifest")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .runtime import materialize, text_runs
-from .tokens import ChunkTokenizer
+from .tokens import shared_tokenizer
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -36,9 +36,9 @@ def split_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(vocabulary)
+        tokenizer = shared_tokenizer(vocabulary)
         for batch in batches:
-            for rows in text_runs(batch, "text"):
+            for rows in text_runs(batch, "text", 8 << 20):
                 ids, counts = tokenizer.encode([x or "" for x in rows.column("text").to_pylist()], end_id)
                 data, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(counts)
                 n = -(-counts // capacity)
@@ -164,9 +164,9 @@ def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str, capacity: int
     A sequence holds ``capacity`` ids at most, so its group is bounded.
     """
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(vocabulary)
+        tokenizer = shared_tokenizer(vocabulary)
         for batch in batches:
-            for rows in text_runs(batch, "text"):
+            for rows in text_runs(batch, "text", 8 << 20):
                 ids, counts = tokenizer.encode([x or "" for x in rows.column("text").to_pylist()], end_id)
                 ends = np.cumsum(counts)
                 docs_, piece, out = [], [], []
