@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, nearest, oracles, personal_data
+from . import decontamination, near_duplicates, nearest, oracles, personal_data
 from .grammar import read_tokens, write_tokens
 from .packing import pack_documents
 from .tokens import vocabulary_path
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates among whole ``documents``."""
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` packed into sequences of 2048 tokens."""
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
@@ -43,6 +48,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": oracles.OP2,
     "op4_decontamination": oracles.OP4,
     "op9_personal_data": oracles.OP9,
     "op10_exact_top_k": oracles.OP10,
