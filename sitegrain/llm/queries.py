@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, nearest, oracles, personal_data
+from . import decontamination, near_duplicates, nearest, oracles, personal_data, warc
 from .grammar import read_tokens, write_tokens
 from .packing import pack_documents
 from .tokens import vocabulary_path
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``pages`` written as monolithic archives, normalised, and read back by the index."""
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicates among whole ``documents``."""
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,6 +53,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archives": op1_warc_archives,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_archives": oracles.OP1,
     "op2_near_duplicates": oracles.OP2,
     "op4_decontamination": oracles.OP4,
     "op9_personal_data": oracles.OP9,
