@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, nearest, oracles, personal_data, warc
+from . import decontamination, near_duplicates, nearest, oracles, personal_data, quality, warc
 from .grammar import read_tokens, write_tokens
 from .packing import pack_documents
 from .tokens import vocabulary_path
@@ -42,6 +42,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of whole ``documents``, learned from ``labels`` outside the held-out rows."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in whole ``documents``."""
     return personal_data.digest(personal_data.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_personal_data": op9_personal_data,
     "op10_exact_top_k": op10_exact_top_k,
 }
