@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, nearest, oracles, personal_data, quality, warc
+from . import decontamination, near_duplicates, nearest, oracles, passages, personal_data, quality, token_counts, warc
 from .grammar import read_tokens, write_tokens
 from .packing import pack_documents
 from .tokens import vocabulary_path
@@ -47,6 +47,16 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat across whole ``documents``, up to small edits."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of unigram pieces in whole ``documents``."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in whole ``documents``."""
     return personal_data.digest(personal_data.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -64,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_repeated_passages": op7_repeated_passages,
+    "op8_token_counts": op8_token_counts,
     "op9_personal_data": op9_personal_data,
     "op10_exact_top_k": op10_exact_top_k,
 }
