@@ -149,40 +149,41 @@ def _extend(a: np.ndarray, b: np.ndarray, drop: int = 6) -> tuple[int, int]:
     return end, int(same[:end].sum())
 
 
-def align(a: np.ndarray, b: np.ndarray, starts: np.ndarray, sources: np.ndarray, k: int) -> tuple[int, int, int, int, int]:
-    """A chain's ends in both documents and its equal words, from the words themselves.
+def align(a: np.ndarray, b: np.ndarray, starts: np.ndarray, sources: np.ndarray, k: int, weak: int = 8) -> list[tuple[int, int, int, int, int]]:
+    """A chain's aligned segments: its ends in both documents and its equal words.
 
-    Between two seeds, words are compared from both sides; before the first and after the
-    last seed the match goes on as far as it pays.
+    Between two seeds, words are compared from both sides. Where over ``weak`` words lie
+    between, and fewer than half of them are equal, the chain parts into two segments. A
+    segment goes on before its first and after its last seed as far as it pays.
     """
-    back, equal = _extend(a[: starts[0]][::-1], b[: sources[0]][::-1])
-    begin, source_begin = starts[0] - back, sources[0] - back
-    at, source_at = starts[0], sources[0]
+
+    def behind(p: int, q: int) -> tuple[int, int]:
+        return _extend(a[:p][::-1], b[:q][::-1])
+
+    out = []
+    back, equal = behind(starts[0], sources[0])
+    begin, source_begin, at, source_at = starts[0] - back, sources[0] - back, starts[0], sources[0]
     for p, q in zip(starts, sources):
-        if p < at or q < source_at:  # overlaps what is aligned
-            step = max(at - p, source_at - q)
-            if step >= k:
-                continue
-            if p + step > at or q + step > source_at:  # on another diagonal
-                p, q = p + step, q + step
-                equal += k - step
-                at, source_at = p + k - step, q + k - step
-                continue
-            equal += k - step
-            at, source_at = p + k, q + k
+        over = max(0, at - p, source_at - q)  # words of this seed that are aligned already
+        if over >= k:
             continue
-        x, y = a[at:p], b[source_at:q]
-        if len(x) == len(y):
-            equal += int((x == y).sum())
+        x, y = a[at : p + over], b[source_at : q + over]
+        n, most = min(len(x), len(y)), max(len(x), len(y))
+        left = int(np.argmin(np.append(x[:n] == y[:n], False)))
+        right = int(np.argmin(np.append(x[::-1][: n - left] == y[::-1][: n - left], False)))
+        between = max(left + right, int((x == y).sum()) if len(x) == len(y) else 0)
+        if most > weak and 2 * between < most:
+            ahead, more = _extend(x, y)
+            out.append((begin, at + ahead, source_begin, source_at + ahead, equal + more))
+            back, equal = behind(p, q)
+            begin, source_begin = p - back, q - back
         else:
-            n = min(len(x), len(y))
-            left = int(np.argmin(np.append(x[:n] == y[:n], False)))
-            right = int(np.argmin(np.append((x[::-1][: n - left] == y[::-1][: n - left]), False)))
-            equal += left + right
-        equal += k
+            equal += between
+        equal += k - over
         at, source_at = p + k, q + k
     ahead, more = _extend(a[at:], b[source_at:])
-    return int(begin), int(at + ahead), int(source_begin), int(source_at + ahead), int(equal + more)
+    out.append((begin, at + ahead, source_begin, source_at + ahead, equal + more))
+    return [tuple(map(int, x)) for x in out]
 
 
 def _words_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -279,9 +280,9 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 8, window: int
             for i, (d, s) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("source_id").to_pylist())):
                 starts, sources, x, y = (v[o[i] : o[i + 1]] for v, o in flat)
                 a, b = max(0, int(starts[0]) - margin), max(0, int(sources[0]) - margin)
-                begin, end, source_begin, source_end, equal = align(x, y, starts.astype(np.int64) - a, sources.astype(np.int64) - b, k)
-                if equal >= identity * max(end - begin, source_end - source_begin):
-                    rows.append((d, s, begin + a, end + a, source_begin + b, source_end + b, equal))
+                for begin, end, source_begin, source_end, equal in align(x, y, starts.astype(np.int64) - a, sources.astype(np.int64) - b, k):
+                    if equal >= identity * max(end - begin, source_end - source_begin):
+                        rows.append((d, s, begin + a, end + a, source_begin + b, source_end + b, equal))
             columns = list(zip(*rows)) if rows else [()] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *[pa.int32()] * 5])], names=["doc_id", "source_id", "start", "end", "source_start", "source_end", "n_equal"])
 
