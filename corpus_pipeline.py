@@ -1,21 +1,54 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: filter, deduplicate, decontaminate, redact, pack.
+
+Every stage takes the rows that the one before it kept, and all but the last return the
+columns of ``documents``. Rows are whole documents throughout; no stage samples or cuts its
+input. Held by ``tests/llm/test_pipeline.py`` against a brute-force version, stage by stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitegrain.llm import decontamination, near_duplicates, personal_data, quality
 from sitegrain.llm.packing import pack_documents
 from sitegrain.llm.runtime import materialize
 from sitegrain.llm.tokens import vocabulary_path
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the classifier, trained on ``labels`` outside the held-out rows, rejects."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that with the smallest doc_id, of each group of near-duplicates."""
+    return near_duplicates.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold passages of ``benchmark`` in a twentieth of their words or more."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; every document stays."""
+    return personal_data.redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 tokens."""
+    """Pack what is left into sequences of 2048 tokens: a row for each piece."""
     return pack_documents(docs, vocabulary_path())
 
 
-STAGES = [("best_fit_packing", packing)]
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("personal_data", redact_personal_data),
+    ("best_fit_packing", packing),
+]
 
+#: Tokens, learned scores and near-duplicate groups are beyond one SQL query.
 ORACLE_SQL = None
 
 
