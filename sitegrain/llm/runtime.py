@@ -65,17 +65,18 @@ def write_file(uri: str, data: bytes) -> None:
 
 
 def text_runs(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` that hold about ``limit`` bytes of text each, one row at least.
+    """Parts of ``batch`` that hold about ``limit`` bytes of text each, one row at least.
 
     Word lists take many times the room of their text, so memory is bounded by the
-    slice or by the longest single text.
+    part or by the longest single text. Parts are copies: kernels that split strings do not
+    all heed the offset of a slice.
     """
-    start = size = 0
-    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
-    for i, n in enumerate(lengths):
+    size, bounds = 0, [0]
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
         if size and size + n > limit:
-            yield batch.slice(start, i - start)
-            start, size = i, 0
+            bounds.append(i)
+            size = 0
         size += n
-    if start < len(lengths):
-        yield batch.slice(start)
+    for a, b in zip(bounds, [*bounds[1:], batch.num_rows]):
+        if b > a:
+            yield batch.take(pa.array(range(a, b), pa.int32()))
