@@ -126,6 +126,9 @@ def best_guess(s: Column, has_objects_inv: Column, has_search_index: Column) ->
     return F.struct(tool.alias("tool"), confidence.alias("confidence"))
 
 
+#: Tags that end an open paragraph, and tags that end an open one of their own kind.
+_BLOCKS = frozenset(("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"))
+_SELF_ENDING = frozenset(("li", "dt", "dd", "tr", "td", "th", "option"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 
 
@@ -171,6 +174,10 @@ class _Builder(HTMLParser):
         self._open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _BLOCKS and any(n.tag == "p" for n in self._open):
+            self.handle_endtag("p")
+        elif tag in _SELF_ENDING and self._open[-1].tag == tag:
+            self._open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self._open[-1].children.append(node)
         if tag not in _VOID:

@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
+from ..tables import materialize
 from .relation import capped_external
 
 
-def keep_in(spark, label: str) -> Callable[[DataFrame], DataFrame]:
-    """A way to cut lineage: tables in the checkpoint folder, or checkpoints where there is none.
-
-    Tables survive the loss of an executor; nothing is kept in executors' own memory or disks.
-    """
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-
-    def keep(df: DataFrame) -> DataFrame:
-        if root is None:
-            return df.checkpoint()
-        path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
-
-
 def status_of(status: Column, content_type: Column, redirected: Column, error: Column) -> Column:
     """What came of a fetch, from its status, content type, history and error."""
     kind = F.trim(F.lower(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
@@ -51,7 +31,7 @@ def enqueue(pages: DataFrame, root: str) -> DataFrame:
     return found.select("page_id", "source_url", "pos", "href", "text", urls.frontier_key(F.col("href")).alias("key"), urls.is_internal(F.col("href"), root).alias("internal"))
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_nodes: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_nodes: int | None = None) -> DataFrame:
     """Nodes reached from ``seeds`` (node, seq) over ``edges`` (src, dst, pos), level by level.
 
     Returns node, depth, parent and seq. A node belongs to its first level; there, to the
@@ -60,17 +40,16 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_nodes: int
     order. Levels are joined by their nodes and checked against all found before; each is
     kept as a table.
     """
-    keep = keep_in(seeds.sparkSession, "frontier") if keep is None else keep
-    level = keep(seeds.groupBy("node").agg(F.min("seq").alias("seq")).select("node", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"), F.col("seq").cast("long")))
+    level = materialize(seeds.groupBy("node").agg(F.min("seq").alias("seq")).select("node", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"), F.col("seq").cast("long")))
     found, taken = level, level.count()
     for depth in range(1, max_depth + 1):
         new = level.join(edges, level["node"] == edges["src"]).select(F.col("dst").alias("node"), F.col("node").alias("parent"), F.col("seq").alias("_at"), F.col("pos").cast("long").alias("_pos"))
         first = new.groupBy("node").agg(F.min(F.struct("_at", "_pos", "parent")).alias("_f"))
         fresh = first.join(found.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), F.col("_f.parent").alias("parent"), F.col("_f._at").alias("_at"), F.col("_f._pos").alias("_pos"))
-        level = keep(ordered(fresh))
+        level = materialize(ordered(fresh))
         n = level.count()
         if max_nodes is not None and taken + n > max_nodes:
-            level, n = keep(level.orderBy("seq").limit(max_nodes - taken)), max_nodes - taken
+            level, n = materialize(level.orderBy("seq").limit(max_nodes - taken)), max_nodes - taken
         if not n:
             break
         found, taken = found.unionByName(level), taken + n
@@ -92,22 +71,21 @@ def ordered(fresh: DataFrame, salts: int = 256) -> DataFrame:
     return ranked.join(F.broadcast(before), "_b").select("node", "depth", "parent", (F.col("_k") + F.col("_before")).cast("long").alias("seq"))
 
 
-def crawl_pages(pages: DataFrame, seed_url: str, max_depth: int = 3, max_internal: int = 10_000, per_domain: int = 50, max_external: int = 500, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl_pages(pages: DataFrame, seed_url: str, max_depth: int = 3, max_internal: int = 10_000, per_domain: int = 50, max_external: int = 500) -> tuple[DataFrame, DataFrame]:
     """Crawl a table of fetched pages (page_id, url, html) as if it were the network.
 
     Returns the internal URLs (url, source_url, depth, seq) that were fetched, and the
     external links in order, capped for each domain and in all. A URL is found by its
     frontier key; of pages with one key the first counts.
     """
-    keep = keep_in(pages.sparkSession, "crawl") if keep is None else keep
     root = pages.sparkSession.range(1).select(urls.bare_host(F.lit(seed_url))).first()[0]
     keyed = pages.withColumn("key", urls.frontier_key(F.col("url")))
     first = keyed.groupBy("key").agg(F.min("page_id").alias("page_id"))
     keyed = keyed.join(first, ["key", "page_id"])
-    links = keep(enqueue(keyed, root).join(keyed.select("page_id", F.col("key").alias("src")), "page_id"))
+    links = materialize(enqueue(keyed, root).join(keyed.select("page_id", F.col("key").alias("src")), "page_id"))
     inside = links.where("internal").select("src", F.col("key").alias("dst"), "pos").join(keyed.select(F.col("key").alias("dst")), "dst", "left_semi")
     seeds = keyed.where(F.col("key") == urls.frontier_key(F.lit(seed_url))).select(F.col("key").alias("node"), F.lit(0).cast("long").alias("seq"))
-    nodes = crawl(seeds, inside, max_depth, max_internal, keep)
+    nodes = crawl(seeds, inside, max_depth, max_internal)
     at = keyed.select(F.col("key").alias("node"), "url")
     internal = nodes.join(at, "node").join(at.select(F.col("node").alias("parent"), F.col("url").alias("source_url")), "parent", "left")
     outside = links.where("not internal").join(nodes.select(F.col("node").alias("src"), "depth", F.col("seq").alias("_at")), "src")

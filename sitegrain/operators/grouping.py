@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import segments, urls
+from ..tables import materialize
 
 SEP = "/"
 
@@ -31,7 +32,11 @@ def _parent(prefix: Column) -> Column:
 
 def trie_metrics(rows: DataFrame, path: Column) -> DataFrame:
     """Each prefix with its depth, first_seq, descendant_count, own_urls, child_count and child_literal_ratio."""
-    nodes = prefixes(rows, path).groupBy("prefix", "depth").agg(
+    return _metrics(prefixes(rows, path))
+
+
+def _metrics(spread: DataFrame) -> DataFrame:
+    nodes = spread.groupBy("prefix", "depth").agg(
         F.min("seq").alias("first_seq"), F.count("*").alias("descendant_count"), F.count_if(F.col("n_segments") == F.col("depth")).alias("own_urls")
     )
     name = F.regexp_extract("prefix", "([^/]*)$", 1)
@@ -55,7 +60,7 @@ def anchors(metrics: DataFrame, ratio: float = 0.3, least: int = 3) -> DataFrame
     length of the longest qualifying line that ends in an anchor, level by level from the
     deepest; the depth of paths bounds the loop.
     """
-    fit = metrics.where((F.col("child_literal_ratio") < ratio) & (F.col("descendant_count") >= least) & (F.col("child_count") > 0))
+    fit = materialize(metrics.where((F.col("child_literal_ratio") < ratio) & (F.col("descendant_count") >= least) & (F.col("child_count") > 0)), "fit")
     deepest = fit.agg(F.max("depth")).first()[0]
     found = None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
@@ -74,7 +79,8 @@ def discover(rows: DataFrame, path: Column | None = None, least: int = 3) -> Dat
     their order have rising ``group_order`` (struct<late, firsts, depth>).
     """
     path = F.coalesce("version_free_path", "path") if path is None else path
-    metrics = trie_metrics(rows, path)
+    spread = materialize(prefixes(rows, path), "prefixes")
+    metrics = materialize(_metrics(spread), "metrics")
     name = F.regexp_extract("prefix", "([^/]*)$", 1)
     section = (F.col("depth") > 0) & segments.classify(name).isin("literal", "slug") & (F.col("descendant_count") >= 3)
     below = metrics.where("depth > 0").withColumn("_section", section).groupBy(_parent(F.col("prefix")).alias("prefix")).agg(
@@ -86,11 +92,11 @@ def discover(rows: DataFrame, path: Column | None = None, least: int = 3) -> Dat
     variants = (F.col("_most") < 0.5) & (F.col("_lo") == F.col("_hi"))
     splits = ((F.col("_sections") >= 2) & ~variants) | ((F.col("_sections") == 1) & (F.col("child_count") > 1))
     nodes = metrics.join(below, "prefix", "left").select("prefix", "first_seq", "child_count", F.coalesce(splits, F.lit(False)).alias("_splits"))
-    held = prefixes(rows, path).join(nodes, "prefix")
+    held = spread.join(nodes, "prefix")
     owner = F.min(F.when(~F.col("_splits"), F.struct("depth", "prefix", "child_count"))).alias("_owner")
     firsts = F.array_sort(F.collect_list(F.struct("depth", "first_seq"))).alias("_firsts")  # as many as a path has prefixes
     placed = held.groupBy("seq").agg(owner, firsts, F.max("n_segments").alias("_n"))
-    placed = placed.withColumn("_prefix", F.when(F.col("_owner.child_count") > 0, F.col("_owner.prefix")))
+    placed = materialize(placed.withColumn("_prefix", F.when(F.col("_owner.child_count") > 0, F.col("_owner.prefix"))), "placed")
     sizes = placed.where("_prefix is not null").groupBy("_prefix").agg(F.count("*").alias("_size")).where(F.col("_size") >= least)
     placed = placed.join(sizes, "_prefix", "left")
     trail = F.transform(F.filter("_firsts", lambda x: x["depth"] <= F.col("_owner.depth")), lambda x: x["first_seq"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import segments, urls
 from ..functions.values import TEMPLATE_NAMES
+from ..tables import materialize
 
 TEMPLATES = "template_id string, name string, pattern string, fingerprint string, member_count bigint, versions_covered array<string>, scope string, example_urls array<string>, confidence double, rank int"
 
@@ -32,7 +33,7 @@ def derive(rows: DataFrame, groups: DataFrame, path: Column | None = None, examp
     are counted in aggregates per (group, position, value), so no group is gathered.
     """
     path = F.coalesce("version_free_path", "path") if path is None else path
-    own = rows.join(groups, "seq").withColumn("_s", urls.segments(path)).withColumn("_n", F.size("_s"))
+    own = materialize(rows.join(groups, "seq").select("seq", "canonical_url", "version", "group_prefix", "group_order", urls.segments(path).alias("_s")).withColumn("_n", F.size("_s")), "members")
     firsts = F.slice(F.array_sort(F.collect_list(F.when(F.col("_k") <= examples, F.struct("seq", "canonical_url")))), 1, examples)
     salted = own.withColumn("_k", F.row_number().over(Window.partitionBy("group_prefix", F.pmod(F.xxhash64("seq"), F.lit(64))).orderBy("seq")))  # so few of each salt can be examples
     whole = salted.groupBy("group_prefix").agg(

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import coverage, generator, grouping, relation, templates
-from ..operators.frontier import keep_in
 from ..sources import documents
+from ..tables import materialize
 
 TARGET_COVERAGE = 85.0
 
@@ -54,15 +54,14 @@ def classify(internal: DataFrame, external: DataFrame, signals: dict[str, object
     most specific one that fits. A coverage under ``TARGET_COVERAGE`` is logged.
     """
     spark = internal.sparkSession
-    keep = keep_in(spark, "classify")
     pages, assets = relation.ingested(internal)
-    pages = keep(relation.with_versions(relation.canonicalised(pages)))
-    outside = keep(relation.canonicalised(relation.ingested(external)[0]))
+    pages = materialize(relation.with_versions(relation.canonicalised(pages)))
+    outside = materialize(relation.canonicalised(relation.ingested(external)[0]))
     path = F.coalesce("version_free_path", "path") if use_versions else F.col("path")
     rows = pages if use_versions else pages.withColumn("version_free_path", F.col("path"))
-    groups = keep(grouping.discover(rows, path))
+    groups = materialize(grouping.discover(rows, path))
     ranked = templates.as_table(spark, templates.finalise(templates.derive(rows, groups, path), strict=strict_literals))
-    found = keep(coverage.matches(rows, ranked, path))
+    found = materialize(coverage.matches(rows, ranked, path))
     report = coverage.report(rows, found, ranked)
     share = report.first()
     if share.total_internal_urls and share.coverage_percent < TARGET_COVERAGE:

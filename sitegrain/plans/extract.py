@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import validation
-from ..operators.frontier import keep_in
+from ..tables import materialize
 
 
 def extract(urls: DataFrame, extractor: Callable[[DataFrame, int], DataFrame], attempts: int = 2, limit: int = 0, accept: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -16,9 +16,8 @@ def extract(urls: DataFrame, extractor: Callable[[DataFrame, int], DataFrame], a
 
     ``limit`` bounds the URLs of each template (0: all). See :func:`validation.heal_rounds`.
     """
-    keep = keep_in(urls.sparkSession, "extract")
     own = validation.limit_per_template(urls, limit)
-    done, failed = validation.heal_rounds(own, extractor, attempts, accept, lambda df, _: keep(df))
+    done, failed = validation.heal_rounds(own, extractor, attempts, accept, materialize)
     return done, failed, validation.run_counts(own, done, failed)
 
 

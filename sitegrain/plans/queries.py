@@ -14,6 +14,7 @@ from ..functions import html, segments, urls
 from ..operators import coverage, frontier, generator, grouping, relation, templates, validation
 from ..schema import CRAWL
 from ..sources import documents, fetch, scraper
+from ..tables import materialize
 from . import classify, extract
 
 #: Domain that stands for the crawled site, and templates that stand for its sections.
@@ -54,7 +55,7 @@ def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation.with_versions(relation.canonicalised(relation.ingested(_urls(spark, sf_dir))[0]))
+    return materialize(relation.with_versions(relation.canonicalised(relation.ingested(_urls(spark, sf_dir))[0])), "canonical")
 
 
 def _fixed(spark: SparkSession) -> DataFrame:
@@ -65,7 +66,7 @@ def _fixed(spark: SparkSession) -> DataFrame:
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.matches(_canonical(spark, sf_dir), _fixed(spark), F.col("path"))
+    return materialize(coverage.matches(_canonical(spark, sf_dir), _fixed(spark), F.col("path")), "matches")
 
 
 def _by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +352,7 @@ def group_remaining_by_depth(spark, sf_dir):
 
 def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _by_path(spark, sf_dir)
-    return templates.derive(rows, grouping.discover(rows))
+    return materialize(templates.derive(rows, materialize(grouping.discover(rows), "groups")), "derived")
 
 
 @query
