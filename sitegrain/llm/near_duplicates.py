@@ -180,7 +180,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Data
     second = _bounded(pairs, rows).join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("_y")), "b")
     common = F.size(F.array_intersect("_x", "_y"))
     alike = F.lit(100) * common >= F.lit(percent) * (F.size("_x") + F.size("_y") - common)
-    return materialize(second.join(first.hint("merge"), "a").where(alike).select("a", "b").distinct(), label)
+    return materialize(second.join(first.hint("merge"), "a").where(alike).select("a", "b"), label)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -266,19 +266,22 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int, rounds: int, wi
 def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components in ``left`` (c, n, root) that can be similar enough.
 
-    Two sets that reach the similarity share a shingle among the first n - ceil(percent * n)
-    + 1 of each, in any common order; the order here is by how many sets hold a shingle.
-    Shingles of one set alone take up places but meet nothing.
+    Sets of n and m shingles that reach the similarity have a least intersection, and so share
+    a shingle among the first n - least + 1 of the one and m - least + 1 of the other, in any
+    common order; the order here is by how many sets hold a shingle. Shingles of one set alone
+    take up places but meet nothing.
     """
     held = sets.join(_bounded(left, left.count()), "c").select("c", "n", "root", F.explode("shingles").alias("h"))
     often = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     met = materialize(held.join(often, "h"), "met")
     counts = met.groupBy("c").agg(F.count("*").alias("others"))
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy("df", "h"))).join(counts, "c")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    first = materialize(ranked.where(F.col("rank") + F.col("n") - F.col("others") <= prefix).select("h", "c", "n", "root"), "prefix")
-    x, y = first.select("h", *(F.col(k).alias(f"{k}_x") for k in ("c", "n", "root"))), first.select("h", *(F.col(k).alias(f"{k}_y") for k in ("c", "n", "root")))
-    meet = x.join(y.hint("merge"), "h").where((F.col("c_x") < F.col("c_y")) & (F.col("root_x") != F.col("root_y")) & _near(F.col("n_x"), F.col("n_y"), percent))
+    ranked = ranked.withColumn("place", F.col("rank") + F.col("n") - F.col("others"))
+    first = materialize(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).select("h", "c", "n", "root", "place"), "prefix")
+    x, y = (first.select("h", *(F.col(k).alias(f"{k}_{side}") for k in ("c", "n", "root", "place"))) for side in "xy")
+    least = F.ceil((F.col("n_x") + F.col("n_y")) * percent / F.lit(100 + percent))
+    early = (F.col("n_x") - F.col("place_x") + 1 >= least) & (F.col("n_y") - F.col("place_y") + 1 >= least)
+    meet = x.join(y.hint("merge"), "h").where((F.col("c_x") < F.col("c_y")) & (F.col("root_x") != F.col("root_y")) & early)
     return materialize(meet.select(F.col("c_x").alias("a"), F.col("c_y").alias("b")).distinct(), "pairs")
 
 
