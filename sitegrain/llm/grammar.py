@@ -183,7 +183,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, first_free:
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 4])], names=["partition", "shard", "path", "n_docs", "n_tokens", "n_symbols", "n_rules"])
 
         for batch in batches:
-            for rows in text_runs(batch, "text", 8 << 20):
+            for rows in text_runs(batch, "text", 6 << 20):
                 ids, counts = tokenizer.encode([x or "" for x in rows.column("text").to_pylist()], end_id)
                 if len(ids) and int(ids.max()) >= first_free:
                     raise ValueError("first_free is not above every id")

@@ -2,51 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-_OWN_ROOTS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none and runs in one process (tests), a temporary folder
-    is set as the checkpoint folder. On a cluster without the setting this raises,
-    as no machine-local folder could be right there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOTS:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _OWN_ROOTS[app] = tempfile.mkdtemp(prefix="sitegrain-")
-        spark.sparkContext.setCheckpointDir(_OWN_ROOTS[app])
-    return _OWN_ROOTS[app]
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs its running tasks alone, and
-    nothing upstream runs twice.
-    """
-    path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..tables import fresh_dir, materialize, shared_root  # noqa: F401
 
 
 def open_uri(uri: str):
@@ -64,12 +27,13 @@ def write_file(uri: str, data: bytes) -> None:
         out.write(data)
 
 
-def text_runs(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_runs(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` that hold about ``limit`` bytes of text each, one row at least.
 
     Word lists take many times the room of their text, so memory is bounded by the
     part or by the longest single text. Parts are copies: kernels that split strings do not
-    all heed the offset of a slice.
+    all heed the offset of a slice. After the last part, memory that is free goes back to the
+    system, as idle workers keep what they hold.
     """
     size, bounds = 0, [0]
     for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
@@ -80,3 +44,13 @@ def text_runs(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterato
     for a, b in zip(bounds, [*bounds[1:], batch.num_rows]):
         if b > a:
             yield batch.take(pa.array(range(a, b), pa.int32()))
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -114,7 +114,7 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _shared(model_file)
         for batch in batches:
-            for part in text_runs(batch, "text", 8 << 20):
+            for part in text_runs(batch, "text", 4 << 20):
                 yield pa.record_batch([part.column("doc_id"), pa.array(counter.count(part.column("text")), pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
