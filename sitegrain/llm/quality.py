@@ -116,8 +116,9 @@ class AttentionModel:
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8)
 
-    def fit(self, x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 3) -> AttentionModel:
-        """Adam on the cross-entropy of documents' labels (0 to 1)."""
+    def fit(self, x: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = 2500, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 3) -> AttentionModel:
+        """About ``steps`` steps of Adam on the cross-entropy of documents' labels (0 to 1)."""
+        epochs = max(1, round(steps / max(1, -(-len(counts) // batch))))
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         x, starts = self._scaled(x), np.cumsum(counts) - counts
         share = np.clip(labels.mean(), 0.02, 0.98)
