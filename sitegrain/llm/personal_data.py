@@ -119,15 +119,33 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, passes: int = 4) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind, as in ``[EMAIL]``.
 
-    Spans that overlap are merged and get the kind of the first. Texts without spans stay as
-    they are; where ``docs`` has ``n_chars`` it is the new text's length. Column order stays.
+    Spans that overlap are merged and get the kind of the first. Cutting a span can free
+    another: digits that ran on into it were no card before and are one now. So texts that
+    changed are looked through again, up to ``passes`` times in all. Texts without spans
+    stay as they are; where ``docs`` has ``n_chars`` it is the new text's length. Column
+    order stays.
     """
-    found = find_personal_data(docs.withColumn("_spans_kept", F.col("spans")) if "spans" in docs.columns else docs)
+    own = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns) if c != "text"), F.col("text").cast("string").alias("text"), F.lit(True).alias("_go"))
+    for _ in range(passes):
+        own = _redacted_once(own)
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    columns = []
+    for c in docs.columns:
+        if c == "n_chars":
+            columns.append(F.when(F.col("_changed"), F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(names[c])).alias(c))
+        else:
+            columns.append(F.col("text" if c == "text" else names[c]).alias(c))
+    return own.select(*columns)
+
+
+def _redacted_once(own: DataFrame) -> DataFrame:
+    """One pass over the rows where ``_go``; it stays so where something was replaced."""
+    seen = find_personal_data(own.withColumn("_kept", F.col("text")).withColumn("text", F.when(F.col("_go"), F.col("text"))))
+    text = F.col("_kept")
     by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.col("text").cast("string")
 
     def step(s: Column, x: Column) -> Column:
         fresh = x["start"] >= s["at"]
@@ -136,7 +154,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     new = F.aggregate(by_place, start, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
-    found = found.withColumn("text", F.when(F.size("spans") > 0, new).otherwise(text))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*(F.col("_spans_kept").alias(c) if c == "spans" else F.col(c) for c in docs.columns))
+    found = F.size("spans") > 0
+    changed = (F.col("_changed") | found) if "_changed" in own.columns else found
+    rest = [c for c in own.columns if c not in ("text", "_go", "_changed")]
+    return seen.select(*rest, F.when(found, new).otherwise(text).alias("text"), found.alias("_go"), changed.alias("_changed"))
