@@ -138,7 +138,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, ratio:
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """All rows of ``docs``, with every run of hit words cut from ``text``."""
-    found = find_hits(docs, benchmark, n)
+    found, columns = find_hits(docs, benchmark, n), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +153,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
                         inside = k in at
                         begin = m.end() if inside else begin
                     texts[i] = b"".join([*kept, data[begin:]]).decode("utf-8", "surrogatepass")
-            yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], names=docs.columns)
+            yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
 
     return found.mapInArrow(run, docs.schema)
 

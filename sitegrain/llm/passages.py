@@ -321,6 +321,7 @@ def cut_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     import re
 
     word = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+    columns = docs.columns
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,6 +332,6 @@ def cut_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
                     gone = {j for c in cuts for j in range(c["start"], c["end"])}
                     lead = len(texts[i]) - len(texts[i].lstrip(" \t\n\x0b\f\r"))
                     texts[i] = texts[i][:lead] + "".join(m.group() for j, m in enumerate(word.finditer(texts[i])) if j not in gone)
-            yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], names=docs.columns)
+            yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
 
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return docs.join(spans, "doc_id", "left").select(*columns, "_spans").mapInArrow(run, docs.schema)
