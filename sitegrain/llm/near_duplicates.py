@@ -4,8 +4,8 @@ Documents with equal shingle sets form a class; one document of it stands for al
 classes' SuperMinHash signatures are cut into bands, and classes that share a band meet in
 a bucket. No bucket is expanded into pairs: a round compares each class with one hub, the
 bucket-mate that shares most of its bands, on the full sets, and joins those that are
-similar enough. Later rounds draw other hubs, for classes in buckets that still hold more
-than one component. What is left after the rounds is settled without luck: a prefix filter
+similar enough. Further rounds can draw other hubs, for classes in buckets that still hold
+more than one component. What is left is settled without luck: a prefix filter
 over those buckets' sets (rarest shingles first) finds every pair of different components
 that can reach the similarity, and these are verified too.
 """
@@ -285,7 +285,7 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(meet.select(F.col("c_x").alias("a"), F.col("c_y").alias("b")).distinct(), "pairs")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3, width: int = WIDTH, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 1, width: int = WIDTH, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
 
     Documents are linked whose shingle sets have 100 * intersection >= percent * union;
