@@ -11,22 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitegrain.llm import decontamination, near_duplicates, personal_data, quality
 from sitegrain.llm.packing import pack_documents
-from sitegrain.llm.runtime import materialize
+from sitegrain.llm.runtime import materialize, small_batches
 from sitegrain.llm.tokens import vocabulary_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier, trained on ``labels`` outside the held-out rows, rejects."""
+    small_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the smallest doc_id, of each group of near-duplicates."""
+    small_batches(spark)
     return near_duplicates.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold passages of ``benchmark`` in a twentieth of their words or more."""
+    small_batches(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -37,6 +40,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 2048 tokens: a row for each piece."""
+    small_batches(spark)
     return pack_documents(docs, vocabulary_path())
 
 

@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, first_free:
     root = fresh_dir(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, shard = shared_tokenizer(vocabulary), TaskContext.get().partitionId(), 0
+        tokenizer, part, shard = shared_tokenizer(vocabulary, 600_000), TaskContext.get().partitionId(), 0
         held = [[], np.empty(0, np.uint32), np.empty(0, np.int64)]  # doc_ids, their ids, how many each has
 
         def flush(stop: int) -> pa.RecordBatch:

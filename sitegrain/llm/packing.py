@@ -36,9 +36,9 @@ def split_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = shared_tokenizer(vocabulary)
+        tokenizer = shared_tokenizer(vocabulary, 250_000)
         for batch in batches:
-            for rows in text_runs(batch, "text", 6 << 20):
+            for rows in text_runs(batch, "text", 3 << 20):
                 ids, counts = tokenizer.encode([x or "" for x in rows.column("text").to_pylist()], end_id)
                 data, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(counts)
                 n = -(-counts // capacity)
@@ -164,9 +164,9 @@ def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str, capacity: int
     A sequence holds ``capacity`` ids at most, so its group is bounded.
     """
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = shared_tokenizer(vocabulary)
+        tokenizer = shared_tokenizer(vocabulary, 250_000)
         for batch in batches:
-            for rows in text_runs(batch, "text", 6 << 20):
+            for rows in text_runs(batch, "text", 3 << 20):
                 ids, counts = tokenizer.encode([x or "" for x in rows.column("text").to_pylist()], end_id)
                 ends = np.cumsum(counts)
                 docs_, piece, out = [], [], []

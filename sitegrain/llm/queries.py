@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontamination, near_duplicates, nearest, oracles, passages, personal_data, quality, token_counts, warc
 from .grammar import read_tokens, write_tokens
 from .packing import pack_documents
+from .runtime import small_batches
 from .tokens import vocabulary_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,10 +8,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 from ..tables import fresh_dir, materialize, shared_root  # noqa: F401
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand texts to Python in batches of so many rows, in this session.
+
+    Whole documents are long: at Spark's default of 10,000 rows a batch, and copies of it in
+    the JVM's own buffers, take hundreds of MB.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def open_uri(uri: str):
     """File system and path for a folder of the shared store, on driver or executor."""
     from pyarrow import fs

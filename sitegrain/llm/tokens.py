@@ -40,9 +40,9 @@ def _loosened(texts: pa.Array) -> pa.Array:
 
 
 @lru_cache(maxsize=1)
-def shared_tokenizer(path: str) -> ChunkTokenizer:
+def shared_tokenizer(path: str, capacity: int) -> ChunkTokenizer:
     """This process's tokenizer of a file: tasks that follow in one worker find the memo filled."""
-    return ChunkTokenizer(path)
+    return ChunkTokenizer(path, capacity)
 
 
 class ChunkTokenizer:
