@@ -1,9 +1,9 @@
 """Every query runs, and agrees with its SQL where there is any."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -22,10 +22,10 @@ def tables():
 
 
 def plain(value):
+    if pd.isna(value):
+        return None
     value = value.item() if hasattr(value, "item") else value
-    if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 9)
-    return value
+    return round(value, 9) if isinstance(value, float) else value
 
 
 def rows_of(frame):
