@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import text_runs
+from .runtime import held, text_runs
 
 #: Bytes outside words become spaces, A to Z become lower case.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
@@ -109,10 +109,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: i
     schema = T.StructType([*docs.schema.fields, T.StructField("hits", HITS)])
     out = docs.withColumn("hits", F.lit(None).cast(HITS))
     for items in _blocks(benchmark, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(items)  # block_bytes of text
+        sent = docs.sparkSession.sparkContext.broadcast(items)  # block_bytes of text
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            windows = WindowSet(held.value, n)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            held("decontamination")
+            windows = WindowSet(sent.value, n)
             for batch in batches:
                 for rows in text_runs(batch, "text"):
                     lists = [words(x) for x in rows.column("text").to_pylist()]

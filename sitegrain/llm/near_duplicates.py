@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize, text_runs
+from .runtime import held, materialize, text_runs
 
 WIDTH = 5
 BAND_ROWS, BANDS = 5, 48
@@ -126,6 +126,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, width: in
     """Per row: doc_id, n_shingles, two numbers that tell its shingle set, and its bands' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near_duplicates")
         for batch in batches:
             for part in text_runs(batch, "text"):
                 elements, counts = shingle_sets(part.column("text"), width)
@@ -153,6 +154,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """Shingle sets (c, shingles) of the documents whose doc_id is among ``ids`` (c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near_duplicates")
         for batch in batches:
             for part in text_runs(batch, "text"):
                 elements, counts = shingle_sets(part.column("text"), width)

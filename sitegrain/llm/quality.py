@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import text_runs
+from .runtime import held, text_runs
 
 #: Bytes of a passage; the last one of a text may be shorter.
 PASSAGE = 512
@@ -196,8 +196,9 @@ def score(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality")
         for batch in batches:
-            for part in text_runs(batch, "text", 2 << 20):
+            for part in text_runs(batch, "text", 1 << 20):
                 x, counts = passages(part.column("text"))
                 value = model.score(x.astype(np.float64), counts) if model else np.ones(len(counts))
                 yield pa.record_batch([*(part.column(c) for c in columns), pa.array(value, pa.float64())], names=[*columns, "score"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,6 +57,22 @@ def text_runs(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterato
     give_back()
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object] = lambda: None) -> object:
+    """This worker's object under ``key``, made once; tasks that follow find it as it was left.
+
+    A worker runs tasks of one operator after another. It holds the last operator's object
+    alone: one with a key of its own lets go of what was there, so memos never add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def give_back() -> None:
     """Return free memory to the system."""
     pa.default_memory_pool().release_unused()

@@ -9,7 +9,6 @@ breaks them in its unigram model: of equal scores the piece that starts first st
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_runs
+from .runtime import held, text_runs
 
 SPACE = "▁"
 #: How far below the vocabulary's least score an unknown character's score lies.
@@ -99,11 +98,6 @@ class CountingViterbi:
         return each[offsets[1:]] - each[np.minimum(first + 1, offsets[1:])]
 
 
-@lru_cache(maxsize=1)
-def _shared(model_file: str) -> CountingViterbi:
-    return CountingViterbi(*pieces_of(model_file))
-
-
 def count_tokens(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id and n_tokens of the whole text.
 
@@ -112,7 +106,7 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _shared(model_file)
+        counter = held(model_file, lambda: CountingViterbi(*pieces_of(model_file)))
         for batch in batches:
             for part in text_runs(batch, "text", 4 << 20):
                 yield pa.record_batch([part.column("doc_id"), pa.array(counter.count(part.column("text")), pa.int64())], names=["doc_id", "n_tokens"])

@@ -8,13 +8,14 @@ Each distinct chunk is encoded by the library once for as long as the memo holds
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .runtime import held
+
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = "|"
 
@@ -39,10 +40,9 @@ def _loosened(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(texts, "([a-z0-9])([.,]) ", r"\1 \2 ")
 
 
-@lru_cache(maxsize=1)
 def shared_tokenizer(path: str, capacity: int) -> ChunkTokenizer:
     """This process's tokenizer of a file: tasks that follow in one worker find the memo filled."""
-    return ChunkTokenizer(path, capacity)
+    return held((path, capacity), lambda: ChunkTokenizer(path, capacity))
 
 
 class ChunkTokenizer:
