@@ -217,7 +217,52 @@ _first_key = lambda src, columns: f"SELECT {columns} FROM (SELECT *, row_number(
 _cap = f"SELECT seq, url, row_number() OVER (PARTITION BY lower({part('url', 3)}) ORDER BY seq) AS k FROM u"
 _edges = "e AS (SELECT src, dst FROM (SELECT page_id AS src, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 3]) AS dst FROM pages) WHERE dst IN (SELECT page_id FROM pages))"
 
+_last = "regexp_extract(prefix, '([^/]*)$', 1)"
+_parent = "regexp_replace(prefix, '/?[^/]*$', '')"
+SECTIONS = "(SELECT * REPLACE (CASE seq % 4 WHEN 0 THEN '/guide' || path WHEN 1 THEN '/api/generated' || path WHEN 2 THEN path ELSE '/user_guide/' || seq % 7 || '.html' END AS path) FROM c)"
+GROUPS = f"""{PREFIX.replace("FROM c)", f"FROM {SECTIONS})")}, sec AS (SELECT {_parent} AS prefix, count(*) AS sections, max(child_literal_ratio) AS most, min((child_count > 0)::INT) AS lo, max((child_count > 0)::INT) AS hi
+    FROM t WHERE depth > 0 AND descendant_count >= 3 AND {kind(_last)} IN ('literal', 'slug') GROUP BY 1),
+sp AS (SELECT t.prefix, t.child_count, coalesce((sections >= 2 AND NOT (most < 0.5 AND lo = hi)) OR (sections = 1 AND child_count > 1), false) AS splits FROM t LEFT JOIN sec USING (prefix)),
+own AS (SELECT seq, max(n) AS n, arg_min(prefix, depth) FILTER (NOT splits) AS prefix, arg_min(child_count, depth) FILTER (NOT splits) AS kids FROM n JOIN sp USING (prefix) GROUP BY seq),
+big AS (SELECT prefix FROM own WHERE kids > 0 GROUP BY prefix HAVING count(*) >= 3),
+grp0 AS (SELECT seq, n, CASE WHEN kids > 0 AND prefix IN (FROM big) THEN '/' || prefix END AS g FROM own),
+far AS (SELECT n FROM grp0 WHERE g IS NULL GROUP BY n HAVING count(*) >= 3),
+grp AS (SELECT seq, coalesce(g, 'depth_' || n) AS group_prefix, g IS NULL AS late FROM grp0 WHERE g IS NOT NULL OR n IN (FROM far))"""
+DERIVED = f"""{GROUPS}, mem AS (SELECT group_prefix, seq, canonical_url, {segs("path")} AS s FROM grp JOIN {SECTIONS} USING (seq)),
+bnd AS (SELECT group_prefix, count(*) AS member_count, min(len(s)) AS lo, max(len(s)) AS hi, array_to_string((list(canonical_url ORDER BY seq))[1:5], '|') AS examples FROM mem GROUP BY 1),
+val AS (SELECT group_prefix, seq, i, s[i] AS raw FROM (SELECT group_prefix, seq, s, unnest(range(1, lo + 1)) AS i FROM mem JOIN bnd USING (group_prefix))),
+cnt AS (SELECT group_prefix, i, raw, count(*) AS n, min(seq) AS f FROM val GROUP BY ALL),
+knd AS (SELECT group_prefix, i, {kind("raw")} AS k, count(*) AS n, min(seq) AS f FROM val GROUP BY ALL),
+pos AS (SELECT a.group_prefix, a.i, d, CASE WHEN d = 1 OR (d <= 3 AND top / total >= 0.75) THEN raw ELSE '<' || k || '>' END AS part, CASE WHEN d = 1 OR (d <= 3 AND top / total >= 0.75) THEN upper(raw) ELSE k END AS print
+  FROM (SELECT group_prefix, i, count(*) AS d, sum(n) AS total, max(n) AS top, first(raw ORDER BY n DESC, f) AS raw FROM cnt GROUP BY ALL) a JOIN (SELECT group_prefix, i, first(k ORDER BY n DESC, f) AS k FROM knd GROUP BY ALL) b USING (group_prefix, i)),
+tail AS (SELECT group_prefix, min(t) AS lo_t, max(t) AS hi_t FROM (SELECT group_prefix, array_to_string(s[lo + 1:], '/') AS t FROM mem JOIN bnd USING (group_prefix) WHERE len(s) > lo) GROUP BY 1),
+der AS (SELECT group_prefix, member_count, examples, '/' || concat_ws('/', string_agg(part, '/' ORDER BY i), CASE WHEN any_value(lo_t) IS NULL THEN NULL WHEN any_value(lo_t) = any_value(hi_t) THEN any_value(lo_t) ELSE '...' END) AS pattern,
+  concat_ws('/', string_agg(print, '/' ORDER BY i), CASE WHEN any_value(lo_t) IS NULL THEN NULL WHEN any_value(lo_t) = any_value(hi_t) THEN 'STATIC_DEEP' ELSE 'DEEPER' END) AS fingerprint,
+  greatest(0.1, least(1.0, least(member_count / 50, 1.0) * 0.25 + count(*) FILTER (d = 1) / greatest(any_value(lo), 1) * 0.5 + CASE WHEN group_prefix IN ('', '/') OR starts_with(group_prefix, '/<') THEN 0.0 ELSE 0.15 END + 0.15)) AS confidence
+  FROM bnd LEFT JOIN pos USING (group_prefix) LEFT JOIN tail USING (group_prefix) GROUP BY group_prefix, member_count, examples)"""
+_names = " ".join(f"WHEN contains(lower(group_prefix), '{piece}') THEN '{name}'" for piece, name in values.TEMPLATE_NAMES)
+_words = "list_filter(string_split(lower(group_prefix), '/'), lambda x: x <> '' AND NOT starts_with(x, '<') AND NOT starts_with(x, 'depth_'))"
+_fit = "child_literal_ratio < 0.3 AND descendant_count >= 3 AND child_count > 0"
+#: Anchors from the deepest level up; the pages' paths have few levels.
+ANCHORS = PREFIX + "".join(
+    f", a{d} AS (SELECT prefix, depth, descendant_count FROM t WHERE {_fit} AND depth = {d}" + (f" AND prefix NOT IN (SELECT {_parent} FROM a{d + 1})" if d < 6 else "") + ")" for d in range(6, -1, -1)
+)
+_canonical_tag = f"(list_filter(regexp_extract_all(html, '(?is)<link[\\s>/][^>]*>'), lambda x: list_contains(string_split(coalesce({attribute('x', 'rel')}, ''), ' '), 'canonical')))[1]"
+_charset_tag = "(list_filter(regexp_extract_all(html, '(?is)<meta[\\s>/][^>]*>'), lambda x: regexp_matches(x, '(?i)\\scharset\\s*=')))[1]"
+_content = lambda n, a="name": f"coalesce({attribute(f'({_meta.format(a=attribute(chr(120), a), n=n)})[1]', 'content')}, '')"
+
 ORACLE_SQL = {
+    "html_metadata": f"""SELECT page_id, trim({_title}) AS title, {_content("generator")} AS generator, {_content("description")} AS description, coalesce({attribute(_canonical_tag, "href")}, '') AS canonical_url,
+      coalesce({attribute(_charset_tag, "charset")}, nullif(trim(regexp_extract(lower({_content("content-type", "http-equiv")}), 'charset=(.*)$', 1)), ''), 'utf-8') AS charset FROM pages""",
+    "html_link_tags": f"SELECT page_id, pos::INT AS pos, href, rel FROM (SELECT page_id, unnest(range(len(x))) AS pos, trim({attribute('unnest(x)', 'href')}) AS href, coalesce({attribute('unnest(x)', 'rel')}, '') AS rel FROM (SELECT page_id, regexp_extract_all(html, '(?is)<link[\\s>/][^>]*>') AS x FROM pages)) WHERE href <> ''",
+    "anti_unassigned": f"WITH {GROUPS} SELECT seq, path FROM {SECTIONS} WHERE seq NOT IN (SELECT seq FROM grp)",
+    "group_discover": f"WITH {GROUPS} SELECT seq, group_prefix FROM grp",
+    "group_remaining_by_depth": f"WITH {GROUPS} SELECT group_prefix, count(*) AS n FROM grp WHERE late GROUP BY 1",
+    "tpl_derive": f"WITH {DERIVED} SELECT group_prefix, pattern, fingerprint, member_count FROM der",
+    "tpl_confidence": f"WITH {DERIVED} SELECT group_prefix, round(confidence, 9)::DOUBLE AS confidence FROM der",
+    "tpl_name": f"WITH {DERIVED} SELECT group_prefix, CASE {_names} WHEN contains(lower(pattern), 'generated') THEN 'api_reference' ELSE coalesce({_words}[1], 'catch_all') END AS name FROM der",
+    "topk_examples": f"WITH {DERIVED} SELECT group_prefix, examples FROM der",
+    "trie_anchors": f"WITH {ANCHORS} " + " UNION ALL ".join(f"SELECT prefix, depth::INT AS depth, descendant_count FROM a{d}" for d in range(7)),
     "url_parse": f"WITH {U} SELECT seq, {_scheme} AS scheme, {_host} AS host, {_path} AS path, {query_of(part('url', 5), False)} AS query, nullif({part('url', 6)}, '') AS fragment FROM u",
     "url_build_parsed": f"WITH {U} SELECT seq, {key('url')} AS key, {_host} AS domain, {_path} AS path, {asset('url')} AS is_asset FROM u",
     "url_canonicalize": f"WITH {U} SELECT seq, {canonical('url')} AS canonical_url FROM u",
