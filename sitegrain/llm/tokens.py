@@ -8,7 +8,7 @@ Each distinct chunk is encoded by the library once for as long as the memo holds
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +66,29 @@ class ChunkTokenizer:
         self._ids = np.empty(1 << 16, np.uint32)
         self._starts = np.empty(1 << 14, np.int64)
         self._lengths = np.empty(1 << 14, np.int64)
+        self._seen = np.zeros(1 << 14, np.int32)  # in how many runs of texts
+
+    def _trim(self) -> None:
+        """Make room: chunks of one run of texts alone go, and beyond half the capacity the rarest."""
+        n = len(self._memo)
+        keep = np.flatnonzero(self._seen[:n] > 1)
+        if len(keep) > self._capacity // 2:
+            keep = np.sort(keep[np.argpartition(-self._seen[keep], self._capacity // 2)[: self._capacity // 2]])
+        names, lengths = list(self._memo), self._lengths[keep]
+        ids = self._ids[np.repeat(self._starts[keep] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+        names = [names[i] for i in keep.tolist()]
+        seen = self._seen[keep] // 2
+        if (chars := sum(map(len, names))) > self._max_chars // 2:
+            self._clear()
+            return
+        self._clear()
+        self._memo, self._chars, self._used = dict(zip(names, range(len(names)))), chars, len(ids)
+        self._ids, self._lengths, self._starts, self._seen = ids, lengths, np.cumsum(lengths) - lengths, seen
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         if n > len(a):
-            a = np.concatenate([a, np.empty(max(n, 2 * len(a)) - len(a), a.dtype)])
+            a = np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
         return a
 
     def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +128,8 @@ class ChunkTokenizer:
             self._ids = self._room(self._ids, self._used + total)
             self._starts = self._room(self._starts, known + len(part))
             self._lengths = self._room(self._lengths, known + len(part))
+            self._seen = self._room(self._seen, known + len(part))
+            self._seen[known : known + len(part)] = 0
             self._ids[self._used : self._used + total] = ids
             self._lengths[known : known + len(part)] = lengths
             self._starts[known : known + len(part)] = self._used + np.cumsum(lengths) - lengths
@@ -120,13 +140,17 @@ class ChunkTokenizer:
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has; ``end_id`` closes each."""
         if len(self._memo) > self._capacity or self._chars > self._max_chars:
-            self._clear()
+            self._trim()
         split = pc.split_pattern(_loosened(pa.array(texts, pa.large_string())), " ")
         ends = split.offsets.to_numpy()[1:]
         coded = split.values.dictionary_encode()
         distinct, memo = coded.dictionary.to_pylist(), self._memo
-        self._learn([c for c in distinct if c not in memo])
-        at = np.fromiter(map(memo.__getitem__, distinct), np.int32, len(distinct))[coded.indices.to_numpy()]
+        place_of = np.fromiter(map(memo.get, distinct, repeat(-1)), np.int32, len(distinct))
+        new = np.flatnonzero(place_of < 0)
+        place_of[new] = np.arange(len(memo), len(memo) + len(new))
+        self._learn([distinct[i] for i in new.tolist()])
+        self._seen[place_of] += 1
+        at = place_of[coded.indices.to_numpy()]
         lengths = self._lengths[at]
         before = np.concatenate([[0], np.cumsum(lengths)])
         kind = np.int32 if before[-1] < 1 << 31 else np.int64
