@@ -29,8 +29,8 @@ def derive(rows: DataFrame, groups: DataFrame, path: Column | None = None, examp
 
     ``rows`` has seq, canonical_url, path, version and version_free_path. A position with one
     value is a literal; with two or three, the commonest is one if it has three quarters; all
-    others become their commonest type. Ties go to what was seen first. The reference points
-    are counted in aggregates per (group, position, value), so no group is gathered.
+    others become their commonest type. Ties go to what was seen first. All of it comes from
+    aggregates per (group, position, value), so no group is gathered.
     """
     path = F.coalesce("version_free_path", "path") if path is None else path
     own = materialize(rows.join(groups, "seq").select("seq", "canonical_url", "version", "group_prefix", "group_order", urls.segments(path).alias("_s")).withColumn("_n", F.size("_s")), "members")
