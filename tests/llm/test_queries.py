@@ -12,7 +12,7 @@ from sitegrain.llm import queries, quality
 from sitegrain.llm.tokens import vocabulary_path
 
 from .test_pairs import brute_components, brute_hits
-from .test_single import brute_spans, personal_row, library_counts
+from .test_single import brute_spans, library_counts
 from .test_tokens_and_packing import check_packing
 from sitegrain.llm.token_counts import pieces_of
 from tokenizers import Tokenizer

@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sitegrain.llm import grammar, packing, queries
