@@ -30,7 +30,9 @@ from .runtime import fresh_dir, materialize, open_uri, text_runs, write_file
 from .tokens import shared_tokenizer
 
 MAGIC = b"SGRPAIR1"
-MIX, TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 20
+MIX, TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 18
+#: Greater than any pair's code.
+NO_PAIR = np.uint64(0xFFFFFFFFFFFFFFFF)
 HEAD = struct.Struct("<8s7q")
 MANIFEST = "partition bigint, shard int, path string, n_docs bigint, n_tokens bigint, n_symbols bigint, n_rules bigint"
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -49,8 +51,9 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int, rounds: int = 4,
         if len(seq) < 2:
             break
         codes = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        inner = np.flatnonzero(~last[:-1])
-        ordered = np.sort(codes[inner])
+        ends = np.flatnonzero(last[:-1])
+        codes[ends] = NO_PAIR
+        ordered = np.sort(codes)[: len(codes) - len(ends)]
         begins = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
         counts = np.diff(begins)
         often = np.flatnonzero(counts >= least)
@@ -64,8 +67,10 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int, rounds: int = 4,
         table = np.full(1 << TABLE_BITS, -1, np.int32)
         table[slots[::-1]] = np.arange(len(chosen) - 1, -1, -1)
         rule = table[(codes * MIX >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-        at = inner[np.flatnonzero((rule[inner] >= 0) & (chosen[rule[inner]] == codes[inner]))]
+        at = np.flatnonzero(rule >= 0)
         rule = rule[at]
+        real = np.flatnonzero(chosen[rule] == codes[at])
+        at, rule = at[real], rule[real]
         if len(at):
             begins = np.concatenate([[True], np.diff(at) != 1])
             run = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
