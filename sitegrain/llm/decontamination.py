@@ -95,7 +95,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield [(r.item_id, r.text) for r in own.toLocalIterator()]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: int = 1 << 20) -> DataFrame:
     """All rows and columns of ``docs`` and a struct ``hits``: n_words, hit_words, items.
 
     hit_words are the places (from 0, rising) of words inside any occurrence of a window
