@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import held, text_runs
+from .runtime import held, masked, text_runs
 
 #: Bytes outside words become spaces, A to Z become lower case.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
@@ -134,12 +134,14 @@ def contaminated(ratio: int = 20) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, ratio: int = 20) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged."""
-    return find_hits(docs, benchmark, n).where(~contaminated(ratio)).select(*docs.columns)
+    own, named = masked(docs, "text")
+    return named(find_hits(own, benchmark, n).where(~contaminated(ratio)))
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """All rows of ``docs``, with every run of hit words cut from ``text``."""
-    found, columns = find_hits(docs, benchmark, n), docs.columns
+    own, named = masked(docs, "text")
+    found, columns = find_hits(own, benchmark, n), own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +158,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
                     texts[i] = b"".join([*kept, data[begin:]]).decode("utf-8", "surrogatepass")
             yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
 
-    return found.mapInArrow(run, docs.schema)
+    return named(found.mapInArrow(run, own.schema))
 
 
 def digest(found: DataFrame, ratio: int = 20) -> DataFrame:

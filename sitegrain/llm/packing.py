@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import materialize, text_runs
+from .runtime import materialize, spare, text_runs
 from .tokens import shared_tokenizer
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -130,24 +130,26 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_salt: int = 200_000)
     if any(not 1 <= k <= capacity for k in sizes):
         raise ValueError("a piece is empty or longer than the capacity")
     slots = pieces.sparkSession.sparkContext.broadcast(_slots(plan_bins(sizes, capacity)))  # bounded as the histogram is
+    salt, n, start, rank = (spare(c, columns) for c in ("_salt", "_n", "_before", "_rank"))
     salts = max(256, -(-sum(sizes.values()) // rows_per_salt))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("long")).select(*columns, "_rank")
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    before = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    before = before.select("length", salt, (F.sum(n).over(Window.partitionBy("length").orderBy(salt)) - F.col(n)).alias(start))
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece")) - 1)
+    ranked = ranked.join(before, ["length", salt]).withColumn(rank, (F.col(rank) + F.col(start)).cast("long")).select(*columns, rank)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = slots.value
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+            length, at_rank = batch.column("length").to_numpy(), batch.column(rank).to_numpy()
+            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             order = np.argsort(length, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
                 k = int(length[at[0]])
                 own = table[k]
-                first, m, base, begin = own[np.searchsorted(own[:, 0], rank[at], "right") - 1].T
-                sequence[at] = base + (rank[at] - first) // m
-                offset[at] = begin + (rank[at] - first) % m * k
+                first, m, base, begin = own[np.searchsorted(own[:, 0], at_rank[at], "right") - 1].T
+                sequence[at] = base + (at_rank[at] - first) // m
+                offset[at] = begin + (at_rank[at] - first) % m * k
             yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, schema)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import spare
+
 MARK, STAND_IN = "\x01", "\x02"
 
 #: What is proposed, by kind. A match of email, ip or card can only begin where
@@ -103,9 +105,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, STAND_IN)
     docs = docs.drop("spans")
-    made = docs.withColumn("_safe", text)
-    made = made.withColumns({f"_{k}": _spans(k, p, F.col("_safe")) for k, p in (BASE | ADDED).items()})
-    return made.select(*docs.columns, F.concat(*(F.col(f"_{k}") for k in BASE | ADDED)).alias("spans"))
+    safe, own = spare("_safe", docs.columns), {k: spare(f"_{k}", docs.columns) for k in BASE | ADDED}
+    made = docs.withColumn(safe, text)
+    made = made.withColumns({own[k]: _spans(k, p, F.col(safe)) for k, p in (BASE | ADDED).items()})
+    return made.select(*docs.columns, F.concat(*map(F.col, own.values())).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import held, text_runs
+from .runtime import held, masked, text_runs
 
 #: Bytes of a passage; the last one of a text may be shorter.
 PASSAGE = 512
@@ -218,5 +218,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, unchanged."""
-    kept = score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, train(docs, labels)).where(predicted(threshold) == 1)
-    return kept.select(*(F.col("_score").alias(c) if c == "score" else F.col(c) for c in docs.columns))
+    own, named = masked(docs, "text")
+    return named(score(own, train(docs, labels)).where(predicted(threshold) == 1))

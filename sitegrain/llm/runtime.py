@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import fresh_dir, materialize, shared_root  # noqa: F401
 
@@ -22,6 +23,23 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def spare(name: str, taken: Iterable[str]) -> str:
+    """``name``, or a longer one that no column of ``taken`` has, letter case aside."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def masked(docs: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``keep`` under numbers, and what gives them their names back.
+
+    Operators that add columns for a while can then meet no column of the same name.
+    """
+    names = {c: c if c in keep else f"_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(c).alias(n) for c, n in names.items())), lambda df: df.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def open_uri(uri: str):
     """File system and path for a folder of the shared store, on driver or executor."""
     from pyarrow import fs
