@@ -152,7 +152,10 @@ def test_decontamination_of_odd_documents(spark, odd, none):
     assert len(rows) == odd.count() and all(tuple(r)[1:] == want[r.doc_id] for r in rows if r.doc_id is not None)
     assert decontamination.find_hits(none, bench).count() == 0
     assert decontamination.drop_contaminated(odd, bench.limit(0)).count() == odd.count()
-    assert decontamination.drop_contaminated(odd, bench).columns == odd.columns
+    kept = decontamination.drop_contaminated(odd, bench)
+    assert kept.schema == odd.schema and {r.hits for r in kept.collect()} == {"a"}
+    cut = decontamination.cut_spans(odd, bench)
+    assert cut.columns == odd.columns and cut.count() == odd.count() and {r.hits for r in cut.collect()} == {"a"}
 
 
 def test_cut_spans(spark):

@@ -76,7 +76,7 @@ def test_classifier_of_odd_documents(spark, odd, none):
     labels = spark.createDataFrame([(0, 1), (1, 0), (4, 1), (None, 1), (5, None), (5, 0), (6, 0), (9, 1), (99, 0)], "doc_id long, quality int")
     for own in (labels, labels.limit(0), labels.where("quality = 1")):
         kept = quality.keep_good(odd, own)
-        assert kept.columns == odd.columns and kept.count() <= odd.count()
+        assert kept.columns == odd.columns and kept.count() <= odd.count() and {r.score for r in kept.collect()} <= {"c"}
     assert quality.classify(none, labels).count() == 0
     assert all(math.isfinite(r.score) for r in quality.classify(odd, labels).collect())
     assert quality.keep_good(odd, labels.limit(0)).count() == odd.count()
@@ -180,6 +180,9 @@ def test_redaction(spark, odd, none):
     assert got[0][0].startswith("mail [EMAIL] or ") and not brute_spans(got[0][0]) and not brute_spans(got[4][0])
     out = personal_data.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and not [r for r in out.collect() if brute_spans(r.text)]
+    assert {(r.spans, r.hits) for r in out.collect()} == {("b", "a")}
+    clash = odd.withColumn("_safe", F.lit("s")).withColumn("_email", F.lit("e"))
+    assert {(r._safe, r._email) for r in personal_data.find_personal_data(clash).collect()} == {("s", "e")}
     assert personal_data.redact(none).count() == 0
 
 

@@ -105,6 +105,10 @@ def test_packing_of_odd_documents(spark, odd, none, plain):
     rows = packing.pack_documents(odd, vocabulary_path()).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()], plain)
     assert packing.pack_documents(none, vocabulary_path()).count() == 0
+    pieces = packing.split_pieces(odd, vocabulary_path()).selectExpr("*", "1 AS _salt", "2 AS _rank", "3 AS _n", "4 AS sequence_id")
+    again = packing.pack(pieces).collect()
+    check_packing(again, [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()], plain)
+    assert {(r._salt, r._rank, r._n) for r in again} == {(1, 2, 3)}
 
 
 def test_sequences_hold_the_ids(spark, plain):
