@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_duplicates import BROADCAST_ROWS, _mix
-from .runtime import materialize, text_runs
+from .runtime import materialize, spare, text_runs
 
 U = np.uint64
 CHAIN = "doc_id bigint, source_id bigint, starts array<int>, source_starts array<int>"
@@ -321,17 +321,17 @@ def cut_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     import re
 
     word = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-    columns = docs.columns
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    columns, cuts_of = docs.columns, spare("_spans", docs.columns)
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(cuts_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, cuts in enumerate(batch.column("_spans").to_pylist()):
+            for i, cuts in enumerate(batch.column(cuts_of).to_pylist()):
                 if cuts and texts[i]:
                     gone = {j for c in cuts for j in range(c["start"], c["end"])}
                     lead = len(texts[i]) - len(texts[i].lstrip(" \t\n\x0b\f\r"))
                     texts[i] = texts[i][:lead] + "".join(m.group() for j, m in enumerate(word.finditer(texts[i])) if j not in gone)
             yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
 
-    return docs.join(spans, "doc_id", "left").select(*columns, "_spans").mapInArrow(run, docs.schema)
+    return docs.join(spans, "doc_id", "left").select(*columns, cuts_of).mapInArrow(run, docs.schema)
