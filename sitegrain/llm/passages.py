@@ -4,8 +4,8 @@ Seeds are hashes of ``k`` consecutive words, thinned by winnowing, so that every
 ``window + k - 1`` words that two documents share gives both a seed. A seed that several
 documents hold is matched with its first holder alone (the smallest doc_id), so copies cost
 links in proportion to their number, never pairs. A document's matches with one holder are
-chained: a Fenwick tree finds, for every match, the best chain that it can extend, with
-costs for gaps and for drift. Chains are then aligned word by word on both documents and
+chained: every match extends the best of the chains that end near enough before it in both
+documents, with costs for gaps and for drift. Chains are then aligned word by word on both documents and
 those of at least ``least`` words are reported. As a document's passage may have its first
 holders in several documents, its chains are also merged into spans over all of them.
 """
@@ -87,37 +87,23 @@ def chain(starts: np.ndarray, sources: np.ndarray, k: int, max_gap: int, gap_cos
     """Disjoint chains of matches (places in a document and in its source), best first.
 
     A chain's matches rise in both documents. A match is worth the words that it covers; a
-    gap costs by the further of the two distances and by their difference. A Fenwick tree
-    over the source places holds the best chain that ends at or before each place; those
-    too far back for ``max_gap`` are cut when the chains are read off.
+    gap costs by the further of the two distances and by their difference. A match extends the
+    best chain that ends at most ``max_gap`` before it in both documents; as a document's place
+    has one match with a source, no more than ``max_gap`` of them are looked at.
     """
     order = np.lexsort((-sources, starts))
     p, q = starts[order].tolist(), sources[order].tolist()
-    ranks = {x: i + 1 for i, x in enumerate(sorted(set(q)))}
-    size = len(ranks)
-    tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (size + 1)
-    score, before = [0.0] * len(p), [-1] * len(p)
-    waiting: list[int] = []
+    score, before = [float(k)] * len(p), [-1] * len(p)
+    first = 0
     for i in range(len(p)):
-        if waiting and p[waiting[-1]] != p[i]:
-            for w in waiting:  # matches of one place do not extend each other
-                value, r = (score[w] + gap_cost * (p[w] + q[w]), w), ranks[q[w]]
-                while r <= size:
-                    if value > tree[r]:
-                        tree[r] = value
-                    r += r & -r
-            waiting = []
-        top, r = (float("-inf"), -1), ranks[q[i]] - 1
-        while r:
-            top = max(top, tree[r])
-            r -= r & -r
-        score[i] = float(k)
-        if (j := top[1]) >= 0:
+        while p[i] - p[first] > max_gap:
+            first += 1
+        for j in range(i - 1, first - 1, -1):
             dp, dq = p[i] - p[j], q[i] - q[j]
-            gained = score[j] + min(k, dp, dq) - gap_cost * (dp + dq) - drift_cost * abs(dp - dq)
-            if dp <= max_gap and dq <= max_gap and gained > score[i]:
-                score[i], before[i] = gained, j
-        waiting.append(i)
+            if dp and 0 < dq <= max_gap:  # matches of one place do not extend each other
+                gained = score[j] + min(k, dp, dq) - gap_cost * (dp + dq) - drift_cost * abs(dp - dq)
+                if gained > score[i]:
+                    score[i], before[i] = gained, j
     used, out = [False] * len(p), []
     for i in sorted(range(len(p)), key=lambda i: -score[i]):
         links = []

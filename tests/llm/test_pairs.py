@@ -211,3 +211,40 @@ def test_chains_keep_the_order():
     starts, sources = np.array([0, 10, 20, 30, 5]), np.array([100, 110, 121, 131, 400])
     best = passages.chain(starts, sources, k=8, max_gap=64)
     assert best[0].tolist() == [0, 1, 2, 3] and best[1].tolist() == [4]
+
+
+def test_a_chain_goes_on_after_a_far_one():
+    starts = np.array([*range(0, 200, 8), *range(300, 360, 10)])  # two passages, 100 words apart
+    assert [starts[c].tolist() for c in passages.chain(starts, starts + 7, k=8, max_gap=64)] == [list(range(0, 200, 8)), list(range(300, 360, 10))]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chains_score_as_those_of_all_pairs(seed):
+    draw = random.Random(seed)
+    p = sorted(draw.sample(range(600), 150))
+    q = [x + draw.choice([0, 0, 0, 3, -5, 200]) for x in p]
+    score = [8.0] * len(p)
+    for i in range(len(p)):
+        for j in range(i):
+            dp, dq = p[i] - p[j], q[i] - q[j]
+            if 0 < dp <= 64 and 0 < dq <= 64:
+                score[i] = max(score[i], score[j] + min(8, dp, dq) - 0.05 * (dp + dq) - 0.5 * abs(dp - dq))
+    best = passages.chain(np.array(p), np.array(q), k=8, max_gap=64)[0].tolist()
+    got = 8.0
+    for j, i in zip(best, best[1:]):
+        dp, dq = p[i] - p[j], q[i] - q[j]
+        got += min(8, dp, dq) - 0.05 * (dp + dq) - 0.5 * abs(dp - dq)
+    assert got == pytest.approx(max(score))
+
+
+def test_two_edited_passages_of_one_source(spark):
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    far, near = words("a", 200), words("b", 90)
+    docs = {1: [*far, *words("x", 100), *near]}
+    for d in (2, 3):  # the second passage has a word too many and one left out, so that no seed reaches over 50 words
+        docs[d] = [*(far if d == 2 else []), *words(f"y{d}_", 100), *near[:30], "more", *near[30:60], *near[61:]]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    rows = passages.repeated_passages(df).collect()
+    for d in (2, 3):
+        at = docs[d].index("b0")
+        assert [(r.start, r.end) for r in rows if (r.doc_id, r.source_id) == (d, 1) and r.source_start >= 300] == [(at, at + 90)]
