@@ -315,6 +315,12 @@ def trie_collect_leaves(spark, sf_dir):
     return rows.where("depth <= 1").select("prefix", "seq")
 
 
+@query
+def trie_collect_all_leaves(spark, sf_dir):
+    """Pages below every prefix of any depth, where ``trie_collect_leaves`` has the upper two levels alone."""
+    return grouping.prefixes(_canonical(spark, sf_dir), F.col("path")).select("prefix", "seq")
+
+
 @query
 def trie_junctions(spark, sf_dir):
     return grouping.junctions(grouping.trie_metrics(_canonical(spark, sf_dir), F.col("path")))

@@ -47,3 +47,15 @@ def test_query_runs(spark, name):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_leaves_below_every_prefix(spark):
+    def below(paths):  # the reference's walk: own URLs, then those of all children
+        for seq, own in paths:
+            for depth in range(len(own) + 1):
+                yield "/".join(own[:depth]), seq
+
+    rows = QUERIES["project_wide_url"](spark, SF).select("seq", "segments").collect()
+    want = sorted(below([(r.seq, r.segments.split("|") if r.segments else []) for r in rows]))
+    got = sorted(map(tuple, QUERIES["trie_collect_all_leaves"](spark, SF).select("prefix", "seq").collect()))
+    assert got == want and any(p.count("/") >= 1 for p, _ in got)
