@@ -162,12 +162,11 @@ def _searcher(held, k: int):
                                 heapq.heappush(queue, (-bound[c], c))
                         continue
                     scores = points[node] @ q[i]
-                    at = np.flatnonzero(scores >= heap[0][0]) if len(heap) == k else np.arange(len(scores))
-                    if len(at) > k + 1:  # the own vector may be among them
-                        at = at[np.lexsort((vec_ids[node][at], -scores[at]))[: k + 1]]
+                    others = vec_ids[node] != own
+                    at = np.flatnonzero(others & (scores >= heap[0][0]) if len(heap) == k else others)
+                    if len(at) > k:
+                        at = at[np.lexsort((vec_ids[node][at], -scores[at]))[:k]]
                     for s, v in zip(scores[at].tolist(), vec_ids[node][at].tolist()):
-                        if v == own:
-                            continue
                         if len(heap) < k:
                             heapq.heappush(heap, (int(s), -v))
                         elif (int(s), -v) > heap[0]:

@@ -216,3 +216,10 @@ def test_exact_search(spark, seed, dims, shard_rows):
     assert sorted(map(tuple, got.collect())) == brute_top(rows)
     assert sorted(map(tuple, nearest.top_k(df).collect())) == brute_top(rows)
     assert nearest.top_k(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("copies", [3, 6, 9])
+def test_exact_search_with_a_repeated_query(spark, copies):
+    rows = [(0, [1.0, 1.0])] * copies + [(i, [0.5, i / 100]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    assert sorted(map(tuple, nearest.top_k(df).collect())) == sorted(set(brute_top(rows)))
