@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import spare
+from .runtime import materialize, spare
 
 MARK, STAND_IN = "\x01", "\x02"
 
@@ -127,13 +127,22 @@ def redact(docs: DataFrame, passes: int = 4) -> DataFrame:
 
     Spans that overlap are merged and get the kind of the first. Cutting a span can free
     another: digits that ran on into it were no card before and are one now. So texts that
-    changed are looked through again, up to ``passes`` times in all. Texts without spans
+    changed are looked through again until none does, ``passes`` times between two written
+    tables; as a cut takes digits or an at sign away, that ends. Texts without spans
     stay as they are; where ``docs`` has ``n_chars`` it is the new text's length. Column
     order stays.
     """
     own = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns) if c != "text"), F.col("text").cast("string").alias("text"), F.lit(True).alias("_go"))
-    for _ in range(passes):
-        own = _redacted_once(own)
+    done = None
+    while True:
+        for _ in range(passes):
+            own = _redacted_once(own)
+        own = materialize(own, "redacted")
+        settled = own.where("not _go")
+        done = settled if done is None else done.unionByName(settled)
+        own = own.where("_go")
+        if own.isEmpty():
+            break
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     columns = []
     for c in docs.columns:
@@ -141,7 +150,7 @@ def redact(docs: DataFrame, passes: int = 4) -> DataFrame:
             columns.append(F.when(F.col("_changed"), F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(names[c])).alias(c))
         else:
             columns.append(F.col("text" if c == "text" else names[c]).alias(c))
-    return own.select(*columns)
+    return done.select(*columns)
 
 
 def _redacted_once(own: DataFrame) -> DataFrame:

@@ -223,3 +223,10 @@ def test_exact_search_with_a_repeated_query(spark, copies):
     rows = [(0, [1.0, 1.0])] * copies + [(i, [0.5, i / 100]) for i in range(1, 40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
     assert sorted(map(tuple, nearest.top_k(df).collect())) == sorted(set(brute_top(rows)))
+
+
+def test_redaction_goes_on_until_nothing_is_left(spark):
+    listed = " and ".join(["123-45-6789"] * 11)  # a number counts once [SSN] stands before it: one a pass
+    df = spark.createDataFrame([(1, f"ssn {listed}"), (2, "ssn 123-45-6789"), (3, listed), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in personal_data.redact(df).collect()}
+    assert got == {1: "ssn " + " and ".join(["[SSN]"] * 11), 2: "ssn [SSN]", 3: listed, 4: None}
