@@ -30,13 +30,14 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 def _loosened(texts: pa.Array) -> pa.Array:
     """Texts with the same ids but fewer distinct chunks.
 
-    Line feeds become spaces. A to Z become lower case, as the vocabulary does itself, unless
-    that could write a special token, which starts with ``<|``. A comma or full stop between
+    Line feeds become spaces. A to Z become lower case, as the vocabulary does itself, but not
+    in a text where that could write a special token, which starts with ``<|``, or where a mark
+    follows a capital: the vocabulary composes before it lowers, and some small letters have a
+    composed form that the capital lacks. A comma or full stop between
     a letter or digit and a space gets a space before it: it is a piece of its own anyway.
     """
     texts = pc.replace_substring(texts, "\n", " ")
-    if not pc.any(pc.match_substring(texts, "<|")).as_py():
-        texts = pc.ascii_lower(texts)
+    texts = pc.if_else(pc.match_substring_regex(texts, r"<\||[A-Z]\p{M}"), texts, pc.ascii_lower(texts))
     return pc.replace_substring_regex(texts, "([a-z0-9])([.,]) ", r"\1 \2 ")
 
 

@@ -144,3 +144,11 @@ def test_plans_are_near_the_bound():
         placed.update({k: m * bins for k, m in chosen})
     total = sum(b for _, b in plan)
     assert placed == sizes and total <= 1.02 * sum(k * n for k, n in sizes.items()) / 2048 + 1
+
+
+@pytest.mark.parametrize("text", ["J\u030c", "x T\u0308 Y\u030a", "H\u0331 W\u030a\nJ\u0323\u030c"])
+@pytest.mark.parametrize("other", ["Plain Text", "a <| b"])
+def test_capitals_under_marks_give_the_library_ids(plain, text, other):
+    ids, lengths = ChunkTokenizer(vocabulary_path()).encode([text, other, "Same"])
+    want = [plain(t) for t in (text, other, "Same")]
+    assert ids.tolist() == sum(map(list, want), []) and lengths.tolist() == list(map(len, want))
