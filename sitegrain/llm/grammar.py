@@ -1,16 +1,18 @@
 """Operator 5: token-id files compressed by Re-Pair grammars.
 
 Documents are dealt out by ranges of doc_id, encoded, and written in shards of about
-``shard_tokens`` ids. Per shard, rounds replace the most frequent pairs of neighbouring
-ids by new symbols (nonterminals); no pair crosses the end of a document, so every
-document begins on a symbol. A shard file holds the rules, the length that each rule
-expands to, and a table of its documents: any document, or any range of its ids, is
-decoded from its own symbols alone.
-
-File format, little endian: the 8 bytes ``SGRPAIR1``; seven int64: the first
-nonterminal, rules, symbols, documents, ids, bytes a symbol, 0; then rules (left and
-right, uint32 each), expansion lengths (uint32), per document doc_id (int64), whether
-that id is null (uint8), ids (int64) and symbols (int64); last the symbols.
+``shard_tokens`` ids. Per shard, frequent pairs of neighbouring ids are replaced by new
+symbols (nonterminals), round by round, until no pair is frequent any more; no pair crosses
+the end of a document, so every document begins on a symbol. A shard file holds the rules,
+the length that each rule expands to, and a table of its documents: any document, or any
+range of its ids, is decoded from its own symbols alone.
+
+File format, little endian: the 8 bytes ``SGRPAIR2``; six int64: the first nonterminal,
+rules, symbols, documents, ids, and the bytes of all expansion lengths; then rules (left and
+right, packed), expansion lengths (seven bits a byte, the eighth says that more follow), per
+document doc_id (int64), whether that id is null (uint8), ids (int64) and symbols (int64);
+last the symbols (packed). Packed numbers take as many bits as the greatest symbol needs,
+the lowest bit first.
 """
 
 from __future__ import annotations
@@ -29,109 +31,191 @@ from pyspark.sql import functions as F
 from .runtime import fresh_dir, materialize, open_uri, text_runs, write_file
 from .tokens import shared_tokenizer
 
-MAGIC = b"SGRPAIR1"
-MIX, TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 18
-#: Greater than any pair's code.
-NO_PAIR = np.uint64(0xFFFFFFFFFFFFFFFF)
-HEAD = struct.Struct("<8s7q")
-MANIFEST = "partition bigint, shard int, path string, n_docs bigint, n_tokens bigint, n_symbols bigint, n_rules bigint"
+MAGIC = b"SGRPAIR2"
+HEAD = struct.Struct("<8s6q")
+U = np.uint64
+MANIFEST = "partition bigint, shard int, path string, n_docs bigint, n_tokens bigint, n_symbols bigint, n_rules bigint, n_bytes bigint"
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, first_free: int, rounds: int = 4, pairs_per_round: int = 8192, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair with many pairs a round: symbols, their document-end flags, and rules.
+def _grouped(left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int, place_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of pairs in rising order, and the places that they stand at (rising for each pair)."""
+    code = left.astype(U) << U(bits) | right
+    if 2 * bits + place_bits > 64:  # a very long document
+        order = np.argsort(code, kind="stable")
+        return code[order], at[order]
+    code <<= U(place_bits)
+    code |= at.astype(U)
+    code.sort()
+    return code >> U(place_bits), (code & U((1 << place_bits) - 1)).astype(np.int64)
+
+
+def _every_other(at: np.ndarray, twins: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of pairs of twins (places ``at[twins]``) that overlap, the second, fourth and so on of a run."""
+    place = at[twins]
+    begins = np.concatenate([[True], place[1:] != after[place[:-1]]])
+    run = np.arange(len(place)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    return twins[run % 2 == 1]
+
+
+def _winners(place: np.ndarray, rank: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which occurrences are replaced: of those that overlap, that of the better rank; twice over."""
+    won, left = np.zeros(len(place), bool), np.arange(len(place))
+    for _ in range(2):
+        p, r = place[left], rank[left]
+        touch, lower = p[1:] == after[p[:-1]], r[1:] < r[:-1]
+        beaten = np.zeros(len(p), bool)
+        beaten[1:] |= touch & ~lower
+        beaten[:-1] |= touch & lower
+        won[left[~beaten]] = True
+        gone = ~beaten
+        gone[1:] |= touch & ~beaten[:-1]
+        gone[:-1] |= touch & ~beaten[1:]
+        left = left[~gone]
+        if not len(left):
+            break
+    return won
+
+
+def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: symbols, their document-end flags, rules, and the length that each expands to.
 
-    ``last`` flags the ids that end a document; a pair never spans such an end. A round
-    counts all pairs, takes up to ``pairs_per_round`` of the most frequent that occur
-    ``least`` times (ties: the smaller pair), and replaces their occurrences; where
-    occurrences overlap, every other one from the left is taken.
+    ``last`` flags the ids that end a document; a pair never spans such an end. A round takes
+    all pairs that occur ``least`` times or more, the more frequent before the others where
+    occurrences overlap (ties: the smaller pair), and makes a rule of each that is replaced
+    ``least`` times. The most frequent pair always is, so rounds go on until no pair occurs
+    ``least`` times. Only pairs with a symbol of the last round, or that waited in it, can be
+    frequent in the next, so that alone is looked at again; what is replaced stays linked to
+    its neighbours by place. A rule takes the room of two symbols and its length: pairs that
+    occur twice would cost more than they save.
     """
-    seq, last, rules = ids.astype(np.uint32), last.copy(), np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
+    seq, last, n = ids.astype(np.uint32), last.copy(), len(ids)
+    after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+    rules, lengths, place_bits = [np.empty((0, 2), np.uint32)], np.empty(0, np.uint32), max(1, n.bit_length())
+    at = np.flatnonzero(~last[:-1])
+    while len(at) >= least:
+        bits, made = (first_free + len(lengths)).bit_length(), len(lengths)
+        left, right = seq[at], seq[after[at]]
+        twins = np.flatnonzero(left == right)
+        odd = _every_other(at, twins, after) if len(twins) else twins
+        waiting = at[odd]
+        if len(odd):
+            at, left, right = np.delete(at, odd), np.delete(left, odd), np.delete(right, odd)
+        code, place = _grouped(left, right, at, bits, place_bits)
+        begins = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1])
+        count = np.diff(begins, append=len(code))
+        often = count >= least
+        if not often.any():
             break
-        codes = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        ends = np.flatnonzero(last[:-1])
-        codes[ends] = NO_PAIR
-        ordered = np.sort(codes)[: len(codes) - len(ends)]
-        begins = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
-        counts = np.diff(begins)
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
-            break
-        pairs, counts = ordered[begins[often]], counts[often]
-        chosen = pairs[np.argsort(-counts, kind="stable")[:pairs_per_round]]
-        left, right = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
-        # Pairs find their rule by a table of hashes; of pairs that collide the most frequent is taken, the others wait for the next round.
-        slots = chosen * MIX >> np.uint64(64 - TABLE_BITS)
-        table = np.full(1 << TABLE_BITS, -1, np.int32)
-        table[slots[::-1]] = np.arange(len(chosen) - 1, -1, -1)
-        rule = table[(codes * MIX >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        real = np.flatnonzero(chosen[rule] == codes[at])
-        at, rule = at[real], rule[real]
-        if len(at):
-            begins = np.concatenate([[True], np.diff(at) != 1])
-            run = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
-            even = np.flatnonzero(run % 2 == 0)
-            at, rule = at[even], rule[even]
-        seq[at] = (first_free + len(rules) + rule).astype(np.uint32)
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        keep = np.flatnonzero(keep)
-        seq, last = seq[keep], last[keep]
-        rules = np.concatenate([rules, np.stack([left, right], 1)])
-    return seq, last, rules
-
-
-def expansion_lengths(rules: np.ndarray, first_free: int) -> np.ndarray:
-    """How many ids each rule stands for; a rule only refers to earlier ones."""
-    lengths = np.ones(len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[i] = (lengths[a - first_free] if a >= first_free else 1) + (lengths[b - first_free] if b >= first_free else 1)
-    return lengths
+        place, pair, count = place[np.repeat(often, count)], code[begins[often]], count[often]
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(order), U)
+        rank[order] = np.arange(len(order), dtype=U)
+        both = place.astype(U) << U(32) | np.repeat(rank, count)
+        both.sort()
+        place, rank = (both >> U(32)).astype(np.int64), both.astype(np.uint32)
+        won = _winners(place, rank, after)
+        here, rank = place[won], rank[won]
+        good = np.bincount(rank, minlength=len(pair)) >= least
+        here, rank = here[good[rank]], rank[good[rank]]
+        pair = pair[order][good]
+        a, b = (pair >> U(bits)).astype(np.uint32), (pair & U((1 << bits) - 1)).astype(np.uint32)
+        seq[here] = first_free + made + (np.cumsum(good) - 1)[rank]
+        rules.append(np.stack([a, b], 1))
+        lengths = np.concatenate([lengths, _length_of(a, lengths, first_free) + _length_of(b, lengths, first_free)])
+        dead = after[here]
+        last[here], alive[dead] = last[dead], False
+        after[here] = after[dead]
+        inside = after[here] < n
+        before[after[here][inside]] = here[inside]
+        back = before[here]
+        at = np.concatenate([place, waiting, back[back >= 0]])
+        at.sort()
+        at = at[np.concatenate([[True], at[1:] != at[:-1]]) & alive[at] & ~last[at]]
+        if 8 * len(here) > n:  # close the gaps
+            at = (np.cumsum(alive) - 1)[at]
+            seq, last = seq[alive], last[alive]
+            n = len(seq)
+            after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+    return seq[alive], last[alive], np.concatenate(rules), lengths
+
+
+def _length_of(symbols: np.ndarray, lengths: np.ndarray, first_free: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    out = np.ones(len(symbols), np.uint32)
+    compound = np.flatnonzero(symbols >= first_free)
+    out[compound] = lengths[symbols[compound] - np.uint32(first_free)]
+    return out
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_free: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    starts = np.cumsum(lengths.astype(np.int64)) - lengths
-    flat = np.empty(int(lengths.sum(dtype=np.int64)), np.uint32)
-    for i, pair in enumerate(rules.tolist()):
-        at = int(starts[i])
-        for x in pair:
-            if x < first_free:
-                flat[at] = x
-                at += 1
-            else:
-                n, begin = int(lengths[x - first_free]), int(starts[x - first_free])
-                flat[at : at + n] = flat[begin : begin + n]
-                at += n
-    compound = symbols >= first_free
-    rule = np.where(compound, symbols.astype(np.int64) - first_free, 0)
-    size = np.where(compound, lengths[rule] if len(rules) else 1, 1).astype(np.int64)
-    ends = np.cumsum(size)
+    """The ids that symbols stand for.
+
+    Symbols get their places from their lengths; then all compound ones are parted in two at
+    once, level by level. What is held at a time is bounded by the ids.
+    """
+    size = _length_of(symbols, lengths, first_free)
+    ends = np.cumsum(size, dtype=np.int64)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-    out[(ends - size)[~compound]] = symbols[~compound]
-    if compound.any():
-        n = size[compound]
-        shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat((ends - size)[compound], n) + shift] = flat[np.repeat(starts[rule[compound]], n) + shift]
+    at = ends - size
+    out[at] = symbols  # compound ones are written over
+    compound = np.flatnonzero(symbols >= first_free)
+    at, rule = at[compound], symbols[compound] - np.uint32(first_free)
+    while len(at):
+        pair = rules[rule]
+        left, right = pair[:, 0], pair[:, 1]
+        middle = at + _length_of(left, lengths, first_free)
+        out[at], out[middle] = left, right
+        at, both = np.concatenate([at, middle]), np.concatenate([left, right])
+        compound = np.flatnonzero(both >= first_free)
+        at, rule = at[compound], both[compound] - np.uint32(first_free)
     return out
 
 
+def pack(numbers: np.ndarray, bits: int) -> bytes:
+    """Numbers of ``bits`` bits each, 32 at most, one after another."""
+    spread = np.unpackbits(numbers.astype("<u4").view(np.uint8), bitorder="little").reshape(-1, 32)
+    return np.packbits(spread[:, :bits].ravel(), bitorder="little").tobytes()
+
+
+def unpack(data: bytes, first: int, n: int, bits: int) -> np.ndarray:
+    """``n`` numbers from bytes whose first bit is bit ``first`` % 8 of the first byte."""
+    raw = np.frombuffer(data + bytes(8), np.uint8).astype(U)
+    at = first % 8 + np.arange(n) * bits
+    byte, out = at >> 3, np.zeros(n, U)
+    for j in range((bits + 14) // 8):
+        out |= raw[byte + j] << U(8 * j)
+    return (out >> (at & 7).astype(U) & U((1 << bits) - 1)).astype(np.uint32)
+
+
+def to_varints(numbers: np.ndarray) -> bytes:
+    """Seven bits a byte, the lowest first; the eighth bit says that more follow."""
+    parts = np.stack([numbers >> np.uint32(7 * j) & np.uint32(127) for j in range(5)], 1).astype(np.uint8)
+    used = np.stack([np.ones(len(numbers), bool), *(numbers >> np.uint32(7 * j) > 0 for j in range(1, 5))], 1)
+    parts[:, :-1][used[:, 1:]] |= 128
+    return parts[used].tobytes()
+
+
+def from_varints(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.empty(0, np.uint32)
+    ends = np.flatnonzero(raw < 128)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    shift = 7 * (np.arange(len(raw)) - np.repeat(begins, ends - begins + 1))
+    return np.add.reduceat((raw & 127).astype(U) << shift.astype(U), begins).astype(np.uint32)
+
+
 def to_bytes(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, first_free: int, **how) -> tuple[bytes, int, int]:
     """A shard file, and how many symbols and rules it has. Every document has an id at least."""
     last = np.zeros(len(ids), bool)
     last[np.cumsum(counts) - 1] = True
-    symbols, ends, rules = repair(ids, last, first_free, **how)
+    symbols, ends, rules, lengths = repair(ids, last, first_free, **how)
     each = np.diff(np.concatenate([[-1], np.flatnonzero(ends)]))
-    width = 2 if first_free + len(rules) <= 1 << 16 else 3 if first_free + len(rules) <= 1 << 24 else 4
-    data = symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
-    head = HEAD.pack(MAGIC, first_free, len(rules), len(symbols), len(counts), len(ids), width, 0)
+    bits, sizes = (first_free + len(rules)).bit_length(), to_varints(lengths)
+    head = HEAD.pack(MAGIC, first_free, len(rules), len(symbols), len(counts), len(ids), len(sizes))
     known = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], np.uint8).tobytes()
-    return b"".join([head, rules.astype("<u4").tobytes(), expansion_lengths(rules, first_free).astype("<u4").tobytes(), known, counts.astype("<i8").tobytes(), each.astype("<i8").tobytes(), data]), len(symbols), len(rules)
+    return b"".join([head, pack(rules.ravel(), bits), sizes, known, counts.astype("<i8").tobytes(), each.astype("<i8").tobytes(), pack(symbols, bits)]), len(symbols), len(rules)
 
 
 class Shard:
@@ -139,39 +223,54 @@ class Shard:
 
     def __init__(self, source):
         self._source = source
-        magic, self._free, rules, self.n_symbols, docs, self.n_tokens, self._width, _ = HEAD.unpack(source.read(HEAD.size))
+        magic, self._free, rules, self.n_symbols, docs, self.n_tokens, sizes = HEAD.unpack(source.read(HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a shard file")
+        self._bits = (self._free + rules).bit_length()
         take = lambda kind, n: np.frombuffer(source.read(np.dtype(kind).itemsize * n), kind)
-        self.rules, self.lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
+        self.rules = unpack(source.read((2 * rules * self._bits + 7) // 8), 0, 2 * rules, self._bits).reshape(-1, 2)
+        self.lengths = from_varints(source.read(sizes))
         ids, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if gone else d for d, gone in zip(ids.tolist(), null.tolist())]
         self.counts, self._symbols = take("<i8", docs), take("<i8", docs)
         self._at = source.tell()
 
+    def _read(self, first: int, n: int) -> np.ndarray:
+        """Symbols from place ``first`` on."""
+        begin, end = first * self._bits // 8, ((first + n) * self._bits + 7) // 8
+        self._source.seek(self._at + begin)
+        return unpack(self._source.read(end - begin), first * self._bits, n, self._bits)
+
     def documents(self, first: int, stop: int) -> np.ndarray:
         """Ids of the documents at places ``first`` to ``stop`` - 1, joined."""
-        before = int(self._symbols[:first].sum())
-        n = int(self._symbols[first:stop].sum())
-        self._source.seek(self._at + before * self._width)
-        raw = np.zeros((n, 4), np.uint8)
-        raw[:, : self._width] = np.frombuffer(self._source.read(n * self._width), np.uint8).reshape(n, self._width)
-        return expand(raw.view("<u4").ravel(), self.rules, self.lengths, self._free)
+        symbols = self._read(int(self._symbols[:first].sum()), int(self._symbols[first:stop].sum()))
+        return expand(symbols, self.rules, self.lengths, self._free)
+
+    def ids(self, document: int, start: int, stop: int) -> np.ndarray:
+        """Ids ``start`` to ``stop`` - 1 of one document; only the symbols that reach into them are expanded."""
+        symbols = self._read(int(self._symbols[:document].sum()), int(self._symbols[document]))
+        ends = np.cumsum(_length_of(symbols, self.lengths, self._free), dtype=np.int64)
+        a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+        skipped = int(ends[a - 1]) if a else 0
+        return expand(symbols[a:b], self.rules, self.lengths, self._free)[start - skipped : max(start, stop) - skipped]
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, first_free: int = 1 << 16, shard_tokens: int = 1 << 20, **how) -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_tokens: int = 1 << 20, **how) -> DataFrame:
     """Encode whole texts and write shard files in ascending doc_id order; returns the manifest.
 
     ``docs`` has doc_id and text; other columns are ignored. A null text is empty, a null
     doc_id comes first, and rows of the same doc_id are ordered by text. Each document is
-    closed by ``end_id``. Files have names of their own, so a repeated task leaves an unused
-    file at worst; the manifest names the files that count: partition and shard (both in
-    order), path, documents, ids, symbols and rules. ``first_free`` must exceed every id.
+    closed by ``end_id``. A shard is closed by the document that brings it to ``shard_tokens``
+    ids, so a very long text makes a long shard of its own. An empty table has no files. Files
+    have names of their own, so a repeated task leaves an unused file at worst; the manifest
+    names the files that count: partition and shard (both in order), path, documents, ids,
+    symbols, rules and bytes. ``how`` goes to :func:`repair`.
     """
     root = fresh_dir(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, shard = shared_tokenizer(vocabulary, 600_000), TaskContext.get().partitionId(), 0
+        free = max(tokenizer.size, end_id + 1)
         held = [[], np.empty(0, np.uint32), np.empty(0, np.int64)]  # doc_ids, their ids, how many each has
 
         def flush(stop: int) -> pa.RecordBatch:
@@ -179,19 +278,17 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, first_free:
             nonlocal shard
             doc_ids, ids, counts = held
             n = int(counts[:stop].sum())
-            data, symbols, rules = to_bytes(doc_ids[:stop], ids[:n], counts[:stop], first_free, **how)
+            data, symbols, rules = to_bytes(doc_ids[:stop], ids[:n], counts[:stop], free, **how)
             path = f"{root}/{part:06d}-{shard:06d}-{uuid.uuid4().hex}.rp"
             write_file(path, data)
-            row = [part, shard, path, stop, n, symbols, rules]
+            row = [part, shard, path, stop, n, symbols, rules, len(data)]
             held[:] = [doc_ids[stop:], ids[n:].copy(), counts[stop:]]
             shard += 1
-            return pa.record_batch([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 4])], names=["partition", "shard", "path", "n_docs", "n_tokens", "n_symbols", "n_rules"])
+            return pa.record_batch([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 5])], names=["partition", "shard", "path", "n_docs", "n_tokens", "n_symbols", "n_rules", "n_bytes"])
 
         for batch in batches:
             for rows in text_runs(batch, "text", 6 << 20):
-                ids, counts = tokenizer.encode([x or "" for x in rows.column("text").to_pylist()], end_id)
-                if len(ids) and int(ids.max()) >= first_free:
-                    raise ValueError("first_free is not above every id")
+                ids, counts = tokenizer.encode(rows.column("text"), end_id)
                 held[:] = [held[0] + rows.column("doc_id").to_pylist(), np.concatenate([held[1], ids]), np.concatenate([held[2], counts])]
                 while (stop := int(np.searchsorted(np.cumsum(held[2]), shard_tokens)) + 1) <= len(held[2]):
                     yield flush(stop)

@@ -39,7 +39,7 @@ def split_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
         tokenizer = shared_tokenizer(vocabulary, 250_000)
         for batch in batches:
             for rows in text_runs(batch, "text", 3 << 20):
-                ids, counts = tokenizer.encode([x or "" for x in rows.column("text").to_pylist()], end_id)
+                ids, counts = tokenizer.encode(rows.column("text"), end_id)
                 data, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(counts)
                 n = -(-counts // capacity)
                 row = np.repeat(np.arange(len(counts)), n)
@@ -169,7 +169,7 @@ def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str, capacity: int
         tokenizer = shared_tokenizer(vocabulary, 250_000)
         for batch in batches:
             for rows in text_runs(batch, "text", 3 << 20):
-                ids, counts = tokenizer.encode([x or "" for x in rows.column("text").to_pylist()], end_id)
+                ids, counts = tokenizer.encode(rows.column("text"), end_id)
                 ends = np.cumsum(counts)
                 docs_, piece, out = [], [], []
                 for d, a, b in zip(rows.column("doc_id").to_pylist(), (ends - counts).tolist(), ends.tolist()):

@@ -4,11 +4,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from sitegrain.llm import grammar, packing, queries
-from sitegrain.llm.tokens import ChunkTokenizer, vocabulary_path
+from sitegrain.llm.tokens import ChunkTokenizer, Memo, chunk_keys, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,31 +31,105 @@ def test_chunks_give_the_library_ids(plain):
     tokenizer = ChunkTokenizer(vocabulary_path(), capacity=50)
     for _ in range(300):
         texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 30))) for _ in range(5)]
-        ids, counts = tokenizer.encode(texts, 7)
+        ids, counts = tokenizer.encode(pa.array(texts), 7)
         assert ids.tolist() == [x for t in texts for x in [*plain(t), 7]]
         assert counts.tolist() == [len(plain(t)) + 1 for t in texts]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_grammar_round_trip_and_random_access(seed):
+@pytest.mark.parametrize("seed", range(3))
+def test_memo_numbers_chunks(seed):
+    draw = random.Random(seed)
+    chunks = list({"".join(draw.choice("ab\x00é") for _ in range(draw.choice([0, 1, 3, 9, 70, 200]))) for _ in range(3000)})
+    a, b = chunk_keys(pa.array(["skipped", *chunks], pa.large_string())[1:])
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(chunks)
+    memo = Memo(bits=4)
+    memo.add(a[:100], b[:100])
+    memo.add(a[100:], b[100:])
+    assert memo.find(a, b).tolist() == list(range(len(chunks))) and (memo.find(a, a)[a != b] < 0).all()
+    kept = np.arange(1, len(chunks), 3)
+    assert memo.only(kept).find(a[kept], b[kept]).tolist() == list(range(len(kept))) and (memo.only(kept).find(a[::3], b[::3]) < 0).all()
+
+
+@pytest.mark.parametrize("least", [2, 3])
+@pytest.mark.parametrize("seed", range(5))
+def test_grammar_round_trip_and_random_access(seed, least):
     draw = np.random.default_rng(seed)
     counts = draw.integers(1, 200, 40)
-    ids = draw.integers(0, [3, 50, 1000, 60000][seed], int(counts.sum())).astype(np.uint32)
-    data, symbols, rules = grammar.to_bytes([None, *range(1, 40)], ids, counts, 1 << 16, least=2, rounds=8)
+    ids = draw.integers(0, [1, 3, 50, 1000, 60000][seed], int(counts.sum())).astype(np.uint32)
+    data, symbols, rules = grammar.to_bytes([None, *range(1, 40)], ids, counts, 1 << 16, least=least)
     shard = grammar.Shard(io.BytesIO(data))
     ends = np.cumsum(counts)
     assert shard.doc_ids == [None, *range(1, 40)] and (shard.documents(0, 40) == ids).all()
     for k in draw.integers(0, 40, 8).tolist():
-        assert (shard.documents(k, k + 1) == ids[ends[k] - counts[k] : ends[k]]).all()
-    lengths = grammar.expansion_lengths(shard.rules, 1 << 16)
-    assert symbols == shard.n_symbols <= len(ids) and (lengths >= 2).all() and rules == len(lengths)
+        own = ids[ends[k] - counts[k] : ends[k]]
+        assert (shard.documents(k, k + 1) == own).all()
+        a, b = sorted(draw.integers(0, counts[k] + 1, 2).tolist())
+        assert (shard.ids(k, a, b) == own[a:b]).all() and (shard.ids(k, 0, len(own)) == own).all()
+    assert symbols == shard.n_symbols <= len(ids) and (shard.lengths >= 2).all() and rules == len(shard.lengths)
+    for rule, n in zip(shard.rules, shard.lengths):
+        assert len(grammar.expand(rule, shard.rules, shard.lengths, 1 << 16)) == n
+
+
+def pairs_of(symbols, ends):
+    """How often each pair of neighbours in a document occurs without overlap."""
+    count, i = Counter(), 0
+    for i in range(len(symbols) - 1):
+        if not ends[i]:
+            count[symbols[i], symbols[i + 1]] += 1
+    for (a, b), _ in list(count.items()):
+        if a == b:
+            count[a, a], i = 0, 0
+            while i < len(symbols) - 1:
+                hit = symbols[i] == symbols[i + 1] == a and not ends[i]
+                count[a, a] += hit
+                i += 1 + hit
+    return count
+
+
+@pytest.mark.parametrize("seed, kinds", [(0, 2), (1, 5), (2, 40)])
+@pytest.mark.parametrize("least", [2, 3])
+def test_no_pair_is_frequent_at_the_end(seed, kinds, least):
+    draw = np.random.default_rng(seed)
+    ids, last = draw.integers(0, kinds, 3000).astype(np.uint32), draw.random(3000) < 0.02
+    last[-1] = True
+    symbols, ends, rules, _ = grammar.repair(ids, last, 64, least)
+    assert max(pairs_of(symbols.tolist(), ends.tolist()).values()) < least
+    assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+    used = np.bincount(np.concatenate([symbols, rules.ravel()]).astype(int), minlength=64 + len(rules))[64:]
+    assert (used >= 1).all()
+
+
+def test_long_documents_are_grouped_alike():
+    draw = np.random.default_rng(1)
+    left, right, at = (draw.integers(0, 9, 500) for _ in range(3))
+    at = np.arange(500) * 3
+    short, long = (grammar._grouped(left.astype(np.uint32), right.astype(np.uint32), at, bits, 30) for bits in (17, 18))
+    assert (short[1] == long[1]).all() and (np.diff(short[0]) > 0).tolist() == (np.diff(long[0]) > 0).tolist()
+
+
+@pytest.mark.parametrize("bits", [1, 7, 17, 25, 31, 32])
+def test_packed_numbers(bits):
+    draw = np.random.default_rng(bits)
+    x = draw.integers(0, 1 << bits, 1000).astype(np.uint32)
+    data = grammar.pack(x, bits)
+    assert len(data) == -(-1000 * bits // 8) and (grammar.unpack(data, 0, 1000, bits) == x).all()
+    assert (grammar.unpack(data[77 * bits // 8 :], 77 * bits, 900, bits) == x[77:977]).all()
+    assert (grammar.from_varints(grammar.to_varints(x)) == x).all() and not len(grammar.from_varints(b""))
 
 
 def test_runs_of_one_id_compress():
     ids, last = np.zeros(1000, np.uint32), np.zeros(1000, bool)
     last[-1] = True
-    symbols, ends, rules = grammar.repair(ids, last, 10, rounds=6, least=2)
-    assert len(symbols) < 40 and (grammar.expand(symbols, rules, grammar.expansion_lengths(rules, 10), 10) == ids).all()
+    symbols, ends, rules, lengths = grammar.repair(ids, last, 10)
+    assert len(symbols) < 8 and (grammar.expand(symbols, rules, lengths, 10) == ids).all()
+
+
+def test_files_are_smaller_than_plain_ids(plain):
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text")
+    tokenizer = ChunkTokenizer(vocabulary_path())
+    ids, counts = tokenizer.encode(texts.combine_chunks(), 2)
+    data, _, _ = grammar.to_bytes(list(range(len(counts))), ids, counts, tokenizer.size)
+    assert len(data) < 0.65 * 2 * len(ids)
 
 
 def check_files(rows, docs, plain):
@@ -149,6 +225,6 @@ def test_plans_are_near_the_bound():
 @pytest.mark.parametrize("text", ["J\u030c", "x T\u0308 Y\u030a", "H\u0331 W\u030a\nJ\u0323\u030c"])
 @pytest.mark.parametrize("other", ["Plain Text", "a <| b"])
 def test_capitals_under_marks_give_the_library_ids(plain, text, other):
-    ids, lengths = ChunkTokenizer(vocabulary_path()).encode([text, other, "Same"])
+    ids, lengths = ChunkTokenizer(vocabulary_path()).encode(pa.array([text, other, "Same"]))
     want = [plain(t) for t in (text, other, "Same")]
     assert ids.tolist() == sum(map(list, want), []) and lengths.tolist() == list(map(len, want))
