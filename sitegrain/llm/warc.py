@@ -2,10 +2,10 @@
 
 An archive that is one gzip stream from end to end gives no access to a record but by
 inflating all before it. The normaliser inflates such a file once, rewrites each record as
-a gzip member of its own, and writes a sidecar index of the members' offsets; readers then
-seek. Files are taken one a task and record by record, so memory is bounded by the largest
-record; files have names of their own, so a task that is repeated harms nothing, and only
-the manifest says which files count.
+a gzip member of its own, header and block as they stand, and writes a sidecar index of the
+members' offsets; readers then seek. Files are taken one a task and a chunk at a time, so
+that very long records need no more memory than short ones; files have names of their own,
+so a task that is repeated harms nothing, and only the manifest says which files count.
 """
 
 from __future__ import annotations
@@ -14,21 +14,27 @@ import base64
 import hashlib
 import io
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
+from itertools import chain
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import fresh_dir, materialize, open_uri
+from .runtime import fresh_dir, hot_keys, join_hot, materialize, open_uri, text_runs
 
 VERSION = b"WARC/1.1"
 RECORDS = "page_id bigint, url string, payload binary, digest string, length bigint, refers_to bigint, revisit boolean"
+MEMBERS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, uri string, block binary"
 CHUNK = 1 << 20
 GZIP = 16 + zlib.MAX_WBITS
+HTTP = "application/http"
+_PAGES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:sitegrain:pages")
 
 
 def payload_digest(payload: bytes) -> str:
@@ -36,54 +42,79 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def format_record(page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, refers_to: int | None, revisit: bool) -> bytes:
-    """A response record with its payload, or a revisit without one.
+def record_id(page_id: int | None, digest: str) -> str:
+    """A record's id: the same for a page and payload always, and one of its own without a page_id."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(_PAGES, f'{page_id} {digest}')}>"
 
-    The full payload's length stands in an extension field, as a revisit's block is empty.
+
+def format_record(page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A response record, or a revisit with the head of the response alone.
+
+    The HTTP head states the payload's full length in both. A page's number stands in an
+    extension field, as ids are UUIDs.
     """
-    name = lambda p: f"<urn:page:{'' if p is None else p}>"
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": name(page_id),
-        "WARC-Target-URI": "".join((url or "").split()),
+        "WARC-Record-ID": record_id(page_id, digest),
+        "WARC-Date": date,
+        "WARC-Target-URI": "".join((url or "").split()) or None,
         "WARC-Payload-Digest": f"sha1:{digest}",
-        "Payload-Full-Length": str(length),
-        "Content-Type": "text/html",
+        "Page-ID": page_id,
+        "Content-Type": f"{HTTP}; msgtype=response",
     }
     if revisit:
-        fields["WARC-Refers-To"] = name(refers_to)
         fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-    block = b"" if revisit else payload
-    head = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v) + f"Content-Length: {len(block)}\r\n"
+        fields["WARC-Refers-To"] = record_id(refers_to, digest)
+        fields["Refers-To-Page-ID"] = refers_to
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode() + (b"" if revisit else payload)
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None) + f"Content-Length: {len(block)}\r\n"
     return b"".join([VERSION, b"\r\n", head.encode(), b"\r\n", block, b"\r\n\r\n"])
 
 
-def _fields(line: BinaryIO) -> dict[str, str] | None:
-    """Header fields (names in lower case) of the record that starts here; none at the end."""
-    first = line.readline()
+def read_head(stream: BinaryIO) -> tuple[bytes, dict[str, list[str]]] | None:
+    """The header of the record that starts here, as it stands, and its fields' values in order.
+
+    Names are in lower case. A line that begins with white space goes on with the one before.
+    None at the end of the stream.
+    """
+    first = stream.readline()
     while first in (b"\r\n", b"\n"):
-        first = line.readline()
+        first = stream.readline()
     if not first:
         return None
     if not first.startswith(b"WARC/"):
         raise ValueError(f"not a WARC record: {first[:40]!r}")
-    out: dict[str, str] = {}
-    while (row := line.readline()) not in (b"\r\n", b"\n"):
+    lines, fields, name = [first], {}, ""
+    while (row := stream.readline()) not in (b"\r\n", b"\n"):
         if not row:
             raise ValueError("a record ends within its header")
-        name, _, value = row.decode("utf-8").partition(":")
-        out[name.strip().lower()] = value.strip()
-    return out
+        lines.append(row)
+        text = row.decode("utf-8", "replace")
+        if text[0] in " \t" and name:
+            fields[name][-1] += f" {text.strip()}"
+            continue
+        name, _, value = text.partition(":")
+        name = name.strip().lower()
+        fields.setdefault(name, []).append(value.strip())
+    if "content-length" not in fields:
+        raise ValueError("a record has no length")
+    return b"".join([*lines, row]), fields
+
+
+def blocks(stream: BinaryIO, n: int) -> Iterator[bytes]:
+    """The ``n`` bytes that follow, in chunks."""
+    while n:
+        data = stream.read(min(n, CHUNK))
+        if not data:
+            raise ValueError("a record ends within its block")
+        n -= len(data)
+        yield data
 
 
-def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, list[str]], bytes]]:
     """Header fields and block of every record of an inflated stream."""
-    while (fields := _fields(stream)) is not None:
-        n = int(fields["content-length"])
-        block = stream.read(n)
-        if len(block) != n:
-            raise ValueError("a record ends within its block")
-        yield fields, block
+    while (head := read_head(stream)) is not None:
+        yield head[1], b"".join(blocks(stream, int(head[1]["content-length"][0])))
 
 
 class Inflated(io.RawIOBase):
@@ -111,56 +142,73 @@ class Inflated(io.RawIOBase):
                 raise ValueError("a gzip member is cut off")
 
 
-def _member(data: bytes, level: int) -> bytes:
-    z = zlib.compressobj(level, zlib.DEFLATED, GZIP)
-    return z.compress(data) + z.flush()
-
-
-def write_monolithic(records: DataFrame, level: int = 6, file_bytes: int = 64 << 20) -> DataFrame:
+def write_monolithic(records: DataFrame, level: int = 6, file_bytes: int = 64 << 20, date: str | None = None) -> DataFrame:
     """Write archives of one gzip stream each; returns a table of their paths (path, records).
 
     ``records`` has the columns of ``RECORDS``. A task starts a new file after ``file_bytes``
-    of inflated records.
+    of inflated records, so a very long payload makes a long file. ``date`` is what records
+    say (default: now). An empty table has no files.
     """
     root = fresh_dir(records.sparkSession, "warc")
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    columns = ["page_id", "url", "payload", "digest", "length", "refers_to", "revisit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = z = None
         path, n, size = "", 0, 0
         done: list[tuple[str, int]] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = [batch.column(c)[i].as_py() for c in ("page_id", "url", "payload", "digest", "length", "refers_to", "revisit")]
-                if out is None:
-                    path, n, size = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    fs, at = open_uri(path)
-                    fs.create_dir(at.rpartition("/")[0], recursive=True)
-                    out, z = fs.open_output_stream(at, compression=None), zlib.compressobj(level, zlib.DEFLATED, GZIP)
-                data = format_record(*row)
-                out.write(z.compress(data))
-                n, size = n + 1, size + len(data)
-                if size >= file_bytes:
-                    out.write(z.flush())
-                    out.close()
-                    done.append((path, n))
-                    out = None
+            for part in text_runs(batch, "payload", 8 << 20):
+                for row in zip(*(part.column(c).to_pylist() for c in columns)):
+                    if out is None:
+                        path, n, size = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                        fs, at = open_uri(path)
+                        fs.create_dir(at.rpartition("/")[0], recursive=True)
+                        out, z = fs.open_output_stream(at, compression=None), zlib.compressobj(level, zlib.DEFLATED, GZIP)
+                    data = format_record(*row, date)
+                    out.write(z.compress(data))
+                    n, size = n + 1, size + len(data)
+                    if size >= file_bytes:
+                        out.write(z.flush())
+                        out.close()
+                        done.append((path, n))
+                        out = None
         if out is not None:
             out.write(z.flush())
             out.close()
             done.append((path, n))
         yield pa.record_batch([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["path", "records"])
 
-    return materialize(records.select("page_id", "url", "payload", "digest", "length", "refers_to", "revisit").mapInArrow(run, "path string, records bigint"), "archives")
+    return materialize(records.select(*columns).mapInArrow(run, "path string, records bigint"), "archives")
 
 
 def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
     """Rewrite archives (column path), each record a member; returns a row per rewritten file.
 
-    Next to each new file ``X.warc.gz`` stands ``X.idx``, a JSON line for each record: offset
-    and length of its member, record id and type. Columns: source, path, index, records.
+    Headers stay as they are, byte by byte, whatever their version and fields. Next to each
+    new file ``X.warc.gz`` stands ``X.idx``, a JSON line for each record: offset and length of
+    its member, record id and type. Columns: source, path, index, records. Paths that repeat
+    are rewritten once each; null paths are left out.
     """
     root = fresh_dir(archives.sparkSession, "members")
 
+    def rewrite(stream: BinaryIO, out, index) -> int:
+        offset = n = 0
+        while (head := read_head(stream)) is not None:
+            raw, fields = head
+            z, size = zlib.compressobj(level, zlib.DEFLATED, GZIP), 0
+            for data in chain([raw], blocks(stream, int(fields["content-length"][0])), [b"\r\n\r\n"]):
+                packed = z.compress(data)
+                out.write(packed)
+                size += len(packed)
+            packed = z.flush()
+            out.write(packed)
+            size += len(packed)
+            first = lambda name: fields.get(name, [None])[0]
+            index.write((json.dumps({"offset": offset, "length": size, "id": first("warc-record-id"), "type": first("warc-type")}) + "\n").encode())
+            offset, n = offset + size, n + 1
+        return n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source in batch.column("path").to_pylist():
@@ -168,31 +216,39 @@ def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
                 name = f"{root}/{uuid.uuid4().hex}"
                 to, place = open_uri(name)
                 to.create_dir(place.rpartition("/")[0], recursive=True)
-                offset = n = 0
                 with fs.open_input_stream(at, compression=None) as raw, to.open_output_stream(f"{place}.warc.gz", compression=None) as out, to.open_output_stream(f"{place}.idx", compression=None) as index:
-                    for fields, block in read_records(io.BufferedReader(Inflated(raw), CHUNK)):
-                        head = "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode()
-                        data = _member(b"".join([VERSION, b"\r\n", head, b"\r\n", block, b"\r\n\r\n"]), level)
-                        out.write(data)
-                        index.write((json.dumps({"offset": offset, "length": len(data), "id": fields.get("warc-record-id"), "type": fields.get("warc-type")}) + "\n").encode())
-                        offset, n = offset + len(data), n + 1
+                    n = rewrite(io.BufferedReader(Inflated(raw), CHUNK), out, index)
                 yield pa.record_batch([pa.array([source]), pa.array([f"{name}.warc.gz"]), pa.array([f"{name}.idx"]), pa.array([n], pa.int64())], names=["source", "path", "index", "records"])
 
-    tasks = max(1, archives.count())
-    return materialize(archives.select("path").repartition(tasks, "path").mapInArrow(run, "source string, path string, index string, records bigint"), "normalised")
-
-
-def read_members(normalised: DataFrame, files_a_task: int = 1) -> DataFrame:
-    """Every record of normalised archives, by its index entry.
-
-    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, uri and block.
-    A response's digest is computed from its block and must equal the one in its header.
+    paths = archives.select("path").where("path is not null")
+    return materialize(paths.repartition(max(1, paths.count()), "path").mapInArrow(run, "source string, path string, index string, records bigint"), "normalised")
+
+
+def _row(fields: dict[str, list[str]], block: bytes, with_block: bool) -> tuple:
+    """A record as a row of ``MEMBERS``; an error where a response does not have the digest that it states."""
+    first = lambda name: fields.get(name, [None])[0]
+    number = lambda name: int(first(name)) if first(name) else None
+    kind, stated = first("warc-type"), first("warc-payload-digest")
+    head, payload = b"", block
+    if (first("content-type") or "").replace(" ", "").lower().startswith(HTTP):
+        head, _, payload = block.partition(b"\r\n\r\n")
+    digest = payload_digest(payload) if kind != "revisit" else None
+    if digest and stated and stated.startswith("sha1:") and stated[5:] != digest and kind == "response":
+        raise ValueError(f"record {first('warc-record-id')} is damaged")
+    size = len(payload)
+    if kind == "revisit":
+        said = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+        digest, size = stated.partition(":")[2] if stated else None, int(said[1]) if said else None
+    return number("page-id"), size, digest, kind, number("refers-to-page-id"), first("warc-target-uri"), payload if with_block else None
+
+
+def read_members(normalised: DataFrame, files_a_task: int = 1, with_block: bool = False) -> DataFrame:
+    """Every record of normalised archives, by its index entry: the columns of ``MEMBERS``.
+
+    ``block`` is the payload, null unless ``with_block``. A response's digest is computed from
+    its payload and must equal the one in its header. Records that others wrote are read too:
+    what they do not state (page_id, refers_to, a revisit's length) is null.
     """
-
-    def page(name: str | None) -> int | None:
-        number = (name or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(number) if number else None
-
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("block", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +263,8 @@ def read_members(normalised: DataFrame, files_a_task: int = 1) -> DataFrame:
                         source.seek(e["offset"])
                         data = zlib.decompress(source.read(e["length"]), GZIP)
                         ((fields, block),) = read_records(io.BytesIO(data))
-                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        if fields["warc-type"] == "response" and payload_digest(block) != digest:
-                            raise ValueError(f"{path}: the record at {e['offset']} is damaged")
-                        rows.append((page(fields["warc-record-id"]), int(fields["payload-full-length"]), digest, fields["warc-type"], page(fields.get("warc-refers-to")), fields.get("warc-target-uri"), block))
-                        size += len(block)
+                        rows.append(_row(fields, block, with_block))
+                        size += len(block) if with_block else 64
                         if size >= 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                             rows, size = [], 0
@@ -219,7 +272,7 @@ def read_members(normalised: DataFrame, files_a_task: int = 1) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     tasks = max(1, -(-normalised.count() // files_a_task))
-    return normalised.select("path", "index").repartition(tasks, "path").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, uri string, block binary")
+    return normalised.select("path", "index").repartition(tasks, "path").mapInArrow(run, MEMBERS)
 
 
 def records_of(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -228,14 +281,14 @@ def records_of(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     The payload is the html in UTF-8, empty where null. Of records with equal payloads of at
     least ``least_bytes``, that with the largest page_id is the response and the others
     revisit it. Rows that tie for the largest are all responses; a null page_id is smaller
-    than any. Digests are grouped before they are joined, so equal payloads never meet in
-    one task; other columns of ``pages`` are ignored.
+    than any. Digests that repeat are found without payloads; the rows of a digest that many
+    pages have (all that are empty, say) are dealt over many tasks. Other columns of ``pages``
+    are ignored; an empty table gives an empty table.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("payload"))
-    rows = rows.withColumn("hex", F.sha1("payload"))
-    top = rows.groupBy("hex").agg(F.max("page_id").alias("top"))
-    joined = rows.join(top, "hex")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("payload")).withColumn("hex", F.sha1("payload"))
+    again = materialize(rows.groupBy("hex").agg(F.max("page_id").alias("top"), F.count("*").alias("_n")).where("_n > 1"), "digests")
+    joined = join_hot(rows, again.drop("_n"), ["hex"], hot_keys(again.select("hex", "_n"), pages.count()), F.struct("page_id", "url"), "left")
     length = F.octet_length("payload").cast("long")
     revisit = (length >= least_bytes) & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     # Base32 of the 40 hex digits: every 5 of them are 20 bits, or 4 characters.
