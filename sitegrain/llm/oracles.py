@@ -74,46 +74,50 @@ _MOD97 = (
 )
 
 
-def _kind(k: int, name: str, pattern: str, valid: str, before: str = "", after: str = "") -> str:
-    """Rows (doc_id, k, kind, start, end, m, before) of a kind's valid matches."""
+def _kind(k: int, name: str, pattern: str, valid: str, words: str, prior: float) -> str:
+    """Rows (doc_id, k, kind, s, e, score) of a kind's valid matches; words within 32 characters raise the score."""
+    near = " OR ".join(f"regexp_matches(lower({side}), '(?:^|[^a-z])(?:{words})')" for side in ("t[greatest(1, pos - 31):pos]", "t[pos + length(m) + 1:pos + length(m) + 32]"))
     return f"""
-  SELECT doc_id, {k} AS k, '{name}' AS kind, pos AS s, pos + length(m) AS e FROM (
-    SELECT doc_id, parts[i] AS m, parts[i - 1] AS prev, coalesce(parts[i + 1], '') AS next, list_sum(list_transform(parts[1:i - 1], lambda x: length(x)))::BIGINT AS pos FROM (
-      SELECT doc_id, parts, unnest(range(2, len(parts) + 1, 2)) AS i FROM (
-        SELECT doc_id, string_split(regexp_replace(t, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM d))) WHERE {valid}"""
+  SELECT doc_id, {k} AS k, '{name}' AS kind, pos AS s, pos + length(m) AS e, {prior} + CASE WHEN {near} THEN 0.3 ELSE 0.0 END AS score FROM (
+    SELECT doc_id, t, parts[i] AS m, parts[i - 1] AS prev, coalesce(parts[i + 1], '') AS next, list_sum(list_transform(parts[1:i - 1], lambda x: length(x)))::BIGINT AS pos FROM (
+      SELECT doc_id, t, parts, unnest(range(2, len(parts) + 1, 2)) AS i FROM (
+        SELECT doc_id, t, string_split(regexp_replace(t, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM d))) WHERE {valid}"""
 
 
 OP9 = (
-    "WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents), m AS ("
+    "WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents), m0 AS ("
     + " UNION ALL ".join([
-        _kind(1, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-        _kind(2, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x AS BIGINT), 256) > 255)) = 0"),
-        _kind(3, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS.format(m='m')}) BETWEEN 13 AND 19 AND {_LUHN.format(d=_DIGITS.format(m='m'))}"),
-        _kind(4, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS.format(m='m')}) BETWEEN 9 AND 15"),
-        _kind(5, "iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", f"NOT regexp_matches(prev, '[A-Za-z0-9]$') AND length({_COMPACT.format(m='m')}) BETWEEN 15 AND 34 AND {_MOD97.format(c=_COMPACT.format(m='m'))}"),
-        _kind(6, "ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(prev, '-$') AND NOT regexp_matches(next, '^-') AND regexp_matches(lower(right(prev, 32)), '(?:^|[^a-z])(?:ssn|social security|tax id)')"),
+        _kind(1, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "mail|contact|write", 0.7),
+        _kind(2, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x AS BIGINT), 256) > 255)) = 0", "ip|host|server|address", 0.7),
+        _kind(3, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS.format(m='m')}) BETWEEN 13 AND 19 AND {_LUHN.format(d=_DIGITS.format(m='m'))}", "card|visa|credit|payment", 0.7),
+        _kind(4, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS.format(m='m')}) BETWEEN 9 AND 15", "phone|call|tel|mobile", 0.7),
+        _kind(5, "iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", f"NOT regexp_matches(prev, '[A-Za-z0-9]$') AND length({_COMPACT.format(m='m')}) BETWEEN 15 AND 34 AND {_MOD97.format(c=_COMPACT.format(m='m'))}", "iban|account|bank", 0.7),
+        _kind(6, "ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(prev, '-$') AND NOT regexp_matches(next, '^-')", "ssn|social security|tax id", 0.3),
     ])
     + """
+), m AS (
+  SELECT * FROM m0 WHERE score >= 0.5
 ), g AS (
   SELECT doc_id, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card, count(*) FILTER (k = 4) AS n_phone,
-    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k <= 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k <= 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans,
+    string_agg(printf('%.1f', score::DOUBLE), ',' ORDER BY k, s) AS scores
   FROM m GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM documents LEFT JOIN g USING (doc_id)
 """
 )
 
 OP10 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  SELECT q.n AS q, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.n <> c.n AND len(q.v) = len(c.v)
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -4,11 +4,14 @@ Regular expressions propose spans, validators confirm them (Luhn for cards, mod-
 bank accounts, ranges and digit counts for the rest), and words nearby adjust the score.
 A regular expression's matches get their places without Python: each match is wrapped in
 a mark that texts are freed of, the text is split at the marks, and the lengths of the
-parts add up to code-point offsets.
+parts add up to code-point offsets. Sums run over blocks of parts, so that time grows with
+a text's length alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ ADDED = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-#: Words that raise a kind's score when they stand in the ``CONTEXT`` characters before.
+#: Words that raise a kind's score when they stand in the ``CONTEXT`` characters before or after.
 NEARBY = {
     "email": "mail|contact|write",
     "ip": "ip|host|server|address",
@@ -78,21 +81,66 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(numbers: Column, fold: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """For each number the fold of all before it, from 0 on: sums or maxima.
+
+    Arrays grow by copying, so none grows longer than a block or the number of blocks.
+    """
+    zero = F.lit(0).cast("long")
+
+    def run(values: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(values, state, lambda s, x: F.struct(fold(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def folded(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda values: F.aggregate(values, zero, fold))
+        return F.flatten(F.zip_with(blocks, run(whole, zero), run))
+
+    def blocked(values: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, F.lit(block)))
+
+    return _let(numbers, lambda values: F.when(F.size(values) > 0, _let(blocked(values), folded)).otherwise(values))
+
+
+#: So many parts hold ``CONTEXT`` characters at least: two parts have three of them or more.
+_PARTS = 24
+
+
+def _near(kind: str, parts: Column, i: Column) -> Column:
+    """Whether a word of the kind stands in the ``CONTEXT`` characters before or after part ``i``."""
+    words = rf"(?:^|[^a-z])(?:{NEARBY[kind]})"
+    first = F.greatest(F.lit(1), i - _PARTS)
+    ahead = F.right(F.array_join(F.transform(F.slice(parts, first, i - first), lambda p: F.right(p, F.lit(CONTEXT))), ""), F.lit(CONTEXT))
+    behind = F.left(F.array_join(F.transform(F.slice(parts, i + 1, F.lit(_PARTS)), lambda p: F.left(p, F.lit(CONTEXT))), ""), F.lit(CONTEXT))
+    return F.lower(ahead).rlike(words) | F.lower(behind).rlike(words)
+
+
+_NONE = "cast(array() as array<struct<kind:string,start:bigint,end:bigint,score:double>>)"
+
+
 def _spans(kind: str, pattern: str, text: Column) -> Column:
     """Array of struct<kind, start, end, score> of the valid matches, starts rising."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"), F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint,score:double>>)").alias("out"))
 
-    def step(s: Column, part: Column) -> Column:
-        end = s["at"] + F.length(part)
-        near = F.lower(F.right(s["before"], F.lit(CONTEXT))).rlike(rf"(?:^|[^a-z])(?:{NEARBY[kind]})")
-        score = F.lit(PRIOR[kind]) + F.when(near, 0.3).otherwise(0.0)
-        span = F.struct(F.lit(kind).alias("kind"), s["at"].alias("start"), end.alias("end"), score.alias("score"))
-        take = s["inside"] & F.when(s["inside"], _valid(kind, part)).otherwise(False) & (score >= LEAST)
-        return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), part.alias("before"), F.when(take, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+    def listed(parts: Column, starts: Column) -> Column:
+        valid = F.filter(F.sequence(F.lit(2), F.size(parts), F.lit(2)), lambda i: _valid(kind, F.element_at(parts, i)))
+
+        def span(i: Column) -> Column:
+            start = F.element_at(starts, i)
+            score = F.lit(PRIOR[kind]) + F.when(_near(kind, parts, i), 0.3).otherwise(0.0)
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(F.element_at(parts, i))).alias("end"), score.alias("score"))
+
+        return F.filter(F.transform(valid, span), lambda s: s["score"] >= LEAST)
 
-    none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint,score:double>>)")
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(none)
+    def found(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: F.length(p).cast("long"))
+        return F.when(F.size(parts) > 1, _let(_before(sizes, lambda a, x: a + x), lambda starts: listed(parts, starts))).otherwise(F.expr(_NONE))
+
+    return _let(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1), found)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -100,8 +148,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     Spans come by kind (email, ip, card, phone, iban, ssn), then start; places are code
     points, ends exclusive. Matches of a kind are leftmost and do not overlap; those that
-    fail its validator are dropped and not tried again. A null or empty text has none.
-    Repeated rows each get their own; an own column ``spans`` is replaced.
+    fail its validator are dropped and not tried again. A null or empty text has none; a very
+    long one takes time in proportion to its length. Repeated rows each get their own; an own
+    column ``spans`` is replaced. An empty table gives an empty table.
     """
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, STAND_IN)
     docs = docs.drop("spans")
@@ -116,10 +165,11 @@ def _joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Per row of :func:`find_personal_data`: counts by base kind, digest of base spans, all spans."""
+    """Per row of :func:`find_personal_data`: counts by base kind, digest of base spans, all spans and their scores."""
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 1)), ",")
+    return found.select("doc_id", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 def redact(docs: DataFrame, passes: int = 4) -> DataFrame:
@@ -153,20 +203,38 @@ def redact(docs: DataFrame, passes: int = 4) -> DataFrame:
     return done.select(*columns)
 
 
+def _redacted(text: Column, spans: Column, block: int = 4096) -> Column:
+    """``text`` with spans replaced by their kinds; it is cut into blocks once and joined once."""
+    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        """Characters ``a`` to ``b`` - 1."""
+
+        def part(k: Column) -> Column:
+            first = F.greatest(a - k * block, F.lit(0))
+            return F.substr(F.element_at(blocks, k + 1), (first + 1).cast("int"), (F.least(b - k * block, F.lit(block)) - first).cast("int"))
+
+        whole = F.sequence(F.floor(a / block).cast("int"), F.floor((b - 1) / block).cast("int"))
+        return F.when(b > a, F.array_join(F.transform(whole, part), "")).otherwise("")
+
+    def rebuilt(x: Column) -> Column:
+        blocks, own, reach = x["blocks"], x["own"], x["reach"]
+        pieces = F.transform(own, lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(cut(blocks, F.get(reach, i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+        tail = cut(blocks, F.array_max(F.transform(own, lambda s: s["end"])), F.length(text).cast("long"))
+        return F.array_join(F.concat(pieces, F.array(tail)), "")
+
+    def bound(own: Column) -> Column:
+        reach = _before(F.transform(own, lambda s: s["end"]), lambda a, e: F.greatest(a, e))
+        blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+        return _let(F.struct(blocks.alias("blocks"), own.alias("own"), reach.alias("reach")), rebuilt)
+
+    return _let(by_place, bound)
+
+
 def _redacted_once(own: DataFrame) -> DataFrame:
     """One pass over the rows where ``_go``; it stays so where something was replaced."""
     seen = find_personal_data(own.withColumn("_kept", F.col("text")).withColumn("text", F.when(F.col("_go"), F.col("text"))))
-    text = F.col("_kept")
-    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        piece = F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(s["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    new = F.aggregate(by_place, start, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
-    found = F.size("spans") > 0
+    text, found = F.col("_kept"), F.size("spans") > 0
     changed = (F.col("_changed") | found) if "_changed" in own.columns else found
     rest = [c for c in own.columns if c not in ("text", "_go", "_changed")]
-    return seen.select(*rest, F.when(found, new).otherwise(text).alias("text"), found.alias("_go"), changed.alias("_changed"))
+    return seen.select(*rest, F.when(found, _redacted(text, F.col("spans"))).otherwise(text).alias("text"), found.alias("_go"), changed.alias("_changed"))
