@@ -1,35 +1,45 @@
 """Operator 10: exact top-k search by inner product with a KD-tree per shard.
 
 Each task splits the vectors that it reads into shards and each shard by medians of its
-widest dimension, down to leaves; a leaf is a row of the index with its bounding box. The
-tree above the leaves is rebuilt from their boxes when a shard is searched: a node's box
-holds those of its two children. A query walks a shard best-first by an upper bound of the
-inner product over a box (per dimension the better of its two ends), and stops where the
-bound falls below its k-th best score so far, which is carried from shard to shard.
+widest dimension, down to leaves with tight bounding boxes; a shard is a file, and the tree
+above its leaves is rebuilt from their boxes when it is searched. A query walks a shard
+best-first by an upper bound of the inner product over a box (per dimension the better of
+its two ends), and stops where the bound falls below its k-th best score so far.
+
+Queries are files too, some thousand of them to a group. Queries that are rows of the index
+are searched in their own shard first, and the k-th score found there is written beside
+them. Then every group meets every stripe of shards in a task of its own, which starts from
+those scores, carries them from shard to shard, and passes over shards whose whole box lies
+below them. Neither the driver nor a broadcast holds queries or vectors.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import fresh_dir, materialize, open_uri, write_file
 
-INDEX = "shard bigint, leaf int, dims int, n int, lo binary, hi binary, ids binary, vectors binary"
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+FILES = "path string, dims int, n bigint"
+FOUND = "file bigint, place bigint, query_id bigint, vec_id bigint, score bigint"
+#: Scores are long; what would be beyond counts as the least or the greatest.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Floating point is exact for whole numbers below this.
+EXACT = float(1 << 53)
 
 
 def quantised(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """vec_id and v, the vector's components as floor(scale * x) with x as double.
 
     Vectors that are null, or hold a null or non-finite component, are left out, as are
-    rows without an id. An empty vector stays.
+    rows without an id. An empty vector stays. Components beyond long are its ends.
     """
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = table.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & finite)
@@ -49,45 +59,65 @@ def _leaves(x: np.ndarray, at: np.ndarray, leaf: int) -> Iterator[np.ndarray]:
     yield from _leaves(x, order[half:], leaf)
 
 
+def _save(path: str, **arrays: np.ndarray) -> None:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    write_file(path, out.getvalue())
+
+
+def _load(path: str) -> dict[str, np.ndarray]:
+    fs, at = open_uri(path)
+    with fs.open_input_file(at) as source:
+        return dict(np.load(io.BytesIO(source.read())))
+
+
+def _by_dims(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Dimensions, ids and vectors of a batch's rows (vec_id, v), for each number of dimensions."""
+    ids, lists = batch.column("vec_id").to_numpy(), batch.column("v")
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
+    for dims in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == dims)
+        yield dims, ids[own], flat[(ends - sizes)[own][:, None] + np.arange(dims)].astype(np.int64)
+
+
+def _files(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["path", "dims", "n"])
+
+
 def build_index(vectors: DataFrame, leaf: int = 256, shard_rows: int = 1 << 15) -> DataFrame:
-    """Index rows of all vectors (columns vec_id and v), a row a leaf, written to the shared folder.
+    """Shards of all vectors (columns vec_id and v) in the shared folder: path, dims and n.
 
     A shard holds ``shard_rows`` vectors at most, all of one dimension and one partition.
     """
+    root = fresh_dir(vectors.sparkSession, "shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def flush(dims: int) -> pa.RecordBatch:
-            nonlocal made
+        def flush(dims: int) -> tuple:
             chunks = held.pop(dims)
             ids, x = np.concatenate([c[0] for c in chunks]), np.concatenate([c[1] for c in chunks])
-            rows = []
-            for k, at in enumerate(_leaves(x, np.arange(len(ids)), leaf)):
-                own = x[at]
-                rows.append({"shard": part << 32 | made, "leaf": k, "dims": dims, "n": len(at), "lo": own.min(0).astype("<f8").tobytes(), "hi": own.max(0).astype("<f8").tobytes(), "ids": ids[at].astype("<i8").tobytes(), "vectors": own.astype("<f8").tobytes()})
-            made += 1
-            kinds = {"shard": pa.int64(), "leaf": pa.int32(), "dims": pa.int32(), "n": pa.int32()}
-            return pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds.get(c, pa.binary())) for c in rows[0]]))
+            leaves = list(_leaves(x.astype(np.float64), np.arange(len(ids)), leaf))
+            order, path = np.concatenate(leaves), f"{root}/{uuid.uuid4().hex}.npz"
+            lo, hi = np.array([x[at].min(0) for at in leaves]), np.array([x[at].max(0) for at in leaves])
+            _save(path, ids=ids[order], x=x[order], ends=np.cumsum([len(at) for at in leaves]), lo=lo, hi=hi)
+            _save(f"{path}.box", lo=lo.min(0), hi=hi.max(0))
+            return path, dims, len(ids)
 
         for batch in batches:
+            done = []
             for begin in range(0, batch.num_rows, shard_rows):
-                rows = batch.slice(begin, shard_rows)
-                ids, lists = rows.column("vec_id").to_numpy(), rows.column("v")
-                sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy().astype(np.float64)
-                ends = np.cumsum(sizes)
-                for dims in np.unique(sizes).tolist():
-                    own = np.flatnonzero(sizes == dims)
-                    x = flat[(ends - sizes)[own][:, None] + np.arange(dims)]
-                    held.setdefault(dims, []).append((ids[own], x))
+                for dims, ids, x in _by_dims(batch.slice(begin, shard_rows)):
+                    held.setdefault(dims, []).append((ids, x))
                     if sum(len(c[0]) for c in held[dims]) >= shard_rows:
-                        yield flush(dims)
-        for dims in list(held):
-            yield flush(dims)
+                        done.append(flush(dims))
+            if done:
+                yield _files(done)
+        if held:
+            yield _files([flush(dims) for dims in list(held)])
 
-    return materialize(vectors.select("vec_id", "v").mapInArrow(run, INDEX), "kdtree")
+    return materialize(vectors.select("vec_id", "v").mapInArrow(run, FILES), "index")
 
 
 class Tree:
@@ -108,92 +138,191 @@ class Tree:
             level = above + level[len(level) - len(level) % 2 :]
         self.root, self.lo, self.hi = level[0], np.array(boxes_lo), np.array(boxes_hi)
 
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bound of each query's inner product over each node's box."""
-        return np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
+
+def upper_bounds(queries: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Upper bound of each query's inner product over each box, with room for rounding."""
+    q, lo, hi = queries.astype(np.float64), lo.astype(np.float64), hi.astype(np.float64)
+    most = np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T
+    bound = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+    return np.maximum(np.where(most < EXACT, bound, bound + most * (q.shape[1] + 4) * 2.0**-50), float(LEAST))
+
+
+class Shard:
+    """A shard's vectors under its tree."""
+
+    def __init__(self, path: str):
+        held = _load(path)
+        self.path, self.ids, self.x, self.ends = path, held["ids"], held["x"], held["ends"]
+        self.tree = Tree(held["lo"], held["hi"])
+        self.plain = self.x.astype(np.float64)
+        self.greatest = float(np.abs(self.plain).max()) if self.x.size else 0.0
+
+    def scores(self, node: int, query: np.ndarray) -> tuple[int, np.ndarray]:
+        """A leaf's first place, and the exact inner products of its vectors."""
+        begin, end = int(self.ends[node - 1]) if node else 0, int(self.ends[node])
+        if self.greatest * float(np.abs(query.astype(np.float64)).max(initial=0.0)) * max(1, len(query)) < EXACT:
+            return begin, (self.plain[begin:end] @ query.astype(np.float64)).astype(np.int64)
+        whole = self.x[begin:end].astype(object) @ query.astype(object)
+        return begin, np.array([min(MOST, max(LEAST, int(s))) for s in whole], np.int64)
+
+    def search(self, query: np.ndarray, bound: np.ndarray, heap: list[tuple[int, int]], k: int, floor: int, own: int | None) -> None:
+        """Push the query's candidates of this shard to ``heap``: (score, -vec_id), the worst on top.
+
+        Scores under ``floor`` are of no use; place ``own`` is no candidate.
+        """
+        tree = self.tree
+        queue = [(-bound[tree.root], tree.root)]
+        least = max(floor, heap[0][0]) if len(heap) == k else floor
+        while queue and -queue[0][0] >= least:
+            node = heapq.heappop(queue)[1]
+            if node >= tree.leaves:
+                for c in tree.children[node]:
+                    if bound[c] >= least:
+                        heapq.heappush(queue, (-bound[c], c))
+                continue
+            begin, scores = self.scores(node, query)
+            good = scores >= least
+            if own is not None and begin <= own < begin + len(scores):
+                good[own - begin] = False
+            at = np.flatnonzero(good)
+            if len(at) > k:
+                at = at[np.lexsort((self.ids[begin + at], -scores[at]))[:k]]
+            for s, v in zip(scores[at].tolist(), self.ids[begin + at].tolist()):
+                if len(heap) < k:
+                    heapq.heappush(heap, (s, -v))
+                elif (s, -v) > heap[0]:
+                    heapq.heapreplace(heap, (s, -v))
+            least = max(floor, heap[0][0]) if len(heap) == k else floor
+
+
+def indexed_queries(index: DataFrame, every: int, k: int) -> DataFrame:
+    """Query files of the index's rows whose vec_id ``every`` divides, a file a shard: path, dims and n.
+
+    Each query comes with its row, which is no candidate, and its k-th score in its own shard.
+    """
+    root = fresh_dir(index.sparkSession, "queries")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                shard = Shard(path)
+                rows = np.flatnonzero(shard.ids % every == 0)
+                if not len(rows):
+                    continue
+                floors, bounds = np.full(len(rows), LEAST, np.int64), upper_bounds(shard.x[rows], shard.tree.lo, shard.tree.hi)
+                for i, row in enumerate(rows.tolist()):
+                    heap: list[tuple[int, int]] = []
+                    shard.search(shard.x[row], bounds[i], heap, k, LEAST, row)
+                    if len(heap) == k:
+                        floors[i] = heap[0][0]
+                name = f"{root}/{uuid.uuid4().hex}.npz"
+                _save(name, ids=shard.ids[rows], x=shard.x[rows], floors=floors, rows=rows, shard=np.array([path]))
+                yield _files([(name, shard.x.shape[1], len(rows))])
+
+    tasks = max(1, index.count())
+    return materialize(index.repartition(tasks, "path").mapInArrow(run, FILES), "own_queries")
+
+
+def given_queries(queries: DataFrame) -> DataFrame:
+    """Query files of any vectors (vec_id, v), which are no rows of the index: path, dims and n."""
+    root = fresh_dir(queries.sparkSession, "queries")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dims, ids, x in _by_dims(batch):
+                name = f"{root}/{uuid.uuid4().hex}.npz"
+                _save(name, ids=ids, x=x, floors=np.full(len(ids), LEAST, np.int64), rows=np.full(len(ids), -1), shard=np.array([""]))
+                yield _files([(name, dims, len(ids))])
+
+    return materialize(queries.select("vec_id", "v").mapInArrow(run, FILES), "given_queries")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
-    """Each query's ``k`` highest inner products over the index, itself excluded.
+def search(index: DataFrame, queries: DataFrame, k: int = 5, group: int = 4096, cells: int | None = None) -> DataFrame:
+    """Each query's ``k`` highest inner products over the index, its own row excluded.
 
-    Queries (vec_id, v; ids distinct) are taken in blocks of ``block``, which bounds what is
-    broadcast; every block is searched in every shard. Returns query_id, rank from 1, vec_id
-    and score; ties go to the smaller vec_id; fewer rows where there are fewer candidates.
-    Only vectors of a query's own number of dimensions are its candidates.
+    ``index`` and ``queries`` are tables of files; a query is a row of its file, so ids may
+    repeat on both sides. Returns query_id, rank from 1, vec_id and score; ties go to the
+    smaller vec_id; fewer rows where there are fewer candidates. Only vectors of a query's own
+    number of dimensions are its candidates. Scores beyond long count as its ends. About
+    ``group`` queries are searched together; shards are parted into as many stripes as make
+    ``cells`` tasks (default: four for each core), and a query gives k rows a stripe at most.
     """
-    spark, found = index.sparkSession, None
-    blocks = max(1, -(-queries.count() // block))
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        rows = own.select("vec_id", "v").toArrow()
-        held = spark.sparkContext.broadcast((rows.column("vec_id").to_pylist(), rows.column("v").to_pylist()))
-        part = index.mapInArrow(_searcher(held, k), FOUND)
-        found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    cells = cells or 4 * index.sparkSession.sparkContext.defaultParallelism
+    sums = queries.groupBy("dims").agg(F.ceil(F.sum("n") / group).cast("int").alias("groups"))
+    sizes = index.groupBy("dims").agg(F.count("*").alias("shards")).join(sums, "dims")
+    sizes = sizes.select("dims", "groups", F.least("shards", F.ceil(F.lit(cells) / F.col("groups"))).cast("int").alias("stripes"))
+    deal = lambda parts: F.pmod(F.xxhash64("path"), F.col(parts)).cast("int")
+    all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    asked = queries.join(sizes, "dims").select("path", "dims", deal("groups").alias("g"), all_of("stripes").alias("s"), F.lit(0).alias("kind"))
+    shards = index.join(sizes, "dims").select("path", "dims", all_of("groups").alias("g"), deal("stripes").alias("s"), F.lit(1).alias("kind"))
+    grid = asked.unionByName(shards).repartitionByRange(cells, "dims", "g", "s").sortWithinPartitions("dims", "g", "s", "kind", "path")
+    found = grid.mapInArrow(_searcher(k), FOUND)
+    best = Window.partitionBy("file", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(held, k: int):
+class _Cell:
+    """A group of queries on its way over a stripe of shards."""
+
+    def __init__(self, paths: list[str], k: int):
+        held = [_load(p) for p in paths]
+        sizes = [len(h["ids"]) for h in held]
+        join = lambda name: np.concatenate([h[name] for h in held])
+        self.ids, self.x, self.floors, self.rows, self.k = join("ids"), join("x"), join("floors"), join("rows"), k
+        self.shards = np.repeat([str(h["shard"][0]) for h in held], sizes).tolist()
+        #: A query is told by its file's number, from the random name, and its place there.
+        self.files = np.repeat([int(p.rpartition("/")[2][:15], 16) for p in paths], sizes)
+        self.places = np.concatenate([np.arange(n) for n in sizes])
+        self.heaps: list[list[tuple[int, int]]] = [[] for _ in self.ids]
+
+    def least(self) -> np.ndarray:
+        return np.array([max(f, h[0][0]) if len(h) == self.k else f for f, h in zip(self.floors.tolist(), self.heaps)], np.float64)
+
+    def walk(self, path: str) -> None:
+        box = _load(f"{path}.box")
+        #: Scores in floating point may be off by rounding; twice its room is left.
+        reach = upper_bounds(self.x, box["lo"][None], box["hi"][None])[:, 0]
+        wanted = np.flatnonzero(reach + np.abs(reach) * 2.0**-50 >= self.least())
+        if not len(wanted):
+            return
+        shard = Shard(path)
+        bounds = upper_bounds(self.x[wanted], shard.tree.lo, shard.tree.hi)
+        for b, i in enumerate(wanted.tolist()):
+            shard.search(self.x[i], bounds[b], self.heaps[i], self.k, int(self.floors[i]), int(self.rows[i]) if self.shards[i] == path else None)
+
+    def best(self) -> pa.RecordBatch:
+        n = [len(h) for h in self.heaps]
+        flat = [x for h in self.heaps for x in h]
+        columns = [np.repeat(self.files, n), np.repeat(self.places, n), np.repeat(self.ids, n), [-v for _, v in flat], [s for s, _ in flat]]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["file", "place", "query_id", "vec_id", "score"])
+
+
+def _searcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = held.value
-        of: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            of.setdefault(len(v), []).append(i)
-        group = {dims: (np.array([ids[i] for i in at]), np.array([vectors[i] for i in at], np.float64).reshape(len(at), dims)) for dims, at in of.items()}
-        #: Per query the k best so far, as (score, -vec_id), the worst on top.
-        best: dict[int, list[list[tuple[int, int]]]] = {dims: [[] for _ in at] for dims, at in of.items()}
-
-        def walk(shard: list[dict]) -> None:
-            dims = shard[0]["dims"]
-            if dims not in group:
-                return
-            own_ids, q = group[dims]
-            read = lambda name, kind: [np.frombuffer(r[name], kind) for r in shard]
-            vec_ids, points = read("ids", "<i8"), [x.reshape(-1, dims) if dims else np.zeros((r["n"], 0)) for x, r in zip(read("vectors", "<f8"), shard)]
-            tree = Tree(np.array(read("lo", "<f8")).reshape(len(shard), dims), np.array(read("hi", "<f8")).reshape(len(shard), dims))
-            bounds = tree.bounds(q)
-            for i, (own, heap) in enumerate(zip(own_ids.tolist(), best[dims])):
-                bound, queue = bounds[i], [(-bounds[i][tree.root], tree.root)]
-                while queue and (len(heap) < k or -queue[0][0] >= heap[0][0]):
-                    node = heapq.heappop(queue)[1]
-                    if node >= tree.leaves:
-                        for c in tree.children[node]:
-                            if len(heap) < k or bound[c] >= heap[0][0]:
-                                heapq.heappush(queue, (-bound[c], c))
-                        continue
-                    scores = points[node] @ q[i]
-                    others = vec_ids[node] != own
-                    at = np.flatnonzero(others & (scores >= heap[0][0]) if len(heap) == k else others)
-                    if len(at) > k:
-                        at = at[np.lexsort((vec_ids[node][at], -scores[at]))[:k]]
-                    for s, v in zip(scores[at].tolist(), vec_ids[node][at].tolist()):
-                        if len(heap) < k:
-                            heapq.heappush(heap, (int(s), -v))
-                        elif (int(s), -v) > heap[0]:
-                            heapq.heapreplace(heap, (int(s), -v))
-
-        shard: list[dict] = []
+        at, paths, cell = None, [], None
         for batch in batches:
             for row in batch.to_pylist():
-                if shard and row["shard"] != shard[0]["shard"]:
-                    walk(shard)
-                    shard = []
-                shard.append(row)
-        if shard:
-            walk(shard)
-        rows = [(int(group[d][0][i]), -v, s) for d, heaps in best.items() for i, heap in enumerate(heaps) for s, v in heap]
-        columns = list(zip(*rows)) if rows else [(), (), ()]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+                if (key := (row["dims"], row["g"], row["s"])) != at:
+                    if cell is not None:
+                        yield cell.best()
+                    at, paths, cell = key, [], None
+                if row["kind"] == 0:
+                    paths.append(row["path"])
+                elif paths:
+                    cell = cell or _Cell(paths, k)
+                    cell.walk(row["path"])
+        if cell is not None:
+            yield cell.best()
 
     return run
 
 
 def top_k(table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
-    """Index every vector of ``table`` and search those whose vec_id ``every`` divides.
+    """Index every vector of ``table`` and search the rows whose vec_id ``every`` divides.
 
-    A query's own row is told by its vec_id, so rows that repeat a vec_id are no candidates
-    of each other, and such a query is searched once.
+    Candidates are all rows but the query's own: rows that repeat a vec_id are each other's
+    candidates, and each is searched. Columns but vec_id and embedding are ignored; an empty
+    table gives an empty table.
     """
-    vectors = quantised(table)
-    queries = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    return search(build_index(vectors), queries, k)
+    index = build_index(quantised(table))
+    return search(index, indexed_queries(index, every, k), k)
