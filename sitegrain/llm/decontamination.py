@@ -1,17 +1,20 @@
 """Operator 4: benchmark decontamination by n-gram windows.
 
-The windows of the benchmark's items are held as a hash set in every task. Documents are
-read once, without a shuffle: the words of a slice of texts are hashed together, window
-hashes are looked up in the set, and each find is verified word by word. A benchmark
-larger than ``block_bytes`` is taken in blocks of that size, one after the other over the
-same rows, so what a task holds has a bound whatever the benchmark's size.
+The windows of the benchmark's items are held as a hash set in every worker: words get
+numbers, windows hashes of their numbers. Documents are read once, without a shuffle: the
+words of a run of texts are numbered together, the hashes of windows whose words the
+benchmark knows are looked up in the set, and each find is verified word by word. A benchmark
+larger than ``block_bytes`` is taken in blocks of that size, each in a pass of its own that
+writes the finds alone; these are joined to the documents by a digest of the text. So what a
+worker holds has a bound whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import held, masked, text_runs
+from .runtime import held, hot_keys, join_hot, masked, materialize, spare, text_runs
 
 #: Bytes outside words become spaces, A to Z become lower case.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = re.compile(WORD.encode())
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+HITS_ARROW = pa.struct([("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -33,98 +38,169 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
-class WindowSet:
-    """The windows of some items: ``n`` consecutive words, or all words of a shorter item."""
-
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self._of: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            own = words(text)
-            k = min(n, len(own))
-            for i in range(len(own) - k + 1 if k else 0):
-                self._of[k][tuple(own[i : i + k])].add(item)
-        self._hashes = {}
-        for k, windows in self._of.items():
-            flat = np.fromiter((hash(w) for window in windows for w in window), np.int64, k * len(windows)).view(np.uint64)
-            self._hashes[k] = np.unique(_rolled(flat, k)[::k])
-
-    def find(self, lists: list[list[bytes]]) -> list[tuple[set[int], set[str]]]:
-        """Per word list: places of the words that are hit, and the items with windows there."""
-        out: list[tuple[set[int], set[str]]] = [(set(), set()) for _ in lists]
-        flat = [w for one in lists for w in one]
-        ends = np.cumsum([len(one) for one in lists])
-        hashes = np.fromiter(map(hash, flat), np.int64, len(flat)).view(np.uint64)
-        for k, known in self._hashes.items():
-            rolled = _rolled(hashes, k)
-            if not len(rolled):
-                continue
-            low = np.zeros(1 << 16, bool)
-            low[known & np.uint64(0xFFFF)] = True
-            at = np.flatnonzero(low[rolled & np.uint64(0xFFFF)])
-            near = np.minimum(np.searchsorted(known, rolled[at]), len(known) - 1)
-            at = at[known[near] == rolled[at]]
-            owner = np.searchsorted(ends, at, "right")
-            for i, d in zip(at.tolist(), owner.tolist()):
-                if i + k <= ends[d] and (items := self._of[k].get(tuple(flat[i : i + k]))):
-                    start = int(ends[d]) - len(lists[d])
-                    out[d][0].update(range(i - start, i - start + k))
-                    out[d][1].update(items)
+def _listed(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
+    """``values`` as a list for each of ``n`` owners; owners rise."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), pa.int32()), values)
+
+
+class _Windows:
+    """All windows of ``k`` words of some items, by a hash that tells them apart."""
+
+    def __init__(self, k: int, codes: np.ndarray, starts: np.ndarray, owner: np.ndarray):
+        self.k, self._codes, seed = k, codes, 0
+        while True:  # another seed in the rare case that two windows have one hash
+            hashes = self._hash(codes, starts, seed)
+            order = np.argsort(hashes, kind="stable")
+            begins = np.concatenate([[True], np.diff(hashes[order]) != 0])
+            group = np.cumsum(begins) - 1
+            first = starts[order][begins]
+            if all((codes[starts[order] + j] == codes[first[group] + j]).all() for j in range(k)):
+                break
+            seed += 1
+        self._seed, self._hashes, self._first = seed, hashes[order][begins], first
+        pairs = np.unique(np.stack([group, owner[order]], 1), axis=0)
+        self._items, self._ends = pairs[:, 1], np.cumsum(np.bincount(pairs[:, 0], minlength=len(first)))
+        self._low = np.zeros(1 << 16, bool)
+        self._low[self._hashes & np.uint64(0xFFFF)] = True
+
+    def _hash(self, codes: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+        out = np.full(len(at), seed, np.uint64)
+        for j in range(self.k):
+            x = codes[at + j].astype(np.uint64) + np.uint64(1)
+            out = (out ^ x * _FACTOR) * np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(32)
         return out
 
+    def find(self, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places ``at`` where a window begins, and which window."""
+        hashes = self._hash(codes, at, self._seed)
+        some = np.flatnonzero(self._low[hashes & np.uint64(0xFFFF)])
+        at, hashes = at[some], hashes[some]
+        near = np.minimum(np.searchsorted(self._hashes, hashes), len(self._hashes) - 1)
+        same = self._hashes[near] == hashes
+        at, near = at[same], near[same]
+        real = np.ones(len(at), bool)
+        for j in range(self.k):
+            real &= codes[at + j] == self._codes[self._first[near] + j]
+        return at[real], near[real]
+
+    def items(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items that hold the windows, joined, and how many each window has."""
+        n = np.diff(np.concatenate([[0], self._ends]))[window]
+        return self._items[np.repeat(self._ends[window] - np.cumsum(n), n) + np.arange(int(n.sum()))], n
 
-def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every ``k`` consecutive hashes."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    mixed = (hashes ^ hashes >> np.uint64(29)) * _FACTOR
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        out += mixed[j : j + n]
-    return out ^ out >> np.uint64(32)
 
+class WindowSet:
+    """The windows of some items: ``n`` consecutive words, or all words of a shorter item."""
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    def __init__(self, items: list[tuple[str, str | None]], n: int):
+        self.names = sorted({item for item, _ in items})
+        number, self._codes, flat, of = {x: i for i, x in enumerate(self.names)}, {}, [], {}
+        for item, text in items:
+            own = [self._codes.setdefault(w, len(self._codes)) for w in words(text)]
+            if own:
+                k = min(n, len(own))
+                starts = np.arange(len(flat), len(flat) + len(own) - k + 1)
+                of.setdefault(k, []).append((starts, np.full(len(starts), number[item])))
+                flat += own
+        codes = np.array(flat, np.int32)
+        self._windows = [_Windows(k, codes, *(np.concatenate(x) for x in zip(*parts))) for k, parts in of.items()]
+
+    def hits(self, texts: pa.Array) -> pa.Array:
+        """For each text a struct of ``HITS``: places of hit words, and the items with windows there."""
+        lists = [words(x) for x in texts.to_pylist()]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        total, ends = int(sizes.sum()), np.cumsum(sizes)
+        codes = np.fromiter((c for own in lists for c in map(self._codes.get, own, repeat(-1))), np.int32, total)
+        owner = np.repeat(np.arange(len(lists)), sizes)
+        #: How many known words of the same text begin at each place.
+        stops = np.flatnonzero(np.concatenate([(codes < 0) | np.isin(np.arange(total), ends), [True]]))
+        at = np.arange(total)
+        known = np.where(codes < 0, 0, stops[np.minimum(np.searchsorted(stops, at, "right"), len(stops) - 1)] - at)
+        edge, pairs = np.zeros(total + 1, np.int64), [np.empty((0, 2), np.int64)]
+        for w in self._windows:
+            found, window = w.find(codes, np.flatnonzero(known >= w.k))
+            np.add.at(edge, found, 1)
+            np.add.at(edge, found + w.k, -1)
+            items, n = w.items(window)
+            pairs.append(np.stack([np.repeat(owner[found], n), items], 1))
+        hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        both = np.unique(np.concatenate(pairs), axis=0)
+        places = _listed(pa.array(hit - (ends - sizes)[owner[hit]], pa.int32()), owner[hit], len(lists))
+        named = _listed(pa.array(self.names, pa.string()).take(pa.array(both[:, 1])), both[:, 0], len(lists))
+        return pa.StructArray.from_arrays([pa.array(sizes), places, named], fields=list(HITS_ARROW))
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The benchmark's items in blocks; each holds about ``block_bytes`` of item texts at most."""
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield [(r.item_id, r.text) for r in own.toLocalIterator()]
+    return [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
+
 
+def _finder(items: DataFrame, n: int):
+    """What makes the window set of a block's items, once a worker."""
+    sent = items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.toLocalIterator()])  # block_bytes of text
+    name = f"windows-{uuid.uuid4().hex}"
+    return lambda: held(name, lambda: WindowSet(sent.value, n))
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: int = 1 << 20) -> DataFrame:
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """All rows and columns of ``docs`` and a struct ``hits``: n_words, hit_words, items.
 
     hit_words are the places (from 0, rising) of words inside any occurrence of a window
     of ``n`` benchmark words (an item of fewer words is one window); items are the distinct
-    item_ids with such windows, sorted as strings. A null or empty text has no words. A
-    benchmark row without item_id or text has no windows; repeated rows count once. An own
-    column ``hits`` of ``docs`` is replaced. Empty tables give no rows, or no hits.
+    item_ids with such windows, sorted as strings. A null or empty text has no words; very
+    long texts are taken whole. A benchmark row without item_id or text has no windows;
+    repeated rows count once. An own column ``hits`` of ``docs`` is replaced. Empty tables
+    give no rows, or no hits.
     """
     docs = docs.drop("hits")
-    columns = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("hits", HITS)])
-    out = docs.withColumn("hits", F.lit(None).cast(HITS))
-    for items in _blocks(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(items)  # block_bytes of text
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held("decontamination")
-            windows = WindowSet(sent.value, n)
+    blocks = _blocks(benchmark, block_bytes)
+    return _hits_in_one(docs, blocks[0], n) if len(blocks) == 1 else _hits_in_many(docs, blocks, n)
+
+
+def _hits_in_one(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    columns, windows = docs.columns, _finder(items, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in text_runs(batch, "text"):
+                yield pa.record_batch([*(rows.column(c) for c in columns), windows().hits(rows.column("text"))], names=[*columns, "hits"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("hits", HITS)]))
+
+
+def _hits_in_many(docs: DataFrame, blocks: list[DataFrame], n: int) -> DataFrame:
+    """Finds of each block by the text's digest, then all finds of a text, then its documents."""
+    found = None
+    for items in blocks:
+        windows = _finder(items, n)
+
+        def run(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows in text_runs(batch, "text"):
-                    lists = [words(x) for x in rows.column("text").to_pylist()]
-                    hits = [{"n_words": len(own), "hit_words": at, "items": found} for own, (at, found) in zip(lists, windows.find(lists))]
-                    for new, old in zip(hits, rows.column("hits").to_pylist()):
-                        new["hit_words"] = sorted(new["hit_words"].union(old["hit_words"] if old else ()))
-                        new["items"] = sorted(new["items"].union(old["items"] if old else ()))
-                    yield pa.record_batch([*(rows.column(c) for c in columns), pa.array(hits, pa.struct([("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))], names=[*columns, "hits"])
-
-        out = out.mapInArrow(run, schema)
-    return out
+                    hits = windows().hits(rows.column("text"))
+                    part = pa.record_batch([rows.column("key"), hits.field("hit_words"), hits.field("items")], names=["key", "hit_words", "items"])
+                    yield part.filter(pa.array(np.diff(hits.field("items").offsets.to_numpy()) > 0))
+
+        keyed = docs.select(F.md5(F.col("text").cast("string").cast("binary")).alias("key"), F.col("text").cast("string").alias("text"))
+        own = keyed.mapInArrow(run, "key string, hit_words array<int>, items array<string>")
+        own = own.groupBy("key").agg(F.first("hit_words").alias("hit_words"), F.first("items").alias("items"), F.count("*").alias("_n"))
+        own = materialize(own, "finds")
+        found = own if found is None else found.unionByName(own)
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    whole = materialize(found.groupBy("key").agg(merged("hit_words"), merged("items"), F.max("_n").alias("_n")), "hits")  # a row for each block
+    own, named = masked(docs)
+    text = F.col(own.columns[docs.columns.index("text")]).cast("string")
+    key, row = spare("key", own.columns), F.struct(*own.columns[:4])
+    few = whole.drop("_n").withColumnRenamed("key", key)
+    hot = hot_keys(whole.select(F.col("key").alias(key), "_n"), docs.count())
+    joined = join_hot(own.withColumn(key, F.md5(text.cast("binary"))), few, [key], hot, row, "left")
+    none = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{kind}>)")).alias(c)
+    hits = F.struct(F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), none("hit_words", "int"), none("items", "string"))
+    return named(joined.select(*own.columns, hits.alias("hits")), "hits")
 
 
 def contaminated(ratio: int = 20) -> Column:
