@@ -1,11 +1,14 @@
 """Archives, classifier, token counts, personal data and exact search."""
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from sitegrain.llm import nearest, personal_data, quality, token_counts, warc
+from sitegrain.llm import nearest, personal_data, quality, runtime, token_counts, warc
 from sitegrain.llm.tokens import vocabulary_path
 
 
@@ -41,21 +44,65 @@ def test_archives(spark, least):
 
 
 def test_members_are_found_by_the_index(spark):
-    import json
-
     df = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
     made = warc.normalise(warc.write_monolithic(warc.records_of(df))).first().asDict()
     entries = [json.loads(x) for x in open(made["index"])]
     data = open(made["path"], "rb").read()
-    assert made["records"] == 20 and sum(e["length"] for e in entries) == len(data)
+    assert made["records"] == 20 and sum(e["length"] for e in entries) == len(data) and len({e["id"] for e in entries}) == 20
     for e in entries[::-1]:
         ((fields, block),) = warc.read_records(io.BytesIO(zlib.decompress(data[e["offset"] : e["offset"] + e["length"]], warc.GZIP)))
-        assert fields["warc-record-id"] == e["id"] and block.startswith(b"page ")
+        assert fields["warc-record-id"] == [e["id"]] and block.startswith(b"HTTP/1.1 200 OK\r\n") and b"\r\n\r\npage " in block
+
+
+def test_records_have_what_the_standard_asks():
+    response = warc.format_record(4, "http://h/a b", b"<p>", warc.payload_digest(b"<p>"), 3, None, False, "2024-01-02T03:04:05Z")
+    revisit = warc.format_record(3, None, b"", warc.payload_digest(b"<p>"), 3, 4, True, "2024-01-02T03:04:05Z")
+    (a, block), (b, head) = warc.read_records(io.BytesIO(response + revisit))
+    for fields in (a, b):
+        assert {"warc-type", "warc-record-id", "warc-date", "content-length", "content-type"} <= fields.keys() and all(len(v) == 1 for v in fields.values())
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["warc-record-id"][0])
+    assert b["warc-refers-to"] == a["warc-record-id"] != b["warc-record-id"] and a["warc-target-uri"] == ["http://h/ab"] and "warc-target-uri" not in b
+    assert block.endswith(b"Content-Length: 3\r\n\r\n<p>") and head.endswith(b"Content-Length: 3\r\n\r\n")
+    assert warc.record_id(None, "x") != warc.record_id(None, "x")
+
+
+def test_foreign_archives_keep_every_byte(spark, tmp_path):
+    records = [
+        b"WARC/1.0\r\nWARC-Type: warcinfo\r\nX-Odd:  two  spaces \r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 5\r\n\r\na: b\n",
+        b"WARC/1.1\nwarc-type: resource\nX-Folded: one\n  two\nContent-Length: 0\n\n",
+        b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 0\r\n\r\n",
+        b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3000000\r\n\r\n" + b"long " * 600_000,
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"\r\n\r\n".join([*records, b""])))
+    made = warc.normalise(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),), (None,)], "path string"))
+    row = made.first()
+    assert gzip.decompress(open(row.path, "rb").read()) == b"\r\n\r\n".join([*records, b""])
+    rows = warc.read_members(made, with_block=True).collect()
+    assert [(r.record_type, r.payload_bytes, r.page_id) for r in rows] == [("warcinfo", 5, None), ("resource", 0, None), ("revisit", None, None), ("resource", 3_000_000, None)]
+    assert [r.block for r in rows[:3]] == [b"a: b\n", b"", b""] and rows[0].payload_digest == warc.payload_digest(b"a: b\n")
+    for bad in (b"HTTP/1.1\r\n\r\n", b"WARC/1.1\r\nA: b\r\n", b"WARC/1.1\r\nA: b\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(bad)))
+
+
+def test_a_damaged_response_is_told():
+    data = warc.format_record(1, "u", b"abc", warc.payload_digest(b"abd"), 3, None, False)
+    ((fields, block),) = warc.read_records(io.BytesIO(data))
+    with pytest.raises(ValueError):
+        warc._row(fields, block, True)
+
+
+def test_pages_that_share_a_hot_payload(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT_ROWS", 20)
+    pages = [(i, "" if i % 3 else f"own {i}") for i in range(900)]
+    df = spark.createDataFrame([(p, f"u{p}", h) for p, h in pages], "page_id long, url string, html string").repartition(3)
+    rows = warc.archive_pages(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert Counter(map(tuple, rows)) == brute_archive(pages)
 
 
 def test_inflated_reads_members_and_tells_damage():
     data = random.Random(1).randbytes(3_000_000)
-    packed = b"".join(warc._member(data[i : i + 1_000_000], 1) for i in range(0, 3_000_000, 1_000_000))
+    packed = b"".join(gzip.compress(data[i : i + 1_000_000], 1) for i in range(0, 3_000_000, 1_000_000))
     assert io.BufferedReader(warc.Inflated(io.BytesIO(packed)), 1 << 20).read() == data
     with pytest.raises(ValueError):
         io.BufferedReader(warc.Inflated(io.BytesIO(packed[:-50]))).read()
@@ -172,6 +219,47 @@ def test_added_kinds_and_context(spark):
     assert [[(s.kind, s.start, s.end) for s in r.spans] for r in rows] == [[("iban", 7, 34)], [], [("ssn", 10, 21)], []]
 
 
+def near_context(text, start, end, words):
+    return any(re.search(rf"(?:^|[^a-z])(?:{words})", side.lower()) for side in (text[max(0, start - 32) : start], text[end : end + 32]))
+
+
+def test_scores_look_on_both_sides(spark):
+    draw = random.Random(5)
+    bits = ["ssn ", "123-45-6789", " ", "; ", "é", "a@b.co", "mail", "1.2.3.4", "host ", "4111 1111 1111 1111", "visa", " and some more words ", "+1 (555) 123-4567", "call", "22", "7 "]
+    texts = ["111-11-1111 is my SSN", "ssn " + " ".join(f"{i}11-11-1111" for i in range(1, 8)), *("".join(draw.choice(bits) for _ in range(draw.randint(1, 40))) for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in personal_data.find_personal_data(df).collect():
+        want = []
+        for kind, (rx, ok) in (KINDS | {"ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: True)}).items():
+            for m in re.finditer(rx, r.text, re.A):
+                score = personal_data.PRIOR[kind] + 0.3 * near_context(r.text, m.start(), m.end(), personal_data.NEARBY[kind])
+                if ok(m.group()) and score >= 0.5:
+                    want.append((kind, m.start(), m.end(), pytest.approx(score)))
+        assert [tuple(s) for s in r.spans if s.kind != "iban"] == want, r.text
+    row = personal_data.digest(personal_data.find_personal_data(df.where("doc_id = 0"))).first()
+    assert row.spans == "ssn:0:11" and row.scores == "0.6"
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    took = []
+    for n in (4_000, 16_000):
+        df = spark.createDataFrame([(0, "mail x@y.com or 10.0.0.1, " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        (row,) = personal_data.redact(df).collect()
+        took.append(time.perf_counter() - began)
+        assert row.text == "mail [EMAIL] or [IP], " * n
+    assert took[1] < 9 * took[0]
+
+
+def test_redacting_twice_changes_nothing(spark):
+    draw = random.Random(6)
+    bits = ["ssn ", "123-45-6789", " ", "-", "a@b.co", "1.2.3.4", "4111111111111111", "+", "5", "GB82WEST12345698765432", "é", "."]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(1, 25))) for _ in range(300)] + ["", None]
+    once = personal_data.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert not [r for r in once.collect() if brute_spans(r.text)]
+    assert sorted(map(tuple, personal_data.redact(once).collect())) == sorted(map(tuple, once.collect()))
+
+
 def test_redaction(spark, odd, none):
     texts = ["mail x@y.com or +4111 1111 1111 1111", "é 1.2.3.4", None, "clean", "a@b.co1.2.3.4 +1.2.3.4 5551234"]
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
@@ -193,12 +281,17 @@ def test_personal_data_of_odd_documents(spark, odd):
             personal_row(r, texts[r.doc_id])
 
 
-def brute_top(rows, k=5, every=50):
-    kept = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+def clamped(s):
+    return min((1 << 63) - 1, max(-(1 << 63), s))
+
+
+def brute_top(rows, k=5, every=50, narrow=True):
+    number = lambda x: clamped(math.floor(256 * (float(np.float32(x)) if narrow else x)))
+    kept = [(n, i, [number(x) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in kept:
+    for n, q, v in kept:
         if q % every == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in kept if i != q and len(w) == len(v))[:k]
+            found = sorted((-clamped(sum(a * b for a, b in zip(v, w))), i) for m, i, w in kept if m != n and len(w) == len(v))[:k]
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(found, 1)]
     return sorted(out)
 
@@ -210,19 +303,43 @@ def test_exact_search(spark, seed, dims, shard_rows):
     rows += [(i, [0.25] * dims) for i in range(700, 1000)]  # one common vector
     rows += [(1000, None), (1050, [None] * dims), (1100, [float("nan")] * dims), (1150, [float("inf")] * dims), (1200, []), (1201, []), (1250, [1.0] * (dims + 1)), (None, [1.0] * dims)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).repartition(3)
-    vectors = nearest.quantised(df)
-    queries = vectors.where("vec_id % 50 = 0")
-    got = nearest.search(nearest.build_index(vectors, leaf=16, shard_rows=shard_rows), queries, 5, block=7)
-    assert sorted(map(tuple, got.collect())) == brute_top(rows)
+    index = nearest.build_index(nearest.quantised(df), leaf=16, shard_rows=shard_rows)
+    for cells in (1, 7, 40):
+        got = nearest.search(index, nearest.indexed_queries(index, 50, 5), 5, group=7, cells=cells)
+        assert sorted(map(tuple, got.collect())) == brute_top(rows)
     assert sorted(map(tuple, nearest.top_k(df).collect())) == brute_top(rows)
     assert nearest.top_k(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("copies", [3, 6, 9])
-def test_exact_search_with_a_repeated_query(spark, copies):
-    rows = [(0, [1.0, 1.0])] * copies + [(i, [0.5, i / 100]) for i in range(1, 40)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
-    assert sorted(map(tuple, nearest.top_k(df).collect())) == sorted(set(brute_top(rows)))
+def test_queries_that_are_no_rows_of_the_index(spark):
+    draw = random.Random(3)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(4)]) for i in range(300)]
+    asked = [(i, [draw.uniform(-1, 1) for _ in range(4)]) for i in (7, 7, 400)]
+    index = nearest.build_index(nearest.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), leaf=8, shard_rows=50)
+    queries = nearest.given_queries(nearest.quantised(spark.createDataFrame(asked, "vec_id long, embedding array<double>")))
+    whole = lambda v: [math.floor(256 * x) for x in v]
+    want = []
+    for q, v in asked:
+        found = sorted((-sum(a * b for a, b in zip(whole(v), whole(w))), i) for i, w in rows)[:3]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(found, 1)]
+    assert sorted(map(tuple, nearest.search(index, queries, 3).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("copies", [2, 3, 6, 9])
+def test_rows_that_repeat_a_vec_id_are_candidates_of_each_other(spark, copies):
+    rows = [(0, [1.0, 1.0])] * copies + [(50, [0.1, 0.2]), (50, [0.3, 0.2])] + [(i, [0.5, i / 100]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    assert sorted(map(tuple, nearest.top_k(df).collect())) == brute_top(rows)
+
+
+@pytest.mark.parametrize("size", [2.0**20, 1e9, 1e16, 1e300])
+def test_search_is_exact_for_large_components(spark, size):
+    draw = random.Random(int(math.log(size)))
+    rows = [(i, [draw.choice([-1, 1]) * size * draw.choice([1.0, 1 + 2**-40, draw.random()]) for _ in range(3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    index = nearest.build_index(nearest.quantised(df), leaf=8, shard_rows=64)
+    got = nearest.search(index, nearest.indexed_queries(index, 50, 5), 5).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, narrow=False)
 
 
 def test_redaction_goes_on_until_nothing_is_left(spark):
