@@ -38,28 +38,109 @@ MANIFEST = "partition bigint, shard int, path string, n_docs bigint, n_tokens bi
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def _grouped(left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int, place_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of pairs in rising order, and the places that they stand at (rising for each pair)."""
-    code = left.astype(U) << U(bits) | right
+#: Greater than any rank.
+UNRANKED = np.int32((1 << 31) - 1)
+
+
+def _frequent(left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int, place_bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Places of the pairs that occur ``least`` times, each place's rank, and the pairs by rank.
+
+    Rank 0 is the most frequent pair, ties go to the smaller one. A pair's places rise.
+    """
+    code = left.astype(U)
+    code <<= U(bits)
+    code |= right
     if 2 * bits + place_bits > 64:  # a very long document
         order = np.argsort(code, kind="stable")
-        return code[order], at[order]
-    code <<= U(place_bits)
-    code |= at.astype(U)
-    code.sort()
-    return code >> U(place_bits), (code & U((1 << place_bits) - 1)).astype(np.int64)
-
-
-def _every_other(at: np.ndarray, twins: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Of pairs of twins (places ``at[twins]``) that overlap, the second, fourth and so on of a run."""
-    place = at[twins]
-    begins = np.concatenate([[True], place[1:] != after[place[:-1]]])
-    run = np.arange(len(place)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        code, place = code[order], at[order]
+    else:
+        code <<= U(place_bits)
+        code |= at.astype(U)
+        code.sort()
+        place = (code & U((1 << place_bits) - 1)).astype(np.int64)
+        code >>= U(place_bits)
+    begins = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1])
+    count = np.diff(begins, append=len(code))
+    often = count >= least
+    if not often.any():
+        return None
+    place, pair, count = place[np.repeat(often, count)], code[begins[often]], count[often]
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return place, np.repeat(rank, count), pair[order]
+
+
+def _every_other(twins: np.ndarray, touch: np.ndarray) -> np.ndarray:
+    """Of twins, pairs of one id, the second, fourth and so on of each run that overlaps (``touch``: the one before)."""
+    begins = np.concatenate([[True], ~touch])
+    run = np.arange(len(twins)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
     return twins[run % 2 == 1]
 
 
+class _Rules:
+    """The rules made so far and what they expand to."""
+
+    def __init__(self, first_free: int):
+        self.first_free, self.parts, self.lengths = first_free, [np.empty((0, 2), np.uint32)], np.empty(0, np.uint32)
+
+    @property
+    def bits(self) -> int:
+        return (self.first_free + len(self.lengths)).bit_length()
+
+    def add(self, pairs: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Make rules of the ``good`` ones of ``pairs`` (by rank); returns the symbol of each rank."""
+        bits, made = U(self.bits), len(self.lengths)
+        pairs = pairs[good]
+        a, b = (pairs >> bits).astype(np.uint32), (pairs & ((U(1) << bits) - U(1))).astype(np.uint32)
+        self.parts.append(np.stack([a, b], 1))
+        self.lengths = np.concatenate([self.lengths, _length_of(a, self.lengths, self.first_free) + _length_of(b, self.lengths, self.first_free)])
+        return (np.cumsum(good) - 1 + self.first_free + made).astype(np.uint32)
+
+
+def _dense_rounds(seq: np.ndarray, last: np.ndarray, rules: _Rules, place_bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rounds over whole arrays, until two thirds of the pairs need no second look: symbols, ends, open places."""
+    mark = ~last
+    mark[-1:] = False
+    while len(at := np.flatnonzero(mark)) * 3 > len(seq):
+        twins = np.flatnonzero((seq[1:] == seq[:-1]) & mark[:-1])
+        odd = _every_other(twins, twins[1:] == twins[:-1] + 1) if len(twins) else twins
+        if len(odd):
+            mark[odd] = False
+            at = np.flatnonzero(mark)
+        if (found := _frequent(seq[at], seq[at + 1], at, rules.bits, place_bits, least)) is None:
+            return seq, last, at[:0]
+        place, own, pairs = found
+        rank = np.full(len(seq), UNRANKED, np.int32)
+        rank[place] = own
+        left, won = rank.copy(), np.zeros(len(seq), bool)
+        for _ in range(2):  # of occurrences that overlap, that of the better rank; then among the rest
+            lower, best = left[1:] < left[:-1], left != UNRANKED
+            best[1:] &= lower
+            best[:-1] &= ~lower
+            won |= best
+            left[best] = UNRANKED
+            left[1:][best[:-1]] = UNRANKED
+            left[:-1][best[1:]] = UNRANKED
+        here = np.flatnonzero(won)
+        good = np.bincount(rank[here], minlength=len(pairs)) >= least
+        here = here[good[rank[here]]]
+        seq[here] = rules.add(pairs, good)[rank[here]]
+        last[here] = last[here + 1]
+        keep = np.ones(len(seq), bool)
+        keep[here + 1] = False
+        mark = rank != UNRANKED
+        mark[odd] = mark[here] = True
+        back = here[here > 0] - 1
+        mark[back - ~keep[back]] = True
+        mark &= ~last
+        seq, last, mark = seq[keep], last[keep], mark[keep]
+        mark[-1:] = False
+    return seq, last, at
+
+
 def _winners(place: np.ndarray, rank: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Which occurrences are replaced: of those that overlap, that of the better rank; twice over."""
+    """Which occurrences are replaced: of those that overlap, that of the better rank; then among the rest."""
     won, left = np.zeros(len(place), bool), np.arange(len(place))
     for _ in range(2):
         p, r = place[left], rank[left]
@@ -77,67 +158,53 @@ def _winners(place: np.ndarray, rank: np.ndarray, after: np.ndarray) -> np.ndarr
     return won
 
 
-def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: symbols, their document-end flags, rules, and the length that each expands to.
-
-    ``last`` flags the ids that end a document; a pair never spans such an end. A round takes
-    all pairs that occur ``least`` times or more, the more frequent before the others where
-    occurrences overlap (ties: the smaller pair), and makes a rule of each that is replaced
-    ``least`` times. The most frequent pair always is, so rounds go on until no pair occurs
-    ``least`` times. Only pairs with a symbol of the last round, or that waited in it, can be
-    frequent in the next, so that alone is looked at again; what is replaced stays linked to
-    its neighbours by place. A rule takes the room of two symbols and its length: pairs that
-    occur twice would cost more than they save.
-    """
-    seq, last, n = ids.astype(np.uint32), last.copy(), len(ids)
+def _linked_rounds(seq: np.ndarray, last: np.ndarray, at: np.ndarray, rules: _Rules, place_bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds over the open places alone; symbols are linked to their neighbours, as gaps stay."""
+    n = len(seq)
     after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
-    rules, lengths, place_bits = [np.empty((0, 2), np.uint32)], np.empty(0, np.uint32), max(1, n.bit_length())
-    at = np.flatnonzero(~last[:-1])
     while len(at) >= least:
-        bits, made = (first_free + len(lengths)).bit_length(), len(lengths)
         left, right = seq[at], seq[after[at]]
-        twins = np.flatnonzero(left == right)
-        odd = _every_other(at, twins, after) if len(twins) else twins
-        waiting = at[odd]
+        twins = at[left == right]
+        odd = _every_other(twins, twins[1:] == after[twins[:-1]]) if len(twins) else twins
         if len(odd):
-            at, left, right = np.delete(at, odd), np.delete(left, odd), np.delete(right, odd)
-        code, place = _grouped(left, right, at, bits, place_bits)
-        begins = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1])
-        count = np.diff(begins, append=len(code))
-        often = count >= least
-        if not often.any():
+            rest = np.flatnonzero(~np.isin(at, odd))
+            at, left, right = at[rest], left[rest], right[rest]
+        if (found := _frequent(left, right, at, rules.bits, place_bits, least)) is None:
             break
-        place, pair, count = place[np.repeat(often, count)], code[begins[often]], count[often]
-        order = np.argsort(-count, kind="stable")
-        rank = np.empty(len(order), U)
-        rank[order] = np.arange(len(order), dtype=U)
-        both = place.astype(U) << U(32) | np.repeat(rank, count)
-        both.sort()
-        place, rank = (both >> U(32)).astype(np.int64), both.astype(np.uint32)
+        place, rank, pairs = found
+        order = np.argsort(place)
+        place, rank = place[order], rank[order]
         won = _winners(place, rank, after)
         here, rank = place[won], rank[won]
-        good = np.bincount(rank, minlength=len(pair)) >= least
+        good = np.bincount(rank, minlength=len(pairs)) >= least
         here, rank = here[good[rank]], rank[good[rank]]
-        pair = pair[order][good]
-        a, b = (pair >> U(bits)).astype(np.uint32), (pair & U((1 << bits) - 1)).astype(np.uint32)
-        seq[here] = first_free + made + (np.cumsum(good) - 1)[rank]
-        rules.append(np.stack([a, b], 1))
-        lengths = np.concatenate([lengths, _length_of(a, lengths, first_free) + _length_of(b, lengths, first_free)])
+        seq[here] = rules.add(pairs, good)[rank]
         dead = after[here]
         last[here], alive[dead] = last[dead], False
         after[here] = after[dead]
         inside = after[here] < n
         before[after[here][inside]] = here[inside]
         back = before[here]
-        at = np.concatenate([place, waiting, back[back >= 0]])
-        at.sort()
-        at = at[np.concatenate([[True], at[1:] != at[:-1]]) & alive[at] & ~last[at]]
-        if 8 * len(here) > n:  # close the gaps
-            at = (np.cumsum(alive) - 1)[at]
-            seq, last = seq[alive], last[alive]
-            n = len(seq)
-            after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
-    return seq[alive], last[alive], np.concatenate(rules), lengths
+        at = np.unique(np.concatenate([place, odd, back[back >= 0]]))
+        at = at[alive[at] & ~last[at]]
+    return seq[alive], last[alive]
+
+
+def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: symbols, their document-end flags, rules, and the length that each expands to.
+
+    ``last`` flags the ids that end a document; a pair never spans such an end. A round takes
+    all pairs that occur ``least`` times or more, the more frequent before the others where
+    occurrences overlap (ties: the smaller pair), and makes a rule of each that is replaced
+    ``least`` times. The most frequent pair always is, so rounds go on until no pair occurs
+    ``least`` times. Only pairs with a symbol of the last round, or that waited in it, can be
+    frequent in the next, so those alone are looked at again. A rule takes the room of two
+    symbols and its length: pairs that occur twice would cost more than they save.
+    """
+    rules, place_bits = _Rules(first_free), max(1, len(ids).bit_length())
+    seq, last, at = _dense_rounds(ids.astype(np.uint32), last.copy(), rules, place_bits, least)
+    seq, last = _linked_rounds(seq, last, at, rules, place_bits, least)
+    return seq, last, np.concatenate(rules.parts), rules.lengths
 
 
 def _length_of(symbols: np.ndarray, lengths: np.ndarray, first_free: int) -> np.ndarray:

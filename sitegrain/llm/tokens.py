@@ -33,12 +33,12 @@ def _loosened(texts: pa.Array) -> pa.Array:
     Line feeds become spaces. A to Z become lower case, as the vocabulary does itself, but not
     in a text where that could write a special token, which starts with ``<|``, or where a mark
     follows a capital: the vocabulary composes before it lowers, and some small letters have a
-    composed form that the capital lacks. A comma or full stop between
-    a letter or digit and a space gets a space before it: it is a piece of its own anyway.
+    composed form that the capital lacks. Signs between a small letter and a space get a space
+    before them: signs and letters never share a piece, unless an apostrophe comes before.
     """
     texts = pc.replace_substring(texts, "\n", " ")
     texts = pc.if_else(pc.match_substring_regex(texts, r"<\||[A-Z]\p{M}"), texts, pc.ascii_lower(texts))
-    return pc.replace_substring_regex(texts, "([a-z0-9])([.,]) ", r"\1 \2 ")
+    return pc.replace_substring_regex(texts, r"([\p{Ll}0-9])([!-&(-;=?@\[-`{}~]+) ", r"\1 \2 ")
 
 
 def shared_tokenizer(path: str, capacity: int) -> ChunkTokenizer:
