@@ -2,7 +2,10 @@
 
 Every stage takes the rows that the one before it kept, and all but the last return the
 columns of ``documents``. Rows are whole documents throughout; no stage samples or cuts its
-input. Held by ``tests/llm/test_pipeline.py`` against a brute-force version, stage by stage.
+input. Null texts are empty ones to all stages, rows without a doc_id are kept, rows that repeat
+a doc_id are taken as one document by the near-duplicates alone, very long texts are taken
+whole, and an empty table gives an empty table. Columns of ``documents`` may have any names.
+Held by ``tests/llm/test_queries.py`` against a brute-force version, stage by stage.
 """
 
 from __future__ import annotations

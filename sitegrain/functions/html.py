@@ -16,97 +16,153 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import urls
+from .columns import let
 from .values import NOISE_TAGS, STRUCTURAL_CLASSES
 
 _QUOTED = """(?:"([^"]*)"|'([^']*)'|([^\\s"'>]+))"""
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: The commonest named entities; ampersands come last.
+_ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&middot;", "·"), ("&bull;", "•"), ("&para;", "¶"), ("&sect;", "§"), ("&rarr;", "→"), ("&larr;", "←"), ("&times;", "×"), ("&amp;", "&"),
+)
+#: What a parser does not look into: comments, and what scripts and styles hold. What is not closed goes on to the end.
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s>])[^>]*>.*?(?:</\1\s*>|\z)"
+
+
+def _numbered(text: Column) -> Column:
+    """Text with numbers of characters resolved, decimal and hexadecimal."""
+
+    def one(done: Column, entity: Column) -> Column:
+        digits = F.regexp_extract(entity, "(?i)^&#x?([0-9a-f]{1,6});", 1)
+        code = F.when(entity.rlike("(?i)^&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+        char = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.replace(done, entity, char)
+
+    listed = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(0)))
+    return F.when(text.contains("&#"), F.aggregate(listed, text, one)).otherwise(text)
 
 
 def unescaped(text: Column) -> Column:
-    """Text with the commonest entities resolved."""
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Text with entities resolved: the commonest names, and all numbers."""
+
+    def named(text: Column) -> Column:
+        for entity, char in _ENTITIES:
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        return text
+
+    return let(text, lambda t: F.when(t.contains("&"), let(_numbered(t), named)).otherwise(t))
 
 
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's value in a tag's text, or null."""
     pattern = rf"(?is)\s{name}\s*=\s*{_QUOTED}"
-    value = F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
-    return F.when(tag.rlike(pattern), unescaped(value))
+    return let(tag, lambda t: F.when(t.rlike(pattern), unescaped(F.concat(*(F.regexp_extract(t, pattern, i) for i in (1, 2, 3))))))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def plain_text(fragment: Column) -> Column:
-    """A fragment's text without tags and without space around it."""
-    return F.trim(unescaped(F.regexp_replace(fragment, "(?s)<[^>]*>", "")))
+    """A fragment's text: the pieces between its tags, each without space around it, joined."""
+    return F.array_join(F.transform(F.split(fragment, "(?s)<[^>]*>", -1), lambda x: _stripped(unescaped(x))), "")
+
+
+def seen(html: Column) -> Column:
+    """A page without comments, scripts and styles."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), _UNSEEN, "")
 
 
 def _tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?is)<{name}(?=[\s>/])[^>]*>"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?is)<(?:{name})(?=[\s>/])[^>]*>"), F.lit(0))
 
 
 def links(pages: DataFrame) -> DataFrame:
     """Anchors of ``pages`` (page_id, url, html): page_id, pos, href (resolved), raw, text, rel.
 
-    ``pos`` counts the anchors with an href from 0. References to fragments, mail, telephone,
-    scripts and data are left out.
+    ``pos`` counts the anchors with an href from 0. An anchor goes on to its end tag, to the
+    next anchor or to the page's end. References to fragments, mail, telephone, scripts and
+    data are left out, and so is what stands in comments, scripts and styles.
     """
-    anchors = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(r"(?is)<a\s[^>]*>(?:(?!<a\s).)*?</a>"), F.lit(0))
-    rows = pages.select("page_id", "url", F.posexplode(F.filter(anchors, lambda a: a.rlike(r"(?is)^<a\s[^>]*\bhref\s*="))).alias("pos", "tag"))
-    head = F.regexp_extract("tag", "(?is)^(<a[^>]*>)", 1)
-    rows = rows.select("page_id", "url", "pos", F.trim(attribute(head, "href")).alias("raw"), plain_text(F.col("tag")).alias("text"), F.coalesce(attribute(head, "rel"), F.lit("")).alias("rel"))
-    rows = rows.where(urls.link_is_navigation(F.col("raw")))
-    return rows.select("page_id", F.col("url").alias("source_url"), "pos", urls.resolve(F.col("url"), F.col("raw")).alias("href"), "raw", "text", "rel")
+    parts = F.split(seen(F.col("html")), r"(?i)(?=<a[\s>/])|</a\s*>", -1)
+    anchors = F.filter(parts, lambda a: a.rlike(r"(?is)^<a\s(?:[^>]*\s)?href\s*="))
+
+    def told(tag: Column) -> Column:
+        """All of an anchor at once, so that no later filter makes it again."""
+
+        def whole(head: Column, raw: Column) -> Column:
+            href = F.when(urls.link_is_navigation(raw), urls.resolve(F.col("url"), raw))
+            return F.struct(raw.alias("raw"), href.alias("href"), plain_text(tag).alias("text"), F.coalesce(attribute(head, "rel"), F.lit("")).alias("rel"))
+
+        return let(F.regexp_extract(tag, "(?is)^(<a[^>]*>)", 1), lambda head: let(F.trim(attribute(head, "href")), lambda raw: whole(head, raw)))
+
+    rows = pages.select("page_id", F.col("url").alias("source_url"), F.posexplode(F.transform(anchors, told)).alias("pos", "a")).where("a.href is not null")
+    return rows.select("page_id", "source_url", "pos", "a.href", "a.raw", "a.text", "a.rel")
 
 
 def link_tags(pages: DataFrame) -> DataFrame:
     """``<link href>`` tags: page_id, pos, href (resolved), rel."""
-    rows = pages.select("page_id", "url", F.posexplode(_tags(F.col("html"), "link")).alias("pos", "tag"))
-    rows = rows.withColumn("raw", F.trim(attribute(F.col("tag"), "href"))).where("raw <> ''")
-    return rows.select("page_id", "pos", urls.resolve(F.col("url"), F.col("raw")).alias("href"), F.coalesce(attribute(F.col("tag"), "rel"), F.lit("")).alias("rel"))
+
+    def told(tag: Column) -> Column:
+        href = lambda raw: F.when(raw != "", urls.resolve(F.col("url"), raw))
+        return F.struct(let(F.trim(attribute(tag, "href")), href).alias("href"), F.coalesce(attribute(tag, "rel"), F.lit("")).alias("rel"))
+
+    rows = pages.select("page_id", F.posexplode(F.transform(_tags(F.col("html"), "link"), told)).alias("pos", "t")).where("t.href is not null")
+    return rows.select("page_id", "pos", "t.href", "t.rel")
 
 
-def _meta(html: Column, name: str, key: str = "name") -> Column:
-    """Content of the first meta tag of a name, or an empty string."""
-    found = F.filter(_tags(html, "meta"), lambda t: F.lower(attribute(t, key)) == name)
+def _meta(tags: Column, name: str, key: str = "name") -> Column:
+    """Content of the first meta tag of a name among ``tags``, or an empty string."""
+    found = F.filter(tags, lambda t: t.rlike("(?i)^<meta") & (F.lower(attribute(t, key)) == name))
     return F.coalesce(attribute(F.get(found, F.lit(0)), "content"), F.lit(""))
 
 
 def metadata(html: Column, url: Column) -> Column:
-    """struct<title, generator, description, canonical_url, charset> of a page."""
+    """struct<title, generator, description, canonical_url, charset> of a page.
+
+    The page is looked through once for its title and once for its tags.
+    """
+
+    def told(tags: Column) -> Column:
+        canonical = F.get(F.filter(tags, lambda t: t.rlike("(?i)^<link") & F.coalesce(attribute(t, "rel"), F.lit("")).rlike("(?:^|\\s)canonical(?:$|\\s)")), F.lit(0))
+        href = attribute(canonical, "href")
+        charset = attribute(F.get(F.filter(tags, lambda t: t.rlike(r"(?i)^<meta.*\scharset\s*=")), F.lit(0)), "charset")
+        declared = F.regexp_extract(F.lower(_meta(tags, "content-type", "http-equiv")), "charset=(.*)$", 1)
+        return F.struct(
+            _meta(tags, "generator").alias("generator"),
+            _meta(tags, "description").alias("description"),
+            let(href, lambda h: F.when(F.coalesce(h, F.lit("")) != "", urls.resolve(url, h)).otherwise("")).alias("canonical_url"),
+            F.coalesce(charset, F.nullif(F.trim(declared), F.lit("")), F.lit("utf-8")).alias("charset"),
+        )
+
     title = plain_text(F.regexp_extract(F.coalesce(html, F.lit("")), "(?is)<title[^>]*>(.*?)</title>", 1))
-    canonical = F.get(F.filter(_tags(html, "link"), lambda t: F.coalesce(attribute(t, "rel"), F.lit("")).rlike("(?:^|\\s)canonical(?:$|\\s)")), F.lit(0))
-    href = attribute(canonical, "href")
-    charset = attribute(F.get(F.filter(_tags(html, "meta"), lambda t: t.rlike(r"(?i)\scharset\s*=")), F.lit(0)), "charset")
-    declared = F.regexp_extract(F.lower(_meta(html, "content-type", "http-equiv")), "charset=(.*)$", 1)
-    return F.struct(
-        title.alias("title"),
-        _meta(html, "generator").alias("generator"),
-        _meta(html, "description").alias("description"),
-        F.when(F.coalesce(href, F.lit("")) != "", urls.resolve(url, href)).otherwise("").alias("canonical_url"),
-        F.coalesce(charset, F.nullif(F.trim(declared), F.lit("")), F.lit("utf-8")).alias("charset"),
-    )
+    return let(let(_tags(html, "meta|link"), told), lambda m: F.struct(title.alias("title"), *(m[c].alias(c) for c in ("generator", "description", "canonical_url", "charset"))))
 
 
 def signals(html: Column) -> Column:
     """Marks that site generators leave in a homepage."""
     html = F.coalesce(html, F.lit(""))
-    hrefs = F.transform(_tags(html, "link"), lambda t: F.coalesce(attribute(t, "href"), F.lit("")))
-    scripts = F.transform(_tags(html, "script"), lambda t: F.lower(F.coalesce(attribute(t, "src"), F.lit(""))))
-    rels = F.transform(_tags(html, "link"), lambda t: F.coalesce(attribute(t, "rel"), F.lit("")))
-    return F.struct(
-        _meta(html, "generator").alias("meta_generator"),
-        F.exists(hrefs, lambda h: h.contains("/_static/") | h.startswith("_static/")).alias("static_dir"),
-        F.exists(hrefs, lambda h: h.contains("/assets/") | h.startswith("assets/")).alias("assets_dir"),
-        F.exists(hrefs, lambda h: h.contains(".vuepress")).alias("vuepress_dir"),
-        F.exists(scripts, lambda s: s.contains("docusaurus")).alias("docusaurus_detected"),
-        F.exists(scripts, lambda s: s.contains("mkdocs")).alias("mkdocs_detected"),
-        F.exists(scripts, lambda s: s.contains("searchtools.js")).alias("sphinx_searchtools"),
-        F.exists(rels, lambda r: r.rlike("(?:^|\\s)canonical(?:$|\\s)")).alias("has_canonical"),
-        html.contains("wy-grid-for-nav").alias("rtd_theme"),
-        html.contains("md-container").alias("mkdocs_material"),
-        F.lower(html).contains("docusaurus").alias("docusaurus_in_html"),
-    )
+
+    def told(tags: Column) -> Column:
+        of = lambda name: F.filter(tags, lambda t: t.rlike(f"(?i)^<{name}"))
+        hrefs = F.transform(of("link"), lambda t: F.coalesce(attribute(t, "href"), F.lit("")))
+        scripts = F.transform(of("script"), lambda t: F.lower(F.coalesce(attribute(t, "src"), F.lit(""))))
+        rels = F.transform(of("link"), lambda t: F.coalesce(attribute(t, "rel"), F.lit("")))
+        return F.struct(
+            _meta(tags, "generator").alias("meta_generator"),
+            F.exists(hrefs, lambda h: h.contains("/_static/") | h.startswith("_static/")).alias("static_dir"),
+            F.exists(hrefs, lambda h: h.contains("/assets/") | h.startswith("assets/")).alias("assets_dir"),
+            F.exists(hrefs, lambda h: h.contains(".vuepress")).alias("vuepress_dir"),
+            F.exists(scripts, lambda s: s.contains("docusaurus")).alias("docusaurus_detected"),
+            F.exists(scripts, lambda s: s.contains("mkdocs")).alias("mkdocs_detected"),
+            F.exists(scripts, lambda s: s.contains("searchtools.js")).alias("sphinx_searchtools"),
+            F.exists(rels, lambda r: r.rlike("(?:^|\\s)canonical(?:$|\\s)")).alias("has_canonical"),
+            html.contains("wy-grid-for-nav").alias("rtd_theme"),
+            html.contains("md-container").alias("mkdocs_material"),
+            F.lower(html).contains("docusaurus").alias("docusaurus_in_html"),
+        )
+
+    return let(_tags(html, "meta|link|script"), told)
 
 
 def best_guess(s: Column, has_objects_inv: Column, has_search_index: Column) -> Column:
@@ -172,9 +228,10 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self._open = [self.root]
+        self._paragraphs = 0  # open ones
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _BLOCKS and any(n.tag == "p" for n in self._open):
+        if tag in _BLOCKS and self._paragraphs:
             self.handle_endtag("p")
         elif tag in _SELF_ENDING and self._open[-1].tag == tag:
             self._open.pop()
@@ -182,6 +239,7 @@ class _Builder(HTMLParser):
         self._open[-1].children.append(node)
         if tag not in _VOID:
             self._open.append(node)
+            self._paragraphs += tag == "p"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self._open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
@@ -189,6 +247,7 @@ class _Builder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self._open) - 1, 0, -1):
             if self._open[i].tag == tag:
+                self._paragraphs -= sum(n.tag == "p" for n in self._open[i:])
                 del self._open[i:]
                 return
 
@@ -204,23 +263,57 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+#: Elements that belong to a page's head where it has no body tag.
+_HEAD = frozenset(("head", "title", "base", "link", "meta", "style", "script"))
+
+
+def _without_noise(root: Node) -> None:
+    """Take noise elements out of a tree, with all that is in them."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in NOISE_TAGS]
+        stack += node.elements()
+
+
+def _body(root: Node) -> Node:
+    """A page's body; without a body tag, one of all that is not the head's. An empty page is its own.
+
+    Text that stands there on its own is a paragraph, with what follows it in the line.
+    """
+    if (own := next((n for n in root.walk() if n.tag == "body"), None)) is not None:
+        return own
+    inner = [c for n in root.children for c in (n.children if isinstance(n, Node) and n.tag == "html" else [n])]
+    body, line = Node("body", {}), None
+    for c in inner:
+        if isinstance(c, Node) and c.tag in _HEAD:
+            continue
+        if isinstance(c, Node) and c.tag in _BLOCKS | _SELF_ENDING:
+            line = None
+        elif isinstance(c, str) and c.strip() and line is None:
+            line = Node("p", {})
+            body.children.append(line)
+        (body if line is None else line).children.append(c)
+    return body if any(isinstance(c, Node) for c in inner) or body.text() else root
+
+
 def skeleton(html: str | None, max_chars: int = 6000) -> str:
     """A page's structure: a line for each element, with the classes and ids that say something."""
     root = parse(html)
-    body = next((n for n in root.walk() if n.tag == "body"), root)
+    _without_noise(root)
     lines: list[str] = []
-    stack = [(body, 0)]
+    stack = [(_body(root), 0)]
     while stack:
         node, depth = stack.pop()
         style = node.attrs.get("style", "")
-        if node.tag in NOISE_TAGS or "display:none" in style or "display: none" in style:
+        if "display:none" in style or "display: none" in style:
             continue
         kept = [c for c in node.classes if c.lower() in STRUCTURAL_CLASSES][:3]
         line = ".".join([node.tag or "[document]", *kept])
         own = node.attrs.get("id", "")
         if own and len(own) < 40 and not own.startswith("id-"):
             line += f"#{own}"
-        below = [c for c in node.elements() if c.tag not in NOISE_TAGS]
+        below = node.elements()
         if not below and (text := node.text()):
             line += " [LONG_TEXT]" if len(text) > 80 else f' "{text[:50]}"'
         lines.append("  " * depth + line)

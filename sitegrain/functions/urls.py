@@ -1,7 +1,8 @@
 """URL functions as Column expressions: parsing, canonical forms, resolution, versions.
 
 All stay in the JVM. URLs are taken apart by one regular expression after RFC 3986, which
-never fails; malformed input gives odd parts, not errors. A null URL gives nulls.
+never fails; malformed input gives odd parts, not errors. A null URL gives nulls. A URL is
+taken apart once, however many of its parts are used.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
 from .values import ASSET_EXTENSIONS, LANGUAGES, SKIP_EXTENSIONS, SKIP_PREFIXES, TRACKING_PARAMS
 
 #: Groups: 1 scheme, 2 authority with its slashes, 3 authority, 4 path, 5 query, 6 fragment.
@@ -20,6 +22,15 @@ def part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, SPLIT, group)
 
 
+#: Stands between the parts of a URL, which has no such character.
+_SEP = "\ue000"
+
+
+def parts(url: Column) -> Column:
+    """All parts of a URL, by their groups from 0."""
+    return F.split(F.regexp_replace(F.translate(url, _SEP, "\ufffd"), SPLIT, _SEP.join(f"${i}" for i in range(1, 7))), _SEP, -1)
+
+
 def with_scheme(url: Column) -> Column:
     """https is assumed where no http, https or ftp stands before; the test heeds case."""
     return F.when((url == "") | url.rlike("^(?:http|https|ftp)://"), url).otherwise(F.concat(F.lit("https://"), url))
@@ -38,19 +49,29 @@ def _without_params(path: Column) -> Column:
     return F.regexp_replace(path, ";[^/]*$", "")
 
 
+def _scheme(p: Column) -> Column:
+    return F.when(p[0] == "", "https").otherwise(F.lower(p[0]))
+
+
+def _host(p: Column) -> Column:
+    return _without_default_port(F.lower(p[2]), _scheme(p))
+
+
+def _path(p: Column) -> Column:
+    return let(_without_params(p[3]), lambda x: F.when(x == "", "/").otherwise(x))
+
+
 def scheme_of(url: Column) -> Column:
-    scheme = F.lower(part(with_scheme(url), 1))
-    return F.when(scheme == "", "https").otherwise(scheme)
+    return let(parts(with_scheme(url)), _scheme)
 
 
 def host_of(url: Column) -> Column:
     """Authority in lower case without a default port."""
-    return _without_default_port(F.lower(part(with_scheme(url), 3)), scheme_of(url))
+    return let(parts(with_scheme(url)), _host)
 
 
 def path_of(url: Column) -> Column:
-    path = _without_params(part(with_scheme(url), 4))
-    return F.when(path == "", "/").otherwise(path)
+    return let(parts(with_scheme(url)), _path)
 
 
 def fragment_of(url: Column) -> Column:
@@ -77,7 +98,11 @@ def query_pairs(query: Column) -> Column:
         F.filter(F.split(query, "&"), lambda x: x != ""),
         lambda x: F.struct(_decoded(F.regexp_extract(x, "(?s)^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1)).alias("v")),
     )
-    return F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["k"]), x["k"]) == i + 1)
+
+    def first(pairs: Column) -> Column:
+        return let(F.transform(pairs, lambda y: y["k"]), lambda keys: F.filter(pairs, lambda x, i: F.array_position(keys, x["k"]) == i + 1))
+
+    return let(pairs, first)
 
 
 def sorted_query(query: Column, without: frozenset[str] | set[str] = frozenset()) -> Column:
@@ -89,13 +114,12 @@ def sorted_query(query: Column, without: frozenset[str] | set[str] = frozenset()
 
 
 def _asked(base: Column, query: Column) -> Column:
-    return F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), query))
+    return let(query, lambda q: F.when(q == "", base).otherwise(F.concat(base, F.lit("?"), q)))
 
 
 def parsed_key(url: Column) -> Column:
     """The key of the first deduplication: scheme, host, path and sorted query, no fragment."""
-    base = F.concat(scheme_of(url), F.lit("://"), host_of(url), path_of(url))
-    return _asked(base, sorted_query(part(with_scheme(url), 5)))
+    return let(parts(with_scheme(url)), lambda p: _asked(F.concat(_scheme(p), F.lit("://"), _host(p), _path(p)), F.when(p[4] == "", "").otherwise(sorted_query(p[4]))))
 
 
 def normal_path(path: Column, keep_two_slashes: bool = False) -> Column:
@@ -119,20 +143,24 @@ def normal_path(path: Column, keep_two_slashes: bool = False) -> Column:
 def canonical(url: Column) -> Column:
     """The canonical form: lower scheme and host, no default port, fragment, path parameters
     or tracking parameters, sorted query, resolved dots, no slash at the end but the root's."""
-    full = with_scheme(url)
-    scheme = F.lower(part(full, 1))
-    host = _without_default_port(F.lower(part(full, 3)), scheme)
-    path = normal_path(path_of(url))
-    path = F.when(path == ".", "/").otherwise(path)
-    base = F.concat(scheme, F.lit("://"), host, path)
-    return F.when(url == "", "").otherwise(_asked(base, sorted_query(part(full, 5), TRACKING_PARAMS)))
+
+    def whole(p: Column) -> Column:
+        scheme = F.lower(p[0])
+        path = let(_path(p), lambda x: let(normal_path(x), lambda y: F.when(y == ".", "/").otherwise(y)))
+        base = F.concat(scheme, F.lit("://"), _without_default_port(F.lower(p[2]), scheme), path)
+        return _asked(base, F.when(p[4] == "", "").otherwise(sorted_query(p[4], TRACKING_PARAMS)))
+
+    return F.when(url == "", "").otherwise(let(parts(with_scheme(url)), whole))
 
 
 def frontier_key(url: Column) -> Column:
     """The key of the crawl's visited set: the query stays as it is, an empty path stays empty."""
-    path = _without_params(part(url, 4))
-    path = F.when(path == "", "").otherwise(normal_path(path, keep_two_slashes=True))
-    return _asked(F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 3)), path), part(url, 5))
+
+    def whole(p: Column) -> Column:
+        path = let(_without_params(p[3]), lambda x: F.when(x == "", "").otherwise(normal_path(x, keep_two_slashes=True)))
+        return _asked(F.concat(F.lower(p[0]), F.lit("://"), F.lower(p[2]), path), p[4])
+
+    return let(parts(url), whole)
 
 
 def is_asset(url: Column, extensions: tuple[str, ...] = ASSET_EXTENSIONS) -> Column:
@@ -143,17 +171,13 @@ def is_asset(url: Column, extensions: tuple[str, ...] = ASSET_EXTENSIONS) -> Col
 
 def should_skip(url: Column) -> Column:
     """Whether a link is no page: other schemes, listed extensions, feeds, machine interfaces."""
-    path = F.lower(_without_params(part(url, 4)))
-    bare = F.regexp_replace(path, "/+$", "")
-    extension = F.regexp_extract(F.regexp_extract(bare, "([^/]*)$", 1), r"(\.[^.]*)$", 1)
-    return (
-        ~F.lower(part(url, 1)).isin("http", "https")
-        | extension.isin(*SKIP_EXTENSIONS)
-        | bare.isin("/feed", "/rss")
-        | path.contains("/feed/")
-        | path.contains("/rss/")
-        | path.contains("/wp-json/")
-    )
+
+    def skipped(path: Column) -> Column:
+        bare = F.regexp_replace(path, "/+$", "")
+        extension = F.regexp_extract(F.regexp_extract(bare, "([^/]*)$", 1), r"(\.[^.]*)$", 1)
+        return extension.isin(*SKIP_EXTENSIONS) | bare.isin("/feed", "/rss") | path.contains("/feed/") | path.contains("/rss/") | path.contains("/wp-json/")
+
+    return let(parts(url), lambda p: ~F.lower(p[0]).isin("http", "https") | let(F.lower(_without_params(p[3])), skipped))
 
 
 def bare_host(url: Column) -> Column:
@@ -165,7 +189,7 @@ def is_internal(url: Column, root: str | Column) -> Column:
     """Whether a URL's host is the root domain or lies below it."""
     root = F.lit(root) if isinstance(root, str) else root
     root = F.regexp_replace(F.lower(root), r"^www\.", "")
-    return (bare_host(url) == root) | bare_host(url).endswith(F.concat(F.lit("."), root))
+    return let(bare_host(url), lambda host: (host == root) | host.endswith(F.concat(F.lit("."), root)))
 
 
 def should_crawl_reason(url: Column, depth: Column, n_internal: Column, root: str, max_depth: int = 3, max_internal: int = 10_000) -> Column:
@@ -188,29 +212,32 @@ def resolve(base: Column, href: Column) -> Column:
 
     Runs of one segment that repeats become one segment.
     """
-    scheme, own = F.lower(part(base, 1)), F.lower(part(href, 1))
-    path, base_path = part(href, 4), part(base, 4)
-    has_host = part(href, 2) != ""
-    foreign = (own != "") & (own != scheme)
-    parts = F.concat(F.slice(F.split(base_path, "/"), F.lit(1), F.greatest(F.size(F.split(base_path, "/")) - 1, F.lit(0))), F.split(path, "/"))
-    parts = F.when(path.startswith("/"), F.split(path, "/")).otherwise(F.filter(parts, lambda x, i: (x != "") | (i == 0) | (i == F.size(parts) - 1)))
 
     def step(done: Column, x: Column) -> Column:
         return F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
 
-    walked = F.aggregate(parts, F.expr(_EMPTY), step)
-    walked = F.when(F.get(parts, F.size(parts) - 1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    merged = F.array_join(walked, "/")
-    merged = F.when(merged == "", "/").otherwise(merged)
-    same_page = (path == "") & ~has_host
-    new_path = F.when(has_host, path).when(same_page, base_path).otherwise(merged)
-    query = F.when(same_page & (part(href, 5) == ""), part(base, 5)).otherwise(part(href, 5))
-    host = F.when(has_host, part(href, 3)).otherwise(part(base, 3))
-    rooted = F.when((new_path == "") | new_path.startswith("/"), new_path).otherwise(F.concat(F.lit("/"), new_path))
-    rooted = F.regexp_replace(rooted, r"(/[^/]+)\1+(?=/|$)", "$1")
-    tail = F.when(part(href, 6) == "", "").otherwise(F.concat(F.lit("#"), part(href, 6)))
-    made = F.concat(_asked(F.concat(scheme, F.lit("://"), host, rooted), query), tail)
-    return F.when(href == "", base).when(foreign, href).otherwise(made)
+    def walked(own: Column) -> Column:
+        """A path's segments without dots; an empty path is the root."""
+        end = F.when(F.get(own, F.size(own) - 1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.expr(_EMPTY))
+        return let(F.array_join(F.concat(F.aggregate(own, F.expr(_EMPTY), step), end), "/"), lambda x: F.when(x == "", "/").otherwise(x))
+
+    def joined(b: Column, h: Column) -> Column:
+        """The reference's path, or the base's without its last segment and then the reference's."""
+        below = lambda up: let(F.concat(F.slice(up, F.lit(1), F.greatest(F.size(up) - 1, F.lit(0))), F.split(h[3], "/")), lambda own: F.filter(own, lambda x, i: (x != "") | (i == 0) | (i == F.size(own) - 1)))
+        return F.when(h[3].startswith("/"), F.split(h[3], "/")).otherwise(let(F.split(b[3], "/"), below))
+
+    def made(b: Column, h: Column) -> Column:
+        has_host = h[1] != ""
+        same_page = (h[3] == "") & ~has_host
+        path = F.when(has_host, h[3]).when(same_page, b[3]).otherwise(let(joined(b, h), walked))
+        rooted = let(path, lambda x: F.when((x == "") | x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x)))
+        query = F.when(same_page & (h[4] == ""), b[4]).otherwise(h[4])
+        tail = F.when(h[5] == "", "").otherwise(F.concat(F.lit("#"), h[5]))
+        start = F.concat(F.lower(b[0]), F.lit("://"), F.when(has_host, h[2]).otherwise(b[2]), F.regexp_replace(rooted, r"(/[^/]+)\1+(?=/|$)", "$1"))
+        foreign = (h[0] != "") & (F.lower(h[0]) != F.lower(b[0]))
+        return F.when(foreign, href).otherwise(F.concat(_asked(start, query), tail))
+
+    return F.when(href == "", base).otherwise(let(parts(base), lambda b: let(parts(href), lambda h: made(b, h))))
 
 
 _VERSION = r"(?i)^(?:stable|dev|latest|master|main|v?[0-9]+(?:\.[0-9]+)*)$"

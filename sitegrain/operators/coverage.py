@@ -15,21 +15,30 @@ MOST_TEMPLATES = 20_000
 def matches(rows: DataFrame, templates: DataFrame, path: Column | None = None) -> DataFrame:
     """seq, canonical_url and template_id of each URL's first template in the order of ``rank``.
 
-    Templates without a wildcard are found by an equality on the number of segments, those
-    with one by a bound on it; the few templates are broadcast after their count is checked.
-    Segments must fit one by one; a template without segments takes the root alone.
+    A template is found by an equality: on the number of segments (with a wildcard, of those
+    before it), and on its first literal segment and that one's place, if it has any. So a URL
+    gives a row for each of its segments and for each length of a wildcard's beginning, and
+    meets only templates that could fit. They are broadcast if their count says that they are
+    few. All segments must fit one by one; a template without segments takes the root alone.
     """
     path = F.coalesce("version_free_path", "path") if path is None else path
-    own = rows.select("seq", "canonical_url", urls.segments(path).alias("_s")).withColumn("_n", F.size("_s"))
     parts = templates.select("template_id", "rank", urls.segments(F.col("pattern")).alias("_t"))
+    wild = F.array_position("_t", "...")
+    parts = parts.withColumn("_wild", wild > 0).withColumn("_t", F.when(wild > 0, F.slice("_t", F.lit(1), (wild - 1).cast("int"))).otherwise(F.col("_t")))
+    first = F.array_position(F.transform("_t", lambda x: ~x.rlike("^<.*>$")), F.lit(True)).cast("int")
+    parts = parts.withColumns({"_n": F.size("_t"), "_at": first, "_word": F.when(first > 0, F.lower(F.element_at("_t", F.greatest(first, F.lit(1))))).otherwise("")})
+    lengths = [r._n for r in parts.where("_wild").select("_n").distinct().collect()]  # as many as a pattern has segments
     if templates.count() <= MOST_TEMPLATES:
         parts = F.broadcast(parts)
-    wild = F.array_position("_t", "...")
-    fixed, open_ended = parts.where(wild == 0).withColumn("_n", F.size("_t")), parts.where(wild > 0).withColumn("_t", F.slice("_t", F.lit(1), (wild - 1).cast("int")))
+    own = rows.select("seq", "canonical_url", urls.segments(path).alias("_s"))
+    none = F.array(F.struct(F.lit(0).alias("_at"), F.lit("").alias("_word")))
+    words = F.transform("_s", lambda x, i: F.struct((i + 1).alias("_at"), F.lower(x).alias("_word")))
+    reach = lambda wild, n: F.struct(F.lit(wild).alias("_wild"), n.alias("_n"))
+    ends = F.array(reach(False, F.size("_s")), *(F.when(F.size("_s") >= n, reach(True, F.lit(n))) for n in lengths))
+    asked = own.select("*", F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("_e")).select("*", F.explode(F.concat(none, words)).alias("_w"))
+    asked = asked.select("seq", "canonical_url", "_s", "_e._wild", "_e._n", "_w._at", "_w._word").where("_at <= _n")
     fit = F.forall(F.arrays_zip("_s", "_t"), lambda x: x["_t"].isNull() | F.coalesce(segments.fits(x["_s"], x["_t"]), F.lit(False)))
-    exact = own.join(fixed, "_n").where(fit)
-    longer = own.join(open_ended, F.col("_n") >= F.size("_t")).where(fit)
-    found = exact.select("seq", "canonical_url", "template_id", "rank").unionByName(longer.select("seq", "canonical_url", "template_id", "rank"))
+    found = asked.join(parts, ["_wild", "_n", "_at", "_word"]).where(fit)
     return found.groupBy("seq", "canonical_url").agg(F.min_by("template_id", "rank").alias("template_id"))
 
 

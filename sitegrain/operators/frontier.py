@@ -89,10 +89,16 @@ def crawl_pages(pages: DataFrame, seed_url: str, max_depth: int = 3, max_interna
     at = keyed.select(F.col("key").alias("node"), "url")
     internal = nodes.join(at, "node").join(at.select(F.col("node").alias("parent"), F.col("url").alias("source_url")), "parent", "left")
     outside = links.where("not internal").join(nodes.select(F.col("node").alias("src"), "depth", F.col("seq").alias("_at")), "src")
-    outside = outside.select((F.col("depth").cast("long") * (1 << 50) + F.col("_at") * (1 << 16) + F.col("pos")).alias("seq"), F.col("href").alias("url"), "source_url", (F.col("depth") + 1).alias("depth"), F.col("text").alias("link_text"))
+    outside = outside.select(F.struct("depth", "_at", "pos").alias("seq"), F.col("href").alias("url"), "source_url", (F.col("depth") + 1).alias("depth"), F.col("text").alias("link_text"))
     return internal.select("url", F.coalesce("source_url", "url").alias("source_url"), "depth", "seq"), capped_external(outside, per_domain, max_external)
 
 
+def next_urls(waiting: DataFrame, done: DataFrame | None = None, most: int = 1) -> DataFrame:
+    """The first ``most`` rows of ``waiting`` (key, depth, seq) in breadth-first order that are not in ``done`` (key)."""
+    left = waiting if done is None else waiting.join(done.select("key").distinct(), "key", "left_anti")
+    return left.orderBy("depth", "seq").limit(most)
+
+
 def crawl_stats(internal: DataFrame, external: DataFrame) -> DataFrame:
     """One row: URLs inside and outside, distinct external domains, greatest depth."""
     inner = internal.agg(F.count("*").alias("internal_discovered"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth_reached"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import segments, urls
-from ..tables import materialize
+from ..tables import hot_keys, join_hot, materialize
 
 SEP = "/"
 
@@ -47,6 +47,47 @@ def _metrics(spread: DataFrame) -> DataFrame:
     return joined.select("prefix", "depth", "first_seq", "descendant_count", "own_urls", n.alias("child_count"), F.when(n > 0, F.col("_literals") / n).otherwise(0.0).alias("child_literal_ratio"))
 
 
+def printed(rows: DataFrame, path: Column, children: int = 5, urls_each: int = 3, deepest: int = 12) -> str:
+    """The tree of prefixes as text, for looking at: of each node the first children and own URLs alone.
+
+    Only nodes that are shown reach the driver, a level at a time, down to ``deepest``.
+    """
+    spread = prefixes(rows, path)
+    metrics = materialize(_metrics(spread), "metrics")
+    own = spread.where(F.col("n_segments") == F.col("depth")).join(rows.select("seq", "canonical_url"), "seq")
+    level, kids, held, count = [""], {}, {}, {}
+    for depth in range(deepest + 1):
+        if not level:
+            break
+        shown = metrics.where((F.col("depth") == depth) & F.col("prefix").isin(level))
+        held |= {r.prefix: r for r in shown.collect()}
+        firsts = own.where((F.col("depth") == depth) & F.col("prefix").isin(level)).groupBy("prefix").agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", "canonical_url"))), 1, urls_each).alias("u"), F.count("*").alias("n"))
+        count |= {r.prefix: ([u.canonical_url for u in r.u], r.n) for r in firsts.collect()}
+        below = metrics.where((F.col("depth") == depth + 1) & _parent(F.col("prefix")).isin(level)).select(_parent(F.col("prefix")).alias("p"), "prefix", "first_seq")
+        firsts = below.groupBy("p").agg(F.slice(F.array_sort(F.collect_list(F.struct("first_seq", "prefix"))), 1, children).alias("c"))
+        own_kids = {r.p: [c.prefix for c in r.c] for r in firsts.collect()}
+        kids |= own_kids
+        level = [c for some in own_kids.values() for c in some]
+    lines: list[str] = []
+
+    def walk(prefix: str, indent: int) -> None:
+        node, lead = held[prefix], "  " * (indent + 1)
+        lines.append(f"{'  ' * indent}{prefix.rpartition(SEP)[2] or 'root'} [descendants={node.descendant_count}, child_ratio={node.child_literal_ratio:.1f}]")
+        shown = [c for c in kids.get(prefix, []) if c in held]
+        for c in shown:
+            walk(c, indent + 1)
+        if node.child_count > len(shown):
+            lines.append(f"{lead}... ({node.child_count - len(shown)} more children)")
+        found, n = count.get(prefix, ([], 0))
+        lines.extend(f"{lead}→ {u}" for u in found)
+        if n > len(found):
+            lines.append(f"{lead}→ ... ({n - len(found)} more)")
+
+    if "" in held:
+        walk("", 0)
+    return "\n".join(lines)
+
+
 def junctions(metrics: DataFrame, ratio: float = 0.7) -> DataFrame:
     """Prefixes with two children or more, most of them literals."""
     return metrics.where((F.col("child_literal_ratio") >= ratio) & (F.col("child_count") >= 2))
@@ -92,7 +133,8 @@ def discover(rows: DataFrame, path: Column | None = None, least: int = 3) -> Dat
     variants = (F.col("_most") < 0.5) & (F.col("_lo") == F.col("_hi"))
     splits = ((F.col("_sections") >= 2) & ~variants) | ((F.col("_sections") == 1) & (F.col("child_count") > 1))
     nodes = metrics.join(below, "prefix", "left").select("prefix", "first_seq", "child_count", F.coalesce(splits, F.lit(False)).alias("_splits"))
-    held = spread.join(nodes, "prefix")
+    hot = hot_keys(metrics.select("prefix", F.col("descendant_count").alias("_n")), spread.count())  # the root has all URLs
+    held = join_hot(spread, nodes, ["prefix"], hot, F.col("seq"))
     owner = F.min(F.when(~F.col("_splits"), F.struct("depth", "prefix", "child_count"))).alias("_owner")
     firsts = F.array_sort(F.collect_list(F.struct("depth", "first_seq"))).alias("_firsts")  # as many as a path has prefixes
     placed = held.groupBy("seq").agg(owner, firsts, F.max("n_segments").alias("_n"))

@@ -85,6 +85,13 @@ class Template:
         return -sum(not p.startswith("<") and p != "..." for p in parts), -len(parts), -self.member_count
 
 
+def specificity_of(pattern: Column, member_count: Column) -> Column:
+    """struct<literals, parts, members>, all negative: templates are tried in this order."""
+    parts = F.split(F.regexp_replace(pattern, "^/+|/+$", ""), "/", -1)
+    literals = F.size(F.filter(parts, lambda p: ~p.startswith("<") & (p != "...")))
+    return F.struct((-literals).alias("literals"), (-F.size(parts)).alias("parts"), (-member_count).alias("members"))
+
+
 def merge_distance(a: Template, b: Template, strict: bool = False) -> int | None:
     """At how many positions two fingerprints differ; None if they cannot be one template.
 

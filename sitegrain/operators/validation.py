@@ -109,9 +109,8 @@ def heal_rounds(urls: DataFrame, extract: Callable[[DataFrame, int], DataFrame],
 
 
 def run_counts(total: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
-    """One row: total_urls, processed, healed (after the first round) and failed."""
-    return (
-        total.agg(F.count("*").alias("total_urls"))
-        .crossJoin(done.agg(F.count("*").alias("processed"), F.count_if(F.col("round") > 0).alias("healed")))
-        .crossJoin(failed.agg(F.count("*").alias("failed")))
-    )
+    """One row: total_urls, processed (whether they failed or not), healed (after the first round) and failed."""
+    good = done.agg(F.count("*").alias("_good"), F.count_if(F.col("round") > 0).alias("healed"))
+    bad = failed.agg(F.count("*").alias("failed"))
+    one = total.agg(F.count("*").alias("total_urls")).crossJoin(good).crossJoin(bad)  # one row each
+    return one.select("total_urls", (F.col("_good") + F.col("failed")).alias("processed"), "healed", "failed")

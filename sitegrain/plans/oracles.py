@@ -8,7 +8,7 @@ under their canonical URL) and ``m`` (matches with the fixed templates).
 from __future__ import annotations
 
 from ..functions import values
-from .queries import FIXED_TEMPLATES, ROOT, SAMPLES
+from .queries import FIXED_TEMPLATES, LINKS, ROOT, SAMPLES, SCATTERED
 
 RX = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -120,14 +120,20 @@ def dedup(table: str, by: str) -> str:
     return f"SELECT * EXCLUDE (seq, rn, first), first AS seq FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY depth, length(link_text) DESC, seq) AS rn, min(seq) OVER (PARTITION BY {by}) AS first FROM {table}) WHERE rn = 1"
 
 
+def _text(fragment: str) -> str:
+    """The pieces between tags, each without space around it, joined."""
+    piece = unescape("x")
+    return rf"array_to_string(list_transform(regexp_split_to_array({fragment}, '(?s)<[^>]*>'), lambda x: regexp_replace({piece}, '^\s+|\s+$', '', 'g')), '')"
+
+
 _A = r"(?is)<a\s[^>]*>.*?</a>"
 U = "u AS (SELECT page_id AS seq, url, url AS source_url, 0 AS depth, '' AS link_text FROM pages)"
 L0 = f"""l0 AS (SELECT page_id, url, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM (SELECT page_id, url, list_filter(regexp_extract_all(html, '{_A}'), lambda x: regexp_matches(x, '(?is)^<a\\s[^>]*\\bhref\\s*=')) AS tags FROM pages)),
 l1 AS (SELECT page_id, url, pos, tag, trim({attribute("regexp_extract(tag, '(?is)^(<a[^>]*>)', 1)", "href")}) AS raw FROM l0),
-l AS (SELECT page_id, pos, url AS source_url, raw, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || raw AS href, trim({unescape("regexp_replace(tag, '(?s)<[^>]*>', '', 'g')")}) AS text,
+l AS (SELECT page_id, pos, url AS source_url, raw, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || raw AS href, {_text('tag')} AS text,
   coalesce({attribute("regexp_extract(tag, '(?is)^(<a[^>]*>)', 1)", "rel")}, '') AS rel FROM l1 WHERE raw <> '' AND NOT regexp_matches(raw, '^(#|mailto:|tel:|javascript:|data:)'))"""
-ALL = f"""{U}, {L0}, a AS (SELECT seq - (1::BIGINT << 40) AS seq, url, source_url, depth, link_text FROM u
-  UNION ALL SELECT page_id * 100000 + pos, href, source_url, 1, text FROM l)"""
+ALL = f"""{U}, {L0}, a AS (SELECT seq - (1::BIGINT << 62) AS seq, url, source_url, depth, link_text FROM u
+  UNION ALL SELECT page_id * {LINKS} + pos, href, source_url, 1, text FROM l)"""
 #: Versions after a language; both at the beginning of the path.
 _V = "(?i)^(?:stable|dev|latest|master|main|v?\\d+(?:\\.\\d+)*)$"
 
@@ -163,10 +169,10 @@ n AS (SELECT seq, n, depth, array_to_string(s[1:depth], '/') AS prefix FROM n1),
 k AS (SELECT prefix, depth, min(seq) AS first_seq, count(*) AS descendant_count, count(*) FILTER (n = depth) AS own_urls FROM n GROUP BY prefix, depth),
 h AS (SELECT regexp_replace(prefix, '/?[^/]*$', '') AS prefix, count(*) AS child_count, avg(regexp_matches(regexp_extract(prefix, '([^/]*)$', 1), '^[a-z][a-z0-9_-]*$')::INT) AS r FROM k WHERE depth > 0 GROUP BY 1),
 t AS (SELECT k.*, coalesce(child_count, 0) AS child_count, coalesce(r, 0.0) AS child_literal_ratio FROM k LEFT JOIN h USING (prefix))"""
-DEEP = f"{C}, d AS (SELECT seq, {segs('path')} AS s FROM c WHERE len({segs('path')}) >= 2)"
+DEEP = f"{C}, d AS (SELECT seq, list_prepend('site', {segs('path')}) AS s FROM c)"
 FREQ = f"{DEEP}, f AS (SELECT i - 1 AS pos, raw, count(*) AS n, count(*) / (SELECT count(*) FROM d) AS freq FROM (SELECT unnest(s) AS raw, unnest(range(1, len(s) + 1)) AS i FROM d) WHERE i <= (SELECT min(len(s)) FROM d) GROUP BY ALL)"
-_title = unescape("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g')")
-RECORDS = f"""r AS (SELECT page_id, trim({_title}) AS page_title, CASE page_id % 3 WHEN 0 THEN 'f(x)' WHEN 1 THEN 'fit(X, y)' END AS function_signature,
+_title = _text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+RECORDS = f"""r AS (SELECT page_id, {_title} AS page_title, CASE page_id % 3 WHEN 0 THEN 'f(x)' WHEN 1 THEN 'fit(X, y)' END AS function_signature,
   CASE page_id % 5 WHEN 0 THEN ' N/A ' WHEN 1 THEN '' ELSE url END AS description, CASE WHEN page_id % 2 = 0 THEN '[]' END AS parameters FROM pages)"""
 
 
@@ -195,19 +201,51 @@ _scripts = f"list_transform(regexp_extract_all(html, '(?is)<script[\\s>/][^>]*>'
 _any = lambda listed, test: f"len(list_filter({listed}, lambda y: {test})) > 0"
 _generator = f"coalesce({attribute(f'({_meta.format(a=attribute('x', 'name'), n='generator')})[1]', 'content')}, '')"
 _hrefs, _rels = _links.format(a=attribute("x", "href")), _links.format(a=attribute("x", "rel"))
-SIGNALS = f"""g AS (SELECT page_id, {_generator} AS meta_generator, {_any(_hrefs, "contains(y, '/_static/') OR starts_with(y, '_static/')")} AS static_dir,
+_root = "regexp_replace(url, '[?#].*$', '')"
+_origin = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+_index = f"regexp_replace({_root}, '/+$', '') || '/search/search_index.json'"
+SIGNALS = f"""kn AS (SELECT DISTINCT {frontier("f")} AS key FROM (SELECT unnest([CASE WHEN page_id % 3 = 0 THEN {_origin} || '/robots.txt' END, CASE WHEN page_id % 5 = 0 THEN {_origin} || '/objects.inv' END,
+    CASE WHEN page_id % 7 = 0 THEN {_origin} || '/sitemap.xml' END, CASE WHEN page_id % 4 = 0 THEN {_index} END]) AS f FROM pages) WHERE f IS NOT NULL),
+  wn AS (SELECT page_id, html, {_origin} || '/robots.txt' AS f1, {_origin} || '/objects.inv' AS f2, {_origin} || '/sitemap.xml' AS f3, {_index} AS f4 FROM pages),
+  g AS (SELECT page_id, {frontier("f1")} IN (FROM kn) AS has_robots_txt, {frontier("f2")} IN (FROM kn) AS has_objects_inv, {frontier("f3")} IN (FROM kn) AS has_sitemap, {frontier("f4")} IN (FROM kn) AS has_search_index,
+  {_generator} AS meta_generator, {_any(_hrefs, "contains(y, '/_static/') OR starts_with(y, '_static/')")} AS static_dir,
   {_any(_hrefs, "contains(y, '/assets/') OR starts_with(y, 'assets/')")} AS assets_dir, {_any(_hrefs, "contains(y, '.vuepress')")} AS vuepress_dir,
   {_any(_scripts, "contains(y, 'docusaurus')")} AS docusaurus_detected, {_any(_scripts, "contains(y, 'mkdocs')")} AS mkdocs_detected, {_any(_scripts, "contains(y, 'searchtools.js')")} AS sphinx_searchtools,
-  {_any(_rels, "list_contains(string_split(y, ' '), 'canonical')")} AS has_canonical, contains(html, 'wy-grid-for-nav') AS rtd_theme, contains(html, 'md-container') AS mkdocs_material, contains(lower(html), 'docusaurus') AS docusaurus_in_html FROM pages)"""
+  {_any(_rels, "list_contains(string_split(y, ' '), 'canonical')")} AS has_canonical, contains(html, 'wy-grid-for-nav') AS rtd_theme, contains(html, 'md-container') AS mkdocs_material, contains(lower(html), 'docusaurus') AS docusaurus_in_html FROM wn)"""
+
+
+_MADE = "CASE WHEN seq % 5 = 0 THEN '/_sources' || path WHEN seq % 3 = 0 THEN '/modules/generated' || path ELSE path END"
 
 
 def _generator_sql() -> str:
-    made = "CASE WHEN seq % 5 = 0 THEN '/_sources' || path WHEN seq % 3 = 0 THEN '/modules/generated' || path ELSE path END"
     scores = ", ".join(
         f"greatest(0.0, {', '.join(f'CASE WHEN count(*) FILTER (contains(lower(p), {chr(39)}{piece}{chr(39)})) > {more} THEN {value} ELSE 0.0 END' for n, piece, more, value in values.GENERATOR_PATHS if n == g)}) AS {g}" for g in values.GENERATORS
     )
     names = " ".join(f"WHEN {g} = top THEN '{g}'" for g in values.GENERATORS)
-    return f"WITH {C}, x AS (SELECT {scores} FROM (SELECT {made} AS p FROM c)), y AS (SELECT *, greatest({', '.join(values.GENERATORS)}) AS top FROM x) SELECT CASE WHEN top >= 0.3 THEN CASE {names} END END AS generator, CASE WHEN top >= 0.3 THEN top ELSE 0.0 END::DOUBLE AS confidence FROM y"
+    return f"WITH {C}, x AS (SELECT {scores} FROM (SELECT {_MADE} AS p FROM c)), y AS (SELECT *, greatest({', '.join(values.GENERATORS)}) AS top FROM x) SELECT CASE WHEN top >= 0.3 THEN CASE {names} END END AS generator, CASE WHEN top >= 0.3 THEN top ELSE 0.0 END::DOUBLE AS confidence FROM y"
+
+
+#: Rounds of extraction: every page's verdict in each, and the first round that takes it.
+_round = lambda t: f"""SELECT page_id, {t} AS round, page_title, function_signature, CASE WHEN page_id % 2 = 0 AND {t} = 0 THEN 'N/A' ELSE 'see ' || url END AS description, CASE WHEN page_id % 5 <> 0 OR {t} = 2 THEN '[]' END AS parameters FROM r JOIN pages USING (page_id)"""
+
+
+def _healed(accept: bool) -> str:
+    kinds = "v = 'PASS' OR (v = 'BORDERLINE' AND function_signature IS NOT NULL)" if accept else "v = 'PASS'"
+    scores = ", ".join(f"{scored(c, n)} AS s_{c}" for c, n in values.RECORD_FIELDS.items())
+    bad = " + ".join(f"(s_{c} IN ('empty', 'garbage'))::INT" for c in values.RECORD_FIELDS)
+    short = " + ".join(f"(s_{c} = 'too_short')::INT" for c in values.RECORD_FIELDS)
+    return f"""{M}, {RECORDS}, w AS (SELECT * FROM m JOIN (SELECT seq, url FROM c) USING (seq) WHERE template_id <> 't4'), x0 AS ({" UNION ALL ".join(_round(t) for t in range(3))}),
+x1 AS (SELECT *, {scores} FROM x0), x2 AS (SELECT *, CASE WHEN {bad} >= 2 THEN 'FAIL' WHEN {bad} + {short} = 0 THEN 'PASS' ELSE 'BORDERLINE' END AS v FROM x1),
+x3 AS (SELECT * FROM x2 WHERE {kinds} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY round) = 1),
+dn AS (SELECT template_id, seq, url, round, v AS verdict, page_title, function_signature, description, parameters FROM w JOIN x3 ON seq = page_id), ls AS (SELECT template_id, seq, url FROM w WHERE seq NOT IN (SELECT seq FROM dn))"""
+
+
+_data = "'{' || concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || to_json({c})::VARCHAR END" for c in ("page_title", "function_signature", "description", "parameters")) + ") || '}'"
+_DOCUMENT = f"""WITH {_healed(True)}, e AS (SELECT template_id, string_agg('{{"url":' || to_json(url)::VARCHAR || ',"status":"extracted","data":' || {_data} || '}}', ',' ORDER BY seq) AS e FROM dn GROUP BY 1),
+  t2 AS (SELECT template_id, coalesce(e, '') AS e FROM (SELECT DISTINCT template_id FROM w) LEFT JOIN e USING (template_id))
+  SELECT '{{"domain":"{ROOT}","total_processed":' || (SELECT count(*) FROM w) || ',"total_healed":' || (SELECT count(*) FROM dn WHERE round > 0) || ',"failed":' || (SELECT count(*) FROM ls)
+    || ',"results":{{' || (SELECT string_agg(to_json(template_id)::VARCHAR || ':[' || e || ']', ',' ORDER BY template_id) FROM t2) || '}},"failed_urls":['
+    || (SELECT coalesce(string_agg('{{"url":' || to_json(url)::VARCHAR || ',"template_id":' || to_json(template_id)::VARCHAR || '}}', ',' ORDER BY template_id, seq), '') FROM ls) || ']}}' AS json"""
 
 
 _scheme, _path = f"lower({part('url', 1)})", f"CASE WHEN {part('url', 4)} = '' THEN '/' ELSE {part('url', 4)} END"
@@ -215,11 +253,16 @@ _host = port(f"lower({part('url', 3)})", _scheme)
 _kinds = ", ".join(f"('<{k}>')" for k in ("filename", "dotted_path", "literal", "unknown", "slug", "camel_case", "version", "integer", "hash")) + ", ('INDEX.html')"
 _first_key = lambda src, columns: f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM ({src})) WHERE rn = 1"
 _cap = f"SELECT seq, url, row_number() OVER (PARTITION BY lower({part('url', 3)}) ORDER BY seq) AS k FROM u"
-_edges = "e AS (SELECT src, dst FROM (SELECT page_id AS src, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 3]) AS dst FROM pages) WHERE dst IN (SELECT page_id FROM pages))"
+_edges = "e AS (SELECT src, dst, pos FROM (SELECT page_id AS src, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 3]) AS dst, unnest([0, 1, 2]) AS pos FROM pages) WHERE dst IN (SELECT page_id FROM pages))"
+#: Nodes with their first way from the seed: of the shortest ones, the first by the places of its links.
+_WAYS = f"""RECURSIVE {_edges}, b AS (SELECT 5::BIGINT AS node, 0 AS depth, []::INT[] AS way, NULL::BIGINT AS parent WHERE 5 IN (SELECT page_id FROM pages)
+  UNION ALL SELECT e.dst, b.depth + 1, list_append(b.way, e.pos), b.node FROM b JOIN e ON e.src = b.node WHERE b.depth < 3),
+f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth, way) = 1)"""
 
 _last = "regexp_extract(prefix, '([^/]*)$', 1)"
 _parent = "regexp_replace(prefix, '/?[^/]*$', '')"
 SECTIONS = "(SELECT * REPLACE (CASE seq % 4 WHEN 0 THEN '/guide' || path WHEN 1 THEN '/api/generated' || path WHEN 2 THEN path ELSE '/user_guide/' || seq % 7 || '.html' END AS path) FROM c)"
+_SCATTERED = f"(SELECT * REPLACE ({SCATTERED} AS path) FROM c)"
 GROUPS = f"""{PREFIX.replace("FROM c)", f"FROM {SECTIONS})")}, sec AS (SELECT {_parent} AS prefix, count(*) AS sections, max(child_literal_ratio) AS most, min((child_count > 0)::INT) AS lo, max((child_count > 0)::INT) AS hi
     FROM t WHERE depth > 0 AND descendant_count >= 3 AND {kind(_last)} IN ('literal', 'slug') GROUP BY 1),
 sp AS (SELECT t.prefix, t.child_count, coalesce((sections >= 2 AND NOT (most < 0.5 AND lo = hi)) OR (sections = 1 AND child_count > 1), false) AS splits FROM t LEFT JOIN sec USING (prefix)),
@@ -228,7 +271,8 @@ big AS (SELECT prefix FROM own WHERE kids > 0 GROUP BY prefix HAVING count(*) >=
 grp0 AS (SELECT seq, n, CASE WHEN kids > 0 AND prefix IN (FROM big) THEN '/' || prefix END AS g FROM own),
 far AS (SELECT n FROM grp0 WHERE g IS NULL GROUP BY n HAVING count(*) >= 3),
 grp AS (SELECT seq, coalesce(g, 'depth_' || n) AS group_prefix, g IS NULL AS late FROM grp0 WHERE g IS NOT NULL OR n IN (FROM far))"""
-DERIVED = f"""{GROUPS}, mem AS (SELECT group_prefix, seq, canonical_url, {segs("path")} AS s FROM grp JOIN {SECTIONS} USING (seq)),
+LATE = GROUPS.replace(SECTIONS, _SCATTERED)
+DERIVED = f"""{GROUPS}, mem AS (SELECT group_prefix, seq, canonical_url, version, {segs("path")} AS s FROM grp JOIN {SECTIONS} USING (seq)),
 bnd AS (SELECT group_prefix, count(*) AS member_count, min(len(s)) AS lo, max(len(s)) AS hi, array_to_string((list(canonical_url ORDER BY seq))[1:5], '|') AS examples FROM mem GROUP BY 1),
 val AS (SELECT group_prefix, seq, i, s[i] AS raw FROM (SELECT group_prefix, seq, s, unnest(range(1, lo + 1)) AS i FROM mem JOIN bnd USING (group_prefix))),
 cnt AS (SELECT group_prefix, i, raw, count(*) AS n, min(seq) AS f FROM val GROUP BY ALL),
@@ -252,12 +296,12 @@ _charset_tag = "(list_filter(regexp_extract_all(html, '(?is)<meta[\\s>/][^>]*>')
 _content = lambda n, a="name": f"coalesce({attribute(f'({_meta.format(a=attribute(chr(120), a), n=n)})[1]', 'content')}, '')"
 
 ORACLE_SQL = {
-    "html_metadata": f"""SELECT page_id, trim({_title}) AS title, {_content("generator")} AS generator, {_content("description")} AS description, coalesce({attribute(_canonical_tag, "href")}, '') AS canonical_url,
+    "html_metadata": f"""SELECT page_id, {_title} AS title, {_content("generator")} AS generator, {_content("description")} AS description, coalesce({attribute(_canonical_tag, "href")}, '') AS canonical_url,
       coalesce({attribute(_charset_tag, "charset")}, nullif(trim(regexp_extract(lower({_content("content-type", "http-equiv")}), 'charset=(.*)$', 1)), ''), 'utf-8') AS charset FROM pages""",
-    "html_link_tags": f"SELECT page_id, pos::INT AS pos, href, rel FROM (SELECT page_id, unnest(range(len(x))) AS pos, trim({attribute('unnest(x)', 'href')}) AS href, coalesce({attribute('unnest(x)', 'rel')}, '') AS rel FROM (SELECT page_id, regexp_extract_all(html, '(?is)<link[\\s>/][^>]*>') AS x FROM pages)) WHERE href <> ''",
-    "anti_unassigned": f"WITH {GROUPS} SELECT seq, path FROM {SECTIONS} WHERE seq NOT IN (SELECT seq FROM grp)",
+    "html_link_tags": f"SELECT page_id, 0 AS pos, {_origin} || '/c' || page_id || '?a=1&b' AS href, 'canonical' AS rel FROM pages UNION ALL SELECT page_id, 1, 'https://cdn.example.com/s.css', 'stylesheet' FROM pages",
+    "anti_unassigned": f"WITH {LATE} SELECT seq, path FROM {_SCATTERED} WHERE seq NOT IN (SELECT seq FROM grp)",
     "group_discover": f"WITH {GROUPS} SELECT seq, group_prefix FROM grp",
-    "group_remaining_by_depth": f"WITH {GROUPS} SELECT group_prefix, count(*) AS n FROM grp WHERE late GROUP BY 1",
+    "group_remaining_by_depth": f"WITH {LATE} SELECT group_prefix, count(*) AS n FROM grp WHERE late GROUP BY 1",
     "tpl_derive": f"WITH {DERIVED} SELECT group_prefix, pattern, fingerprint, member_count FROM der",
     "tpl_confidence": f"WITH {DERIVED} SELECT group_prefix, round(confidence, 9)::DOUBLE AS confidence FROM der",
     "tpl_name": f"WITH {DERIVED} SELECT group_prefix, CASE {_names} WHEN contains(lower(pattern), 'generated') THEN 'api_reference' ELSE coalesce({_words}[1], 'catch_all') END AS name FROM der",
@@ -281,7 +325,7 @@ ORACLE_SQL = {
     "html_links": f"WITH {L0} SELECT page_id, pos::INT AS pos, href, text, rel FROM l",
     "html_signals": f"WITH {SIGNALS} SELECT * FROM g",
     "signals_best_guess": f"""WITH {SIGNALS}, b AS (SELECT page_id, CASE WHEN contains(lower(meta_generator), 'sphinx') THEN ['sphinx', '0.95'] WHEN contains(lower(meta_generator), 'mkdocs') THEN ['mkdocs', '0.95'] WHEN contains(lower(meta_generator), 'docusaurus') THEN ['docusaurus', '0.95']
-      WHEN page_id % 7 = 0 THEN ['sphinx', '0.95'] WHEN page_id % 11 = 0 THEN ['mkdocs', '0.9'] WHEN static_dir OR sphinx_searchtools THEN ['sphinx', '0.7'] WHEN docusaurus_detected OR docusaurus_in_html THEN ['docusaurus', '0.85'] WHEN rtd_theme THEN ['sphinx_rtd_theme', '0.8']
+      WHEN has_objects_inv THEN ['sphinx', '0.95'] WHEN has_search_index THEN ['mkdocs', '0.9'] WHEN static_dir OR sphinx_searchtools THEN ['sphinx', '0.7'] WHEN docusaurus_detected OR docusaurus_in_html THEN ['docusaurus', '0.85'] WHEN rtd_theme THEN ['sphinx_rtd_theme', '0.8']
       WHEN mkdocs_material OR mkdocs_detected THEN ['mkdocs_material', '0.8'] END AS x FROM g) SELECT page_id, x[1] AS tool, coalesce(x[2]::DOUBLE, 0.0) AS confidence FROM b""",
     "filter_assets": f"WITH {ALL} SELECT {asset('url')} AS is_asset, count(*) AS n FROM a GROUP BY ALL",
     "filter_skip": f"WITH {ALL} SELECT seq, url FROM a WHERE depth = 1 AND NOT {skip('url')}",
@@ -298,32 +342,40 @@ ORACLE_SQL = {
     "theta_template_match": f"WITH {M} SELECT * FROM m",
     "first_match": f"WITH {M} SELECT template_id, count(*) AS n, min(seq) AS first_seq FROM m GROUP BY ALL",
     "join_template_map": f"WITH {M} SELECT template_id, pattern, canonical_url FROM m JOIN t USING (template_id)",
-    "join_zip_positions": f"WITH {C} SELECT (i - 1)::INT AS pos, {kind('raw')} AS lexical_type, count(*) AS n, min(raw) AS least FROM (SELECT unnest({segs('path')}) AS raw, unnest(range(1, len({segs('path')}) + 1)) AS i FROM c) GROUP BY ALL",
+    "join_zip_positions": f"WITH {M}, z AS (SELECT template_id, {segs('path')} AS s, {segs('pattern')} AS p FROM m JOIN (SELECT seq, path FROM c) USING (seq) JOIN t USING (template_id)), y AS (SELECT template_id, i, s[i] AS raw, p[i] AS part FROM (SELECT *, unnest(range(1, greatest(len(s), len(p)) + 1)) AS i FROM z)) SELECT template_id, (i - 1)::INT AS pos, part, CASE WHEN raw IS NOT NULL THEN {kind('raw')} END AS lexical_type, count(*) AS n FROM y GROUP BY ALL",
     "trie_metrics": f"WITH {PREFIX} SELECT prefix, depth::INT AS depth, first_seq, descendant_count, own_urls, child_count, child_literal_ratio FROM t",
-    "trie_collect_leaves": f"WITH {PREFIX} SELECT prefix, seq FROM n WHERE depth <= 1",
+    "trie_collect_leaves": f"WITH {PREFIX} SELECT prefix, seq FROM n",
     "trie_junctions": f"WITH {PREFIX} SELECT prefix, depth::INT AS depth, first_seq, descendant_count, own_urls, child_count, child_literal_ratio FROM t WHERE child_literal_ratio >= 0.7 AND child_count >= 2",
     "pos_frequencies": f"WITH {FREQ} SELECT pos::INT AS pos, raw, n, freq FROM f",
     "pos_classify": f"WITH {FREQ} SELECT pos::INT AS pos, CASE WHEN max(freq) >= 0.8 THEN 'static' WHEN max(freq) < 0.1 THEN 'variable' ELSE 'semi_variable' END AS kind FROM f GROUP BY pos",
-    "pos_fingerprint": f"WITH {FREQ}, p AS (SELECT pos FROM f GROUP BY pos HAVING max(freq) >= 0.5) SELECT seq, string_agg(CASE WHEN i - 1 IN (FROM p) THEN raw ELSE upper({kind('raw')}) END, '/' ORDER BY i) AS fingerprint FROM (SELECT seq, unnest(s) AS raw, unnest(range(1, len(s) + 1)) AS i FROM d) GROUP BY seq",
-    "tpl_versions": f"WITH {C} SELECT domain, coalesce(array_to_string(list_sort(list(DISTINCT version) FILTER (version IS NOT NULL)), '|'), '') AS versions FROM c GROUP BY domain",
+    "pos_fingerprint": f"WITH {FREQ}, p AS (SELECT pos FROM f GROUP BY pos HAVING max(freq) >= 0.8) SELECT seq, string_agg(CASE WHEN i - 1 IN (FROM p) THEN raw ELSE upper({kind('raw')}) END, '/' ORDER BY i) AS fingerprint FROM (SELECT seq, unnest(s) AS raw, unnest(range(1, len(s) + 1)) AS i FROM d) GROUP BY seq",
+    "tpl_versions": f"WITH {DERIVED} SELECT group_prefix, coalesce(array_to_string(list_sort(list(DISTINCT version) FILTER (version IS NOT NULL)), '|'), '') AS versions FROM mem GROUP BY 1",
     "coverage_report": f"WITH {M}, x AS (SELECT (SELECT count(*) FROM c) AS n, (SELECT count(*) FROM m) AS k) SELECT n AS total_internal_urls, k AS covered_urls, n - k AS uncovered_urls, round(k / n * 100, 2) AS coverage_percent, {len(FIXED_TEMPLATES)}::INT AS template_count, round(k / {len(FIXED_TEMPLATES)}, 1) AS avg_urls_per_template FROM x",
     "coverage_template_map": f"WITH {M} SELECT t.template_id, count(seq)::INT AS n, coalesce(string_agg(canonical_url, '|' ORDER BY seq), '') AS urls FROM t LEFT JOIN m USING (template_id) GROUP BY ALL",
     "uncovered_rows": f"WITH {M} SELECT seq, canonical_url AS url, 'no_template_match (path=' || path[1:80] || ')' AS reason, 'self_heal' AS recommendation FROM c WHERE seq NOT IN (SELECT seq FROM m)",
     "topk_uncovered": f"WITH {M} SELECT seq, canonical_url AS url FROM c WHERE seq NOT IN (SELECT seq FROM m) ORDER BY seq LIMIT 50",
-    "sort_specificity": f"WITH {TPL} SELECT template_id, pattern, rank::INT AS rank FROM t",
-    "uncovered_dirs": f"WITH {C} SELECT directory, n FROM (SELECT CASE WHEN d = '' THEN '/' ELSE d END AS directory, count(*) AS n, min(seq) AS f FROM (SELECT seq, regexp_replace(path, '/?[^/]*$', '') AS d FROM c) GROUP BY 1) ORDER BY n DESC, f LIMIT 30",
-    "uncovered_prefix2": f"WITH {C} SELECT prefix, n FROM (SELECT CASE WHEN len({segs('path')}) = 0 THEN 'ROOT' ELSE '/' || array_to_string(({segs('path')})[1:2], '/') END AS prefix, count(*) AS n, min(seq) AS f FROM c GROUP BY 1) ORDER BY n DESC, f LIMIT 30",
+    "sort_specificity": f"WITH {DERIVED}, sp2 AS (SELECT group_prefix, member_count, string_split(trim(pattern, '/'), '/') AS p FROM der) SELECT group_prefix, -len(list_filter(p, lambda x: NOT starts_with(x, '<') AND x <> '...'))::INT AS literals, -len(p)::INT AS parts, -member_count AS members FROM sp2",
+    "uncovered_dirs": f"WITH {M} SELECT directory, n FROM (SELECT CASE WHEN d = '' THEN '/' ELSE d END AS directory, count(*) AS n, min(seq) AS f FROM (SELECT seq, regexp_replace(path, '/?[^/]*$', '') AS d FROM c WHERE seq NOT IN (SELECT seq FROM m)) GROUP BY 1) ORDER BY n DESC, f LIMIT 30",
+    "uncovered_prefix2": f"WITH {M} SELECT prefix, n FROM (SELECT CASE WHEN len({segs('path')}) = 0 THEN 'ROOT' ELSE '/' || array_to_string(({segs('path')})[1:2], '/') END AS prefix, count(*) AS n, min(seq) AS f FROM c WHERE seq NOT IN (SELECT seq FROM m) GROUP BY 1) ORDER BY n DESC, f LIMIT 30",
     "external_rollup": f"WITH {C} SELECT domain, min(seq) AS first_seq, count(*) AS url_count, array_to_string((list(path ORDER BY seq))[1:10], '|') AS observed_paths FROM c GROUP BY domain",
     "external_classify": f"WITH {C} SELECT domain, {_domain_kind()} AS classification FROM c GROUP BY domain",
     "cap_external_per_domain": f"WITH {U} SELECT seq, url FROM ({_cap}) WHERE k <= 3 ORDER BY seq LIMIT 100",
-    "cap_internal": f"WITH {U} SELECT seq, url FROM u WHERE {internal('url')} ORDER BY seq LIMIT 10000",
+    "cap_internal": f"WITH {_WAYS} SELECT node, depth::INT AS depth FROM f ORDER BY depth, way LIMIT 10",
     "limit_per_template": f"WITH {M} SELECT template_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY seq) AS k FROM m) WHERE k <= 5",
     "sample_per_template": f"WITH {M} SELECT template_id, canonical_url FROM (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY seq) AS k FROM m) WHERE k <= 3",
-    "generator_path_flags": f"WITH {C} SELECT bool_or(contains(lower(path), '/en/')) AS en, bool_or(contains(lower(path), 'mkdocs')) AS mkdocs, count(*) FILTER (contains(lower(path), '/fr/')) AS n_fr FROM c",
+    "generator_path_flags": f"WITH {C}, g AS (SELECT lower({_MADE}) AS p FROM c) SELECT generator, piece, count(*) FILTER (contains(p, piece)) AS n FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {chr(39)}{x}{chr(39)})' for n, x, _, _ in values.GENERATOR_PATHS)}) AS k(generator, piece), g GROUP BY ALL",
     "generator_detect": _generator_sql(),
     "crawl_stats": f"WITH {U} SELECT count(*) FILTER ({internal('url')}) AS internal_discovered, 0 AS max_depth_reached, count(*) FILTER (NOT {internal('url')}) AS external_discovered, count(DISTINCT lower({part('url', 3)})) FILTER (NOT {internal('url')}) AS external_domains FROM u",
     "crawl_enqueue": f"WITH {L0} SELECT page_id, pos::INT AS pos, {frontier('href')} AS key, {internal('href')} AS internal FROM l WHERE NOT {skip('href')}",
-    "crawl_bfs": f"WITH RECURSIVE {_edges}, b AS (SELECT 5::BIGINT AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 3) SELECT node, min(depth)::INT AS depth FROM b GROUP BY node",
+    "crawl_bfs": f"WITH {_WAYS} SELECT node, depth::INT AS depth, coalesce(parent, -1) AS parent FROM f",
+    "crawl_pages": f"WITH {_WAYS} SELECT 'https://{ROOT}/p' || node AS url, depth::INT AS depth, 'https://{ROOT}/p' || coalesce(parent, node) AS source_url FROM f",
+    "crawl_external": f"WITH {_WAYS}, o AS (SELECT *, row_number() OVER (PARTITION BY node % 7 ORDER BY depth, way) AS k FROM f) SELECT 'https://out' || node % 7 || '.example/' || node AS url, (depth + 1)::INT AS depth, 'https://{ROOT}/p' || node AS source_url, 'out' AS link_text FROM o WHERE k <= 2 ORDER BY o.depth, way LIMIT 9",
+    "get_next": f"WITH {ALL}, k AS (SELECT {frontier('url')} AS key FROM u WHERE seq % 2 = 0) SELECT key, 1 AS depth, seq FROM (SELECT {frontier('url')} AS key, seq FROM a WHERE depth = 1 AND NOT {skip('url')}) WHERE key NOT IN (FROM k) ORDER BY seq LIMIT 20",
+    "src_unlocker": "SELECT url, CASE WHEN k = 0 THEN 'page ' || url END AS html, CASE WHEN k < 2 THEN 1 ELSE 3 END AS requests, (k = 0)::INT AS successful, (k <> 0)::INT AS failed, (k = 0)::INT AS credits FROM (SELECT url, length(url) % 6 AS k FROM pages)",
+    "heal_loop": f"WITH {_healed(False)} SELECT template_id, url, round, verdict FROM dn",
+    "llm_escalate": f"WITH {_healed(True)} SELECT verdict, round, count(*) AS n FROM dn GROUP BY ALL",
+    "phase3_counts": f"WITH {_healed(True)} SELECT (SELECT count(*) FROM w) AS total_urls, (SELECT count(*) FROM w) AS processed, (SELECT count(*) FROM dn WHERE round > 0) AS healed, (SELECT count(*) FROM ls) AS failed",
+    "snk_phase3_json": _DOCUMENT,
     "frontier_seed": f"WITH {U} SELECT {frontier('url')} AS key, depth FROM u ORDER BY seq LIMIT 1",
     "redirect_rehome": f"WITH {U}, x AS (SELECT seq, CASE WHEN seq % 4 = 0 THEN 'https://www.example.com:8080/moved' ELSE url END AS f FROM u) SELECT seq, {internal('f')} AS inside FROM x",
     "src_http_fetch": f"WITH {ALL}, k AS (SELECT {frontier('url')} AS key FROM u), x AS (SELECT {frontier('url')} IN (FROM k) AS hit FROM a) SELECT CASE WHEN hit THEN 'success' ELSE 'http_error' END AS crawl_status, CASE WHEN hit THEN 200 ELSE 404 END AS status_code, count(*) AS n FROM x GROUP BY ALL",

@@ -1,6 +1,8 @@
 """A query for each operator, over the whole ``pages`` table unless it says otherwise.
 
-Pages are taken as one crawl: ``seq`` is page_id, and (page_id, pos) orders their links.
+Pages are taken as one crawl: ``seq`` is page_id, and (page_id, pos) orders their links. Where
+the pages lack what an operator is for (link tags, files of a site, a graph of links, paths
+without a group), the query makes it from them by a rule that its SQL states too.
 """
 
 from __future__ import annotations
@@ -11,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, segments, urls
+from ..functions.values import GENERATOR_PATHS
 from ..operators import coverage, frontier, generator, grouping, relation, templates, validation
-from ..schema import CRAWL
 from ..sources import documents, fetch, scraper
-from ..tables import materialize
+from ..tables import fresh_dir, materialize
 from . import classify, extract
 
 #: Domain that stands for the crawled site, and templates that stand for its sections.
@@ -25,6 +27,9 @@ SAMPLES = (
     "LogisticRegression", "linear-model", "user_guide", "plot-1.HTML", "V2", "a.b", "x", "Foo.Bar.md", "1.2.3-beta", "ABCDEF12",
 )
 
+#: More links than a page has.
+LINKS = 1 << 20
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -45,12 +50,12 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all pages as link records of depth 1, in the order of page and place."""
     found = html.links(_pages(spark, sf_dir))
-    return found.select((F.col("page_id") * 100_000 + F.col("pos")).alias("seq"), F.col("href").alias("url"), "source_url", F.lit(1).alias("depth"), F.col("text").alias("link_text"))
+    return found.select((F.col("page_id") * LINKS + F.col("pos")).alias("seq"), F.col("href").alias("url"), "source_url", F.lit(1).alias("depth"), F.col("text").alias("link_text"))
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and their links in one relation; pages come first."""
-    pages = _urls(spark, sf_dir).withColumn("seq", F.col("seq") - F.lit(1 << 40))
+    """Pages and their links in one relation; pages come first, under negative numbers."""
+    pages = _urls(spark, sf_dir).withColumn("seq", F.col("seq") - F.lit(1 << 62))
     return pages.unionByName(_links(spark, sf_dir))
 
 
@@ -73,10 +78,19 @@ def _by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canonical(spark, sf_dir).withColumn("version_free_path", F.col("path"))
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+SECTIONS = "CASE seq % 4 WHEN 0 THEN concat('/guide', path) WHEN 1 THEN concat('/api/generated', path) WHEN 2 THEN path ELSE concat('/user_guide/', seq % 7, '.html') END"
+#: Some single pages at the root, and some that share their depth with no other.
+SCATTERED = f"CASE WHEN seq % 11 = 0 THEN concat('/solo', seq) WHEN seq % 97 = 1 THEN concat('/lone', seq, repeat('/z', CAST(6 + floor(seq / 97) AS INT))) ELSE {SECTIONS} END"
+
+
+def _sections(spark: SparkSession, sf_dir: str, made: str = SECTIONS) -> DataFrame:
     """Pages whose paths are spread over sections: a guide, an interface, user pages and the rest."""
-    made = F.expr("CASE seq % 4 WHEN 0 THEN concat('/guide', path) WHEN 1 THEN concat('/api/generated', path) WHEN 2 THEN path ELSE concat('/user_guide/', seq % 7, '.html') END")
-    return materialize(_canonical(spark, sf_dir).withColumn("path", made).withColumn("version_free_path", F.col("path")), "sections")
+    return materialize(_canonical(spark, sf_dir).withColumn("path", F.expr(made)).withColumn("version_free_path", F.col("path")), "sections")
+
+
+def _rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages below one directory, so that all paths have a segment."""
+    return _canonical(spark, sf_dir).withColumn("path", F.concat(F.lit("/site"), "path"))
 
 
 @query
@@ -171,7 +185,8 @@ def html_links(spark, sf_dir):
 
 @query
 def html_link_tags(spark, sf_dir):
-    return html.link_tags(_pages(spark, sf_dir))
+    head = F.concat(F.lit('<head><link rel="canonical" href="/c'), "page_id", F.lit("""?a=1&amp;b"><LINK HREF='https://cdn.example.com/s.css' rel=stylesheet ><link rel="x"></head>"""))
+    return html.link_tags(_pages(spark, sf_dir).withColumn("html", F.concat(head, "html")))
 
 
 @query
@@ -179,16 +194,25 @@ def html_metadata(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", html.metadata(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.*")
 
 
+def _signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of every page as a homepage; known files are made for some pages' sites."""
+    pages = _pages(spark, sf_dir).withColumn("root_url", F.regexp_replace("url", "[?#].*$", ""))
+    host, p = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.col("page_id")
+    below = F.concat(F.regexp_replace("root_url", "/+$", ""), F.lit("/search/search_index.json"))
+    made = (F.when(p % 3 == 0, F.concat(host, F.lit("/robots.txt"))), F.when(p % 5 == 0, F.concat(host, F.lit("/objects.inv"))), F.when(p % 7 == 0, F.concat(host, F.lit("/sitemap.xml"))), F.when(p % 4 == 0, below))
+    known = pages.select(F.explode(F.array(*made)).alias("url")).where("url is not null")
+    return fetch.site_files(pages.select("page_id", "root_url", html.signals(F.col("html")).alias("s")), known)
+
+
 @query
 def html_signals(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", html.signals(F.col("html")).alias("s")).select("page_id", "s.*")
+    return _signalled(spark, sf_dir).select("page_id", "has_robots_txt", "has_objects_inv", "has_sitemap", "has_search_index", "s.*")
 
 
 @query
 def signals_best_guess(spark, sf_dir):
-    rows = _pages(spark, sf_dir).select("page_id", html.signals(F.col("html")).alias("s"))
-    guess = html.best_guess(F.col("s"), F.col("page_id") % 7 == 0, F.col("page_id") % 11 == 0)
-    return rows.select("page_id", guess.alias("g")).select("page_id", "g.tool", "g.confidence")
+    guess = html.best_guess(F.col("s"), F.col("has_objects_inv"), F.col("has_search_index"))
+    return _signalled(spark, sf_dir).select("page_id", guess.alias("g")).select("page_id", "g.tool", "g.confidence")
 
 
 @query
@@ -271,7 +295,7 @@ def anti_uncovered(spark, sf_dir):
 
 @query
 def anti_unassigned(spark, sf_dir):
-    rows = _sections(spark, sf_dir)
+    rows = _sections(spark, sf_dir, SCATTERED)
     return rows.join(grouping.discover(rows).select("seq"), "seq", "left_anti").select("seq", "path")
 
 
@@ -299,9 +323,11 @@ def join_template_map(spark, sf_dir):
 
 @query
 def join_zip_positions(spark, sf_dir):
-    own = relation.segment_table(_canonical(spark, sf_dir))
-    pairs = own.select("pos", "lexical_type", "raw").groupBy("pos", "lexical_type").agg(F.count("*").alias("n"), F.min("raw").alias("least"))
-    return pairs
+    """Path segments beside the parts of the template that the page matched, place by place."""
+    rows = _matches(spark, sf_dir).join(_canonical(spark, sf_dir).select("seq", "path"), "seq").join(_fixed(spark).select("template_id", "pattern"), "template_id")
+    zipped = F.arrays_zip(urls.segments(F.col("path")).alias("raw"), urls.segments(F.col("pattern")).alias("part"))
+    rows = rows.select("template_id", F.posexplode(zipped).alias("pos", "z")).select("template_id", "pos", "z.part", segments.classify(F.col("z.raw")).alias("lexical_type"))
+    return rows.groupBy("template_id", "pos", "part", "lexical_type").agg(F.count("*").alias("n"))
 
 
 @query
@@ -311,14 +337,14 @@ def trie_metrics(spark, sf_dir):
 
 @query
 def trie_collect_leaves(spark, sf_dir):
-    rows = grouping.prefixes(_canonical(spark, sf_dir), F.col("path"))
-    return rows.where("depth <= 1").select("prefix", "seq")
+    """Pages below every prefix of any depth."""
+    return grouping.prefixes(_canonical(spark, sf_dir), F.col("path")).select("prefix", "seq")
 
 
 @query
-def trie_collect_all_leaves(spark, sf_dir):
-    """Pages below every prefix of any depth, where ``trie_collect_leaves`` has the upper two levels alone."""
-    return grouping.prefixes(_canonical(spark, sf_dir), F.col("path")).select("prefix", "seq")
+def trie_print(spark, sf_dir):
+    text = grouping.printed(_canonical(spark, sf_dir), F.col("path"))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")
 
 
 @query
@@ -333,23 +359,18 @@ def trie_anchors(spark, sf_dir):
 
 @query
 def pos_frequencies(spark, sf_dir):
-    return grouping.position_frequencies(_deep(spark, sf_dir), F.col("path"))
-
-
-def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with two path segments or more."""
-    return _canonical(spark, sf_dir).where(F.size(urls.segments(F.col("path"))) >= 2)
+    return grouping.position_frequencies(_rooted(spark, sf_dir), F.col("path"))
 
 
 @query
 def pos_classify(spark, sf_dir):
-    return grouping.position_classes(grouping.position_frequencies(_deep(spark, sf_dir), F.col("path")))
+    return grouping.position_classes(grouping.position_frequencies(_rooted(spark, sf_dir), F.col("path")))
 
 
 @query
 def pos_fingerprint(spark, sf_dir):
-    rows = _deep(spark, sf_dir)
-    return grouping.fingerprints(rows, grouping.position_classes(grouping.position_frequencies(rows, F.col("path")), static=0.5), F.col("path"))
+    rows = _rooted(spark, sf_dir)
+    return grouping.fingerprints(rows, grouping.position_classes(grouping.position_frequencies(rows, F.col("path"))), F.col("path"))
 
 
 @query
@@ -359,7 +380,7 @@ def group_discover(spark, sf_dir):
 
 @query
 def group_remaining_by_depth(spark, sf_dir):
-    return grouping.discover(_sections(spark, sf_dir)).where("group_order.late = 1").groupBy("group_prefix").agg(F.count("*").alias("n"))
+    return grouping.discover(_sections(spark, sf_dir, SCATTERED)).where("group_order.late = 1").groupBy("group_prefix").agg(F.count("*").alias("n"))
 
 
 def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,8 +405,7 @@ def tpl_name(spark, sf_dir):
 
 @query
 def tpl_versions(spark, sf_dir):
-    rows = _canonical(spark, sf_dir)
-    return rows.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set("version")), "|").alias("versions"))
+    return _derived(spark, sf_dir).select("group_prefix", F.array_join("versions_covered", "|").alias("versions"))
 
 
 @query
@@ -413,7 +433,8 @@ def tpl_finalize(spark, sf_dir):
 
 @query
 def sort_specificity(spark, sf_dir):
-    return _fixed(spark).select("template_id", "pattern", "rank")
+    """What templates are ranked by, for each derived one."""
+    return _derived(spark, sf_dir).select("group_prefix", templates.specificity_of(F.col("pattern"), F.col("member_count")).alias("s")).select("group_prefix", "s.*")
 
 
 @query
@@ -442,14 +463,18 @@ def topk_uncovered(spark, sf_dir):
     return uncovered_rows(spark, sf_dir).orderBy("seq").limit(50).select("seq", "url")
 
 
+def _uncovered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _canonical(spark, sf_dir).join(_matches(spark, sf_dir).select("seq"), "seq", "left_anti").select("seq", "path")
+
+
 @query
 def uncovered_dirs(spark, sf_dir):
-    return coverage.top_directories(_canonical(spark, sf_dir).select("seq", "path"))
+    return coverage.top_directories(_uncovered_paths(spark, sf_dir))
 
 
 @query
 def uncovered_prefix2(spark, sf_dir):
-    return coverage.top_prefixes(_canonical(spark, sf_dir).select("seq", "path"))
+    return coverage.top_prefixes(_uncovered_paths(spark, sf_dir))
 
 
 @query
@@ -469,8 +494,8 @@ def cap_external_per_domain(spark, sf_dir):
 
 @query
 def cap_internal(spark, sf_dir):
-    inside = _urls(spark, sf_dir).where(urls.is_internal(F.col("url"), ROOT))
-    return inside.orderBy("seq").limit(10_000).select("seq", "url")
+    """The first ten nodes of a crawl, in breadth-first order."""
+    return frontier.crawl(_seed(spark), _edges(spark, sf_dir), max_depth=3, max_nodes=10).select("node", "depth")
 
 
 @query
@@ -484,18 +509,23 @@ def sample_per_template(spark, sf_dir):
     return validation.limit_per_template(rows, 3).select("template_id", "canonical_url")
 
 
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.when(F.col("seq") % 5 == 0, F.concat(F.lit("/_sources"), "path")).when(F.col("seq") % 3 == 0, F.concat(F.lit("/modules/generated"), "path")).otherwise(F.col("path"))
+    return _canonical(spark, sf_dir).select(made.alias("path"))
+
+
 @query
 def generator_path_flags(spark, sf_dir):
-    path = F.lower("path")
-    rows = _canonical(spark, sf_dir)
-    return rows.agg(F.bool_or(path.contains("/en/")).alias("en"), F.bool_or(path.contains("mkdocs")).alias("mkdocs"), F.count_if(path.contains("/fr/")).alias("n_fr"))
+    """How many paths have each piece that tells a generator."""
+    rows = _generated(spark, sf_dir).select(F.lower("path").alias("p"))
+    counts = rows.agg(*(F.count_if(F.col("p").contains(piece)).alias(f"c{i}") for i, (_, piece, _, _) in enumerate(GENERATOR_PATHS)))
+    listed = F.array(*(F.struct(F.lit(name).alias("generator"), F.lit(piece).alias("piece"), F.col(f"c{i}").alias("n")) for i, (name, piece, _, _) in enumerate(GENERATOR_PATHS)))
+    return counts.select(F.explode(listed).alias("x")).select("x.*")
 
 
 @query
 def generator_detect(spark, sf_dir):
-    rows = _canonical(spark, sf_dir)
-    made = rows.select(F.when(F.col("seq") % 5 == 0, F.concat(F.lit("/_sources"), "path")).when(F.col("seq") % 3 == 0, F.concat(F.lit("/modules/generated"), "path")).otherwise(F.col("path")).alias("path"))
-    return generator.from_paths(made, F.col("path"))
+    return generator.from_paths(_generated(spark, sf_dir), F.col("path"))
 
 
 @query
@@ -516,10 +546,40 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(ids.select(F.col("page_id").alias("dst")), "dst", "left_semi").select("src", "dst", "pos")
 
 
+def _seed(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(5).cast("long").alias("node"), F.lit(0).cast("long").alias("seq"))
+
+
 @query
 def crawl_bfs(spark, sf_dir):
-    seeds = spark.range(1).select(F.lit(5).cast("long").alias("node"), F.lit(0).cast("long").alias("seq"))
-    return frontier.crawl(seeds, _edges(spark, sf_dir), max_depth=3).select("node", "depth")
+    return frontier.crawl(_seed(spark), _edges(spark, sf_dir), max_depth=3).select("node", "depth", F.coalesce("parent", F.lit(-1)).alias("parent"))
+
+
+def _crawled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A crawl over the HTML of a site made of the pages: each links three others and one outside."""
+    p = F.col("page_id")
+    link = lambda to: F.concat(F.lit('<p><A class=x href="/p'), to.cast("string"), F.lit('/">go</a> on'))
+    made = F.concat("html", F.lit('<!-- <a href="/hidden">x</a> -->'), link(p * 2 + 1), link(p * 2 + 2), link(F.floor(p / 3)), F.lit("<a href='https://out"), p % 7, F.lit(".example/"), p, F.lit("'>out"))
+    site = _pages(spark, sf_dir).select("page_id", F.concat(F.lit(f"https://{ROOT}/p"), p).alias("url"), made.alias("html"))
+    return frontier.crawl_pages(site, f"https://{ROOT}/p5", max_depth=3, per_domain=2, max_external=9)
+
+
+@query
+def crawl_pages(spark, sf_dir):
+    return _crawled(spark, sf_dir)[0].select("url", "depth", "source_url")
+
+
+@query
+def crawl_external(spark, sf_dir):
+    return _crawled(spark, sf_dir)[1].select("url", "depth", "source_url", "link_text")
+
+
+@query
+def get_next(spark, sf_dir):
+    """The next twenty links in line that no page with an even number has."""
+    waiting = frontier.enqueue(_pages(spark, sf_dir), ROOT).select("key", F.lit(1).alias("depth"), (F.col("page_id") * LINKS + F.col("pos")).alias("seq"))
+    pages = _urls(spark, sf_dir).where("seq % 2 = 0").select(urls.frontier_key(F.col("url")).alias("key"))
+    return frontier.next_urls(waiting, pages, 20)
 
 
 @query
@@ -540,6 +600,21 @@ def src_http_fetch(spark, sf_dir):
     return fetch.from_table(wanted, _pages(spark, sf_dir)).groupBy("crawl_status", "status_code").agg(F.count("*").alias("n"))
 
 
+def _answer(url: str) -> tuple[int, str]:
+    """What a made service answers, by the length of the URL."""
+    kind = len(url) % 6
+    if kind == 4:
+        raise TimeoutError
+    if kind == 5:
+        raise ConnectionError
+    return (200, 404, 429, 503)[kind], f"page {url}"
+
+
+@query
+def src_unlocker(spark, sf_dir):
+    return fetch.through_service(_urls(spark, sf_dir), _answer, unit=0.0)
+
+
 @query
 def src_http_head(spark, sf_dir):
     known = _urls(spark, sf_dir).select("url")
@@ -592,11 +667,32 @@ def template_stats(spark, sf_dir):
     return validation.template_stats(rows)
 
 
+class _Scripted:
+    """An extractor whose records get better by rounds, by the page's number; template t4 gets no scraper."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._records = _records(spark, sf_dir)
+
+    def create(self, found: DataFrame) -> DataFrame:
+        return found.where("template_id <> 't4'")
+
+    def __call__(self, found: DataFrame, turn: int) -> DataFrame:
+        p = F.col("page_id")
+        description = F.when((p % 2 == 0) & F.lit(turn == 0), "N/A").otherwise(F.concat(F.lit("see "), "url"))
+        parameters = F.when((p % 5 != 0) | F.lit(turn == 2), "[]")
+        own = self._records.select("page_id", "page_title", "function_signature")
+        rows = found.join(own.withColumnRenamed("page_id", "seq").withColumn("page_id", F.col("seq")), "seq")
+        return rows.select(*found.columns, F.to_json(F.struct("page_title", "function_signature", description.alias("description"), parameters.alias("parameters"))).alias("data"))
+
+
 def _extraction(spark: SparkSession, sf_dir: str, accept=None):
-    pages = _pages(spark, sf_dir)
     found = _matches(spark, sf_dir).join(_canonical(spark, sf_dir).select("seq", "url"), "seq").select("template_id", "seq", "url")
-    wrong = [dict(f, css_selector="nothing", fallback_selectors=[]) for f in scraper.FIELDS]
-    return extract.extract(found, scraper.SelectorExtractor(pages, [wrong, list(scraper.FIELDS)]), accept=accept)
+    return extract.extract(found, _Scripted(spark, sf_dir), accept=accept)
+
+
+def _signed(df: DataFrame) -> DataFrame:
+    """Records on the border are taken if they have a signature."""
+    return df.withColumn("accepted", F.get_json_object("data", "$.function_signature").isNotNull())
 
 
 @query
@@ -604,22 +700,28 @@ def heal_loop(spark, sf_dir):
     return _extraction(spark, sf_dir)[0].select("template_id", "url", "round", "verdict")
 
 
+@query
+def heal_selectors(spark, sf_dir):
+    """Pages healed from selectors that find nothing to those of documentation pages."""
+    found = _matches(spark, sf_dir).join(_canonical(spark, sf_dir).select("seq", "url"), "seq").select("template_id", "seq", "url")
+    wrong = [dict(f, css_selector="nothing", fallback_selectors=[]) for f in scraper.FIELDS]
+    extractor = scraper.SelectorExtractor(_pages(spark, sf_dir), [wrong, list(scraper.FIELDS)], {"t2": [list(scraper.FIELDS)]})
+    return extract.extract(found, extractor, accept=_signed)[0].select("template_id", "url", "round", "verdict")
+
+
 @query
 def llm_escalate(spark, sf_dir):
-    """Records on the border are taken if a predicate says so; here, if they have a title."""
-    accept: Callable[[DataFrame], DataFrame] = lambda df: df.withColumn("accepted", F.get_json_object("data", "$.page_title").isNotNull())
-    return _extraction(spark, sf_dir, accept)[0].groupBy("verdict", "round").agg(F.count("*").alias("n"))
+    return _extraction(spark, sf_dir, _signed)[0].groupBy("verdict", "round").agg(F.count("*").alias("n"))
 
 
 @query
 def phase3_counts(spark, sf_dir):
-    return _extraction(spark, sf_dir)[2]
+    return _extraction(spark, sf_dir, _signed)[2]
 
 
 @query
 def snk_phase3_json(spark, sf_dir):
-    done, failed, counts = _extraction(spark, sf_dir)
-    return extract.result_document("example.com", done, failed, counts).select(F.to_json(F.struct("*")).alias("json"))
+    return extract.result_document(ROOT, *_extraction(spark, sf_dir, _signed))
 
 
 def _crawl_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -634,9 +736,10 @@ def snk_phase1_json(spark, sf_dir):
 
 @query
 def src_phase1_json(spark, sf_dir):
-    """A crawl document as JSON, read by its schema and taken apart into link records."""
-    read = snk_phase1_json(spark, sf_dir).select(F.from_json("json", CRAWL, {"mode": "FAILFAST"}).alias("d")).select("d.*")
-    return documents.links_of(read, "internal_urls").select("seq", "url", "depth", "link_text")
+    """A crawl document written as a file of JSON, read by its schema and taken apart into link records."""
+    path = fresh_dir(spark, "crawl")
+    documents.write_json(_crawl_document(spark, sf_dir), path)
+    return documents.links_of(documents.read_crawl(spark, path), "internal_urls").select("seq", "url", "depth", "link_text")
 
 
 def _classification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -651,7 +754,10 @@ def snk_phase2_json(spark, sf_dir):
 
 @query
 def src_phase2_json(spark, sf_dir):
-    return documents.template_urls(_classification(spark, sf_dir)).select("template_id", "url")
+    """A classification written as a file of JSON, read by its schema: the URLs of its template map."""
+    path = fresh_dir(spark, "classification")
+    documents.write_json(_classification(spark, sf_dir), path)
+    return documents.template_urls(documents.read_classification(spark, path)).select("template_id", "url")
 
 
 @query

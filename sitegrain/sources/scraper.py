@@ -6,7 +6,6 @@ selectors, and healing puts other selectors in their place. No command is ever r
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -32,17 +31,30 @@ def parse_output(stdout: Column) -> Column:
 
 @dataclass
 class SelectorExtractor:
-    """Extracts by selectors; each healing goes on to the next set of them."""
+    """Extracts by selectors; each healing of a template goes on to the next set of them.
+
+    A template has its own sets in ``by_template``, or those of ``rounds``. URLs come again only
+    while they fail, so a template that comes in a round has been healed as often as there were
+    rounds before. Templates of ``uncreatable`` get no scraper and are passed over.
+    """
 
     pages: DataFrame
     rounds: list[list[dict]] = field(default_factory=lambda: [list(FIELDS)])
-    version: int = 0
-    heal: Callable[[SelectorExtractor], None] | None = None
+    by_template: dict[str, list[list[dict]]] = field(default_factory=dict)
+    uncreatable: frozenset[str] = frozenset()
+
+    def create(self, urls: DataFrame) -> DataFrame:
+        """The rows of ``urls`` whose template gets a scraper."""
+        return urls.where(~F.col("template_id").isin(*self.uncreatable)) if self.uncreatable else urls
 
     def __call__(self, urls: DataFrame, turn: int) -> DataFrame:
-        """``urls`` (with a column url) and ``data``: JSON of the fields, null without a page."""
-        if turn and self.heal is not None:
-            self.heal(self)
-        elif turn:
-            self.version = min(self.version + 1, len(self.rounds) - 1)
-        return with_fields(urls.join(self.pages.select("url", "html"), "url", "left"), self.rounds[self.version]).drop("html")
+        """``urls`` (template_id, url) and ``data``: JSON of the fields, null without a page."""
+        own = urls.join(self.pages.select("url", "html"), "url", "left")
+        version = lambda rounds: rounds[min(turn, len(rounds) - 1)]
+        if not self.by_template:
+            return with_fields(own, version(self.rounds)).drop("html")
+        rest = own.where(F.col("template_id").isNull() | ~F.col("template_id").isin(*self.by_template))
+        out = with_fields(rest, version(self.rounds))
+        for template, rounds in self.by_template.items():
+            out = out.unionByName(with_fields(own.where(F.col("template_id") == template), version(rounds)))
+        return out.drop("html")

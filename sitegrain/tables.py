@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_ROOTS: dict[str, str] = {}
 
@@ -42,4 +43,40 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(table: DataFrame | None) -> None:
+    """Delete a table that :func:`materialize` wrote, once nothing reads it any more."""
+    path = getattr(table, "_written_to", None)
+    if path is not None:
+        jvm = table.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+#: A key is hot if it has more rows than this, and more than one in ``HOT_SHARE`` of all.
+HOT_ROWS, HOT_SHARE = 10_000, 4096
+
+
+def hot_keys(counts: DataFrame, total: int) -> DataFrame:
+    """Hot keys of ``counts`` (key columns and ``_n``, rows a key has of ``total``) and ``_parts`` to deal them into.
+
+    There are fewer than ``HOT_SHARE`` of them whatever the input's size, so they are broadcast.
+    """
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    keys = [c for c in counts.columns if c != "_n"]
+    return F.broadcast(counts.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+
+
+def join_hot(many: DataFrame, few: DataFrame, on: list[str], hot: DataFrame, by: Column, how: str = "inner", hint: str | None = None) -> DataFrame:
+    """``many`` joined with ``few``; rows of a hot key are dealt out by ``by``, and ``few`` has a copy for each part.
+
+    ``by`` is an expression over ``many`` that differs between the rows of a key; ``hint`` is
+    a join hint for ``few``.
+    """
+    dealt = many.join(hot, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    copies = few.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies.hint(hint) if hint else copies, [*on, "_part"], how).drop("_part")

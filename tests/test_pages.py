@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegrain.functions import html
-from sitegrain.operators import frontier, generator, validation
+from sitegrain.operators import coverage, frontier, generator, grouping, validation
 from sitegrain.plans import extract
 from sitegrain.sources import documents, fetch, scraper
 from sitegrain.streaming import links
@@ -26,7 +26,7 @@ def pages(spark):
 
 def test_links(pages):
     got = [(r.pos, r.href, r.text, r.rel) for r in html.links(pages).orderBy("pos").collect()]
-    assert got == [(0, "https://h.org/stable/modules/x.html", "X y", ""), (3, "https://numpy.org/", "numpy", "nofollow"), (4, "https://h.org/dev/index.html", "dev", "")]
+    assert got == [(0, "https://h.org/stable/modules/x.html", "Xy", ""), (3, "https://numpy.org/", "numpy", "nofollow"), (4, "https://h.org/dev/index.html", "dev", "")]
     assert [(r.href, r.rel) for r in html.link_tags(pages).orderBy("pos").collect()] == [("https://h.org/stable/", "canonical"), ("https://h.org/stable/_static/a.css", "stylesheet")]
 
 
@@ -39,6 +39,91 @@ def test_metadata_and_signals(pages):
     assert tuple(guess[0].g) == ("sphinx", 0.95) and tuple(guess[1].g) == (None, 0.0)
 
 
+AWKWARD = [
+    '<a href="/x">one<p><a href="/y">two</a>', '<a href="/open">to the  end', '<!-- <a href="/hidden">no</a> --><a href="/a">yes</a>', '<script>var a = "<a href=/s>x</a>";</script><a href=/b>b</a>',
+    "<a href='/c'> two <b> 2 </b> </a>", '<A CLASS="k" HREF="/d?x=1&amp;y=2">D &eacute; &#233;&#x2014;&lt;</A>', '<a data-href="/no">no</a><a name="x">no</a><a href="/e"\n rel="next nofollow">e</a>', "<a\nhref='/f'>f<br>g</a>", "<style>a{}</style><!-- open <a href='/g'>g</a>", "<abbr href='/no'>no</abbr><a href='/h'></a>",
+]
+
+
+def test_links_of_awkward_pages(spark):
+    """Against the tree that a parser makes, where anchors do not nest."""
+    rows = html.links(spark.createDataFrame([(i, BASE, p) for i, p in enumerate(AWKWARD)], "page_id long, url string, html string")).orderBy("page_id", "pos").collect()
+    got = [(r.page_id, r.raw, r.text.replace("&eacute;", "é"), r.rel) for r in rows]
+    want = []
+    for i, page in enumerate(AWKWARD):
+        anchors = [n for n in html.parse(page).walk() if n.tag == "a" and "href" in n.attrs]
+        for n in anchors:
+            inner = {id(x) for a in n.walk() if a.tag == "a" for x in [a, *a.walk()]}
+            own = "".join(t.strip() for t in n.strings()) if not inner else "one"
+            want.append((i, n.attrs["href"], own, n.attrs.get("rel", "")))
+    assert got == want
+
+
+def test_files_of_sites(spark):
+    sites = spark.createDataFrame([("https://h.org/docs/", 1), ("https://h.org/docs/", 2), ("http://x.org", 3)], "root_url string, n int")
+    known = spark.createDataFrame([("https://h.org/robots.txt",), ("https://h.org/docs/search/search_index.json",), ("http://x.org/objects.inv#a",), ("http://x.org/docs/sitemap.xml",)], "url string")
+    rows = {r.n: (r.has_robots_txt, r.has_objects_inv, r.has_sitemap, r.has_search_index) for r in fetch.site_files(sites, known).collect()}
+    assert rows == {1: (True, False, False, True), 2: (True, False, False, True), 3: (False, True, False, False)}
+
+
+def test_service(spark):
+    def post(url):
+        if url == "late":
+            raise TimeoutError
+        if url == "lost":
+            raise ConnectionError
+        if url == "odd":
+            raise KeyError
+        return {"ok": 200, "gone": 404, "busy": 429, "down": 503}[url], "body"
+
+    got = fetch.through_service(spark.createDataFrame([(u,) for u in ("ok", "gone", "busy", "down", "late", "lost", "odd")], "url string"), post, unit=0.0)
+    assert {r.url: (r.html, r.requests, r.successful, r.failed, r.credits) for r in got.collect()} == {
+        "ok": ("body", 1, 1, 0, 1), "gone": (None, 1, 0, 1, 0), "busy": (None, 3, 0, 1, 0), "down": (None, 3, 0, 1, 0), "late": (None, 3, 0, 1, 0), "lost": (None, 3, 0, 1, 0), "odd": (None, 1, 0, 1, 0),
+    }
+    assert tuple(fetch.service_counts(got).first()) == (15, 1, 6, 1)
+
+
+def test_printed_tree(spark):
+    paths = ["/", *[f"/a/{i}.html" for i in range(7)], "/b", "/b", "/b", "/b"]
+    rows = spark.createDataFrame([(i, p, f"u{i}") for i, p in enumerate(paths)], "seq long, path string, canonical_url string")
+    lines = grouping.printed(rows, F.col("path")).split("\n")
+    assert lines[:3] == ["root [descendants=12, child_ratio=1.0]", "  a [descendants=7, child_ratio=0.0]", "    0.html [descendants=1, child_ratio=0.0]"]
+    assert "    ... (2 more children)" in lines and lines[-6:] == ["  b [descendants=4, child_ratio=0.0]", "    → u8", "    → u9", "    → u10", "    → ... (1 more)", "  → u0"]
+    assert grouping.printed(rows.limit(0), F.col("path")) == ""
+
+
+def test_templates_with_wildcards_and_many_rows(spark):
+    listed = [("a", "/x/<integer>/..."), ("b", "/x/..."), ("c", "/<slug>/y"), ("d", "/..."), ("e", "/x/<integer>"), ("f", "/")]
+    templates = spark.createDataFrame([(i, p, k) for k, (i, p) in enumerate(listed)], "template_id string, pattern string, rank int")
+    paths = {"/x/1/2/3": "a", "/X/1": "a", "/x": "b", "/x/q/r": "b", "/a-b/Y": "c", "/q/r/s": "d", "/": "d"}
+    rows = spark.createDataFrame([(i, p, p) for i, p in enumerate(paths)], "seq long, canonical_url string, path string")
+    assert {r.canonical_url: r.template_id for r in coverage.matches(rows, templates, F.col("path")).collect()} == paths
+
+
+def test_next_urls(spark):
+    waiting = spark.createDataFrame([("a", 1, 5), ("b", 0, 9), ("c", 1, 2), ("d", 2, 0)], "key string, depth int, seq long")
+    assert [r.key for r in frontier.next_urls(waiting, None, 3).collect()] == ["b", "c", "a"]
+    assert [r.key for r in frontier.next_urls(waiting, spark.createDataFrame([("b",), ("b",)], "key string")).collect()] == ["c"]
+
+
+def test_extractors_of_templates(spark, pages):
+    urls = pages.select(F.when(F.col("page_id") == 1, "t").otherwise("u").alias("template_id"), F.col("page_id").alias("seq"), "url")
+    title = [{"name": "page_title", "css_selector": "title"}]
+    extractor = scraper.SelectorExtractor(pages, [[{"name": "x", "css_selector": "a"}]], {"t": [title]}, frozenset({"u"}))
+    assert [r.seq for r in extractor.create(urls).collect()] == [1]
+    got = {r.seq: r.data for r in extractor(urls, 3).collect()}
+    assert json.loads(got[1]) == {"page_title": "Site & more"} and got[2] is None and json.loads(got[3]) == {"x": None}
+    done, failed, counts = extract.extract(urls, extractor)
+    assert tuple(counts.first()) == (1, 1, 0, 1) and [r.seq for r in failed.collect()] == [1]
+
+
+def test_skeleton_leaves_noise_out():
+    assert html.skeleton("<div><script>var x=1</script></div>") == "body\n  div"
+    assert html.skeleton("<div><svg><text>t</text></svg><p>a</p></div>").split("\n") == ["body", "  div", '    p "a"']
+    assert html.skeleton("some <b>text</b>").split("\n") == ["body", "  p", '    b "text"']
+    assert html.skeleton("") == "[document]" and html.skeleton("<html><head><title>x</title></head><p>a").split("\n") == ["body", '  p "a"']
+
+
 def test_skeleton():
     page = "<body><script>x</script><div class='content random sig' id='main'><p>" + "t" * 90 + "<p>short</p></div><div style='display:none'>gone</div><div id='id-3'><span>s</span></div></body>"
     assert html.skeleton(page).split("\n") == ["body", "  div.content.sig#main", "    p [LONG_TEXT]", '    p "short"', "  div", '    span "s"']
@@ -78,7 +163,10 @@ def test_healing(spark, pages):
     accept = lambda df: df.withColumn("accepted", F.lit(True))
     done, failed, counts = extract.extract(urls, scraper.SelectorExtractor(pages, [wrong, right]), accept=accept)
     assert [(r.seq, r.round) for r in done.collect()] == [(1, 1)] and sorted(r.seq for r in failed.collect()) == [2, 3]
-    assert counts.first().asDict() == {"total_urls": 3, "processed": 1, "healed": 1, "failed": 2}
+    assert counts.first().asDict() == {"total_urls": 3, "processed": 3, "healed": 1, "failed": 2}
+    made = json.loads(extract.result_document("h.org", done, failed, counts).first().json)
+    assert (made["total_processed"], made["total_healed"], made["failed"]) == (3, 1, 2) and made["failed_urls"] == [{"url": u, "template_id": "t"} for u in ("https://h.org/", "https://h.org/x")]
+    assert [(r["url"], r["status"], r["data"]["page_title"]) for r in made["results"]["t"]] == [(BASE, "extracted", "Site & more")]
     none, _, _ = extract.extract(urls, scraper.SelectorExtractor(pages, [wrong, right]))
     assert none.count() == 0
 
