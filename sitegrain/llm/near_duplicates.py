@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import held, materialize, text_runs
+from .runtime import held, hot_keys, join_hot, materialize, release, text_runs
 
 WIDTH = 5
 BAND_ROWS, BANDS = 5, 48
@@ -174,15 +174,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Data
     """Those of the distinct ``pairs`` (a, b) whose full sets are similar enough, as a table.
 
     A pair's first set comes to where the second is by one shuffle on ``a``; the sets are
-    compared row by row in the join, so no group of pairs is ever held.
+    compared row by row in the join, so no group of pairs is ever held, and the pairs of a hub
+    that has many are dealt out. ``pairs`` is a written table.
     """
     rows = pairs.count()
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("_n")), rows)
     hubs = pairs.select(F.col("a").alias("c")).distinct()
     first = sets.join(_bounded(hubs, rows), "c", "left_semi").select(F.col("c").alias("a"), F.col("shingles").alias("_x"))
     second = _bounded(pairs, rows).join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("_y")), "b")
     common = F.size(F.array_intersect("_x", "_y"))
     alike = F.lit(100) * common >= F.lit(percent) * (F.size("_x") + F.size("_y") - common)
-    return materialize(second.join(first.hint("merge"), "a").where(alike).select("a", "b"), label)
+    return materialize(join_hot(second, first, ["a"], hot, F.col("b"), hint="merge").where(alike).select("a", "b"), label)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -219,7 +221,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        stars = materialize(small, "stars")
+        old, stars = stars, materialize(small, "stars")
+        release(old)
         now = stars.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == mark:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -231,8 +234,9 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int, rounds: int, wi
     """node and root for all classes that are linked with another; ``reps`` has c, n and bands."""
     spark = docs.sparkSession
     bands = reps.select("c", "n", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    buckets = materialize(bands.join(shared, "key"), "buckets")
+    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "shared")
+    hot = hot_keys(shared, shared.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    buckets = materialize(join_hot(bands, shared.select("key"), ["key"], hot, F.col("c")), "buckets")
     sets = materialize(_sets_of(docs, buckets.select("c").distinct(), width), "sets")
     links = spark.createDataFrame([], "a bigint, b bigint")
     tested = links
@@ -250,7 +254,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int, rounds: int, wi
     for turn in range(rounds):
         rows = placed()
         hubs = live(rows, F.col("c") if turn == 0 else F.xxhash64("c", "key", F.lit(turn)))
-        met = rows.join(hubs, "key").where((F.col("root") != F.col("hub_root")) & _near(F.col("n"), F.col("hub_n"), percent))
+        met = join_hot(rows, hubs, ["key"], hot, F.col("c")).where((F.col("root") != F.col("hub_root")) & _near(F.col("n"), F.col("hub_n"), percent))
         votes = met.groupBy(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b"), F.col("c").alias("own")).agg(F.count("*").alias("votes"))
         fresh = votes.join(tested, ["a", "b"], "left_anti") if turn else votes
         pairs = materialize(fresh.groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("votes", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct(), "pairs")
@@ -260,7 +264,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int, rounds: int, wi
             break
         roots = components(links)
     rows = placed()
-    left = rows.join(live(rows, F.col("c")).select("key"), "key").select("c", "n", "root").distinct()
+    left = join_hot(rows, live(rows, F.col("c")).select("key"), ["key"], hot, F.col("c")).select("c", "n", "root").distinct()
     found = _verify(_prefix_pairs(materialize(left, "left"), sets, percent), sets, percent, "links")
     return roots if found.isEmpty() else components(links.union(found))
 
@@ -274,17 +278,28 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     take up places but meet nothing.
     """
     held = sets.join(_bounded(left, left.count()), "c").select("c", "n", "root", F.explode("shingles").alias("h"))
-    often = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    met = materialize(held.join(often, "h"), "met")
+    often = materialize(held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    hot = hot_keys(often.withColumnRenamed("df", "_n"), often.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
+    met = materialize(join_hot(held, often, ["h"], hot, F.col("c")), "met")
     counts = met.groupBy("c").agg(F.count("*").alias("others"))
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy("df", "h"))).join(counts, "c")
     ranked = ranked.withColumn("place", F.col("rank") + F.col("n") - F.col("others"))
     first = materialize(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).select("h", "c", "n", "root", "place"), "prefix")
     x, y = (first.select("h", *(F.col(k).alias(f"{k}_{side}") for k in ("c", "n", "root", "place"))) for side in "xy")
+    x, y = x.withColumn("kind", F.explode(F.array(_size_class("n_x", percent), _size_class("n_x", percent) + 1))), y.withColumn("kind", _size_class("n_y", percent))
     least = F.ceil((F.col("n_x") + F.col("n_y")) * percent / F.lit(100 + percent))
     early = (F.col("n_x") - F.col("place_x") + 1 >= least) & (F.col("n_y") - F.col("place_y") + 1 >= least)
-    meet = x.join(y.hint("merge"), "h").where((F.col("c_x") < F.col("c_y")) & (F.col("root_x") != F.col("root_y")) & early)
-    return materialize(meet.select(F.col("c_x").alias("a"), F.col("c_y").alias("b")).distinct(), "pairs")
+    order = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("c_x") < F.col("c_y")))
+    meet = x.join(y.hint("merge"), ["h", "kind"]).where(order & _near(F.col("n_x"), F.col("n_y"), percent) & (F.col("root_x") != F.col("root_y")) & early)
+    return materialize(meet.select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct(), "pairs")
+
+
+def _size_class(n: str, percent: int) -> Column:
+    """A number for sizes, such that sets that can be similar enough are in one class or in two that follow.
+
+    The small addition keeps sizes at a border away from rounding.
+    """
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(100.0 / percent)) + 1e-9) if percent < 100 else F.col(n)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 1, width: int = WIDTH, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -300,12 +315,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 1, width:
     """
     drawn = materialize(sketch(docs, bands, rows, width), "sketch")
     told = drawn.where("doc_id is not null and n_shingles > 0")
-    classes = materialize(told.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("c")), "classes")
-    reps = told.join(classes, ["set_a", "set_b"]).where("doc_id = c").select("c", F.col("n_shingles").alias("n"), "bands")
+    classes = materialize(told.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("c"), F.count("*").alias("_n")), "classes")
+    total, key = drawn.count(), ["set_a", "set_b"]
+    hot, hot_class = hot_keys(classes.select(*key, "_n"), total), hot_keys(classes.select("c", "_n"), total)
+    reps = join_hot(told, classes.select(*key, "c"), key, hot, F.col("doc_id")).where("doc_id = c").select("c", F.col("n_shingles").alias("n"), "bands")
     roots = link_classes(docs, reps, percent, rounds, width)
-    whole = drawn.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
-    whole = whole.withColumn("c", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")))
-    whole = whole.join(roots.withColumnRenamed("node", "c"), "c", "left")
+    empty = F.col("n_shingles") == 0  # these have one set, and no class; any key does for them
+    whole = drawn.select("doc_id", "n_shingles", F.when(empty, F.xxhash64("doc_id")).otherwise(F.col("set_a")).alias("set_a"), "set_b")
+    whole = join_hot(whole, classes.select(*key, "c"), key, hot, F.col("doc_id"), "left")
+    whole = whole.withColumn("c", F.when(~empty, F.col("c")).otherwise(F.col("doc_id")))
+    whole = join_hot(whole, roots.withColumnRenamed("node", "c"), ["c"], hot_class, F.col("doc_id"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "c"))
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import fresh_dir, materialize, shared_root  # noqa: F401
+from ..tables import HOT_ROWS, HOT_SHARE, fresh_dir, hot_keys, join_hot, materialize, release, shared_root  # noqa: F401
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -41,30 +41,6 @@ def masked(docs: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame]
     return docs.select(*(F.col(c).alias(n) for c, n in names.items())), lambda df, *more: df.select(*(F.col(n).alias(c) for c, n in names.items()), *more)
 
 
-#: A key is hot if it has more rows than this, and more than one in ``HOT_SHARE`` of all.
-HOT_ROWS, HOT_SHARE = 10_000, 4096
-
-
-def hot_keys(counts: DataFrame, total: int) -> DataFrame:
-    """Hot keys of ``counts`` (key columns and ``_n``, rows a key has of ``total``) and ``_parts`` to deal them into.
-
-    There are fewer than ``HOT_SHARE`` of them whatever the input's size, so they are broadcast.
-    """
-    most = max(HOT_ROWS, total // HOT_SHARE)
-    keys = [c for c in counts.columns if c != "_n"]
-    return F.broadcast(counts.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
-
-
-def join_hot(many: DataFrame, few: DataFrame, on: list[str], hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``few``; rows of a hot key are dealt out by ``by``, and ``few`` has a copy for each part.
-
-    ``by`` is an expression over ``many`` that differs between the rows of a key.
-    """
-    dealt = many.join(hot, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    copies = few.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return dealt.join(copies, [*on, "_part"], how).drop("_part")
-
-
 def open_uri(uri: str):
     """File system and path for a folder of the shared store, on driver or executor."""
     from pyarrow import fs
