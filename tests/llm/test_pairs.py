@@ -8,6 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from sitegrain import tables
 from sitegrain.llm import decontamination, near_duplicates, passages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -207,36 +210,143 @@ def test_repeated_passages_of_odd_documents(spark, odd, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_passages_that_many_documents_share_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(passages, "HOT_ROWS", 32)
+    monkeypatch.setattr(tables, "HOT_ROWS", 32)
+    draw = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: [draw.choice(vocabulary) for _ in range(n)]
+    shared = text(80)
+    docs = {i: " ".join([*text(40), *(shared if i % 4 else []), *text(30)]) for i in range(400)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert len(passages._hot_seeds(df, 6, 8)) > 10
+    rows = passages.repeated_passages(df).collect()
+    assert {r.doc_id for r in rows} == {i for i in range(400) if i % 4 and i > 1}
+    covered = defaultdict(set)
+    for r in rows:
+        assert r.source_id < r.doc_id and r.n_equal >= 0.8 * (r.end - r.start)
+        covered[r.doc_id].update(range(r.start, r.end))
+    assert all(len(c) >= 80 for c in covered.values())
+    held = Counter(r.source_id for r in rows)
+    assert held[1] >= 2 and len(held) > 2  # the first of each part, and of them all
+
+
+def test_passages_within_a_document(spark):
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    docs = [(1, " ".join([*words("a", 70), *words("b", 20), *words("a", 70), *words("c", 9)])), (2, " ".join(words("d", 100)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert passages.repeated_passages(df).count() == 0
+    assert [tuple(r) for r in passages.repeated_passages(df, within=True).collect()] == [(1, 1, 90, 160, 0, 70, 70)]
+
+
+def test_copies_and_repeated_ids(spark):
+    text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    docs = [(1, text("a", 60)), (3, text("a", 60)), (3, text("a", 60)), (7, text("a", 60)), (2, text("s", 20)), (4, text("s", 20)), (5, text("b", 90)), (6, text("b", 90)), (6, text("q", 90)), (None, text("a", 60))]
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").withColumn("source_id", F.lit("x")))
+    import hashlib
+
+    own = min((text("b", 90), text("q", 90)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = [(3, 1, 0, 60, 0, 60, 60), (7, 1, 0, 60, 0, 60, 60)] + ([(6, 5, 0, 90, 0, 90, 90)] if own[0] == "b" else [])
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+
+
 def test_chains_keep_the_order():
-    starts, sources = np.array([0, 10, 20, 30, 5]), np.array([100, 110, 121, 131, 400])
-    best = passages.chain(starts, sources, k=8, max_gap=64)
+    starts, sources, n = np.array([0, 10, 20, 30, 5]), np.array([100, 110, 121, 131, 400]), np.full(5, 8)
+    best = passages.chain(starts, sources, n)
     assert best[0].tolist() == [0, 1, 2, 3] and best[1].tolist() == [4]
 
 
 def test_a_chain_goes_on_after_a_far_one():
-    starts = np.array([*range(0, 200, 8), *range(300, 360, 10)])  # two passages, 100 words apart
-    assert [starts[c].tolist() for c in passages.chain(starts, starts + 7, k=8, max_gap=64)] == [list(range(0, 200, 8)), list(range(300, 360, 10))]
+    starts = np.array([*range(0, 200, 8), *range(500, 560, 10)])  # two passages, 300 words apart
+    chains = [starts[c].tolist() for c in passages.chain(starts, starts + 7, np.full(len(starts), 8))]
+    assert chains == [list(range(0, 200, 8)), list(range(500, 560, 10))]
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(8))
 def test_chains_score_as_those_of_all_pairs(seed):
     draw = random.Random(seed)
-    p = sorted(draw.sample(range(600), 150))
-    q = [x + draw.choice([0, 0, 0, 3, -5, 200]) for x in p]
-    score = [8.0] * len(p)
-    for i in range(len(p)):
-        for j in range(i):
-            dp, dq = p[i] - p[j], q[i] - q[j]
-            if 0 < dp <= 64 and 0 < dq <= 64:
-                score[i] = max(score[i], score[j] + min(8, dp, dq) - 0.05 * (dp + dq) - 0.5 * abs(dp - dq))
-    best = passages.chain(np.array(p), np.array(q), k=8, max_gap=64)[0].tolist()
-    got = 8.0
-    for j, i in zip(best, best[1:]):
-        dp, dq = p[i] - p[j], q[i] - q[j]
-        got += min(8, dp, dq) - 0.05 * (dp + dq) - 0.5 * abs(dp - dq)
+    p = sorted(draw.choice(range(900)) for _ in range(200))
+    q = [max(0, x + draw.choice([0, 0, 0, 3, -5, 40, 200])) for x in p]
+    n = [draw.choice([6, 6, 10, 40]) for _ in p]
+
+    def gain(j, i):
+        a, b = p[j] + n[j] - 3, q[j] + n[j] - 3
+        near = p[i] // 64 - a // 64 <= 1 and q[i] // 64 - b // 64 <= 1
+        return n[i] - 0.1 * (p[i] - a + q[i] - b) if a <= p[i] and b <= q[i] and near else None
+
+    score = [float(x) for x in n]
+    for i in sorted(range(len(p)), key=lambda i: (p[i], q[i])):
+        for j in range(len(p)):
+            if p[j] < p[i] and (g := gain(j, i)) is not None:
+                score[i] = max(score[i], score[j] + g)
+    chains = passages.chain(np.array(p), np.array(q), np.array(n))
+    assert sorted(i for c in chains for i in c.tolist()) == list(range(len(p)))
+    best = chains[0].tolist()
+    got = n[best[0]] + sum(gain(j, i) for j, i in zip(best, best[1:]))
     assert got == pytest.approx(max(score))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_banded_alignment_is_the_best(seed):
+    draw = random.Random(seed)
+
+    def brute(a, b):
+        best = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = [(0, 0)] if not i + j else []
+                if i and j:
+                    s, e = best[i - 1, j - 1]
+                    ways.append((s + 1, e + 1) if a[i - 1] == b[j - 1] else (s - 1, e))
+                ways += [(best[at][0] - 1, best[at][1]) for at in ((i - 1, j), (i, j - 1)) if at in best]
+                best[i, j] = max(ways)
+        return best
+
+    pairs = []
+    for _ in range(40):
+        a = [draw.randint(0, 5) for _ in range(draw.randint(0, 12))]
+        b = [x if draw.random() < 0.8 else draw.randint(0, 5) for x in a for _ in range(draw.choice([1, 1, 1, 1, 0, 2]))]
+        pairs.append((a, b))
+    x, y = (np.array([w for pair in pairs for w in pair[side]] + [9], np.int32) for side in (0, 1))
+    rows, columns = (np.array([len(pair[side]) for pair in pairs]) for side in (0, 1))
+    at, source = np.cumsum(rows) - rows, np.cumsum(columns) - columns
+    equal, _, _ = passages._banded(x, y, at, source, rows, columns, -30, 30)
+    tables = [brute(a, b) for a, b in pairs]
+    assert equal.tolist() == [t[len(a), len(b)][1] for t, (a, b) in zip(tables, pairs)]
+    equal, i, j = passages._banded(x, y, at, source, rows, columns, -30, 30, 1, 1000)
+    assert [t[e][0] for t, e in zip(tables, zip(i.tolist(), j.tolist()))] == [max(s for s, _ in t.values()) for t in tables]
+    back = passages._banded(x[::-1].copy(), y[::-1].copy(), len(x) - 1 - at, len(y) - 1 - source, rows, columns, -30, 30, -1, 1000)
+    assert all((a == b).all() for a, b in zip(back, (equal, i, j)))
+
+
+def edited(draw, words, rate, kinds, vocabulary):
+    out = []
+    for w in words:
+        kind = draw.choice(kinds) if draw.random() < rate else None
+        out += [] if kind == "out" else [draw.choice(vocabulary)] if kind == "change" else [w, draw.choice(vocabulary)] if kind == "in" else [w]
+    return out
+
+
+@pytest.mark.parametrize("kinds", [["change"], ["change", "out", "in"]])
+def test_recall_of_edited_passages(spark, kinds):
+    draw = random.Random(len(kinds))
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    text = lambda n: [draw.choice(vocabulary) for _ in range(n)]
+    rows, planted = [], {}
+    for rate in (0.02, 0.05, 0.1):
+        for n in (60, 100, 200):
+            for _ in range(40):
+                passage = text(n)
+                rows.append((len(rows), " ".join([*text(60), *passage, *text(60)])))
+                planted[len(rows)] = (rate, n)
+                rows.append((len(rows), " ".join([*text(60), *edited(draw, passage, rate, kinds, vocabulary), *text(60)])))
+    found = {(r.doc_id, r.source_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(d in planted and s == d - 1 for d, s in found)
+    for rate in (0.02, 0.05, 0.1):
+        own = [d for d, (r, _) in planted.items() if r == rate]
+        assert sum((d, d - 1) in found for d in own) / len(own) >= 0.9
+
+
 def test_two_edited_passages_of_one_source(spark):
     words = lambda c, n: [f"{c}{i}" for i in range(n)]
     far, near = words("a", 200), words("b", 90)
