@@ -1,6 +1,7 @@
 """Operator 6: a quality classifier by attention over passages (multiple-instance learning).
 
-A document is a bag of passages. Every passage is encoded on its own; gated attention says
+A document is a bag of passages. Every passage is encoded on its own, from shares of its
+pairs of character kinds and from learned vectors of its hashed words; gated attention says
 how much each passage counts, and the document's score is that of the weighted sum of its
 passages' representations. Only documents have labels: what makes a passage matter is
 learned from them. The model is fitted on a bounded sample of labelled documents; scoring
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +36,32 @@ def _classes() -> np.ndarray:
 CLASSES = 12
 _KIND = _classes()
 FEATURES = CLASSES * CLASSES + 2
+#: Words are hashed to so many vectors.
+BUCKET_BITS = 11
 
 
-def passages(texts: pa.Array, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
-    """Encoded passages of all texts (rows of FEATURES numbers) and how many each text has.
+class Bags:
+    """Encoded passages of some texts: rows of FEATURES numbers, the buckets of their words, and
+    how many words each passage and how many passages each text has."""
+
+    def __init__(self, x: np.ndarray, words: np.ndarray, sizes: np.ndarray, counts: np.ndarray):
+        self.x, self.words, self.sizes, self.counts = x, words, sizes, counts
+
+    def some(self, texts: np.ndarray) -> Bags:
+        """The bags of these texts, in this order."""
+        n, first = self.counts[texts], (np.cumsum(self.counts) - self.counts)[texts]
+        rows = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        k, begin = self.sizes[rows], (np.cumsum(self.sizes) - self.sizes)[rows]
+        at = np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        return Bags(self.x[rows], self.words[at], k, n)
+
+
+def passages(texts: pa.Array, passage: int = PASSAGE) -> Bags:
+    """Encoded passages of all texts.
 
     A passage's numbers are the shares of its neighbouring pairs of character kinds, the
     logarithm of its length, and the share of its words that it has had before. A text that
-    is null or empty has one passage without any pair.
+    is null or empty has one passage without any pair or word.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -52,7 +71,7 @@ def passages(texts: pa.Array, passage: int = PASSAGE) -> tuple[np.ndarray, np.nd
     total = int(counts.sum())
     first = np.repeat(bounds[:-1] - bounds[0], counts) + passage * (np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts))
     length = np.minimum(passage, np.repeat(bounds[1:] - bounds[0], counts) - first)
-    out = np.zeros((total, FEATURES), np.float32)
+    out, buckets, words = np.zeros((total, FEATURES), np.float32), np.empty(0, np.int32), np.zeros(total, np.int64)
     if len(data):
         kinds = _KIND[data]
         owner = np.repeat(np.arange(total, dtype=np.int32), length)
@@ -72,86 +91,98 @@ def passages(texts: pa.Array, passage: int = PASSAGE) -> tuple[np.ndarray, np.nd
             again = np.flatnonzero(key[1:] == key[:-1])
             words = np.bincount(of, minlength=total)
             out[:, -1] = np.bincount((key[again] & np.uint64(0xFFFFFF)).astype(np.int64), minlength=total)[:total] / np.maximum(1, words)
+            buckets = (word * _ODD >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
     out[:, -2] = np.log1p(length)
-    return out, counts
+    return Bags(out, buckets, words, counts)
 
 
 _DRAW = np.random.default_rng(17)
 _SCATTER = _DRAW.integers(1, 1 << 63, 256, np.uint64)
 _POWERS = _DRAW.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each group; groups follow each other and may be empty."""
+    out = np.zeros((len(sizes), values.shape[1]), values.dtype)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        out[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full])
+    return out
+
+
 class AttentionModel:
-    """h = tanh(x E + e); weight by softmax of g(tanh(h V) * sigmoid(h U)); score sigmoid(z c + b)."""
+    """h = tanh(x E + mean W[words] + e); weight by softmax of g(tanh(h V) * sigmoid(h U)); score sigmoid(z c + b)."""
 
-    def __init__(self, features: int = FEATURES, hidden: int = 32, gate: int = 16, seed: int = 7):
+    def __init__(self, features: int = FEATURES, hidden: int = 24, gate: int = 12, buckets: int = 1 << BUCKET_BITS, seed: int = 7):
         draw = np.random.default_rng(seed)
-        init = lambda *s: draw.normal(0, 1 / np.sqrt(s[0]), s)
-        self.p = {"E": init(features, hidden), "e": np.zeros(hidden), "V": init(hidden, gate), "U": init(hidden, gate), "g": init(gate), "c": init(hidden), "b": np.zeros(1)}
-        self.mean, self.scale = np.zeros(features), np.ones(features)
-
-    def _forward(self, x: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> dict:
-        p = self.p
-        h = np.tanh(x @ p["E"] + p["e"])
+        init = lambda *s: draw.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
+        #: Word vectors start at zero, so that words that no document taught say nothing.
+        self.p = {"E": init(features, hidden), "W": np.zeros((buckets, hidden), np.float32), "e": np.zeros(hidden, np.float32), "V": init(hidden, gate), "U": init(hidden, gate), "g": init(gate), "c": init(hidden), "b": np.zeros(1, np.float32)}
+        self.mean, self.scale = np.zeros(features, np.float32), np.ones(features, np.float32)
+
+    def _forward(self, bags: Bags) -> dict:
+        p, counts = self.p, bags.counts
+        starts = np.cumsum(counts) - counts
+        x = np.clip((bags.x - self.mean) / self.scale, -8, 8)
+        h = np.tanh(x @ p["E"] + _sums(p["W"][bags.words], bags.sizes) / np.maximum(1, bags.sizes)[:, None].astype(x.dtype) + p["e"])
         t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         logit = (t * s) @ p["g"]
         bag = np.repeat(np.arange(len(counts)), counts)
         raised = np.exp(logit - np.maximum.reduceat(logit, starts)[bag])
         a = raised / np.add.reduceat(raised, starts)[bag]
         z = np.add.reduceat(a[:, None] * h, starts)
-        return {"h": h, "t": t, "s": s, "a": a, "z": z, "bag": bag, "y": _sigmoid(z @ p["c"] + p["b"])}
+        return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "bag": bag, "starts": starts, "y": _sigmoid(z @ p["c"] + p["b"])}
 
-    def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def score(self, bags: Bags) -> np.ndarray:
         """A score from 0 to 1 for each bag of passages; every bag has one passage at least."""
-        return self._forward(self._scaled(x), np.cumsum(counts) - counts, counts)["y"] if len(counts) else np.empty(0)
+        return self._forward(bags)["y"].astype(np.float64) if len(bags.counts) else np.empty(0)
 
-    def attention(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def attention(self, bags: Bags) -> np.ndarray:
         """The weight of each passage within its bag."""
-        return self._forward(self._scaled(x), np.cumsum(counts) - counts, counts)["a"]
+        return self._forward(bags)["a"]
 
-    def _scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
-
-    def fit(self, x: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = 2500, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 3) -> AttentionModel:
+    def fit(self, bags: Bags, labels: np.ndarray, steps: int = 800, batch: int = 64, rate: float = 4e-3, decay: float = 1e-4, seed: int = 3) -> AttentionModel:
         """About ``steps`` steps of Adam on the cross-entropy of documents' labels (0 to 1)."""
-        epochs = max(1, round(steps / max(1, -(-len(counts) // batch))))
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        x, starts = self._scaled(x), np.cumsum(counts) - counts
+        epochs = max(1, round(steps / max(1, -(-len(labels) // batch))))
+        self.mean, self.scale = bags.x.mean(0, dtype=np.float64).astype(np.float32), (bags.x.std(0, dtype=np.float64) + 1e-3).astype(np.float32)
         share = np.clip(labels.mean(), 0.02, 0.98)
         self.p["b"][:] = np.log(share / (1 - share))
         first, second, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         draw = np.random.default_rng(seed)
         for epoch in range(epochs):
-            order = draw.permutation(len(counts))
+            order = draw.permutation(len(labels))
+            now = rate * (1 - epoch / epochs)
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
-                n = counts[some]
-                begin = np.cumsum(n) - n
-                rows = np.repeat(starts[some] - begin, n) + np.arange(int(n.sum()))
-                grads, step = self._gradients(x[rows], begin, n, labels[some]), step + 1
-                now = rate * (1 - epoch / epochs)
-                for k, grad in grads.items():
+                step += 1
+                for k, grad in self._gradients(bags.some(some), labels[some]).items():
                     grad = grad + decay * self.p[k]
                     first[k] = 0.9 * first[k] + 0.1 * grad
                     second[k] = 0.999 * second[k] + 0.001 * grad * grad
-                    self.p[k] -= now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                    self.p[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(self.p[k].dtype)
         return self
 
-    def _gradients(self, x: np.ndarray, starts: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        p, f = self.p, self._forward(x, starts, counts)
-        error = (f["y"] - labels) / len(labels)
+    def _gradients(self, bags: Bags, labels: np.ndarray) -> dict[str, np.ndarray]:
+        p, f = self.p, self._forward(bags)
+        error = ((f["y"] - labels) / len(labels)).astype(f["h"].dtype)
         to_z = error[:, None] * p["c"]
         each = to_z[f["bag"]]
         to_a = (each * f["h"]).sum(1)
-        to_logit = f["a"] * (to_a - np.add.reduceat(f["a"] * to_a, starts)[f["bag"]])
+        to_logit = f["a"] * (to_a - np.add.reduceat(f["a"] * to_a, f["starts"])[f["bag"]])
         to_t = to_logit[:, None] * p["g"] * f["s"] * (1 - f["t"] ** 2)
         to_s = to_logit[:, None] * p["g"] * f["t"] * f["s"] * (1 - f["s"])
         to_h = (f["a"][:, None] * each + to_t @ p["V"].T + to_s @ p["U"].T) * (1 - f["h"] ** 2)
-        return {"E": x.T @ to_h, "e": to_h.sum(0), "V": f["h"].T @ to_t, "U": f["h"].T @ to_s, "g": to_logit @ (f["t"] * f["s"]), "c": f["z"].T @ error, "b": np.array([error.sum()])}
+        # A word's vector gets its passages' gradients: sorted by bucket, then summed.
+        order = np.argsort(bags.words, kind="stable")
+        passage = np.repeat(np.arange(len(bags.sizes)), bags.sizes)[order]
+        own = np.bincount(bags.words, minlength=len(p["W"]))
+        to_w = _sums((to_h / np.maximum(1, bags.sizes)[:, None].astype(to_h.dtype))[passage], own)
+        return {"E": f["x"].T @ to_h, "W": to_w, "e": to_h.sum(0), "V": f["h"].T @ to_t, "U": f["h"].T @ to_s, "g": to_logit @ (f["t"] * f["s"]), "c": f["z"].T @ error, "b": np.array([error.sum()])}
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -159,38 +190,46 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000) -> AttentionModel | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, sample_bytes: int = 64 << 20) -> AttentionModel | None:
     """Fit a model on at most ``sample`` labelled documents that are not held out.
 
-    The sample is that of the smallest hashes of the id, so it is the same on every run.
-    Labels that repeat for a document are averaged; null labels are passed over. None where
-    the sample does not hold documents of different labels.
+    The sample is that of the smallest hashes of the id, so it is the same on every run; it
+    ends where its texts have ``sample_bytes``, and a longer text is passed over. Labels that
+    repeat for a document are averaged; null labels are passed over, and rows that repeat a
+    doc_id are all learned from. None where the sample does not hold documents of different
+    labels, as in empty tables.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.avg(label).alias("y"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(label).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_runs(batch, "text"):
-                x, counts = passages(part.column("text"))
-                ends = np.cumsum(counts)
-                blobs = [x[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist())]
-                yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array(blobs, pa.binary())], names=["doc_id", "y", "x"])
-
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
-    table = own.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y double, x binary").toArrow().sort_by("doc_id")
+                bags = passages(part.column("text"))
+                at = [bags.some(np.array([i])) for i in range(part.num_rows)]
+                columns = [[m.x.tobytes() for m in at], [m.words.astype(np.uint16).tobytes() for m in at], [m.sizes.astype(np.int32).tobytes() for m in at]]
+                yield pa.record_batch([part.column("doc_id"), part.column("y"), *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "y", "x", "words", "sizes"])
+
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    ordered = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the sample alone
+    own = own.where(size <= sample_bytes).withColumn("_sum", F.sum(size).over(ordered)).where(F.col("_sum") <= sample_bytes)
+    table = own.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y double, x binary, words binary, sizes binary").toArrow().sort_by("doc_id")
     y = table.column("y").to_numpy()
     if len(np.unique(y)) < 2:
         return None
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in table.column("x").to_pylist()]
-    return AttentionModel().fit(np.concatenate(bags).astype(np.float64), np.array([len(b) for b in bags]), y)
+    read = lambda c, kind: [np.frombuffer(b, kind) for b in table.column(c).to_pylist()]
+    x, words, sizes = read("x", np.float32), read("words", np.uint16), read("sizes", np.int32)
+    bags = Bags(np.concatenate(x).reshape(-1, FEATURES), np.concatenate(words).astype(np.int32), np.concatenate(sizes).astype(np.int64), np.array([len(s) for s in sizes]))
+    return AttentionModel().fit(bags, y)
 
 
 def score(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
     """All rows and columns of ``docs`` and ``score``, from 0 to 1 (higher: label 1 likelier).
 
-    A null text is scored as an empty one. Without a model, nothing is known against any
-    text and all score 1. An own column ``score`` is replaced.
+    A null text is scored as an empty one, a very long one whole; rows that repeat are each
+    scored. Without a model, nothing is known against any text and all score 1. An own column
+    ``score`` is replaced. An empty table gives an empty table.
     """
     docs = docs.drop("score")
     columns = docs.columns
@@ -199,8 +238,7 @@ def score(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
         held("quality")
         for batch in batches:
             for part in text_runs(batch, "text", 1 << 20):
-                x, counts = passages(part.column("text"))
-                value = model.score(x.astype(np.float64), counts) if model else np.ones(len(counts))
+                value = model.score(passages(part.column("text"))) if model else np.ones(part.num_rows)
                 yield pa.record_batch([*(part.column(c) for c in columns), pa.array(value, pa.float64())], names=[*columns, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
@@ -211,12 +249,12 @@ def predicted(threshold: float = 0.7) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score and predicted. Only texts are scored."""
+    """Per row of ``docs``: doc_id, held_out, score and predicted. Only texts are scored; see :func:`train` and :func:`score`."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted(threshold).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, unchanged."""
+    """The rows of ``docs`` that the classifier does not reject, unchanged; see :func:`train` and :func:`score`."""
     own, named = masked(docs, "text")
     return named(score(own, train(docs, labels)).where(predicted(threshold) == 1))
