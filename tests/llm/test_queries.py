@@ -70,3 +70,21 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert bins <= -(-total // 2048) + 1
         held[name] = rows
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect())) == Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in held["best_fit_packing"])
+
+
+def test_pipeline_of_odd_documents(spark, odd, none, tmp_path):
+    labels = spark.createDataFrame([(d, d % 2) for d in range(0, 13)] + [(None, 1), (4, None)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "same text here again"), (None, "one"), (2, None)], "item_id long, text string")
+    for name, docs in (("odd", odd), ("none", none)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert bool(rows) == (name == "odd") and {r.doc_id for r in rows} <= {r.doc_id for r in odd.select("doc_id").collect()}
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, folder)
+            assert kept.schema == docs.schema, stage_name
+            clashing = kept.collect()
+            assert {(r.hits, r.spans, r.score, r.component_id, r.c, r.h, r.root) for r in clashing} <= {("a", "b", "c", "d", "f", "g", "h")}

@@ -18,7 +18,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from sitegrain.llm import nearest, personal_data, quality, runtime, token_counts, warc
+from sitegrain import tables
+from sitegrain.llm import nearest, personal_data, quality, token_counts, warc
 from sitegrain.llm.tokens import vocabulary_path
 
 
@@ -93,7 +94,7 @@ def test_a_damaged_response_is_told():
 
 
 def test_pages_that_share_a_hot_payload(spark, monkeypatch):
-    monkeypatch.setattr(runtime, "HOT_ROWS", 20)
+    monkeypatch.setattr(tables, "HOT_ROWS", 20)
     pages = [(i, "" if i % 3 else f"own {i}") for i in range(900)]
     df = spark.createDataFrame([(p, f"u{p}", h) for p, h in pages], "page_id long, url string, html string").repartition(3)
     rows = warc.archive_pages(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
@@ -129,22 +130,65 @@ def test_classifier_of_odd_documents(spark, odd, none):
     assert quality.keep_good(odd, labels.limit(0)).count() == odd.count()
 
 
+def small_model(seed=0):
+    draw = np.random.default_rng(seed)
+    model = quality.AttentionModel(features=5, hidden=4, gate=3, buckets=6)
+    model.p = {k: draw.normal(size=v.shape) for k, v in model.p.items()}
+    model.mean, model.scale = draw.normal(size=5), draw.uniform(0.5, 2, 5)
+    bags = quality.Bags(draw.normal(size=(9, 5)), draw.integers(0, 6, 17), np.array([3, 0, 4, 1, 0, 2, 5, 0, 2]), np.array([2, 1, 6]))
+    return model, bags
+
+
+def test_scores_are_those_of_plain_loops():
+    model, bags = small_model()
+    p, row, word = model.p, 0, 0
+    for count, score in zip(bags.counts, model.score(bags)):
+        hidden, logits = [], []
+        for _ in range(count):
+            x = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(bags.x[row], model.mean, model.scale)]
+            own = bags.words[word : word + bags.sizes[row]]
+            h = [math.tanh(sum(x[i] * p["E"][i][j] for i in range(5)) + sum(p["W"][w][j] for w in own) / max(1, len(own)) + p["e"][j]) for j in range(4)]
+            gate = [math.tanh(sum(h[j] * p["V"][j][k] for j in range(4))) / (1 + math.exp(-sum(h[j] * p["U"][j][k] for j in range(4)))) for k in range(3)]
+            hidden.append(h)
+            logits.append(sum(g * v for g, v in zip(gate, p["g"])))
+            row, word = row + 1, word + len(own)
+        weights = [math.exp(v) / sum(map(math.exp, logits)) for v in logits]
+        z = [sum(w * h[j] for w, h in zip(weights, hidden)) for j in range(4)]
+        assert score == pytest.approx(1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["c"])) + p["b"][0]))))
+    assert np.allclose(np.add.reduceat(model.attention(bags), np.cumsum(bags.counts) - bags.counts), 1)
+
+
 def test_gradients_are_right():
-    draw = np.random.default_rng(0)
-    model = quality.AttentionModel(features=5, hidden=4, gate=3)
-    x, counts, y = draw.normal(size=(9, 5)), np.array([2, 1, 6]), np.array([1.0, 0.0, 1.0])
-    starts = np.cumsum(counts) - counts
-    loss = lambda: -np.mean(y * np.log(p := model._forward(x, starts, counts)["y"]) + (1 - y) * np.log(1 - p))
-    for name, grad in model._gradients(x, starts, counts, y).items():
+    model, bags = small_model(1)
+    y = np.array([1.0, 0.0, 1.0])
+    loss = lambda: -np.mean(y * np.log(p := model._forward(bags)["y"]) + (1 - y) * np.log(1 - p))
+    for name, grad in model._gradients(bags, y).items():
         flat = model.p[name].reshape(-1)
-        for i in range(min(4, len(flat))):
+        for i in range(0, len(flat), max(1, len(flat) // 8)):
             keep, flat[i] = flat[i], flat[i] + 1e-6
             high = loss()
-            flat[i] = keep - 2e-6 + 1e-6
+            flat[i] = keep - 1e-6
             low = loss()
             flat[i] = keep
             assert abs((high - low) / 2e-6 - grad.reshape(-1)[i]) < 1e-5
-    assert np.allclose(np.add.reduceat(model.attention(x, counts), starts), 1)
+
+
+def test_bags_of_some_texts():
+    texts = ["a b a", None, "", "x" * 1300 + " yy zz", "é " * 400]
+    whole = quality.passages(pa.array(texts))
+    assert whole.counts.tolist() == [1, 1, 1, 3, 3] and whole.sizes.sum() == len(whole.words) and whole.x.shape == (9, quality.FEATURES)
+    for i, text in enumerate(texts):
+        one, own = quality.passages(pa.array([text], pa.string())), whole.some(np.array([i]))
+        assert (one.x == own.x).all() and one.words.tolist() == own.words.tolist() and one.sizes.tolist() == own.sizes.tolist()
+    assert whole.some(np.array([0])).words.tolist()[0] == whole.some(np.array([0])).words.tolist()[2]
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "word " * 50 if i % 2 else "### $$$ " * 30, "x") for i in range(300)] + [(300, "long " * 5000, "x")], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(301)], "doc_id long, quality int")
+    assert quality.train(docs, labels, sample_bytes=400) is None or quality.train(docs, labels, sample_bytes=400)
+    model = quality.train(docs, labels, sample_bytes=10_000)
+    assert model is not None and np.abs(model.p["W"]).sum() > 0
 
 
 @pytest.fixture(scope="module")
