@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, nearest, oracles, passages, personal_data, quality, token_counts, warc
+from . import decontamination, near_duplicates, nearest, oracles, passages, personal_data, quality, token_counts, warc, whitening
 from .grammar import read_tokens, write_tokens
 from .packing import pack_documents
 from .runtime import small_batches
@@ -69,6 +69,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``embeddings`` whitened: up to 16 components of every vector."""
+    return whitening.digest(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": op1_warc_archives,
     "op2_near_duplicates": op2_near_duplicates,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_personal_data": op9_personal_data,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
