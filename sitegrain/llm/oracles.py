@@ -121,3 +121,27 @@ WITH v AS (
 )
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+_TERMS = rf"regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH t AS (
+  SELECT r, doc_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)
+), d AS (
+  SELECT r, any_value(doc_id) AS doc_id, count(*)::BIGINT AS n FROM t GROUP BY r
+), c AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS len FROM d
+), p AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM t GROUP BY r, term
+), f AS (
+  SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term
+), i AS (
+  SELECT DISTINCT q, item_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)
+), s AS (
+  SELECT q, item_id, r, doc_id, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // len))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN f USING (term) JOIN d USING (r), c GROUP BY q, item_id, r, doc_id
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
+"""

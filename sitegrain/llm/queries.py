@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, nearest, oracles, passages, personal_data, quality, token_counts, warc, whitening
+from . import decontamination, lexical, near_duplicates, nearest, oracles, passages, personal_data, quality, token_counts, warc, whitening
 from .grammar import read_tokens, write_tokens
 from .packing import pack_documents
 from .runtime import small_batches
@@ -74,6 +74,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of whole ``documents`` for every item of ``benchmark``."""
+    return lexical.search(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": op1_warc_archives,
     "op2_near_duplicates": op2_near_duplicates,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -94,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": oracles.OP4,
     "op9_personal_data": oracles.OP9,
     "op10_exact_top_k": oracles.OP10,
+    "op12_ranked_search": oracles.OP12,
 }
