@@ -1,8 +1,8 @@
 """HTML functions.
 
-Links, metadata and site signals come from regular expressions over tags, in the JVM. What
-needs a tree (page skeletons, selectors) runs on executors with the standard library's
-parser, in Arrow batches.
+Links, metadata and site signals come from one look through a page's tags, in Arrow batches on
+executors; addresses are resolved in the JVM. What needs a tree (page skeletons, selectors)
+uses the standard library's parser.
 """
 
 from __future__ import annotations
@@ -11,158 +11,164 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
-from . import urls
+from . import tags, urls
 from .columns import let
-from .values import NOISE_TAGS, STRUCTURAL_CLASSES
+from .values import CLOSING_RANKS, NOISE_TAGS, STRUCTURAL_CLASSES
 
-_QUOTED = """(?:"([^"]*)"|'([^']*)'|([^\\s"'>]+))"""
-#: The commonest named entities; ampersands come last.
-_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&middot;", "·"), ("&bull;", "•"), ("&para;", "¶"), ("&sect;", "§"), ("&rarr;", "→"), ("&larr;", "←"), ("&times;", "×"), ("&amp;", "&"),
-)
-#: What a parser does not look into: comments, and what scripts and styles hold. What is not closed goes on to the end.
-_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s>])[^>]*>.*?(?:</\1\s*>|\z)"
+#: What one look through a page gives. Places count the anchors and link tags with an href from 0.
+FACTS = pa.struct([
+    *((n, pa.string()) for n in ("title", "generator", "description", "canonical", "charset")), ("has_canonical", pa.bool_()),
+    ("anchors", pa.list_(pa.struct([("pos", pa.int32()), ("raw", pa.string()), ("text", pa.string()), ("rel", pa.string())]))),
+    ("links", pa.list_(pa.struct([("pos", pa.int32()), ("raw", pa.string()), ("rel", pa.string())]))), ("sources", pa.list_(pa.string())),
+])
 
 
-def _numbered(text: Column) -> Column:
-    """Text with numbers of characters resolved, decimal and hexadecimal."""
-
-    def one(done: Column, entity: Column) -> Column:
-        digits = F.regexp_extract(entity, "(?i)^&#x?([0-9a-f]{1,6});", 1)
-        code = F.when(entity.rlike("(?i)^&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
-        char = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        return F.replace(done, entity, char)
-
-    listed = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(0)))
-    return F.when(text.contains("&#"), F.aggregate(listed, text, one)).otherwise(text)
-
-
-def unescaped(text: Column) -> Column:
-    """Text with entities resolved: the commonest names, and all numbers."""
-
-    def named(text: Column) -> Column:
-        for entity, char in _ENTITIES:
-            text = F.replace(text, F.lit(entity), F.lit(char))
-        return text
-
-    return let(text, lambda t: F.when(t.contains("&"), let(_numbered(t), named)).otherwise(t))
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value in a tag's text, or null."""
-    pattern = rf"(?is)\s{name}\s*=\s*{_QUOTED}"
-    return let(tag, lambda t: F.when(t.rlike(pattern), unescaped(F.concat(*(F.regexp_extract(t, pattern, i) for i in (1, 2, 3))))))
-
-
-def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
-def plain_text(fragment: Column) -> Column:
-    """A fragment's text: the pieces between its tags, each without space around it, joined."""
-    return F.array_join(F.transform(F.split(fragment, "(?s)<[^>]*>", -1), lambda x: _stripped(unescaped(x))), "")
+class _Open:
+    """Names of the elements that are open; an end tag closes the last of its name, but none of a higher rank."""
 
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.counts: dict[str, int] = {}
+
+    def start(self, name: str) -> None:
+        if name not in tags.VOID:
+            self.names.append(name)
+            self.counts[name] = self.counts.get(name, 0) + 1
+
+    def end(self, name: str) -> None:
+        if not self.counts.get(name):
+            return
+        rank = CLOSING_RANKS.get(name, 0)
+        for i in range(len(self.names) - 1, -1, -1):
+            if self.names[i] == name:
+                for gone in self.names[i:]:
+                    self.counts[gone] -= 1
+                del self.names[i:]
+                return
+            if CLOSING_RANKS.get(self.names[i], 0) > rank:
+                return
 
-def seen(html: Column) -> Column:
-    """A page without comments, scripts and styles."""
-    return F.regexp_replace(F.coalesce(html, F.lit("")), _UNSEEN, "")
 
+def facts(page: str | None) -> dict:
+    """A page's title, metadata, anchors, link tags and script addresses, as :data:`FACTS` has them.
 
-def _tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?is)<(?:{name})(?=[\s>/])[^>]*>"), F.lit(0))
+    An anchor goes on to its end tag, to that of an element around it, to the next anchor or to
+    the page's end. Its text is that of the pieces between tags, each without space around it.
+    """
+    out: dict = {"title": None, "anchors": [], "links": [], "sources": [], "canonical": "", "has_canonical": False}
+    declared, content_type = None, None
+    named: dict[str, str] = {}
+    open_, anchor, depth, pieces, place, in_title = _Open(), None, 0, [], 0, False
+
+    def close() -> None:
+        nonlocal anchor
+        if anchor is not None:
+            anchor["text"] = "".join(p for p in pieces if p)
+            anchor = None
+
+    for kind, name, source in tags.scan(page or ""):
+        if kind == tags.TEXT:
+            if anchor is not None:
+                pieces.append(tags.text_of(source).strip())
+        elif kind == tags.RAW:
+            if name in tags.ESCAPED_TEXT:
+                if name == "title" and out["title"] is None:
+                    out["title"] = tags.text_of(source).strip()
+                if anchor is not None:
+                    pieces.append(tags.text_of(source).strip())
+        elif kind == tags.END:
+            open_.end(name)
+            if anchor is not None and len(open_.names) < depth:
+                close()
+        else:
+            own = tags.attributes(source) if name in ("a", "link", "meta", "script") else {}
+            if name == "a":
+                close()
+                open_.end("a")
+            open_.start(name)
+            rel = " ".join(own.get("rel", "").split())
+            if name == "a" and "href" in own:
+                anchor, depth, pieces = {"pos": place, "raw": own["href"].strip(), "rel": rel}, len(open_.names), []
+                place += 1
+                out["anchors"].append(anchor)
+            elif name == "link":
+                if "canonical" in rel.split() and not out["has_canonical"]:
+                    out["has_canonical"], out["canonical"] = True, own.get("href", "")
+                if "href" in own:
+                    out["links"].append({"pos": len(out["links"]), "raw": own["href"], "rel": rel})
+            elif name == "meta":
+                if "name" in own:
+                    named.setdefault(own["name"].lower(), own.get("content", ""))
+                if declared is None and "charset" in own:
+                    declared = own["charset"]
+                if content_type is None and own.get("http-equiv", "").lower() == "content-type":
+                    content_type = own.get("content", "").lower()
+            elif name == "script" and "src" in own:
+                out["sources"].append(own["src"].lower())
+    close()
+    if declared is None and content_type and "charset=" in content_type:
+        declared = content_type.split("charset=")[-1].strip() or None
+    return out | {"title": out["title"] or "", "generator": named.get("generator", ""), "description": named.get("description", ""), "charset": "utf-8" if declared is None else declared}
+
+
+@F.arrow_udf(from_arrow_type(FACTS))
+def scanned(pages: pa.Array) -> pa.Array:
+    """A page's facts; a null page has those of an empty one."""
+    return pa.array([facts(p) for p in pages.to_pylist()], FACTS)
 
 
 def links(pages: DataFrame) -> DataFrame:
     """Anchors of ``pages`` (page_id, url, html): page_id, pos, href (resolved), raw, text, rel.
 
-    ``pos`` counts the anchors with an href from 0. An anchor goes on to its end tag, to the
-    next anchor or to the page's end. References to fragments, mail, telephone, scripts and
-    data are left out, and so is what stands in comments, scripts and styles.
+    ``pos`` counts the anchors with an href from 0. References to fragments, mail, telephone,
+    scripts and data are left out, and so is what stands in comments, scripts and styles.
     """
-    parts = F.split(seen(F.col("html")), r"(?i)(?=<a[\s>/])|</a\s*>", -1)
-    anchors = F.filter(parts, lambda a: a.rlike(r"(?is)^<a\s(?:[^>]*\s)?href\s*="))
-
-    def told(tag: Column) -> Column:
-        """All of an anchor at once, so that no later filter makes it again."""
-
-        def whole(head: Column, raw: Column) -> Column:
-            href = F.when(urls.link_is_navigation(raw), urls.resolve(F.col("url"), raw))
-            return F.struct(raw.alias("raw"), href.alias("href"), plain_text(tag).alias("text"), F.coalesce(attribute(head, "rel"), F.lit("")).alias("rel"))
-
-        return let(F.regexp_extract(tag, "(?is)^(<a[^>]*>)", 1), lambda head: let(F.trim(attribute(head, "href")), lambda raw: whole(head, raw)))
-
-    rows = pages.select("page_id", F.col("url").alias("source_url"), F.posexplode(F.transform(anchors, told)).alias("pos", "a")).where("a.href is not null")
-    return rows.select("page_id", "source_url", "pos", "a.href", "a.raw", "a.text", "a.rel")
+    rows = pages.select("page_id", F.col("url").alias("source_url"), F.explode(scanned("html")["anchors"]).alias("a")).where(urls.link_is_navigation(F.col("a.raw")))
+    return rows.select("page_id", "source_url", "a.pos", urls.resolve(F.col("source_url"), F.col("a.raw")).alias("href"), "a.raw", "a.text", "a.rel")
 
 
 def link_tags(pages: DataFrame) -> DataFrame:
     """``<link href>`` tags: page_id, pos, href (resolved), rel."""
-
-    def told(tag: Column) -> Column:
-        href = lambda raw: F.when(raw != "", urls.resolve(F.col("url"), raw))
-        return F.struct(let(F.trim(attribute(tag, "href")), href).alias("href"), F.coalesce(attribute(tag, "rel"), F.lit("")).alias("rel"))
-
-    rows = pages.select("page_id", F.posexplode(F.transform(_tags(F.col("html"), "link"), told)).alias("pos", "t")).where("t.href is not null")
-    return rows.select("page_id", "pos", "t.href", "t.rel")
-
-
-def _meta(tags: Column, name: str, key: str = "name") -> Column:
-    """Content of the first meta tag of a name among ``tags``, or an empty string."""
-    found = F.filter(tags, lambda t: t.rlike("(?i)^<meta") & (F.lower(attribute(t, key)) == name))
-    return F.coalesce(attribute(F.get(found, F.lit(0)), "content"), F.lit(""))
+    rows = pages.select("page_id", "url", F.explode(scanned("html")["links"]).alias("t")).withColumn("raw", F.regexp_replace("t.raw", r"(?U)^\s+|\s+$", "")).where("raw <> ''")
+    return rows.select("page_id", "t.pos", urls.resolve(F.col("url"), F.col("raw")).alias("href"), "t.rel")
 
 
 def metadata(html: Column, url: Column) -> Column:
-    """struct<title, generator, description, canonical_url, charset> of a page.
+    """struct<title, generator, description, canonical_url, charset> of a page."""
 
-    The page is looked through once for its title and once for its tags.
-    """
-
-    def told(tags: Column) -> Column:
-        canonical = F.get(F.filter(tags, lambda t: t.rlike("(?i)^<link") & F.coalesce(attribute(t, "rel"), F.lit("")).rlike("(?:^|\\s)canonical(?:$|\\s)")), F.lit(0))
-        href = attribute(canonical, "href")
-        charset = attribute(F.get(F.filter(tags, lambda t: t.rlike(r"(?i)^<meta.*\scharset\s*=")), F.lit(0)), "charset")
-        declared = F.regexp_extract(F.lower(_meta(tags, "content-type", "http-equiv")), "charset=(.*)$", 1)
-        return F.struct(
-            _meta(tags, "generator").alias("generator"),
-            _meta(tags, "description").alias("description"),
-            let(href, lambda h: F.when(F.coalesce(h, F.lit("")) != "", urls.resolve(url, h)).otherwise("")).alias("canonical_url"),
-            F.coalesce(charset, F.nullif(F.trim(declared), F.lit("")), F.lit("utf-8")).alias("charset"),
-        )
+    def told(s: Column) -> Column:
+        canonical = F.when(s["canonical"] != "", urls.resolve(url, s["canonical"])).otherwise("").alias("canonical_url")
+        return F.struct(*(s[c].alias(c) for c in ("title", "generator", "description")), canonical, s["charset"].alias("charset"))
 
-    title = plain_text(F.regexp_extract(F.coalesce(html, F.lit("")), "(?is)<title[^>]*>(.*?)</title>", 1))
-    return let(let(_tags(html, "meta|link"), told), lambda m: F.struct(title.alias("title"), *(m[c].alias(c) for c in ("generator", "description", "canonical_url", "charset"))))
+    return let(scanned(html), told)
 
 
 def signals(html: Column) -> Column:
     """Marks that site generators leave in a homepage."""
-    html = F.coalesce(html, F.lit(""))
 
-    def told(tags: Column) -> Column:
-        of = lambda name: F.filter(tags, lambda t: t.rlike(f"(?i)^<{name}"))
-        hrefs = F.transform(of("link"), lambda t: F.coalesce(attribute(t, "href"), F.lit("")))
-        scripts = F.transform(of("script"), lambda t: F.lower(F.coalesce(attribute(t, "src"), F.lit(""))))
-        rels = F.transform(of("link"), lambda t: F.coalesce(attribute(t, "rel"), F.lit("")))
+    def told(s: Column) -> Column:
+        hrefs, sources, page = s["links"]["raw"], s["sources"], F.coalesce(html, F.lit(""))
         return F.struct(
-            _meta(tags, "generator").alias("meta_generator"),
+            s["generator"].alias("meta_generator"),
             F.exists(hrefs, lambda h: h.contains("/_static/") | h.startswith("_static/")).alias("static_dir"),
             F.exists(hrefs, lambda h: h.contains("/assets/") | h.startswith("assets/")).alias("assets_dir"),
             F.exists(hrefs, lambda h: h.contains(".vuepress")).alias("vuepress_dir"),
-            F.exists(scripts, lambda s: s.contains("docusaurus")).alias("docusaurus_detected"),
-            F.exists(scripts, lambda s: s.contains("mkdocs")).alias("mkdocs_detected"),
-            F.exists(scripts, lambda s: s.contains("searchtools.js")).alias("sphinx_searchtools"),
-            F.exists(rels, lambda r: r.rlike("(?:^|\\s)canonical(?:$|\\s)")).alias("has_canonical"),
-            html.contains("wy-grid-for-nav").alias("rtd_theme"),
-            html.contains("md-container").alias("mkdocs_material"),
-            F.lower(html).contains("docusaurus").alias("docusaurus_in_html"),
+            F.exists(sources, lambda s: s.contains("docusaurus")).alias("docusaurus_detected"),
+            F.exists(sources, lambda s: s.contains("mkdocs")).alias("mkdocs_detected"),
+            F.exists(sources, lambda s: s.contains("searchtools.js")).alias("sphinx_searchtools"),
+            s["has_canonical"].alias("has_canonical"),
+            page.contains("wy-grid-for-nav").alias("rtd_theme"),
+            page.contains("md-container").alias("mkdocs_material"),
+            F.lower(page).contains("docusaurus").alias("docusaurus_in_html"),
         )
 
-    return let(_tags(html, "meta|link|script"), told)
+    return let(scanned(html), told)
 
 
 def best_guess(s: Column, has_objects_inv: Column, has_search_index: Column) -> Column:

@@ -85,3 +85,6 @@ STRUCTURAL_CLASSES = frozenset({
     "md-footer", "md-main", "tip", "info", "markdown", "toc", "breadcrumbs", "pagination", "sphx-glr",
     "sphx-glr-thumbcontainer", "sphx-glr-script-out", "sphx-glr-single-img",
 })
+
+#: An end tag closes what is open inside its element, but nothing of a higher rank; others have rank 0.
+CLOSING_RANKS = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5, "head": 6, "body": 6, "html": 7}

@@ -322,7 +322,7 @@ ORACLE_SQL = {
     "seg_classify": f"WITH {SEGMENTS} SELECT raw, {kind('raw')} AS kind, count(*) AS n FROM s GROUP BY ALL",
     "seg_is_literal_like": f"WITH {SEGMENTS} SELECT raw, regexp_matches(raw, '^[a-z][a-z0-9_-]*$') AS literal, count(*) AS n FROM s GROUP BY ALL",
     "seg_matches_template": f"SELECT raw, template, {fits('raw', 'template')} AS fits FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in SAMPLES)}) AS a(raw), (VALUES {_kinds}) AS b(template)",
-    "html_links": f"WITH {L0} SELECT page_id, pos::INT AS pos, href, text, rel FROM l",
+    "html_links": f"WITH {L0} SELECT page_id, pos::INT + 3 AS pos, href, text, rel FROM l UNION ALL SELECT page_id, pos, {_origin} || href, text, rel FROM pages, (VALUES (0, '/q', 'Eé ♥', ''), (1, '/l?a=1&copy=2', 'onetwo', 'a b'), (2, '/m', 'm', '')) AS awkward(pos, href, text, rel)",
     "html_signals": f"WITH {SIGNALS} SELECT * FROM g",
     "signals_best_guess": f"""WITH {SIGNALS}, b AS (SELECT page_id, CASE WHEN contains(lower(meta_generator), 'sphinx') THEN ['sphinx', '0.95'] WHEN contains(lower(meta_generator), 'mkdocs') THEN ['mkdocs', '0.95'] WHEN contains(lower(meta_generator), 'docusaurus') THEN ['docusaurus', '0.95']
       WHEN has_objects_inv THEN ['sphinx', '0.95'] WHEN has_search_index THEN ['mkdocs', '0.9'] WHEN static_dir OR sphinx_searchtools THEN ['sphinx', '0.7'] WHEN docusaurus_detected OR docusaurus_in_html THEN ['docusaurus', '0.85'] WHEN rtd_theme THEN ['sphinx_rtd_theme', '0.8']

@@ -178,20 +178,31 @@ def seg_matches_template(spark, sf_dir):
     return samples.crossJoin(kinds).select("raw", "template", segments.fits(F.col("raw"), F.col("template")).alias("fits"))  # two short lists
 
 
+#: What tag patterns trip over, in front of every page: comments, quoted brackets, scripts, named characters, what is not closed.
+AWKWARD = (
+    """<!-- <a href="/no">no</a><title>no</title><meta name="generator" content="no"><link rel="canonical" href="/no"> --><a title="x > y" href="/q">E&eacute; &hearts;</a>"""
+    """<script>var s = '<a href="/no">no</a>';</script><ul><li><A HREF = '/l?a=1&copy=2' rel="a\tb">one <b> two</b><li><a href=/m>m</li>out</ul><textarea><a href="/no"></textarea>"""
+)
+
+
+def _awkward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).withColumn("html", F.concat(F.lit(AWKWARD), "html"))
+
+
 @query
 def html_links(spark, sf_dir):
-    return html.links(_pages(spark, sf_dir)).select("page_id", "pos", "href", "text", "rel")
+    return html.links(_awkward(spark, sf_dir)).select("page_id", "pos", "href", "text", "rel")
 
 
 @query
 def html_link_tags(spark, sf_dir):
     head = F.concat(F.lit('<head><link rel="canonical" href="/c'), "page_id", F.lit("""?a=1&amp;b"><LINK HREF='https://cdn.example.com/s.css' rel=stylesheet ><link rel="x"></head>"""))
-    return html.link_tags(_pages(spark, sf_dir).withColumn("html", F.concat(head, "html")))
+    return html.link_tags(_awkward(spark, sf_dir).withColumn("html", F.concat(head, "html")))
 
 
 @query
 def html_metadata(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", html.metadata(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.*")
+    return _awkward(spark, sf_dir).select("page_id", html.metadata(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.*")
 
 
 def _signalled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ AWKWARD = [
 def test_links_of_awkward_pages(spark):
     """Against the tree that a parser makes, where anchors do not nest."""
     rows = html.links(spark.createDataFrame([(i, BASE, p) for i, p in enumerate(AWKWARD)], "page_id long, url string, html string")).orderBy("page_id", "pos").collect()
-    got = [(r.page_id, r.raw, r.text.replace("&eacute;", "é"), r.rel) for r in rows]
+    got = [(r.page_id, r.raw, r.text, r.rel) for r in rows]
     want = []
     for i, page in enumerate(AWKWARD):
         anchors = [n for n in html.parse(page).walk() if n.tag == "a" and "href" in n.attrs]
@@ -59,6 +59,29 @@ def test_links_of_awkward_pages(spark):
     assert got == want
 
 
+#: Pages and what a parser has of them: title, generator, canonical URL, charset, then anchors and link tags.
+RECORDED = [
+    ('<a title="x > y" href="/z">t</a><a title=\'>\' href=/q>u</a>', ("", "", "", "utf-8"), [("/z", "t", ""), ("/q", "u", "")], []),
+    ('<!-- <meta name="generator" content="Old"><title>no</title><link rel=canonical href="/no"> --><title>yes</title><meta NAME=Generator content="New > 1">', ("yes", "New > 1", "", "utf-8"), [], []),
+    ('<script>"<title>s</title><meta charset=x>"</script><title>&eacute;&amp;&#233;&nbsp;&hearts;</title><meta http-equiv=Content-Type content="text/html; charset=Latin-1 ">', ("é&é\xa0♥", "", "", "latin-1"), [], []),
+    ('<link rel="icon  canonical" href="/c?a=1&copy=2&amp;b"><link rel=x href=" /s.css "><link href="">', ("", "", "https://h.org/c?a=1&copy=2&b", "utf-8"), [], [(0, "https://h.org/c?a=1&copy=2&b", "icon canonical"), (1, "https://h.org/s.css", "x")]),
+    ('<li><a href=/a>one<li><a href=/b>two</li>out</a><p><a href=/c>three</p>out<div><a href=/d>four</span></p> five</div>out', ("", "", "", "utf-8"), [("/a", "one", ""), ("/b", "two", ""), ("/c", "three", ""), ("/d", "fourfive", "")], []),
+    ('<textarea><a href="/no"></textarea><title>a</title><title>b</title><a href="/e">x<!-- y -->z</a><a href=/f', ("a", "", "", "utf-8"), [("/e", "xz", "")], []),
+    ('<meta charset=""><!DOCTYPE html "<a href=/g>"><a\x0bhref=/no><A\nHREF\n=\n/h REL="a\tb">\u2003h </A>', ("", "", "", ""), [("/h", "h", "a b")], []),
+]
+
+
+def test_recorded_pages(spark):
+    pages = spark.createDataFrame([(i, BASE, p) for i, (p, *_) in enumerate(RECORDED)], "page_id long, url string, html string")
+    of = lambda rows, i: [r for r in rows if r.page_id == i]
+    anchors, linked = html.links(pages).orderBy("page_id", "pos").collect(), html.link_tags(pages).orderBy("page_id", "pos").collect()
+    told = {r.page_id: r.m for r in pages.select("page_id", html.metadata(F.col("html"), F.col("url")).alias("m")).collect()}
+    for i, (_, (title, made_by, canonical, charset), want, want_linked) in enumerate(RECORDED):
+        assert (told[i].title, told[i].generator, told[i].canonical_url, told[i].charset) == (title, made_by, canonical, charset)
+        assert [(r.raw, r.text, r.rel) for r in of(anchors, i)] == want, i
+        assert [(r.pos, r.href, r.rel) for r in of(linked, i)] == want_linked, i
+
+
 def test_files_of_sites(spark):
     sites = spark.createDataFrame([("https://h.org/docs/", 1), ("https://h.org/docs/", 2), ("http://x.org", 3)], "root_url string, n int")
     known = spark.createDataFrame([("https://h.org/robots.txt",), ("https://h.org/docs/search/search_index.json",), ("http://x.org/objects.inv#a",), ("http://x.org/docs/sitemap.xml",)], "url string")
@@ -197,16 +220,17 @@ def test_crawl_of_pages(spark):
 
 def test_from_file_to_file(spark, tmp_path):
     page = lambda i, body="": f"<title>Function {i} of the site</title><pre>fit(X{i}, y)</pre><p>A page on function {i} and its use.</p><ul><li>X</ul>{body}"
-    listed = "".join(f'<a href="/api/f{i}.html">f</a>' for i in range(6)) + '<a href="https://out.org/x">o</a>'
-    rows = [(0, "https://h.org/", page(0, listed)), *((i + 1, f"https://h.org/api/f{i}.html", page(i + 1) if i != 3 else "")for i in range(6)), (9, "https://h.org/objects.inv", ""), (10, "https://h.org/guide/a.html", page(10))]
+    listed = "".join(f'<a href="/api/f{i}.html">f</a>' for i in range(6)) + '<a href="/index.html">i</a>' + '<a href="https://out.org/x">o</a>'
+    rows = [(0, "https://h.org/", page(0, listed)), *((i + 1, f"https://h.org/api/f{i}.html", page(i + 1) if i != 3 else "") for i in range(6)), (8, "https://h.org/index.html", page(8)), (9, "https://h.org/objects.inv", ""), (10, "https://h.org/guide/a.html", page(10))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     commands.crawl_to_file(pages, "https://h.org/", str(tmp_path / "crawl"))
     made = json.loads(next((tmp_path / "crawl").glob("part-*")).read_text())
-    assert [u["url"] for u in made["internal_urls"]] == ["https://h.org/", *(f"https://h.org/api/f{i}.html" for i in range(6))] and [u["url"] for u in made["external_urls"]] == ["https://out.org/x"]
+    assert [u["url"] for u in made["internal_urls"]] == ["https://h.org/", *(f"https://h.org/api/f{i}.html" for i in range(6)), "https://h.org/index.html"] and [u["url"] for u in made["external_urls"]] == ["https://out.org/x"]
     assert made["signals"]["has_objects_inv"] == "true" and made["signals"]["detected_tool"] == "sphinx" and made["root_domain"] == "h.org"
     commands.classify_file(spark, str(tmp_path / "crawl"), str(tmp_path / "classes"))
     classes = json.loads(next((tmp_path / "classes").glob("part-*")).read_text())
-    assert classes["generator_detected"] == "sphinx" and [t["pattern"] for t in classes["templates"]] == ["/api/<filename>"]
+    assert classes["generator_detected"] == "sphinx" and [t["pattern"] for t in classes["templates"]] == ["/api/<filename>"]  # a section beside another child
+    assert [u["url"] for u in classes["uncovered_urls"]] == ["https://h.org/", "https://h.org/index.html"] and classes["summary"]["covered_urls"] == 6
     commands.extract_file(spark, str(tmp_path / "classes"), pages, str(tmp_path / "out"))
     out = json.loads(next((tmp_path / "out").glob("part-*")).read_text())
     (template,) = out["results"]
