@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lexical, near_duplicates, nearest, oracles, passages, personal_data, quality, token_counts, warc, whitening
+from . import decontamination, lexical, main_text, near_duplicates, nearest, oracles, passages, personal_data, quality, token_counts, warc, whitening
 from .grammar import read_tokens, write_tokens
 from .packing import pack_documents
 from .runtime import small_batches
@@ -79,6 +79,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of whole ``pages``, by the wrappers of their hosts."""
+    return main_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": op1_warc_archives,
     "op2_near_duplicates": op2_near_duplicates,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_top_k": op10_exact_top_k,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_ranked_search": op12_ranked_search,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
