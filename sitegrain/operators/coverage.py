@@ -7,30 +7,42 @@ from pyspark.sql import functions as F
 
 from ..functions import segments, urls
 from ..functions.values import DOC_HOST_ENDINGS, DOC_HOST_SIGNALS, DOC_PATH_SIGNALS, DOMAIN_KINDS
+from . import matching
 
-#: Templates are joined by broadcast up to so many; a site has dozens.
+#: Templates are compiled into one tree up to so many; a site has dozens.
 MOST_TEMPLATES = 20_000
 
 
 def matches(rows: DataFrame, templates: DataFrame, path: Column | None = None) -> DataFrame:
     """seq, canonical_url and template_id of each URL's first template in the order of ``rank``.
 
+    All segments must fit one by one; a template without segments takes the root alone. With a
+    column ``site`` in both, a URL meets the templates of its own site. Templates are counted:
+    up to ``MOST_TEMPLATES`` are one tree that every URL walks, more are joined.
+    """
+    path = F.coalesce("version_free_path", "path") if path is None else path
+    sites = "site" in templates.columns
+    own = rows.select("seq", "canonical_url", (F.concat(F.array("site"), urls.segments(path)) if sites else urls.segments(path)).alias("_s"))
+    if templates.count() > MOST_TEMPLATES:
+        return joined(own, templates.withColumn("pattern", F.concat(F.lit("/"), "site", "pattern")) if sites else templates)
+    found = own.select("seq", "canonical_url", matching.first_template(rows.sparkSession, templates, F.col("_s")).alias("template_id"))
+    return found.where("template_id is not null")
+
+
+def joined(own: DataFrame, templates: DataFrame) -> DataFrame:
+    """Matches of ``own`` (seq, canonical_url, _s) with any number of templates, by joins.
+
     A template is found by an equality: on the number of segments (with a wildcard, of those
     before it), and on its first literal segment and that one's place, if it has any. So a URL
     gives a row for each of its segments and for each length of a wildcard's beginning, and
-    meets only templates that could fit. They are broadcast if their count says that they are
-    few. All segments must fit one by one; a template without segments takes the root alone.
+    meets only templates that could fit.
     """
-    path = F.coalesce("version_free_path", "path") if path is None else path
     parts = templates.select("template_id", "rank", urls.segments(F.col("pattern")).alias("_t"))
     wild = F.array_position("_t", "...")
     parts = parts.withColumn("_wild", wild > 0).withColumn("_t", F.when(wild > 0, F.slice("_t", F.lit(1), (wild - 1).cast("int"))).otherwise(F.col("_t")))
     first = F.array_position(F.transform("_t", lambda x: ~x.rlike("^<.*>$")), F.lit(True)).cast("int")
     parts = parts.withColumns({"_n": F.size("_t"), "_at": first, "_word": F.when(first > 0, F.lower(F.element_at("_t", F.greatest(first, F.lit(1))))).otherwise("")})
     lengths = [r._n for r in parts.where("_wild").select("_n").distinct().collect()]  # as many as a pattern has segments
-    if templates.count() <= MOST_TEMPLATES:
-        parts = F.broadcast(parts)
-    own = rows.select("seq", "canonical_url", urls.segments(path).alias("_s"))
     none = F.array(F.struct(F.lit(0).alias("_at"), F.lit("").alias("_word")))
     words = F.transform("_s", lambda x, i: F.struct((i + 1).alias("_at"), F.lower(x).alias("_word")))
     reach = lambda wild, n: F.struct(F.lit(wild).alias("_wild"), n.alias("_n"))

@@ -14,20 +14,28 @@ from ..functions import segments, urls
 from ..tables import hot_keys, join_hot, materialize
 
 SEP = "/"
+#: Where rows are of many sites, a prefix begins with its site and this, which no segment holds.
+SITE_END = "\n"
+SITE_PART = "^[^\n]*\n"
 
 
-def prefixes(rows: DataFrame, path: Column) -> DataFrame:
+def prefixes(rows: DataFrame, path: Column, site: Column | None = None) -> DataFrame:
     """A row for each prefix of each path: seq, n_segments, depth and prefix (segments joined).
 
-    The root is the empty prefix of depth 0. Segments hold no slash, so joining is exact.
+    The root is the empty prefix of depth 0, or a site's own. Segments hold no slash, so joining is exact.
     """
-    own = rows.select("seq", urls.segments(path).alias("_s"))
-    deep = own.select("seq", F.size("_s").alias("n_segments"), "_s", F.explode(F.sequence(F.lit(0), F.size("_s"))).alias("depth"))
-    return deep.select("seq", "n_segments", "depth", F.array_join(F.slice("_s", F.lit(1), F.col("depth")), SEP).alias("prefix"))
+    lead = F.lit("") if site is None else F.concat(F.coalesce(site, F.lit("")), F.lit(SITE_END))
+    own = rows.select("seq", urls.segments(path).alias("_s"), lead.alias("_lead"))
+    deep = own.select("seq", F.size("_s").alias("n_segments"), "_s", "_lead", F.explode(F.sequence(F.lit(0), F.size("_s"))).alias("depth"))
+    return deep.select("seq", "n_segments", "depth", F.concat("_lead", F.array_join(F.slice("_s", F.lit(1), F.col("depth")), SEP)).alias("prefix"))
 
 
 def _parent(prefix: Column) -> Column:
-    return F.regexp_replace(prefix, "/?[^/]*$", "")
+    return F.regexp_replace(prefix, "/?[^/\n]*$", "")
+
+
+def _last(prefix: Column) -> Column:
+    return F.regexp_extract(prefix, "([^/\n]*)$", 1)
 
 
 def trie_metrics(rows: DataFrame, path: Column) -> DataFrame:
@@ -39,7 +47,7 @@ def _metrics(spread: DataFrame) -> DataFrame:
     nodes = spread.groupBy("prefix", "depth").agg(
         F.min("seq").alias("first_seq"), F.count("*").alias("descendant_count"), F.count_if(F.col("n_segments") == F.col("depth")).alias("own_urls")
     )
-    name = F.regexp_extract("prefix", "([^/]*)$", 1)
+    name = _last(F.col("prefix"))
     children = nodes.where("depth > 0").select(_parent(F.col("prefix")).alias("prefix"), segments.is_literal_like(name).cast("int").alias("_literal"))
     children = children.groupBy("prefix").agg(F.count("*").alias("child_count"), F.sum("_literal").alias("_literals"))
     joined = nodes.join(children, "prefix", "left")
@@ -112,17 +120,21 @@ def anchors(metrics: DataFrame, ratio: float = 0.3, least: int = 3) -> DataFrame
     return fit.limit(0) if found is None else found
 
 
-def discover(rows: DataFrame, path: Column | None = None, least: int = 3) -> DataFrame:
+def discover(rows: DataFrame, path: Column | None = None, least: int = 3, site: Column | None = None) -> DataFrame:
     """Groups of ``rows`` (seq, path, version_free_path): seq, group_prefix and group_order.
 
+    With ``site``, each site has groups of its own, all found at once; their prefixes begin with
+    the site and a line's end.
+
     Rows in no group are left out. ``group_prefix`` is the group's path prefix with a slash
     before it, or ``depth_k`` for URLs that only share their number of segments. Groups in
     their order have rising ``group_order`` (struct<late, firsts, depth>).
     """
     path = F.coalesce("version_free_path", "path") if path is None else path
-    spread = materialize(prefixes(rows, path), "prefixes")
+    spread = materialize(prefixes(rows, path, site), "prefixes")
     metrics = materialize(_metrics(spread), "metrics")
-    name = F.regexp_extract("prefix", "([^/]*)$", 1)
+    name = _last(F.col("prefix"))
+    lead = F.regexp_extract("prefix", SITE_PART, 0)
     section = (F.col("depth") > 0) & segments.classify(name).isin("literal", "slug") & (F.col("descendant_count") >= 3)
     below = metrics.where("depth > 0").withColumn("_section", section).groupBy(_parent(F.col("prefix")).alias("prefix")).agg(
         F.count_if("_section").alias("_sections"),
@@ -137,17 +149,18 @@ def discover(rows: DataFrame, path: Column | None = None, least: int = 3) -> Dat
     held = join_hot(spread, nodes, ["prefix"], hot, F.col("seq"))
     owner = F.min(F.when(~F.col("_splits"), F.struct("depth", "prefix", "child_count"))).alias("_owner")
     firsts = F.array_sort(F.collect_list(F.struct("depth", "first_seq"))).alias("_firsts")  # as many as a path has prefixes
-    placed = held.groupBy("seq").agg(owner, firsts, F.max("n_segments").alias("_n"))
+    placed = held.groupBy("seq").agg(owner, firsts, F.max("n_segments").alias("_n"), F.min(lead).alias("_lead"))
     placed = materialize(placed.withColumn("_prefix", F.when(F.col("_owner.child_count") > 0, F.col("_owner.prefix"))), "placed")
     sizes = placed.where("_prefix is not null").groupBy("_prefix").agg(F.count("*").alias("_size")).where(F.col("_size") >= least)
     placed = placed.join(sizes, "_prefix", "left")
     trail = F.transform(F.filter("_firsts", lambda x: x["depth"] <= F.col("_owner.depth")), lambda x: x["first_seq"])
-    grouped = placed.where("_size is not null").select("seq", F.concat(F.lit("/"), F.col("_prefix")).alias("group_prefix"), F.struct(F.lit(0).alias("late"), trail.alias("firsts"), F.lit(0).alias("depth")).alias("group_order"))
-    rest = placed.where("_size is null").select("seq", "_n")
-    enough = rest.groupBy("_n").agg(F.count("*").alias("_size")).where(F.col("_size") >= least)
+    grouped = placed.where("_size is not null").select("seq", F.concat("_lead", F.lit("/"), F.regexp_replace("_prefix", SITE_PART, "")).alias("group_prefix"), F.struct(F.lit(0).alias("late"), trail.alias("firsts"), F.lit(0).alias("depth")).alias("group_order"))
+    rest = placed.where("_size is null").select("seq", "_n", "_lead")
+    enough = rest.groupBy("_lead", "_n").agg(F.count("*").alias("_size")).where(F.col("_size") >= least)
     order = "struct<late:int,firsts:array<bigint>,depth:int>"
     late = F.struct(F.lit(1).alias("late"), F.expr("cast(array() as array<bigint>)").alias("firsts"), F.col("_n").alias("depth")).cast(order)
-    by_depth = rest.join(F.broadcast(enough), "_n").select("seq", F.format_string("depth_%d", "_n").alias("group_prefix"), late.alias("group_order"))  # a row for each path length
+    enough = F.broadcast(enough) if site is None else enough  # a row for each path length, of each site
+    by_depth = rest.join(enough, ["_lead", "_n"]).select("seq", F.concat("_lead", F.format_string("depth_%d", "_n")).alias("group_prefix"), late.alias("group_order"))
     return grouped.withColumn("group_order", F.col("group_order").cast(order)).unionByName(by_depth)
 
 

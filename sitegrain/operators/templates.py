@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import segments, urls
 from ..functions.values import TEMPLATE_NAMES
 from ..tables import materialize
+from .grouping import SITE_PART
 
 TEMPLATES = "template_id string, name string, pattern string, fingerprint string, member_count bigint, versions_covered array<string>, scope string, example_urls array<string>, confidence double, rank int"
 
@@ -62,11 +67,12 @@ def derive(rows: DataFrame, groups: DataFrame, path: Column | None = None, examp
     none = F.expr("cast(array() as array<string>)")
     pattern = F.concat(F.lit("/"), F.array_join(F.concat(F.coalesce(F.col("_parts.part"), none), more(F.col("_lo"), "...")), "/"))
     fingerprint = F.array_join(F.concat(F.coalesce(F.col("_parts.print"), none), more(F.lit("STATIC_DEEP"), "DEEPER")), "/")
-    plain = F.col("group_prefix").isin("", "/") | F.col("group_prefix").startswith("/<")
+    prefix = F.regexp_replace("group_prefix", SITE_PART, "")
+    plain = prefix.isin("", "/") | prefix.startswith("/<")
     uniform = F.coalesce("_statics", F.lit(0)) / F.greatest("_min", F.lit(1))
     score = F.least(F.col("member_count") / 50.0, F.lit(1.0)) * 0.25 + uniform * 0.5 + F.when(plain, 0.0).otherwise(0.15) + 0.15
     out = joined.select("group_prefix", "group_order", "member_count", "versions_covered", F.col("_first.canonical_url").alias("example_urls"), pattern.alias("pattern"), fingerprint.alias("fingerprint"), F.greatest(F.least(score, F.lit(1.0)), F.lit(0.1)).alias("confidence"))
-    return out.withColumn("name", name_of(F.col("group_prefix"), F.col("pattern")))
+    return out.withColumn("name", name_of(prefix, F.col("pattern")))
 
 
 @dataclass(frozen=True)
@@ -102,8 +108,7 @@ def merge_distance(a: Template, b: Template, strict: bool = False) -> int | None
     if len(x) != len(y):
         return None
     unlike = [(p, q) for p, q in zip(x, y) if p != q]
-    literal = lambda p: p == p.upper() and (p != p.lower() if strict else p.isalpha())
-    return None if any(literal(p) or literal(q) for p, q in unlike) else len(unlike)
+    return None if any(_is_literal(p, strict) or _is_literal(q, strict) for p, q in unlike) else len(unlike)
 
 
 def merge_pair(a: Template, b: Template, examples: int = 5) -> Template:
@@ -115,23 +120,68 @@ def merge_pair(a: Template, b: Template, examples: int = 5) -> Template:
     )
 
 
+def _is_literal(part: str, strict: bool) -> bool:
+    return part == part.upper() and (part != part.lower() if strict else part.isalpha())
+
+
+def _neighbourhood(fingerprint: str, distance: int, strict: bool) -> list[tuple]:
+    """Keys by which a fingerprint meets those at most so far from it, the nearest first.
+
+    A key is the fingerprint with some positions left out, none of which may hold a literal. Two
+    fingerprints share one of k positions just if they can be one template and differ at no others.
+    """
+    parts = fingerprint.split("/")
+    free = [i for i, p in enumerate(parts) if not _is_literal(p, strict)]
+    out = []
+    for k in range(min(distance, len(free)) + 1):
+        for gone in combinations(free, k):
+            out.append((gone, tuple(p for i, p in enumerate(parts) if i not in gone)) if k else (len(parts), fingerprint))
+    return out
+
+
 def merge(templates: list[Template], distance: int = 1, strict: bool = False) -> list[Template]:
     """Templates merged in pairs, each with its nearest later one, until no pair is near enough.
 
-    This is a greedy order on templates, of which a site has dozens; it runs on the driver.
+    A round goes through the templates in order. Each finds its partner under its own keys: the
+    first that is left under its nearest one with any. Keys are read from the front and what is
+    taken is dropped there, so a round costs as much as there are keys.
     """
     while True:
-        left, out = list(templates), []
-        while left:
-            a = left.pop(0)
-            near = [(d, i) for i, b in enumerate(left) if (d := merge_distance(a, b, strict)) is not None and d <= distance]
-            out.append(merge_pair(a, left.pop(min(near)[1])) if near else a)
+        keys = [_neighbourhood(t.fingerprint, distance, strict) for t in templates]
+        lists: dict[tuple, deque[int]] = {}
+        for i, own in enumerate(keys):
+            for key in own:
+                lists.setdefault(key, deque()).append(i)
+        taken, out = [False] * len(templates), []
+        for i, a in enumerate(templates):
+            if taken[i]:
+                continue
+            taken[i] = True
+            near: tuple[int, int] | None = None
+            for key in keys[i]:
+                apart = len(key[0]) if isinstance(key[0], tuple) else 0
+                if near is not None and apart > near[0]:
+                    break
+                line = lists[key]
+                while line and taken[line[0]]:
+                    line.popleft()
+                if line and (near is None or line[0] < near[1]):
+                    near = apart, line[0]
+            if near is None:
+                out.append(a)
+            else:
+                taken[near[1]] = True
+                out.append(merge_pair(a, templates[near[1]]))
         if len(out) == len(templates):
             return out
         templates = out
 
 
-def finalise(derived: DataFrame, strict: bool = False, most: int = 10_000) -> list[tuple[str, Template]]:
+def _listed(rows: Iterable) -> list[Template]:
+    return [Template(r.name, r.pattern, r.fingerprint, r.member_count, tuple(r.versions_covered), tuple(r.example_urls), round(r.confidence, 2)) for r in rows]
+
+
+def finalise(derived: DataFrame, strict: bool = False, most: int = 100_000) -> list[tuple[str, Template]]:
     """(template_id, template) of derived templates, merged and ranked by how specific they are.
 
     ``derived`` has a row for each group of one site; more than ``most`` is an error.
@@ -139,11 +189,37 @@ def finalise(derived: DataFrame, strict: bool = False, most: int = 10_000) -> li
     rows = derived.orderBy("group_order").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"over {most} groups: this is no single site")
-    listed = [Template(r.name, r.pattern, r.fingerprint, r.member_count, tuple(r.versions_covered), tuple(r.example_urls), round(r.confidence, 2)) for r in rows]
+    return _ranked(_listed(rows), strict)
+
+
+def _ranked(listed: list[Template], strict: bool) -> list[tuple[str, Template]]:
     ranked = sorted(merge(listed, strict=strict), key=Template.specificity)
     return [(f"tpl_{i:03d}", t) for i, t in enumerate(ranked, 1)]
 
 
+def finalise_sites(derived: DataFrame, strict: bool = False) -> DataFrame:
+    """Templates of many sites at once: site, template_id within it, and the rest; see :func:`finalise`.
+
+    ``derived`` has a column ``site`` and a row for each group. A task takes the groups of
+    whole sites, so what bounds it is the number of groups of one site, not that of its URLs.
+    """
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        order = [tuple(o) for o in group["_order"]]
+        rows = group.iloc[sorted(range(len(group)), key=order.__getitem__)]
+        site = rows["site"].iloc[0]
+        made = _ranked(_listed(rows.itertuples()), strict)
+        return pd.DataFrame(
+            [(site, i, t.name, t.pattern, t.fingerprint, t.member_count, list(t.versions_covered), t.scope, list(t.example_urls), t.confidence, k) for k, (i, t) in enumerate(made)],
+            columns=["site", *(c.split()[0] for c in TEMPLATES.split(", "))],
+        )
+
+    o = F.col("group_order")
+    order = F.concat(F.array(o["late"].cast("bigint")), o["firsts"], F.when(o["late"] == 1, F.array(o["depth"].cast("bigint"))).otherwise(F.expr("cast(array() as array<bigint>)")))
+    columns = ["site", order.alias("_order"), "name", "pattern", "fingerprint", "member_count", "versions_covered", "example_urls", "confidence"]
+    return derived.select(*columns).groupBy("site").applyInPandas(one, f"site string, {TEMPLATES}")
+
+
 def as_table(spark: SparkSession, templates: list[tuple[str, Template]]) -> DataFrame:
     """Templates as a table; ``rank`` is the order in which they are tried."""
     rows = [(i, t.name, t.pattern, t.fingerprint, t.member_count, list(t.versions_covered), t.scope, list(t.example_urls), t.confidence, k) for k, (i, t) in enumerate(templates)]

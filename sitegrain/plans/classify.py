@@ -69,6 +69,29 @@ def classify(internal: DataFrame, external: DataFrame, signals: dict[str, object
     return Classification(rows, assets, ranked, found, coverage.uncovered(rows, found), report, coverage.external_domains(outside), generator.detect(pages, signals))
 
 
+def classify_sites(links: DataFrame, strict_literals: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classify the link records of many sites at once: templates, matches and a report for each site.
+
+    ``links`` are internal link records of any number of sites; a site is a URL's host without
+    port and ``www.``. Each is classified as :func:`classify` would do it alone, but all of
+    them in the same jobs: prefixes and groups begin with their site, templates are merged
+    site by site in tasks, and a URL meets its own site's templates. Templates and matches
+    (seq, canonical_url, template_id) have a column ``site``; the report has total_internal_urls,
+    covered_urls, template_count and coverage_percent of each.
+    """
+    pages = materialize(relation.with_versions(relation.canonicalised(relation.ingested(links)[0])).withColumn("site", urls.bare_host(F.col("canonical_url"))))
+    groups = materialize(grouping.discover(pages, site=F.col("site")), "groups")
+    derived = templates.derive(pages, groups).withColumn("site", F.regexp_extract("group_prefix", "^([^\n]*)\n", 1))
+    ranked = materialize(templates.finalise_sites(derived, strict_literals), "templates")
+    found = materialize(coverage.matches(pages, ranked).join(pages.select("seq", "site"), "seq"), "matches")
+    totals = pages.groupBy("site").agg(F.count("*").alias("total_internal_urls"))
+    covered = found.groupBy("site").agg(F.count("*").alias("covered_urls"))
+    made = ranked.groupBy("site").agg(F.count("*").alias("template_count"))
+    none = F.lit(0).cast("bigint")
+    counts = totals.join(covered, "site", "left").join(made, "site", "left").withColumns({c: F.coalesce(c, none) for c in ("covered_urls", "template_count")})
+    return ranked, found, counts.withColumn("coverage_percent", F.round(F.col("covered_urls") / F.col("total_internal_urls") * 100, 2))
+
+
 def classify_document(spark: SparkSession, path: str, **how) -> DataFrame:
     """Read a crawl document and classify it; a row in the form of a classification document."""
     crawl = documents.read_crawl(spark, path)

@@ -437,6 +437,22 @@ def tpl_merge(spark, sf_dir):
     return _flat(_finalised(spark, sf_dir)).select("pattern", "member_count", "versions_covered", "confidence")
 
 
+def _sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All pages and links, each by its host, under paths that are spread over sections."""
+    made = F.expr("regexp_replace(url, '^([a-z]+://[^/?#]*)', concat('$1', CASE seq % 3 WHEN 0 THEN '/guide' WHEN 1 THEN '/api/generated' ELSE '' END))")
+    return classify.classify_sites(_all(spark, sf_dir).withColumn("url", made))
+
+
+@query
+def tpl_merge_sites(spark, sf_dir):
+    return _flat(_sites(spark, sf_dir)[0])
+
+
+@query
+def coverage_by_site(spark, sf_dir):
+    return _sites(spark, sf_dir)[2]
+
+
 @query
 def tpl_finalize(spark, sf_dir):
     return _flat(_finalised(spark, sf_dir))

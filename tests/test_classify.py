@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegrain.functions.segments import classify as segment_type
-from sitegrain.operators import coverage, grouping, relation, templates
-from sitegrain.plans.classify import classify_document
+from sitegrain.functions import segments, urls
+from sitegrain.operators import coverage, grouping, matching, relation, templates
+from sitegrain.plans.classify import classify, classify_document, classify_sites
 
 BASE = "https://scikit-learn.org"
 API = [f"/stable/modules/generated/sklearn.{x}.html" for x in ("linear_model.LogisticRegression", "ensemble.RandomForestClassifier", "tree.DecisionTreeClassifier", "svm.SVC", "cluster.KMeans")]
@@ -122,6 +123,112 @@ def test_merge_keeps_literals_apart():
     assert [(t.fingerprint, t.member_count) for t in merged] == [("API/filename", 6), ("X/y/z", 2)]
 
 
+def _loop(listed, distance, strict):
+    """Pairs in greedy order, by comparing each template with all later ones."""
+    while True:
+        left, out = list(listed), []
+        while left:
+            a = left.pop(0)
+            near = [(d, i) for i, b in enumerate(left) if (d := templates.merge_distance(a, b, strict)) is not None and d <= distance]
+            out.append(templates.merge_pair(a, left.pop(min(near)[1])) if near else a)
+        if len(out) == len(listed):
+            return out
+        listed = out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_merging_by_keys_is_the_greedy_loop(seed):
+    draw = random.Random(seed)
+    parts = ["API", "GUIDE", "V2", "USER_GUIDE", "slug", "integer", "filename", "DEEPER", "x"]
+    listed = [templates.Template(str(i), str(i), "/".join(draw.choice(parts) for _ in range(draw.randint(1, 4))), draw.randint(1, 9), (str(i % 3),), (f"u{i}",), i / 100) for i in range(draw.choice([5, 40, 150]))]
+    for distance in (0, 1, 2):
+        for strict in (False, True):
+            assert templates.merge(listed, distance, strict) == _loop(listed, distance, strict)
+
+
+def test_merging_of_many_templates():
+    """A hundred thousand groups, among them many that are alike, take seconds."""
+    draw = random.Random(0)
+    kinds = ["slug", "integer", "filename", "uuid", "version"]
+    listed = [templates.Template(str(i), "p", f"{'ABCDEFGH'[i % 8]}X/{draw.choice(kinds)}/N{i % 997}.Q/{draw.choice(kinds)}/DEEPER", 1 + i % 5) for i in range(100_000)]
+    merged = templates.merge(listed)
+    assert len(merged) < 20_000 and sum(t.member_count for t in merged) == sum(t.member_count for t in listed)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_of_templates(spark, seed):
+    """Against all templates tried one by one; with enough of them that most edges are shared, and by joins."""
+    draw = random.Random(seed)
+    words = ["api", "Guide", "x.html", "12", "v2", "a-b", "CamelCase", "a.b.c", "deadbeef", "q", "2024-01-01", "<odd", "..."]
+    kinds = ["literal", "slug", "integer", "version", "filename", "dotted_path", "camel_case", "hash", "unknown", "date"]
+    part = lambda: draw.choice([draw.choice(words[:-1]), f"<{draw.choice(kinds)}>"])
+    listed = [("/" + "/".join([*(part() for _ in range(draw.randint(0, 4))), *(["..."] if draw.random() < 0.3 else [])])) for _ in range(400)]
+    table = spark.createDataFrame([(f"t{k}", p, k) for k, p in enumerate(listed)], "template_id string, pattern string, rank int")
+    paths = list(dict.fromkeys("/" + "/".join(draw.choice(words[:-1]) for _ in range(draw.randint(0, 6))) for _ in range(200)))
+    rows = rows_of(spark, paths)
+    pairs = spark.createDataFrame([(w, f"<{k}>") for w in words for k in kinds], "s string, t string").select("s", "t", segments.fits(F.col("s"), F.col("t")).alias("f")).collect()
+    fit = {(r.s, r.t): r.f for r in pairs}
+
+    def first(path):
+        own = [s for s in path.split("/") if s]
+        for k, p in enumerate(listed):
+            t = [s for s in p.split("/") if s]
+            wild = "..." in t
+            t = t[: t.index("...")] if wild else t
+            if (len(own) >= len(t) if wild else len(own) == len(t)) and all(fit[s, x] if x.startswith("<") and x.endswith(">") else s.lower() == x.lower() for s, x in zip(own, t)):
+                return f"t{k}"
+        return None
+
+    want = {f"https://h.com{p}": t for p in paths if (t := first(p))}
+    found = coverage.matches(rows, table)
+    assert {r.canonical_url: r.template_id for r in found.collect()} == want and "explode" not in found._jdf.queryExecution().toString().lower()
+    own = rows.select("seq", "canonical_url", urls.segments(F.col("path")).alias("_s"))
+    assert {r.canonical_url: r.template_id for r in coverage.joined(own, table).collect()} == want
+
+
+def test_tree_of_many_templates(spark):
+    """Twenty thousand templates: a walk meets the edges that fit, not the templates."""
+    tree = matching.Tree((k, [f"s{k % 200}", "<slug>" if k % 2 else f"w{k}", "<integer>"]) for k in range(20_000))
+    steps = []
+    real = matching.accepted
+    matching.accepted = lambda *a: steps.append(a) or real(*a)
+    try:
+        assert tree.first(["s7", "w20007", "3"], ["literal", "literal", "integer"]) == 7 and tree.first(["s8", "w1008", "3"], ["literal", "literal", "integer"]) == 1008
+    finally:
+        matching.accepted = real
+    assert len(steps) < 8
+
+
+def test_many_sites_at_once(spark):
+    """Templates, matches and coverage of each site are those of the site alone."""
+    draw = random.Random(4)
+    words = ["api", "guide", "linear-model", "x.html", "12", "v2", "plot.html"]
+    links = []
+    for site in ("a.org", "www.b.org", "c.example.net:8080", "empty.org"):
+        paths = ["/"] if site == "empty.org" else ["/" + "/".join(draw.choice(words) for _ in range(draw.randint(1, 4))) for _ in range(60)]
+        links += [(f"https://{site}{p}", site) for p in dict.fromkeys(paths)]
+    draw.shuffle(links)
+    rows = [(i, u, "https://s/", 1, "", s) for i, (u, s) in enumerate(links)]
+    columns = "seq long, url string, source_url string, depth int, link_text string, s string"
+    made, found, report = classify_sites(spark.createDataFrame(rows, columns).drop("s"))
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.site, []).append((r.rank, r.template_id, r.name, r.pattern, r.fingerprint, r.member_count, tuple(r.example_urls), r.confidence))
+    matched = {}
+    for r in found.collect():
+        matched.setdefault(r.site, set()).add((r.canonical_url, r.template_id))
+    counts = {r.site: (r.total_internal_urls, r.covered_urls, r.template_count, r.coverage_percent) for r in report.collect()}
+    for site in ("a.org", "www.b.org", "c.example.net:8080", "empty.org"):
+        own = spark.createDataFrame([r for r in rows if r[-1] == site], columns).drop("s")
+        alone = classify(own, own.limit(0))
+        key = site.removeprefix("www.").partition(":")[0]
+        want = sorted((r.rank, r.template_id, r.name, r.pattern, r.fingerprint, r.member_count, tuple(r.example_urls), r.confidence) for r in alone.templates.collect())
+        assert sorted(got.get(key, [])) == want and bool(want) == (site != "empty.org")
+        assert matched.get(key, set()) == {(r.canonical_url, r.template_id) for r in alone.matches.collect()}
+        total = alone.report.first()
+        assert counts[key] == (total.total_internal_urls, total.covered_urls, total.template_count, total.coverage_percent)
+
+
 def test_deduplication_takes_depth_then_text_then_order(spark):
     rows = [(0, "k", 2, "long text"), (1, "k", 1, "a"), (2, "k", 1, "abc"), (3, "k", 1, "xyz"), (4, "j", 0, None)]
     got = relation.deduplicated(spark.createDataFrame(rows, "seq long, key string, depth int, link_text string")).orderBy("seq").collect()
