@@ -17,6 +17,7 @@ from ..functions.values import GENERATOR_PATHS
 from ..operators import coverage, frontier, generator, grouping, relation, templates, validation
 from ..sources import documents, fetch, scraper
 from ..tables import fresh_dir, materialize
+from ..streaming import frontier as stream_frontier
 from . import classify, extract
 
 #: Domain that stands for the crawled site, and templates that stand for its sections.
@@ -601,6 +602,18 @@ def crawl_external(spark, sf_dir):
     return _crawled(spark, sf_dir)[1].select("url", "depth", "source_url", "link_text")
 
 
+@query
+def frontier_stream(spark, sf_dir):
+    """Links in three arrivals, each taken in by a stream that is started anew; pages count as crawled before."""
+    visited = _urls(spark, sf_dir).select(urls.frontier_key(F.col("url")).alias("key"))
+    links, place = materialize(_links(spark, sf_dir), "links"), fresh_dir(spark, "frontier")
+    for part in range(3):
+        links.where(F.pmod("seq", F.lit(3)) == part).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(links.schema).parquet(f"{place}/in")
+        stream_frontier.take_in(stream_frontier.fresh_links(stream, visited), f"{place}/out", f"{place}/state")
+    return spark.read.parquet(f"{place}/out").select("key")
+
+
 @query
 def get_next(spark, sf_dir):
     """The next twenty links in line that no page with an even number has."""
