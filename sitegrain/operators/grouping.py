@@ -7,7 +7,7 @@ parents decide all of them, and a URL belongs to its shallowest prefix that does
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import segments, urls
@@ -55,6 +55,73 @@ def _metrics(spread: DataFrame) -> DataFrame:
     return joined.select("prefix", "depth", "first_seq", "descendant_count", "own_urls", n.alias("child_count"), F.when(n > 0, F.col("_literals") / n).otherwise(0.0).alias("child_literal_ratio"))
 
 
+#: Ranges of the order that running sums are taken in, and positions of leaves in a block of a range join.
+RANGES, BLOCK = 1024, 1 << 14
+
+
+def _running(rows: DataFrame, group: str, order: str, size: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``size`` over the group's rows that come before in ``order``.
+
+    The order is cut into ``RANGES``; a window holds a group's rows of one range, or the sums of
+    its ranges, so that a group with most of the rows is no single task's.
+    """
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    if lo is None:
+        return rows.withColumn(name, F.lit(0).cast("bigint"))
+    width = max(1, -(-(hi - lo + 1) // RANGES))
+    cut = rows.withColumn("_size", size.cast("bigint")).withColumn("_range", F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("int"))
+    sums = cut.groupBy(group, "_range").agg(F.sum("_size").alias("_sum"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = cut.withColumn("_in", F.coalesce(F.sum("_size").over(own), F.lit(0))).join(starts, [group, "_range"])
+    return joined.withColumn(name, (F.col("_start") + F.col("_in")).cast("bigint")).drop("_size", "_range", "_start", "_in")
+
+
+def intervals(rows: DataFrame, path: Column) -> tuple[DataFrame, DataFrame]:
+    """The prefix tree in pre-order: nodes (prefix, depth, enter, leave) and leaves (seq, prefix, place).
+
+    A node's own URLs come first, in their order, then its children's, in the order of their first
+    URL. So the leaves below a node are those whose place is from ``enter`` to before
+    ``leave``, and none of them is written more than once. Labels go down level by level; the
+    depth of paths bounds the loop, and children of a node with very many are dealt out.
+    """
+    spread = prefixes(rows, path)
+    metrics = materialize(_metrics(spread).withColumn("parent", _parent(F.col("prefix"))), "metrics")
+    children = _running(metrics.where("depth > 0"), "parent", "first_seq", F.col("descendant_count"), "_before")
+    children = materialize(children, "children")
+    hot = hot_keys(metrics.where("child_count > 0").select(F.col("prefix").alias("parent"), F.col("child_count").alias("_n")), metrics.count())
+    deepest = metrics.agg(F.max("depth")).first()[0] or 0
+    zero = F.lit(0).cast("bigint")
+    level = metrics.where("depth = 0").select("prefix", "depth", zero.alias("enter"), "descendant_count", "own_urls")
+    levels = [level]
+    for depth in range(1, deepest + 1):
+        above = level.select(F.col("prefix").alias("parent"), (F.col("enter") + F.col("own_urls")).alias("_base"))
+        below = children.where(F.col("depth") == depth)
+        level = join_hot(below, above, ["parent"], hot, F.col("first_seq")).select("prefix", "depth", (F.col("_base") + F.col("_before")).alias("enter"), "descendant_count", "own_urls")
+        level = materialize(level, "level")
+        levels.append(level)
+    nodes = levels[0]
+    for more in levels[1:]:
+        nodes = nodes.unionByName(more)
+    own = rows.select("seq", F.array_join(urls.segments(path), SEP).alias("prefix"))
+    ranked = _running(own, "prefix", "seq", F.lit(1), "_k")
+    own_hot = hot_keys(metrics.select("prefix", F.col("own_urls").alias("_n")), spread.count())
+    leaves = join_hot(ranked, nodes.where("own_urls > 0").select("prefix", "enter"), ["prefix"], own_hot, F.col("seq"))
+    return nodes.select("prefix", "depth", "enter", (F.col("enter") + F.col("descendant_count")).alias("leave")), leaves.select("seq", "prefix", (F.col("enter") + F.col("_k")).alias("place"))
+
+
+def leaves_below(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Leaves of any of :func:`intervals`' nodes, in order: prefix, seq, and pos from 0.
+
+    A range join by blocks of places: a node gives a row for each block that it reaches into.
+    """
+    block = F.floor(F.col("place") / BLOCK)
+    asked = nodes.where("leave > enter").select("prefix", "enter", "leave", F.explode(F.sequence(F.floor(F.col("enter") / BLOCK), F.floor((F.col("leave") - 1) / BLOCK))).alias("_block"))
+    joined = asked.join(leaves.select("seq", "place", block.alias("_block")), "_block").where("place >= enter and place < leave")
+    return joined.select("prefix", "seq", (F.col("place") - F.col("enter")).alias("pos"))
+
+
 def printed(rows: DataFrame, path: Column, children: int = 5, urls_each: int = 3, deepest: int = 12) -> str:
     """The tree of prefixes as text, for looking at: of each node the first children and own URLs alone.
 

@@ -345,7 +345,7 @@ ORACLE_SQL = {
     "join_template_map": f"WITH {M} SELECT template_id, pattern, canonical_url FROM m JOIN t USING (template_id)",
     "join_zip_positions": f"WITH {M}, z AS (SELECT template_id, {segs('path')} AS s, {segs('pattern')} AS p FROM m JOIN (SELECT seq, path FROM c) USING (seq) JOIN t USING (template_id)), y AS (SELECT template_id, i, s[i] AS raw, p[i] AS part FROM (SELECT *, unnest(range(1, greatest(len(s), len(p)) + 1)) AS i FROM z)) SELECT template_id, (i - 1)::INT AS pos, part, CASE WHEN raw IS NOT NULL THEN {kind('raw')} END AS lexical_type, count(*) AS n FROM y GROUP BY ALL",
     "trie_metrics": f"WITH {PREFIX} SELECT prefix, depth::INT AS depth, first_seq, descendant_count, own_urls, child_count, child_literal_ratio FROM t",
-    "trie_collect_leaves": f"WITH {PREFIX} SELECT prefix, seq FROM n",
+    "trie_collect_leaves": f"WITH {PREFIX}, o AS (SELECT n.seq, list(t.first_seq ORDER BY n.depth) AS trail FROM n JOIN t USING (prefix) GROUP BY n.seq) SELECT prefix, seq, row_number() OVER (PARTITION BY prefix ORDER BY trail, seq) - 1 AS pos FROM n JOIN o USING (seq)",
     "trie_junctions": f"WITH {PREFIX} SELECT prefix, depth::INT AS depth, first_seq, descendant_count, own_urls, child_count, child_literal_ratio FROM t WHERE child_literal_ratio >= 0.7 AND child_count >= 2",
     "pos_frequencies": f"WITH {FREQ} SELECT pos::INT AS pos, raw, n, freq FROM f",
     "pos_classify": f"WITH {FREQ} SELECT pos::INT AS pos, CASE WHEN max(freq) >= 0.8 THEN 'static' WHEN max(freq) < 0.1 THEN 'variable' ELSE 'semi_variable' END AS kind FROM f GROUP BY pos",

@@ -349,8 +349,8 @@ def trie_metrics(spark, sf_dir):
 
 @query
 def trie_collect_leaves(spark, sf_dir):
-    """Pages below every prefix of any depth."""
-    return grouping.prefixes(_canonical(spark, sf_dir), F.col("path")).select("prefix", "seq")
+    """Pages below every prefix of any depth, in the order of a walk: own ones, then those of each child."""
+    return grouping.leaves_below(*grouping.intervals(_canonical(spark, sf_dir), F.col("path")))
 
 
 @query

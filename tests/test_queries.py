@@ -1,12 +1,16 @@
 """Every query runs, and agrees with its SQL where there is any."""
 
 import os
+import random
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from sitegrain import tables as written
+from sitegrain.operators import grouping
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -50,13 +54,46 @@ def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
 
 
-def test_leaves_below_every_prefix(spark):
-    def below(paths):  # own URLs, then those of all children
-        for seq, own in paths:
-            for depth in range(len(own) + 1):
-                yield "/".join(own[:depth]), seq
+def walked(rows):
+    """(prefix, seq, pos) of the leaves of every node, by walking a tree of dictionaries."""
+    root = {"urls": [], "children": {}}
+    for seq, own in rows:
+        node = root
+        for s in own:
+            node = node["children"].setdefault(s, {"urls": [], "children": {}})
+        node["urls"].append(seq)
+    out = []
+
+    def visit(node, prefix):
+        leaves = list(node["urls"])
+        for name, child in node["children"].items():
+            leaves += visit(child, [*prefix, name])
+        out.extend(("/".join(prefix), seq, pos) for pos, seq in enumerate(leaves))
+        return leaves
+
+    visit(root, [])
+    return sorted(out)
 
+
+def test_leaves_below_every_prefix(spark):
     rows = QUERIES["project_wide_url"](spark, SF).select("seq", "segments").collect()
-    want = sorted(below([(r.seq, r.segments.split("|") if r.segments else []) for r in rows]))
-    got = sorted(map(tuple, QUERIES["trie_collect_leaves"](spark, SF).select("prefix", "seq").collect()))
-    assert got == want and any(p.count("/") >= 1 for p, _ in got)
+    want = walked((r.seq, r.segments.split("|") if r.segments else []) for r in sorted(rows))
+    got = sorted(map(tuple, QUERIES["trie_collect_leaves"](spark, SF).select("prefix", "seq", "pos").collect()))
+    assert got == want and any(p.count("/") >= 1 for p, *_ in got)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_intervals_of_random_trees(spark, monkeypatch, seed):
+    """Random paths, repeated ones too, with few ranges and small blocks, so that every seam is met; and a node with most children."""
+    draw = random.Random(seed)
+    monkeypatch.setattr(grouping, "BLOCK", 7), monkeypatch.setattr(grouping, "RANGES", 5), monkeypatch.setattr(written, "HOT_ROWS", 10)
+    paths = ["/" + "/".join(draw.choice("abc") for _ in range(draw.randint(0, 4))) for _ in range(120)] + [f"/hot/{i % 50}" for i in range(80)]
+    draw.shuffle(paths)
+    seqs = draw.sample(range(-500, 500), len(paths))
+    rows = sorted(zip(seqs, paths))
+    table = spark.createDataFrame(rows, "seq long, path string").repartition(4)
+    nodes, leaves = grouping.intervals(table, F.col("path"))
+    want = walked((q, [s for s in p.split("/") if s]) for q, p in rows)
+    assert sorted(map(tuple, grouping.leaves_below(nodes, leaves).collect())) == want
+    assert sorted(r.place for r in leaves.collect()) == list(range(len(rows)))
+    assert not grouping.leaves_below(*grouping.intervals(table.limit(0), F.col("path"))).collect()
