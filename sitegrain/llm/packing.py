@@ -27,12 +27,13 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def split_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def split_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Tokenise whole texts and cut those longer than ``capacity`` into pieces.
 
     ``docs`` has doc_id and text; other columns are ignored. A null text is empty and
-    becomes one piece that holds the end id alone. Rows that repeat a doc_id each give
-    their own pieces.
+    becomes one piece that holds the end id alone. Rows that repeat a doc_id or have none
+    each give their own pieces. A very long text is taken whole, and its task holds its ids
+    at once. An empty table gives an empty table. ``with_ids`` adds each piece's ids (array).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,9 +48,12 @@ def split_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
                 length = np.minimum(counts[row] - piece * capacity, capacity)
                 first = (ends - counts)[row] + piece * capacity
                 crc = [zlib.crc32(data[4 * a : 4 * (a + k)]) for a, k in zip(first.tolist(), length.tolist())]
-                yield pa.record_batch([rows.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], schema=PIECE_SCHEMA)
+                columns = [rows.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                if with_ids:  # pieces stand in the order of the ids, without gaps
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.record_batch(columns, schema=PIECE_SCHEMA.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else PIECE_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids array<int>" if with_ids else PIECES)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -156,28 +160,17 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_salt: int = 200_000)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Tokenise, cut and pack whole documents; see :func:`split_pieces` and :func:`pack`."""
+    """Tokenise, cut and pack whole documents, of any length; see :func:`split_pieces` and :func:`pack`."""
     return pack(materialize(split_pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity)
 
 
-def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def sequences(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids (array), documents (array of ids in place order).
 
-    A sequence holds ``capacity`` ids at most, so its group is bounded.
+    Ids travel with their pieces, so rows that repeat a doc_id, or have none, keep their own.
+    A sequence holds ``capacity`` ids at most, so its group is bounded. Null texts, very long
+    ones and empty tables are those of :func:`split_pieces`.
     """
-    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = shared_tokenizer(vocabulary, 600_000)
-        for batch in batches:
-            for rows in text_runs(batch, "text", 3 << 20):
-                ids, counts = tokenizer.encode(rows.column("text"), end_id)
-                ends = np.cumsum(counts)
-                docs_, piece, out = [], [], []
-                for d, a, b in zip(rows.column("doc_id").to_pylist(), (ends - counts).tolist(), ends.tolist()):
-                    for p, at in enumerate(range(a, b, capacity)):
-                        docs_.append(d), piece.append(p), out.append(ids[at : min(b, at + capacity)].astype(np.int64))
-                yield pa.record_batch([pa.array(docs_, pa.int64()), pa.array(piece, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "piece", "ids"])
-
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(ids_of, "doc_id bigint, piece int, ids array<bigint>")
-    placed = made.join(packed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
-    parts = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("parts"))
+    packed = pack(materialize(split_pieces(docs, vocabulary, capacity, end_id, with_ids=True), "pieces"), capacity)
+    parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.flatten("parts.ids").alias("ids"), F.col("parts.doc_id").alias("documents"))

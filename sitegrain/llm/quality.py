@@ -195,8 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     The sample is that of the smallest hashes of the id, so it is the same on every run; it
     ends where its texts have ``sample_bytes``, and a longer text is passed over. Labels that
-    repeat for a document are averaged; null labels are passed over, and rows that repeat a
-    doc_id are all learned from. None where the sample does not hold documents of different
+    repeat for a document are averaged; null labels are passed over. Rows that repeat a
+    doc_id with other texts are documents of the sample too, equal rows are one. None where the sample does not hold documents of different
     labels, as in empty tables.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(label).alias("y"))
@@ -210,11 +210,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
                 columns = [[m.x.tobytes() for m in at], [m.words.astype(np.uint16).tobytes() for m in at], [m.sizes.astype(np.int32).tobytes() for m in at]]
                 yield pa.record_batch([part.column("doc_id"), part.column("y"), *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "y", "x", "words", "sizes"])
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    ordered = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the sample alone
-    own = own.where(size <= sample_bytes).withColumn("_sum", F.sum(size).over(ordered)).where(F.col("_sum") <= sample_bytes)
-    table = own.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y double, x binary, words binary, sizes binary").toArrow().sort_by("doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(F.broadcast(chosen), "doc_id").withColumns({"_digest": F.md5(text.cast("binary")), "_size": F.octet_length("text").cast("long")})
+    # Sizes alone meet in one task, for the sample's rows and no more.
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("_digest"))
+    sizes = own.where(F.col("_size") <= sample_bytes).select("doc_id", "_digest", "_size").distinct().orderBy(*order).limit(sample)
+    whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = sizes.withColumn("_sum", F.sum("_size").over(whole)).where(F.col("_sum") <= sample_bytes).select("doc_id", "_digest")
+    own = own.join(F.broadcast(taken), ["doc_id", "_digest"]).dropDuplicates(["doc_id", "_digest"])
+    table = own.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y double, x binary, words binary, sizes binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
     y = table.column("y").to_numpy()
     if len(np.unique(y)) < 2:
         return None

@@ -191,6 +191,22 @@ def test_the_sample_is_bounded(spark):
     assert model is not None and np.abs(model.p["W"]).sum() > 0
 
 
+def test_sizes_alone_meet_in_one_task(spark):
+    """A doc_id that repeats with other texts fills the sample, and no more; no text goes through the window over the sample."""
+    a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    many = spark.createDataFrame([(a, f"### {i}") for i in range(500)] + [(b, "good words here")] * 300 + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 0), (b, 1)], "doc_id long, quality int")
+    sizes = []
+    fit = quality.AttentionModel.fit
+    try:
+        quality.AttentionModel.fit = lambda self, bags, y, **k: (sizes.append(Counter(y.tolist())), fit(self, bags, y, **k))[1]
+        assert quality.train(many, labels, sample=100) is not None or sizes == []
+        assert quality.train(many, labels) is not None
+    finally:
+        quality.AttentionModel.fit = fit
+    assert sizes[-1] == {0.0: 500, 1.0: 1} and all(sum(c.values()) <= 100 for c in sizes[:-1])
+
+
 @pytest.fixture(scope="module")
 def unigram():
     pieces, unknown = token_counts.pieces_of(vocabulary_path("piece_bpe_32k.model"))

@@ -187,15 +187,25 @@ def test_packing_of_odd_documents(spark, odd, none, plain):
     assert {(r._salt, r._rank, r._n) for r in again} == {(1, 2, 3)}
 
 
-def test_sequences_hold_the_ids(spark, plain):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
-    packed = packing.pack_documents(docs, vocabulary_path())
-    texts = {r.doc_id: [*plain(r.text), 0] for r in docs.collect()}
-    places = defaultdict(list)
-    for r in packed.collect():
-        places[r.sequence_id].append((r.offset, texts[r.doc_id][r.start : r.start + r.length]))
-    for r in packing.sequences(docs, packed, vocabulary_path()).collect():
-        assert r.ids == [x for _, ids in sorted(places[r.sequence_id]) for x in ids]
+def test_sequences_hold_the_ids(spark, odd, none, plain):
+    """Every document's ids stand together and in order, piece by piece, whatever ids repeat or are missing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("doc_id", "text")
+    for table, capacity in ((docs, 2048), (docs.union(docs).unionByName(odd.select("doc_id", "text")), 64)):
+        found = packing.sequences(table, vocabulary_path(), capacity).collect()
+        want = Counter()
+        for r in table.collect():
+            ids = [*plain(r.text), 0]
+            want.update((r.doc_id, tuple(ids[i : i + capacity])) for i in range(0, len(ids), capacity))
+        assert all(len(r.ids) <= capacity for r in found) and sum(len(r.ids) for r in found) == sum(len(k) * n for (_, k), n in want.items())
+        for r in found:
+            left = tuple(r.ids)
+            for doc in r.documents:
+                piece = max((k for d, k in want if d == doc and left[: len(k)] == k and want[d, k] > 0), key=len)
+                want[doc, piece] -= 1
+                left = left[len(piece) :]
+            assert not left
+        assert not +want
+    assert packing.sequences(none, vocabulary_path()).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(20))
