@@ -379,6 +379,7 @@ ORACLE_SQL = {
     "snk_phase3_json": _DOCUMENT,
     "frontier_seed": f"WITH {U} SELECT {frontier('url')} AS key, depth FROM u ORDER BY seq LIMIT 1",
     "redirect_rehome": f"WITH {U}, x AS (SELECT seq, CASE WHEN seq % 4 = 0 THEN 'https://www.example.com:8080/moved' ELSE url END AS f FROM u) SELECT seq, {internal('f')} AS inside FROM x",
+    "src_http_fetch_source": f"WITH {ALL}, k AS (SELECT {frontier('url')} AS key FROM u), x AS (SELECT {frontier('url')} IN (FROM k) AS hit FROM (SELECT DISTINCT url FROM a)) SELECT CASE WHEN hit THEN 'success' ELSE 'http_error' END AS crawl_status, CASE WHEN hit THEN 200 ELSE 404 END AS status_code, count(*) AS n FROM x GROUP BY ALL",
     "src_http_fetch": f"WITH {ALL}, k AS (SELECT {frontier('url')} AS key FROM u), x AS (SELECT {frontier('url')} IN (FROM k) AS hit FROM a) SELECT CASE WHEN hit THEN 'success' ELSE 'http_error' END AS crawl_status, CASE WHEN hit THEN 200 ELSE 404 END AS status_code, count(*) AS n FROM x GROUP BY ALL",
     "src_http_head": f"WITH {ALL} SELECT seq FROM a WHERE {frontier('url')} IN (SELECT {frontier('url')} FROM u)",
     "fetch_status_classify": "SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'timeout' WHEN page_id % 17 = 0 THEN 'error' WHEN page_id % 6 IN (0, 4) THEN CASE WHEN page_id % 5 = 0 THEN 'skipped_content_type' WHEN page_id % 3 = 0 THEN 'redirect' ELSE 'success' END ELSE 'http_error' END AS crawl_status FROM pages",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import html, segments, urls
 from ..functions.values import GENERATOR_PATHS
 from ..operators import coverage, frontier, generator, grouping, relation, templates, validation
-from ..sources import documents, fetch, scraper
+from ..sources import documents, fetch, scraper, web
 from ..tables import fresh_dir, materialize
 from ..streaming import frontier as stream_frontier
 from . import classify, extract
@@ -655,6 +655,18 @@ def src_unlocker(spark, sf_dir):
     return fetch.through_service(_urls(spark, sf_dir), _answer, unit=0.0)
 
 
+@query
+def src_http_fetch_source(spark, sf_dir):
+    """Distinct URLs of all pages and links, asked for in two batches by the data source; an archive of the pages answers."""
+    place, one, some = fresh_dir(spark, "fetch"), F.lit(None).cast("string"), _pages(spark, sf_dir)
+    answers = some.select("url", one.alias("final_url"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), "html", one.alias("error"), F.lit(None).cast("array<string>").alias("redirect_chain"))
+    web.write_archive(answers, f"{place}/archive")
+    wanted = _all(spark, sf_dir).select("url").distinct()
+    for half in (0, 1):
+        web.write_requests(wanted.where(F.pmod(F.xxhash64("url"), F.lit(2)) == half), f"{place}/requests")
+    return web.fetched(spark, f"{place}/requests", f"{place}/archive").groupBy("crawl_status", "status_code").agg(F.count("*").alias("n"))
+
+
 @query
 def src_http_head(spark, sf_dir):
     known = _urls(spark, sf_dir).select("url")
