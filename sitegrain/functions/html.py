@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
-from . import tags, urls
+from . import selectors, tags, urls
 from .columns import let
 from .values import CLOSING_RANKS, NOISE_TAGS, STRUCTURAL_CLASSES
 
@@ -336,21 +336,8 @@ def with_skeleton(pages: DataFrame, max_chars: int = 6000) -> DataFrame:
 
 
 def select(root: Node, selector: str) -> list[Node]:
-    """Elements that a selector of tags, classes and ids, joined by spaces, finds below ``root``."""
-
-    def is_one(node: Node, simple: str) -> bool:
-        tag, *marks = simple.replace(".", " .").replace("#", " #").split() if simple[0] not in ".#" else ["", *simple.replace(".", " .").replace("#", " #").split()]
-        return (not tag or tag in ("*", node.tag)) and all(m[1:] in node.classes if m[0] == "." else node.attrs.get("id") == m[1:] for m in marks)
-
-    found = [root]
-    for simple in selector.split():
-        seen: dict[int, Node] = {}
-        for at in found:
-            for node in at.walk():
-                if is_one(node, simple):
-                    seen.setdefault(id(node), node)
-        found = list(seen.values())
-    return found if selector.split() else []
+    """Elements that a CSS selector finds below ``root``, in document order; see :mod:`selectors`."""
+    return selectors.finder((selector,)).find(root)[0] if selector.strip() else []
 
 
 def _value(nodes: list[Node], kind: str):
@@ -369,27 +356,38 @@ def _value(nodes: list[Node], kind: str):
     return first.text()
 
 
+def _selectors_of(fields: list[dict]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(s for f in fields for s in (f.get("css_selector"), *(f.get("fallback_selectors") or [])) if s and s.strip()))
+
+
 def extract_fields(html: str | None, fields: list[dict]) -> dict:
     """Values of ``fields`` (name, field_type, css_selector, fallback_selectors) in a page.
 
-    The first selector that finds something counts; a field that none finds is None.
+    The first selector that finds something counts; a field that none finds is None. All
+    selectors are looked for in one walk.
     """
-    root, out = parse(html), {}
+    wanted, out = _selectors_of(fields), {}
+    found = dict(zip(wanted, selectors.finder(wanted).find(parse(html))))
     for field in fields:
-        out[field["name"]] = None
-        for selector in [field.get("css_selector"), *(field.get("fallback_selectors") or [])]:
-            if selector and (nodes := select(root, selector)):
-                out[field["name"]] = _value(nodes, str(field.get("field_type", "TEXT")).upper())
-                break
+        hits = (found.get(s) for s in (field.get("css_selector"), *(field.get("fallback_selectors") or [])))
+        nodes = next((n for n in hits if n), None)
+        out[field["name"]] = None if nodes is None else _value(nodes, str(field.get("field_type", "TEXT")).upper())
     return out
 
 
-def with_fields(pages: DataFrame, fields: list[dict]) -> DataFrame:
-    """``pages`` with ``data``: a JSON object of the extracted fields, null for a null page."""
+def with_fields(pages: DataFrame, fields: list[dict], by: dict[str, list[dict]] | None = None) -> DataFrame:
+    """``pages`` with ``data``: a JSON object of the extracted fields, null for a null page.
+
+    ``by`` has the fields of some template_ids, all others have ``fields``. Selectors are
+    compiled first, so one that is none is an error at once.
+    """
     import json
 
-    @F.pandas_udf("string")
-    def extract(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: None if h is None else json.dumps(extract_fields(h, fields), ensure_ascii=False))
+    for some in (fields, *(by or {}).values()):
+        selectors.finder(_selectors_of(some))
+
+    def values(html: pd.Series, templates: pd.Series) -> pd.Series:
+        own = ((by or {}).get(t, fields) for t in templates)
+        return pd.Series([None if h is None else json.dumps(extract_fields(h, f), ensure_ascii=False) for h, f in zip(html, own)], dtype=object)
 
-    return pages.withColumn("data", extract("html"))
+    return pages.withColumn("data", F.pandas_udf(values, "string")("html", "template_id" if by else F.lit("")))

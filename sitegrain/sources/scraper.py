@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import with_fields
+from ..functions.urls import frontier_key
 
 #: Selectors that find a documentation page's fields.
 FIELDS = (
@@ -48,13 +49,15 @@ class SelectorExtractor:
         return urls.where(~F.col("template_id").isin(*self.uncreatable)) if self.uncreatable else urls
 
     def __call__(self, urls: DataFrame, turn: int) -> DataFrame:
-        """``urls`` (template_id, url) and ``data``: JSON of the fields, null without a page."""
-        own = urls.join(self.pages.select("url", "html"), "url", "left")
+        """``urls`` (template_id, url) and ``data``: JSON of the fields, null without a page.
+
+        A page is found by its frontier key; of pages with one key the first counts, by
+        page_id where there is one, so each URL keeps one row.
+        """
+        key = frontier_key(F.col("url"))
+        order = "page_id" if "page_id" in self.pages.columns else "url"
+        first = self.pages.groupBy(key.alias("_key")).agg(F.min(order).alias("_first"))
+        kept = self.pages.withColumn("_key", key).join(first, "_key").where(F.col(order) == F.col("_first")).dropDuplicates(["_key"]).select("_key", "html")
+        own = urls.withColumn("_key", key).join(kept, "_key", "left").drop("_key")
         version = lambda rounds: rounds[min(turn, len(rounds) - 1)]
-        if not self.by_template:
-            return with_fields(own, version(self.rounds)).drop("html")
-        rest = own.where(F.col("template_id").isNull() | ~F.col("template_id").isin(*self.by_template))
-        out = with_fields(rest, version(self.rounds))
-        for template, rounds in self.by_template.items():
-            out = out.unionByName(with_fields(own.where(F.col("template_id") == template), version(rounds)))
-        return out.drop("html")
+        return with_fields(own, version(self.rounds), {t: version(r) for t, r in self.by_template.items()}).drop("html")
