@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import segments, urls
 from ..functions.values import DOC_HOST_ENDINGS, DOC_HOST_SIGNALS, DOC_PATH_SIGNALS, DOMAIN_KINDS
-from . import matching
+from . import heavy, matching
 
 #: Templates are compiled into one tree up to so many; a site has dozens.
 MOST_TEMPLATES = 20_000
@@ -122,16 +122,11 @@ def external_domains(rows: DataFrame, observed: int = 10) -> DataFrame:
 def top_directories(paths: DataFrame, most: int = 30) -> DataFrame:
     """The commonest directories of ``paths`` (seq, path): directory and n; ties by first seen."""
     directory = F.regexp_replace("path", "/?[^/]*$", "")
-    return _top(paths.select("seq", F.when(directory == "", "/").otherwise(directory).alias("directory")), "directory", most)
+    return heavy.top_counts(paths.select("seq", F.when(directory == "", "/").otherwise(directory).alias("directory")), "directory", most)
 
 
 def top_prefixes(paths: DataFrame, most: int = 30) -> DataFrame:
     """The commonest beginnings of two segments, or ROOT."""
     own = urls.segments(F.col("path"))
     prefix = F.when(F.size(own) == 0, "ROOT").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(own, 1, 2), "/")))
-    return _top(paths.select("seq", prefix.alias("prefix")), "prefix", most)
-
-
-def _top(rows: DataFrame, key: str, most: int) -> DataFrame:
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("seq").alias("_first"))
-    return counts.orderBy(F.desc("n"), "_first").limit(most).drop("_first")
+    return heavy.top_counts(paths.select("seq", prefix.alias("prefix")), "prefix", most)

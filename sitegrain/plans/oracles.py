@@ -340,6 +340,7 @@ ORACLE_SQL = {
     "anti_uncovered": f"WITH {M} SELECT seq, canonical_url FROM c WHERE NOT EXISTS (FROM m WHERE m.seq = c.seq)",
     "frontier_stream": f"WITH {ALL} SELECT DISTINCT {frontier('url')} AS key FROM a WHERE depth = 1 AND {frontier('url')} NOT IN (SELECT {frontier('url')} FROM u)",
     "anti_visited": f"WITH {ALL} SELECT seq, {frontier('url')} AS key FROM a WHERE depth = 1 AND {frontier('url')} NOT IN (SELECT {frontier('url')} FROM u)",
+    "anti_visited_levels": f"WITH {ALL} SELECT seq, {frontier('url')} AS key FROM a WHERE depth = 1 AND {frontier('url')} NOT IN (SELECT {frontier('url')} FROM u)",
     "theta_template_match": f"WITH {M} SELECT * FROM m",
     "first_match": f"WITH {M} SELECT template_id, count(*) AS n, min(seq) AS first_seq FROM m GROUP BY ALL",
     "join_template_map": f"WITH {M} SELECT template_id, pattern, canonical_url FROM m JOIN t USING (template_id)",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, segments, urls
 from ..functions.values import GENERATOR_PATHS
-from ..operators import coverage, frontier, generator, grouping, relation, templates, validation
+from ..operators import coverage, frontier, generator, grouping, relation, templates, validation, visited
 from ..sources import documents, fetch, scraper, web
 from ..tables import fresh_dir, materialize
 from ..streaming import frontier as stream_frontier
@@ -602,6 +602,15 @@ def crawl_external(spark, sf_dir):
     return _crawled(spark, sf_dir)[1].select("url", "depth", "source_url", "link_text")
 
 
+@query
+def anti_visited_levels(spark, sf_dir):
+    """Links that no page has, by levels of visited keys with Bloom filters: pages of each remainder by 3 are a level."""
+    seen = visited.Visited(spark)
+    for level in range(3):
+        seen.add(_urls(spark, sf_dir).where(F.pmod("seq", F.lit(3)) == level).select(urls.frontier_key(F.col("url")).alias("key")))
+    return seen.unseen(_links(spark, sf_dir).select("seq", urls.frontier_key(F.col("url")).alias("key")))
+
+
 @query
 def frontier_stream(spark, sf_dir):
     """Links in three arrivals, each taken in by a stream that is started anew; pages count as crawled before."""
