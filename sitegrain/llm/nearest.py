@@ -1,16 +1,20 @@
 """Operator 10: exact top-k search by inner product with a KD-tree per shard.
 
-Each task splits the vectors that it reads into shards and each shard by medians of its
-widest dimension, down to leaves with tight bounding boxes; a shard is a file, and the tree
-above its leaves is rebuilt from their boxes when it is searched. A query walks a shard
-best-first by an upper bound of the inner product over a box (per dimension the better of
-its two ends), and stops where the bound falls below its k-th best score so far.
-
-Queries are files too, some thousand of them to a group. Queries that are rows of the index
-are searched in their own shard first, and the k-th score found there is written beside
-them. Then every group meets every stripe of shards in a task of its own, which starts from
-those scores, carries them from shard to shard, and passes over shards whose whole box lies
-below them. Neither the driver nor a broadcast holds queries or vectors.
+A coarse KD split of a bounded sample parts space into cells of about equal mass. Vectors are
+dealt out by their cell, a cell with very many to several tasks, and each task splits what it
+gets into shards and each shard by medians of its widest dimension, down to leaves with tight
+bounding boxes. A shard is a file; its box stands in the index. So shards lie close together,
+and most of them are far from most queries.
+
+Queries are files too, a file a shard, and groups of them are taken from neighbouring cells.
+Queries that are rows of the index are searched in their own shard first, and the k-th score
+found there is written beside them. Then every group meets every stripe of shards in a task
+of its own. It reads the stripe's boxes as one file, opens only the shards whose bound for some
+query reaches that one's k-th score, the most promising first, and walks a shard's tree for all
+these queries at once: best-first by the greatest bound of an inner product over a box, where
+each node keeps the queries that it can still serve, and a leaf is scored for them by one
+product of matrices. K-th scores go on from shard to shard. Neither the driver nor a broadcast
+holds queries or vectors.
 """
 
 from __future__ import annotations
@@ -22,12 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import fresh_dir, materialize, open_uri, write_file
 
-FILES = "path string, dims int, n bigint"
+FILES = "path string, dims int, n bigint, cell int"
+INDEX = FILES + ", lo array<bigint>, hi array<bigint>"
+#: Vectors of the sample that the coarse split is made from, and those of it that a cell has at least.
+SAMPLE, CELL_SAMPLE = 1 << 16, 32
+#: Bounds of queries over boxes that are held at once.
+REACHED = 1 << 22
 FOUND = "file bigint, place bigint, query_id bigint, vec_id bigint, score bigint"
 #: Scores are long; what would be beyond counts as the least or the greatest.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -82,42 +92,121 @@ def _by_dims(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
 
 
 def _files(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["path", "dims", "n"])
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))[: len(rows[0])]
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["path", "dims", "n", "cell", "lo", "hi"][: len(kinds)])
+
+
+class Split:
+    """A coarse KD split: cells of about equal mass, numbered so that neighbours have near numbers."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.inner: dict[int, tuple[int, float, int, int]] = {}
+        self.cells = 0
+        self.root = self._made(sample, cells, 0)
+
+    def _made(self, x: np.ndarray, cells: int, number: int) -> int:
+        """A node's number; inner ones are at least 0, a cell is -1 - its number."""
+        if cells > 1 and len(x) > 1 and x.shape[1]:
+            d = int(np.argmax(x.max(0).astype(np.float64) - x.min(0)))
+            order = np.sort(x[:, d])
+            cut = float(order[len(order) // 2])
+            if cut > order[0]:
+                at = len(self.inner)
+                self.inner[at] = d, cut, 0, 0
+                low = x[:, d] < cut
+                self.inner[at] = d, cut, self._made(x[low], cells // 2, number), self._made(x[~low], cells - cells // 2, number)
+                return at
+        self.cells += 1
+        return -self.cells
+
+    def cell_of(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int32)
+        stack = [(self.root, np.arange(len(x)))]
+        while stack:
+            node, at = stack.pop()
+            if node < 0:
+                out[at] = -node - 1
+            elif len(at):
+                d, cut, below, above = self.inner[node]
+                low = x[at, d] < cut
+                stack += [(below, at[low]), (above, at[~low])]
+        return out
+
+
+def coarse_splits(vectors: DataFrame, shard_rows: int) -> dict[int, tuple[Split, list[int]]]:
+    """By number of dimensions: a split of a sample of all vectors, and how many tasks each cell's vectors are dealt to."""
+    sizes = {r.dims: r.n for r in vectors.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).collect()}  # a row a number of dimensions
+    total = sum(sizes.values())
+    step = max(1, total // SAMPLE)
+    own = vectors.where(F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(step)) == 0).select("vec_id", "v").limit(2 * SAMPLE)
+    batches = own.toArrow().to_batches()
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for dims, _, x in _by_dims(batch):
+            held.setdefault(dims, []).append(x)
+    out = {}
+    for dims, n in sizes.items():
+        x = np.concatenate(held[dims]) if dims in held else np.zeros((0, dims), np.int64)
+        split = Split(x, max(1, min(-(-n // shard_rows), len(x) // CELL_SAMPLE)))
+        mass = np.bincount(split.cell_of(x), minlength=split.cells) / max(1, len(x)) * n
+        out[dims] = split, [max(1, round(m / shard_rows / 2)) for m in mass.tolist()]
+    return out
 
 
 def build_index(vectors: DataFrame, leaf: int = 256, shard_rows: int = 1 << 15) -> DataFrame:
-    """Shards of all vectors (columns vec_id and v) in the shared folder: path, dims and n.
+    """Shards of all vectors (columns vec_id and v) in the shared folder: path, dims, n, cell, and the box as lo and hi.
 
-    A shard holds ``shard_rows`` vectors at most, all of one dimension and one partition.
+    A shard holds ``shard_rows`` vectors at most, all of one dimension and one cell.
     """
     root = fresh_dir(vectors.sparkSession, "shards")
+    vectors = vectors.select("vec_id", "v")
+    shared = vectors.sparkSession.sparkContext.broadcast(coarse_splits(vectors, shard_rows))  # bounded as the sample is
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splits, count = shared.value, 0
+        for batch in batches:
+            dims, cell, part = pc.list_value_length(batch.column("v")).to_numpy(), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+            for own, _, x in _by_dims(batch):
+                at = np.flatnonzero(dims == own)
+                split, parts = splits[own]
+                cell[at] = split.cell_of(x)
+                part[at] = (count + at) % np.array(parts)[cell[at]]
+            count += batch.num_rows
+            yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array(dims, pa.int32()), pa.array(cell), pa.array(part)], names=["vec_id", "v", "dims", "cell", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        key, held, rows = None, [], 0
 
-        def flush(dims: int) -> tuple:
-            chunks = held.pop(dims)
-            ids, x = np.concatenate([c[0] for c in chunks]), np.concatenate([c[1] for c in chunks])
+        def flush() -> pa.RecordBatch:
+            nonlocal held, rows
+            ids, x = np.concatenate([c[0] for c in held]), np.concatenate([c[1] for c in held])
+            held, rows = [], 0
             leaves = list(_leaves(x.astype(np.float64), np.arange(len(ids)), leaf))
             order, path = np.concatenate(leaves), f"{root}/{uuid.uuid4().hex}.npz"
             lo, hi = np.array([x[at].min(0) for at in leaves]), np.array([x[at].max(0) for at in leaves])
             _save(path, ids=ids[order], x=x[order], ends=np.cumsum([len(at) for at in leaves]), lo=lo, hi=hi)
-            _save(f"{path}.box", lo=lo.min(0), hi=hi.max(0))
-            return path, dims, len(ids)
+            return _files([(path, x.shape[1], len(ids), key[1], lo.min(0).tolist(), hi.max(0).tolist())])
 
         for batch in batches:
-            done = []
-            for begin in range(0, batch.num_rows, shard_rows):
-                for dims, ids, x in _by_dims(batch.slice(begin, shard_rows)):
-                    held.setdefault(dims, []).append((ids, x))
-                    if sum(len(c[0]) for c in held[dims]) >= shard_rows:
-                        done.append(flush(dims))
-            if done:
-                yield _files(done)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("dims", "cell", "part")], 1)
+            bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(bounds, bounds[1:]):
+                if held and tuple(keys[begin].tolist()) != key:
+                    yield flush()
+                key = tuple(keys[begin].tolist())
+                while begin < end:
+                    take = min(end - begin, shard_rows - rows)
+                    for _, ids, x in _by_dims(batch.slice(begin, take).select(["vec_id", "v"])):
+                        held.append((ids, x))
+                    begin, rows = begin + take, rows + take
+                    if rows == shard_rows:
+                        yield flush()
         if held:
-            yield _files([flush(dims) for dims in list(held)])
+            yield flush()
 
-    return materialize(vectors.select("vec_id", "v").mapInArrow(run, FILES), "index")
+    placed = vectors.mapInArrow(place, "vec_id bigint, v array<bigint>, dims int, cell int, part int")
+    dealt = placed.repartition("dims", "cell", "part").sortWithinPartitions("dims", "cell", "part")
+    return materialize(dealt.mapInArrow(run, INDEX), "index")
 
 
 class Tree:
@@ -157,46 +246,71 @@ class Shard:
         self.plain = self.x.astype(np.float64)
         self.greatest = float(np.abs(self.plain).max()) if self.x.size else 0.0
 
-    def scores(self, node: int, query: np.ndarray) -> tuple[int, np.ndarray]:
-        """A leaf's first place, and the exact inner products of its vectors."""
-        begin, end = int(self.ends[node - 1]) if node else 0, int(self.ends[node])
-        if self.greatest * float(np.abs(query.astype(np.float64)).max(initial=0.0)) * max(1, len(query)) < EXACT:
-            return begin, (self.plain[begin:end] @ query.astype(np.float64)).astype(np.int64)
-        whole = self.x[begin:end].astype(object) @ query.astype(object)
-        return begin, np.array([min(MOST, max(LEAST, int(s))) for s in whole], np.int64)
+    def scores(self, leaf: int, queries: np.ndarray) -> np.ndarray:
+        """Exact inner products of a leaf's vectors with queries, a row a query."""
+        begin, end = self.span(leaf)
+        q = queries.astype(np.float64)
+        if self.greatest * float(np.abs(q).max(initial=0.0)) * max(1, q.shape[1]) < EXACT:
+            return (q @ self.plain[begin:end].T).astype(np.int64)
+        whole = queries.astype(object) @ self.x[begin:end].T.astype(object)
+        return np.clip(whole, LEAST, MOST).astype(np.int64)
 
-    def search(self, query: np.ndarray, bound: np.ndarray, heap: list[tuple[int, int]], k: int, floor: int, own: int | None) -> None:
-        """Push the query's candidates of this shard to ``heap``: (score, -vec_id), the worst on top.
+    def span(self, leaf: int) -> tuple[int, int]:
+        return int(self.ends[leaf - 1]) if leaf else 0, int(self.ends[leaf])
 
-        Scores under ``floor`` are of no use; place ``own`` is no candidate.
+    def search(self, best: Best, some: np.ndarray) -> None:
+        """Offer ``best`` this shard's candidates for its queries ``some``.
+
+        The node whose bound is the greatest for any query comes first; with it go the queries
+        that it can still serve. A query's own row is no candidate.
         """
-        tree = self.tree
-        queue = [(-bound[tree.root], tree.root)]
-        least = max(floor, heap[0][0]) if len(heap) == k else floor
-        while queue and -queue[0][0] >= least:
-            node = heapq.heappop(queue)[1]
+        tree, queries = self.tree, best.x[some]
+        own = np.where(best.shards[some] == self.path, best.rows[some], -1)
+        bound = upper_bounds(queries, tree.lo, tree.hi)
+        active = np.arange(len(some))
+        queue = [(-float(bound[:, tree.root].max(initial=-np.inf)), tree.root, active)]
+        while queue:
+            _, node, at = heapq.heappop(queue)
+            at = at[bound[at, node] >= best.least[some[at]]]
+            if not len(at):
+                continue
             if node >= tree.leaves:
                 for c in tree.children[node]:
-                    if bound[c] >= least:
-                        heapq.heappush(queue, (-bound[c], c))
+                    left = at[bound[at, c] >= best.least[some[at]]]
+                    if len(left):
+                        heapq.heappush(queue, (-float(bound[left, c].max()), c, left))
                 continue
-            begin, scores = self.scores(node, query)
-            good = scores >= least
-            if own is not None and begin <= own < begin + len(scores):
-                good[own - begin] = False
-            at = np.flatnonzero(good)
-            if len(at) > k:
-                at = at[np.lexsort((self.ids[begin + at], -scores[at]))[:k]]
-            for s, v in zip(scores[at].tolist(), self.ids[begin + at].tolist()):
-                if len(heap) < k:
-                    heapq.heappush(heap, (s, -v))
-                elif (s, -v) > heap[0]:
-                    heapq.heapreplace(heap, (s, -v))
-            least = max(floor, heap[0][0]) if len(heap) == k else floor
-
-
-def indexed_queries(index: DataFrame, every: int, k: int) -> DataFrame:
-    """Query files of the index's rows whose vec_id ``every`` divides, a file a shard: path, dims and n.
+            begin, end = self.span(node)
+            scores = self.scores(node, queries[at])
+            good = scores >= best.least[some[at]][:, None]
+            inside = np.flatnonzero((own[at] >= begin) & (own[at] < end))
+            good[inside, own[at[inside]] - begin] = False
+            for i in np.flatnonzero(good.any(1)).tolist():
+                found = np.flatnonzero(good[i])
+                best.offer(int(some[at[i]]), scores[i, found], self.ids[begin + found])
+
+
+class Best:
+    """Queries on their way, and the best k (score, vec_id) of each so far; ``least`` is what a score must reach."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, floors: np.ndarray, rows: np.ndarray, shards: np.ndarray, k: int):
+        self.ids, self.x, self.floors, self.rows, self.shards, self.k = ids, x, floors, rows, shards, k
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        self.least = floors.copy()
+
+    def offer(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        s, v = self.found[query]
+        s, v = np.concatenate([s, scores]), np.concatenate([v, ids])
+        if len(s) > self.k:
+            order = np.lexsort((v, -s))[: self.k] if s.min() > LEAST else np.array(sorted(range(len(s)), key=lambda i: (-int(s[i]), int(v[i])))[: self.k])
+            s, v = s[order], v[order]
+        self.found[query] = s, v
+        if len(s) == self.k:
+            self.least[query] = max(int(self.floors[query]), int(s.min()))
+
+
+def indexed_queries(index: DataFrame, every: int, k: int, together: int = 1024) -> DataFrame:
+    """Query files of the index's rows whose vec_id ``every`` divides, a file a shard: path, dims, n and cell.
 
     Each query comes with its row, which is no candidate, and its k-th score in its own shard.
     """
@@ -204,27 +318,25 @@ def indexed_queries(index: DataFrame, every: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            cells = dict(zip(batch.column("path").to_pylist(), batch.column("cell").to_pylist()))
+            for path in cells:
                 shard = Shard(path)
                 rows = np.flatnonzero(shard.ids % every == 0)
                 if not len(rows):
                     continue
-                floors, bounds = np.full(len(rows), LEAST, np.int64), upper_bounds(shard.x[rows], shard.tree.lo, shard.tree.hi)
-                for i, row in enumerate(rows.tolist()):
-                    heap: list[tuple[int, int]] = []
-                    shard.search(shard.x[row], bounds[i], heap, k, LEAST, row)
-                    if len(heap) == k:
-                        floors[i] = heap[0][0]
+                best = Best(shard.ids[rows], shard.x[rows], np.full(len(rows), LEAST, np.int64), rows, np.full(len(rows), path, object), k)
+                for begin in range(0, len(rows), together):
+                    shard.search(best, np.arange(begin, min(begin + together, len(rows))))
                 name = f"{root}/{uuid.uuid4().hex}.npz"
-                _save(name, ids=shard.ids[rows], x=shard.x[rows], floors=floors, rows=rows, shard=np.array([path]))
-                yield _files([(name, shard.x.shape[1], len(rows))])
+                _save(name, ids=shard.ids[rows], x=shard.x[rows], floors=best.least, rows=rows, shard=np.array([path]))
+                yield _files([(name, shard.x.shape[1], len(rows), cells[path])])
 
-    tasks = max(1, index.count())
-    return materialize(index.repartition(tasks, "path").mapInArrow(run, FILES), "own_queries")
+    tasks = min(max(1, index.count()), 10_000)
+    return materialize(index.select("path", "cell").repartition(tasks, "path").mapInArrow(run, FILES), "own_queries")
 
 
 def given_queries(queries: DataFrame) -> DataFrame:
-    """Query files of any vectors (vec_id, v), which are no rows of the index: path, dims and n."""
+    """Query files of any vectors (vec_id, v), which are no rows of the index: path, dims, n and cell (0)."""
     root = fresh_dir(queries.sparkSession, "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +344,7 @@ def given_queries(queries: DataFrame) -> DataFrame:
             for dims, ids, x in _by_dims(batch):
                 name = f"{root}/{uuid.uuid4().hex}.npz"
                 _save(name, ids=ids, x=x, floors=np.full(len(ids), LEAST, np.int64), rows=np.full(len(ids), -1), shard=np.array([""]))
-                yield _files([(name, dims, len(ids))])
+                yield _files([(name, dims, len(ids), 0)])
 
     return materialize(queries.select("vec_id", "v").mapInArrow(run, FILES), "given_queries")
 
@@ -247,20 +359,49 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, group: int = 4096,
     ``group`` queries are searched together; shards are parted into as many stripes as make
     ``cells`` tasks (default: four for each core), and a query gives k rows a stripe at most.
     """
-    cells = cells or 4 * index.sparkSession.sparkContext.defaultParallelism
+    spark = index.sparkSession
+    cells = cells or 4 * spark.sparkContext.defaultParallelism
     sums = queries.groupBy("dims").agg(F.ceil(F.sum("n") / group).cast("int").alias("groups"))
     sizes = index.groupBy("dims").agg(F.count("*").alias("shards")).join(sums, "dims")
     sizes = sizes.select("dims", "groups", F.least("shards", F.ceil(F.lit(cells) / F.col("groups"))).cast("int").alias("stripes"))
-    deal = lambda parts: F.pmod(F.xxhash64("path"), F.col(parts)).cast("int")
+    # Groups follow the cells' order: a cell's files share the groups that its queries reach over.
+    held = queries.groupBy("dims", "cell").agg(F.sum("n").alias("_own"))
+    before = F.sum("_own").over(Window.partitionBy("dims").orderBy("cell")) - F.col("_own")  # a row a cell, whose number is bounded by the sample
+    begun = held.withColumn("_before", before).withColumn("_all", F.sum("_own").over(Window.partitionBy("dims")))
+    share = F.pmod(F.xxhash64("path"), F.lit(1 << 20)) / float(1 << 20)
+    at = F.floor((F.col("_before") + share * F.col("_own")) * F.col("groups") / F.col("_all")).cast("int")
     all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    asked = queries.join(sizes, "dims").select("path", "dims", deal("groups").alias("g"), all_of("stripes").alias("s"), F.lit(0).alias("kind"))
-    shards = index.join(sizes, "dims").select("path", "dims", all_of("groups").alias("g"), deal("stripes").alias("s"), F.lit(1).alias("kind"))
-    grid = asked.unionByName(shards).repartitionByRange(cells, "dims", "g", "s").sortWithinPartitions("dims", "g", "s", "kind", "path")
+    asked = queries.join(sizes, "dims").join(begun, ["dims", "cell"]).select("path", "dims", F.least(at, F.col("groups") - 1).alias("g"), "stripes")
+    asked = asked.select("path", "dims", "g", all_of("stripes").alias("s"), F.lit(0).alias("kind"))
+    boxes = _stripes(index.join(sizes, "dims").withColumn("s", F.pmod(F.xxhash64("path"), F.col("stripes")).cast("int")))
+    boxes = boxes.join(sizes, "dims").select("path", "dims", all_of("groups").alias("g"), "s", F.lit(1).alias("kind"))
+    grid = asked.unionByName(boxes).repartitionByRange(cells, "dims", "g", "s").sortWithinPartitions("dims", "g", "s", "kind", "path")
     found = grid.mapInArrow(_searcher(k), FOUND)
     best = Window.partitionBy("file", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _stripes(index: DataFrame) -> DataFrame:
+    """A file for each stripe (dims, s) of the index with the paths and boxes of its shards: path, dims and s."""
+    root = fresh_dir(index.sparkSession, "boxes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault((row["dims"], row["s"]), []).append((row["path"], row["lo"], row["hi"]))
+        made = []
+        for (dims, s), rows in held.items():
+            rows.sort()
+            name = f"{root}/{uuid.uuid4().hex}.npz"
+            box = [np.array([r[i] for r in rows], np.int64).reshape(len(rows), dims) for i in (1, 2)]
+            _save(name, paths=np.array([r[0] for r in rows]), lo=box[0], hi=box[1])
+            made.append((name, dims, s))
+        yield pa.record_batch([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))], names=["path", "dims", "s"])
+
+    return materialize(index.select("path", "dims", "s", "lo", "hi").repartition("dims", "s").mapInArrow(run, "path string, dims int, s int"), "stripes")
+
+
 class _Cell:
     """A group of queries on its way over a stripe of shards."""
 
@@ -268,32 +409,38 @@ class _Cell:
         held = [_load(p) for p in paths]
         sizes = [len(h["ids"]) for h in held]
         join = lambda name: np.concatenate([h[name] for h in held])
-        self.ids, self.x, self.floors, self.rows, self.k = join("ids"), join("x"), join("floors"), join("rows"), k
-        self.shards = np.repeat([str(h["shard"][0]) for h in held], sizes).tolist()
+        shards = np.repeat(np.array([str(h["shard"][0]) for h in held], object), sizes)
+        self.best_of = Best(join("ids"), join("x"), join("floors"), join("rows"), shards, k)
         #: A query is told by its file's number, from the random name, and its place there.
         self.files = np.repeat([int(p.rpartition("/")[2][:15], 16) for p in paths], sizes)
         self.places = np.concatenate([np.arange(n) for n in sizes])
-        self.heaps: list[list[tuple[int, int]]] = [[] for _ in self.ids]
-
-    def least(self) -> np.ndarray:
-        return np.array([max(f, h[0][0]) if len(h) == self.k else f for f, h in zip(self.floors.tolist(), self.heaps)], np.float64)
-
-    def walk(self, path: str) -> None:
-        box = _load(f"{path}.box")
-        #: Scores in floating point may be off by rounding; twice its room is left.
-        reach = upper_bounds(self.x, box["lo"][None], box["hi"][None])[:, 0]
-        wanted = np.flatnonzero(reach + np.abs(reach) * 2.0**-50 >= self.least())
-        if not len(wanted):
-            return
-        shard = Shard(path)
-        bounds = upper_bounds(self.x[wanted], shard.tree.lo, shard.tree.hi)
-        for b, i in enumerate(wanted.tolist()):
-            shard.search(self.x[i], bounds[b], self.heaps[i], self.k, int(self.floors[i]), int(self.rows[i]) if self.shards[i] == path else None)
+        self.opened = 0
+
+    def walk(self, stripe: str, together: int = 1024) -> None:
+        """Search a stripe: shards in the order of their greatest bound, for the queries that each may serve."""
+        boxes = _load(stripe)
+        best = self.best_of
+        lo, hi, some = boxes["lo"], boxes["hi"], max(1, REACHED // max(1, len(best.ids)))
+        most = [self._reach(lo[i : i + some], hi[i : i + some]).max(0, initial=-np.inf) for i in range(0, len(lo), some)]
+        for i in np.argsort(-np.concatenate(most), kind="stable").tolist():
+            wanted = np.flatnonzero(self._reach(lo[i : i + 1], hi[i : i + 1])[:, 0] >= best.least)
+            if not len(wanted):
+                continue
+            self.opened += 1
+            shard = Shard(str(boxes["paths"][i]))
+            for begin in range(0, len(wanted), together):
+                shard.search(best, wanted[begin : begin + together])
+
+    def _reach(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Bounds of all queries over some boxes; scores in floating point may be off by rounding, and twice its room is left."""
+        reach = upper_bounds(self.best_of.x, lo, hi)
+        return reach + np.abs(reach) * 2.0**-50
 
     def best(self) -> pa.RecordBatch:
-        n = [len(h) for h in self.heaps]
-        flat = [x for h in self.heaps for x in h]
-        columns = [np.repeat(self.files, n), np.repeat(self.places, n), np.repeat(self.ids, n), [-v for _, v in flat], [s for s, _ in flat]]
+        found = self.best_of.found
+        n = [len(s) for s, _ in found]
+        scores, ids = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+        columns = [np.repeat(self.files, n), np.repeat(self.places, n), np.repeat(self.best_of.ids, n), ids, scores]
         return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["file", "place", "query_id", "vec_id", "score"])
 
 

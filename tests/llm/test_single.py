@@ -371,6 +371,32 @@ def test_exact_search(spark, seed, dims, shard_rows):
     assert nearest.top_k(df.limit(0)).count() == 0
 
 
+def test_few_shards_are_opened(spark):
+    """Vectors in clusters, each in some directions: a group of queries opens the shards that can serve one of them, and its stripe's one file of boxes."""
+    draw = np.random.default_rng(0)
+    centres = draw.standard_normal((24, 16))
+    centres *= 30 / np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, (centres[i % 24] + 0.3 * draw.standard_normal(16)).tolist()) for i in range(4800)] + [(i, centres[0].tolist()) for i in range(4800, 6400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    index = nearest.build_index(nearest.quantised(df), leaf=16, shard_rows=64)
+    shards = index.collect()
+    assert len(shards) > 60 and sum(r.n for r in shards) == len(rows) and max(r.n for r in shards) <= 64
+    cells = Counter(r.cell for r in shards)
+    assert len(cells) > 12  # the split follows the clusters
+    queries = nearest.indexed_queries(index, 50, 5).collect()
+    (stripe,) = nearest._stripes(index.selectExpr("*", "0 AS s")).collect()
+    group = [q.path for q in queries if q.cell == queries[0].cell]
+    cell, loads = nearest._Cell(group, 5), []
+    load, nearest._load = nearest._load, lambda path: loads.append(path) or load(path)
+    try:
+        cell.walk(stripe.path)
+    finally:
+        nearest._load = load
+    found = cell.best_of
+    able = sum(bool((cell._reach(np.array([r.lo]), np.array([r.hi]))[:, 0] >= found.least).any()) for r in shards)
+    assert loads[0] == stripe.path and len(loads) == 1 + cell.opened and able <= cell.opened < len(shards) / 2
+
+
 def test_queries_that_are_no_rows_of_the_index(spark):
     draw = random.Random(3)
     rows = [(i, [draw.uniform(-1, 1) for _ in range(4)]) for i in range(300)]
