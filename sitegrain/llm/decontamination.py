@@ -3,10 +3,13 @@
 The windows of the benchmark's items are held as a hash set in every worker: words get
 numbers, windows hashes of their numbers. Documents are read once, without a shuffle: the
 words of a run of texts are numbered together, the hashes of windows whose words the
-benchmark knows are looked up in the set, and each find is verified word by word. A benchmark
-larger than ``block_bytes`` is taken in blocks of that size, each in a pass of its own that
-writes the finds alone; these are joined to the documents by a digest of the text. So what a
-worker holds has a bound whatever the benchmark's size.
+benchmark knows are looked up in the set, and each find is verified word by word.
+
+Windows of a benchmark larger than ``block_bytes`` are a table instead, and what is broadcast is
+a filter of ``FILTER_BYTES`` over their hashes. Documents are looked through once, whatever the
+benchmark's size; windows that pass the filter, and few others do, meet the table by their
+words, which verifies them. Finds are gathered by a digest of the text and joined to the
+documents.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +33,8 @@ _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b <= 0x2F or 0x3A <= b <=
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = re.compile(WORD.encode())
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of the filter that is broadcast for a large benchmark, and of finds that are broadcast to the documents.
+FILTER_BYTES, FINDS_BYTES = 64 << 20, 8 << 20
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
 HITS_ARROW = pa.struct([("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
@@ -131,16 +137,14 @@ class WindowSet:
         return pa.StructArray.from_arrays([pa.array(sizes), places, named], fields=list(HITS_ARROW))
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The benchmark's items in blocks; each holds about ``block_bytes`` of item texts at most."""
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The benchmark's items with an id and a text, and the bytes of all texts."""
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    return [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
+    return items, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def _finder(items: DataFrame, n: int):
-    """What makes the window set of a block's items, once a worker."""
+    """What makes the window set of some items, once a worker."""
     sent = items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.toLocalIterator()])  # block_bytes of text
     name = f"windows-{uuid.uuid4().hex}"
     return lambda: held(name, lambda: WindowSet(sent.value, n))
@@ -157,11 +161,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: i
     give no rows, or no hits.
     """
     docs = docs.drop("hits")
-    blocks = _blocks(benchmark, block_bytes)
-    return _hits_in_one(docs, blocks[0], n) if len(blocks) == 1 else _hits_in_many(docs, blocks, n)
+    items, size = _items(benchmark)
+    return _hits_by_set(docs, items, n) if size <= block_bytes else _hits_by_table(docs, items, n)
 
 
-def _hits_in_one(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+def _hits_by_set(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     columns, windows = docs.columns, _finder(items, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,35 +176,137 @@ def _hits_in_one(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("hits", HITS)]))
 
 
-def _hits_in_many(docs: DataFrame, blocks: list[DataFrame], n: int) -> DataFrame:
-    """Finds of each block by the text's digest, then all finds of a text, then its documents."""
-    found = None
-    for items in blocks:
-        windows = _finder(items, n)
-
-        def run(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for rows in text_runs(batch, "text"):
-                    hits = windows().hits(rows.column("text"))
-                    part = pa.record_batch([rows.column("key"), hits.field("hit_words"), hits.field("items")], names=["key", "hit_words", "items"])
-                    yield part.filter(pa.array(np.diff(hits.field("items").offsets.to_numpy()) > 0))
-
-        keyed = docs.select(F.md5(F.col("text").cast("string").cast("binary")).alias("key"), F.col("text").cast("string").alias("text"))
-        own = keyed.mapInArrow(run, "key string, hit_words array<int>, items array<string>")
-        own = own.groupBy("key").agg(F.first("hit_words").alias("hit_words"), F.first("items").alias("items"), F.count("*").alias("_n"))
-        own = materialize(own, "finds")
-        found = own if found is None else found.unionByName(own)
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    whole = materialize(found.groupBy("key").agg(merged("hit_words"), merged("items"), F.max("_n").alias("_n")), "hits")  # a row for each block
+class _WordHashes:
+    """64-bit hashes of words, those of a worker's commonest kept, and of windows of words."""
+
+    def __init__(self, most: int = 200_000):
+        self.known: dict[bytes, int] = {}
+        self.most = most
+
+    def of(self, own: list[bytes]) -> np.ndarray:
+        known, out = self.known, []
+        for w in own:
+            h = known.get(w)
+            if h is None:
+                h = xxhash.xxh3_64_intdigest(w)
+                if len(known) < self.most:
+                    known[w] = h
+            out.append(h)
+        return np.array(out, np.uint64)
+
+    @staticmethod
+    def windows(hashes: np.ndarray, k: int) -> np.ndarray:
+        out = np.full(max(0, len(hashes) - k + 1), k, np.uint64)
+        for j in range(k if len(out) else 0):
+            out = (out ^ hashes[j : j + len(out)] * _FACTOR) * np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(32)
+        return out
+
+
+class _Filter:
+    """A Bloom filter of four bits a window, in pieces that tasks of their own make."""
+
+    rounds = 4
+
+    def __init__(self, size: int, bits: np.ndarray | None = None):
+        self.size, self.bits = np.uint64(size * 8), bits
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of bits, a row a round."""
+        step = (hashes >> np.uint64(17)) | np.uint64(1)
+        return np.stack([(hashes + np.uint64(i) * step) % self.size for i in range(self.rounds)])
+
+    def may_have(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self.places(hashes):
+            out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def _made_filter(windows: DataFrame, size: int, pieces: int = 64) -> _Filter:
+    """The filter over all ``windows`` (column hash): each piece is made by the task that its bits are dealt to."""
+    width = -(-size // pieces)
+    size = width * pieces
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _Filter(size).places(batch.column("hash").to_numpy().view(np.uint64)).reshape(-1)
+            yield pa.record_batch([pa.array((at // np.uint64(width * 8)).astype(np.int32)), pa.array((at % np.uint64(width * 8)).astype(np.int64))], names=["piece", "bit"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            piece, bit = batch.column("piece").to_numpy(), batch.column("bit").to_numpy()
+            for p in np.unique(piece).tolist():
+                own, own_bits = held.setdefault(p, np.zeros(width, np.uint8)), bit[piece == p]
+                np.bitwise_or.at(own, own_bits >> 3, np.uint8(1) << (own_bits & 7).astype(np.uint8))
+        for p, own in held.items():
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["piece", "bits"])
+
+    rows = windows.select("hash").mapInArrow(spread, "piece int, bit bigint").repartition(pieces, "piece").mapInArrow(gather, "piece int, bits binary").collect()
+    bits = np.zeros(size, np.uint8)
+    for r in rows:
+        bits[r.piece * width : (r.piece + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    return _Filter(size, bits)
+
+
+def _hits_by_table(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """Windows that pass the filter meet the table of all windows; then all finds of a text, then its documents."""
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            for rows in text_runs(batch, "text"):
+                for item, text in zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist()):
+                    own = words(text)
+                    k = min(n, len(own))
+                    if k:
+                        found = [b" ".join(own[i : i + k]) for i in range(len(own) - k + 1)]
+                        columns = [pa.array([k] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array(hashes.windows(hashes.of(own), k).view(np.int64)), pa.array([item] * len(found))]
+                        yield pa.record_batch(columns, names=["k", "window", "hash", "item"])
+
+    windows = materialize(items.mapInArrow(windows_of, "k int, window binary, hash bigint, item string").distinct(), "windows")
+    lengths = sorted(r.k for r in windows.select("k").distinct().collect())  # n at most
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((_made_filter(windows.select("hash").distinct(), FILTER_BYTES).bits, lengths))
+    named_windows = materialize(windows.groupBy("k", "window").agg(F.array_sort(F.collect_set("item")).alias("items")), "window_items")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (bits, lengths), hashes = shared.value, _WordHashes()
+        windows = _Filter(len(bits), bits)
+        for batch in batches:
+            for rows in text_runs(batch, "text"):
+                keys, places, ks, found = [], [], [], []
+                for key, text in zip(rows.column("key").to_pylist(), rows.column("text").to_pylist()):
+                    own = words(text)
+                    codes = hashes.of(own)
+                    for k in lengths:
+                        for at in np.flatnonzero(windows.may_have(hashes.windows(codes, k))).tolist():
+                            keys.append(key), places.append(at), ks.append(k), found.append(b" ".join(own[at : at + k]))
+                yield pa.record_batch([pa.array(keys, pa.string()), pa.array(places, pa.int32()), pa.array(ks, pa.int32()), pa.array(found, pa.binary())], names=["key", "at", "k", "window"])
+
+    keyed = docs.select(F.md5(F.col("text").cast("string").cast("binary")).alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
+    copies = keyed.groupBy("key").agg(F.count("*").alias("_n"))
+    found = materialize(keyed.mapInArrow(look, "key string, at int, k int, window binary").distinct(), "finds")
+    hot = hot_keys(found.groupBy("k", "window").agg(F.count("*").alias("_n")), found.count())
+    real = materialize(join_hot(found, named_windows, ["k", "window"], hot, F.struct("key", "at")).select("key", "at", "k", "items"), "verified")
+    spans = F.transform(F.collect_set(F.struct("at", "k")), lambda x: F.sequence(x["at"], x["at"] + x["k"] - 1))  # of one text
+    places = real.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("hit_words"))
+    listed = real.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    whole = materialize(places.join(listed, "key"), "hits")
     own, named = masked(docs)
     text = F.col(own.columns[docs.columns.index("text")]).cast("string")
     key, row = spare("key", own.columns), F.struct(*own.columns[:4])
-    few = whole.drop("_n").withColumnRenamed("key", key)
-    hot = hot_keys(whole.select(F.col("key").alias(key), "_n"), docs.count())
-    joined = join_hot(own.withColumn(key, F.md5(text.cast("binary"))), few, [key], hot, row, "left")
+    few, own = whole.withColumnRenamed("key", key), own.withColumn(key, F.md5(text.cast("binary")))
+    size = whole.agg(F.sum(F.size("hit_words") * 4 + F.size("items") * 16 + 48)).first()[0] or 0
+    if size <= FINDS_BYTES:
+        joined = own.join(F.broadcast(few), key, "left")
+    else:
+        hot = hot_keys(copies.join(whole, "key", "left_semi").select(F.col("key").alias(key), "_n"), docs.count())
+        joined = join_hot(own, few, [key], hot, row, "left")
     none = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{kind}>)")).alias(c)
     hits = F.struct(F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), none("hit_words", "int"), none("items", "string"))
-    return named(joined.select(*own.columns, hits.alias("hits")), "hits")
+    return named(joined.select(*(c for c in own.columns if c != key), hits.alias("hits")), "hits")
 
 
 def contaminated(ratio: int = 20) -> Column:

@@ -135,13 +135,16 @@ def brute_hits(docs, bench):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes,filter_bytes,finds_bytes", [(1 << 20, 0, 0), (60, 1 << 20, 1 << 20), (60, 64, 0)])
+def test_decontamination(spark, monkeypatch, block_bytes, filter_bytes, finds_bytes):
+    """By a set in each worker, and by a table behind a filter; with a filter so small that much passes it, finds are verified."""
+    monkeypatch.setattr(decontamination, "FILTER_BYTES", filter_bytes), monkeypatch.setattr(decontamination, "FINDS_BYTES", finds_bytes), monkeypatch.setattr(tables, "HOT_ROWS", 30)
     draw = random.Random(9)
     word = lambda: draw.choice(["a", "b", "c", "dé", "E", "9"])
     bench = [(i, " ".join(word() for _ in range(draw.choice([0, 1, 5, 13, 20, 40])))) for i in range(25)] + [(77, None)]
     docs = [(i, ", ".join([*(word() for _ in range(draw.randint(0, 40))), *(bench[i % 25][1] or "").upper().split(), "tail"])) for i in range(60)] + [(100, None), (101, "")]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
+    docs += [(200 + i, docs[4][1]) for i in range(50)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(bench, "item_id long, text string")
     rows = decontamination.digest(decontamination.find_hits(d, b, block_bytes=block_bytes)).collect()
     assert {r.doc_id: tuple(r)[1:] for r in rows} == brute_hits(docs, bench)
@@ -153,7 +156,9 @@ def test_decontamination_of_odd_documents(spark, odd, none):
     rows = decontamination.digest(found).collect()
     want = brute_hits([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None], [(1, "same text here again")])
     assert len(rows) == odd.count() and all(tuple(r)[1:] == want[r.doc_id] for r in rows if r.doc_id is not None)
-    assert decontamination.find_hits(none, bench).count() == 0
+    large = decontamination.digest(decontamination.find_hits(odd, bench, block_bytes=1))
+    assert Counter(map(tuple, large.collect())) == Counter(map(tuple, rows))
+    assert decontamination.find_hits(none, bench).count() == 0 == decontamination.find_hits(none, bench, block_bytes=1).count()
     assert decontamination.drop_contaminated(odd, bench.limit(0)).count() == odd.count()
     kept = decontamination.drop_contaminated(odd, bench)
     assert kept.schema == odd.schema and {r.hits for r in kept.collect()} == {"a"}
