@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import held, hot_keys, join_hot, masked, materialize, spare, text_runs
+from .runtime import held, hot_keys, join_hot, masked, materialize, release, spare, text_runs
 
 #: Bytes outside words become spaces, A to Z become lower case.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
@@ -294,6 +294,8 @@ def _hits_by_table(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     places = real.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("hit_words"))
     listed = real.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     whole = materialize(places.join(listed, "key"), "hits")
+    release(real, found, named_windows, windows)
+    shared.destroy()
     own, named = masked(docs)
     text = F.col(own.columns[docs.columns.index("text")]).cast("string")
     key, row = spare("key", own.columns), F.struct(*own.columns[:4])

@@ -187,7 +187,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Data
     return materialize(join_hot(second, first, ["a"], hot, F.col("b"), hint="merge").where(alike).select("a", "b"), label)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root, the least id of its component, for every node of ``edges`` (a, b).
 
     Union-find runs over each task's own edges first and leaves stars. Then large stars and
@@ -215,7 +215,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     stars = materialize(edges.where("a <> b").select("a", "b").mapInArrow(local, "u bigint, v bigint").distinct(), "stars")
     mark = None
-    for _ in range(most):
+    while True:  # steps grow with the logarithm of the nodes
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -227,7 +227,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == mark:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = now
-    raise RuntimeError("components did not settle")
 
 
 def link_classes(docs: DataFrame, reps: DataFrame, percent: int, rounds: int, width: int) -> DataFrame:
@@ -239,7 +238,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int, rounds: int, wi
     buckets = materialize(join_hot(bands, shared.select("key"), ["key"], hot, F.col("c")), "buckets")
     sets = materialize(_sets_of(docs, buckets.select("c").distinct(), width), "sets")
     links = spark.createDataFrame([], "a bigint, b bigint")
-    tested = links
+    tested, done = links, []
     roots = spark.createDataFrame([], "node bigint, root bigint")
 
     def placed() -> DataFrame:
@@ -259,14 +258,18 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int, rounds: int, wi
         fresh = votes.join(tested, ["a", "b"], "left_anti") if turn else votes
         pairs = materialize(fresh.groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("votes", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct(), "pairs")
         found = _verify(pairs, sets, percent, "links")
-        links, tested = links.union(found), tested.union(pairs)
+        links, tested, done = links.union(found), tested.union(pairs), [*done, found, pairs]
         if found.isEmpty():
             break
         roots = components(links)
     rows = placed()
     left = join_hot(rows, live(rows, F.col("c")).select("key"), ["key"], hot, F.col("c")).select("c", "n", "root").distinct()
-    found = _verify(_prefix_pairs(materialize(left, "left"), sets, percent), sets, percent, "links")
-    return roots if found.isEmpty() else components(links.union(found))
+    left = materialize(left, "left")
+    pairs = _prefix_pairs(left, sets, percent)
+    found = _verify(pairs, sets, percent, "links")
+    roots = roots if found.isEmpty() else components(links.union(found))
+    release(*done, found, pairs, left, shared, buckets, sets)
+    return roots
 
 
 def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -291,7 +294,9 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     early = (F.col("n_x") - F.col("place_x") + 1 >= least) & (F.col("n_y") - F.col("place_y") + 1 >= least)
     order = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("c_x") < F.col("c_y")))
     meet = x.join(y.hint("merge"), ["h", "kind"]).where(order & _near(F.col("n_x"), F.col("n_y"), percent) & (F.col("root_x") != F.col("root_y")) & early)
-    return materialize(meet.select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct(), "pairs")
+    pairs = materialize(meet.select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct(), "pairs")
+    release(first, met, often)
+    return pairs
 
 
 def _size_class(n: str, percent: int) -> Column:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import HOT_ROWS, HOT_SHARE, fresh_dir, hot_keys, join_hot, materialize, release, shared_root  # noqa: F401
+from ..tables import HOT_ROWS, HOT_SHARE, delete_folder, fresh_dir, hot_keys, join_hot, materialize, release, shared_root  # noqa: F401
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -21,13 +21,16 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 from itertools import chain
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import fresh_dir, hot_keys, join_hot, materialize, open_uri, text_runs
+from .runtime import delete_folder, fresh_dir, hot_keys, join_hot, materialize, open_uri, release, text_runs
 
+#: Digests that repeat are broadcast up to so many, of some 60 bytes each.
+BROADCAST_DIGESTS = 100_000
 VERSION = b"WARC/1.1"
 RECORDS = "page_id bigint, url string, payload binary, digest string, length bigint, refers_to bigint, revisit boolean"
 MEMBERS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, uri string, block binary"
@@ -50,14 +53,15 @@ def record_id(page_id: int | None, digest: str) -> str:
 def format_record(page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """A response record, or a revisit with the head of the response alone.
 
-    The HTTP head states the payload's full length in both. A page's number stands in an
+    The HTTP head states the payload's full length in both. White space and control characters
+    in a URL are percent-encoded. A page's number stands in an
     extension field, as ids are UUIDs.
     """
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": record_id(page_id, digest),
         "WARC-Date": date,
-        "WARC-Target-URI": "".join((url or "").split()) or None,
+        "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]|\s", lambda m: quote(m[0]), (url or "").strip()) or None,
         "WARC-Payload-Digest": f"sha1:{digest}",
         "Page-ID": page_id,
         "Content-Type": f"{HTTP}; msgtype=response",
@@ -288,7 +292,10 @@ def records_of(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("payload")).withColumn("hex", F.sha1("payload"))
     again = materialize(rows.groupBy("hex").agg(F.max("page_id").alias("top"), F.count("*").alias("_n")).where("_n > 1"), "digests")
-    joined = join_hot(rows, again.drop("_n"), ["hex"], hot_keys(again.select("hex", "_n"), pages.count()), F.struct("page_id", "url"), "left")
+    if again.count() <= BROADCAST_DIGESTS:  # so no payload is shuffled
+        joined = rows.join(F.broadcast(again.drop("_n")), "hex", "left")
+    else:
+        joined = join_hot(rows, again.drop("_n"), ["hex"], hot_keys(again.select("hex", "_n"), pages.count()), F.struct("page_id", "url"), "left")
     length = F.octet_length("payload").cast("long")
     revisit = (length >= least_bytes) & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     # Base32 of the 40 hex digits: every 5 of them are 20 bits, or 4 characters.
@@ -300,5 +307,13 @@ def records_of(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` as monolithic archives, normalise these, and read every record back."""
-    return read_members(normalise(write_monolithic(records_of(pages, least_bytes))))
+    """Write ``pages`` as monolithic archives, normalise these, and read every record back.
+
+    The monolithic archives are deleted once they are rewritten.
+    """
+    whole = write_monolithic(records_of(pages, least_bytes))
+    members = normalise(whole)
+    for folder in {r.folder for r in whole.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).distinct().collect()}:  # one
+        delete_folder(pages.sparkSession, folder)
+    release(whole)
+    return read_members(members)

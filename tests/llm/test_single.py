@@ -62,7 +62,7 @@ def test_records_have_what_the_standard_asks():
     for fields in (a, b):
         assert {"warc-type", "warc-record-id", "warc-date", "content-length", "content-type"} <= fields.keys() and all(len(v) == 1 for v in fields.values())
         assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["warc-record-id"][0])
-    assert b["warc-refers-to"] == a["warc-record-id"] != b["warc-record-id"] and a["warc-target-uri"] == ["http://h/ab"] and "warc-target-uri" not in b
+    assert b["warc-refers-to"] == a["warc-record-id"] != b["warc-record-id"] and a["warc-target-uri"] == ["http://h/a%20b"] and "warc-target-uri" not in b
     assert block.endswith(b"Content-Length: 3\r\n\r\n<p>") and head.endswith(b"Content-Length: 3\r\n\r\n")
     assert warc.record_id(None, "x") != warc.record_id(None, "x")
 
