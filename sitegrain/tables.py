@@ -48,13 +48,18 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return table
 
 
-def release(table: DataFrame | None) -> None:
-    """Delete a table that :func:`materialize` wrote, once nothing reads it any more."""
-    path = getattr(table, "_written_to", None)
-    if path is not None:
-        jvm = table.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`materialize` wrote, once nothing reads them any more; others are passed over."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path is not None:
+            delete_folder(table.sparkSession, path)
 
 
 #: A key is hot if it has more rows than this, and more than one in ``HOT_SHARE`` of all.
