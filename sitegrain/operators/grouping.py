@@ -122,45 +122,56 @@ def leaves_below(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     return joined.select("prefix", "seq", (F.col("place") - F.col("enter")).alias("pos"))
 
 
-def printed(rows: DataFrame, path: Column, children: int = 5, urls_each: int = 3, deepest: int = 12) -> str:
-    """The tree of prefixes as text, for looking at: of each node the first children and own URLs alone.
+def _firsts(rows: DataFrame, group: str, order: str, most: int, name: str) -> DataFrame:
+    """The first ``most`` rows of each group by ``order``, with their number from 0; picked per salt before they meet."""
+    salt = F.pmod(F.xxhash64(order), F.lit(64))
+    early = rows.withColumn("_salt", salt).withColumn("_early", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(order))).where(F.col("_early") <= most)
+    return early.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).where(F.col(name) < most).drop("_salt", "_early")
 
-    Only nodes that are shown reach the driver, a level at a time, down to ``deepest``.
+
+def printed_lines(rows: DataFrame, path: Column, children: int = 5, urls_each: int = 3, deepest: int = 12) -> DataFrame:
+    """The tree of prefixes as text, for looking at: place (array, which orders the lines) and text.
+
+    Of each node the first children and own URLs are shown alone, level by level down to
+    ``deepest``. A place is the numbers of the children on the way, then 1 for what follows a
+    node's children, and its place there.
     """
     spread = prefixes(rows, path)
-    metrics = materialize(_metrics(spread), "metrics")
-    own = spread.where(F.col("n_segments") == F.col("depth")).join(rows.select("seq", "canonical_url"), "seq")
-    level, kids, held, count = [""], {}, {}, {}
-    for depth in range(deepest + 1):
-        if not level:
+    metrics = _metrics(spread).withColumn("parent", _parent(F.col("prefix")))
+    metrics = materialize(metrics, "metrics")
+    shown = materialize(_firsts(metrics.where((F.col("depth") > 0) & (F.col("depth") <= deepest)), "parent", "first_seq", children, "_number"), "shown")
+    # Places have the kind before each number: children are 0, lines after them 1.
+    level = metrics.where("depth = 0").withColumn("place", F.expr("cast(array() as array<bigint>)"))
+    levels = [level]
+    for depth in range(1, deepest + 1):
+        above = level.select(F.col("prefix").alias("parent"), F.col("place").alias("_place"))
+        place = F.concat("_place", F.array(F.lit(0).cast("bigint"), F.col("_number").cast("bigint")))
+        level = materialize(shown.where(F.col("depth") == depth).join(above, "parent").withColumn("place", place).select(*metrics.columns, "place"), "level")
+        if level.isEmpty():
             break
-        shown = metrics.where((F.col("depth") == depth) & F.col("prefix").isin(level))
-        held |= {r.prefix: r for r in shown.collect()}
-        firsts = own.where((F.col("depth") == depth) & F.col("prefix").isin(level)).groupBy("prefix").agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", "canonical_url"))), 1, urls_each).alias("u"), F.count("*").alias("n"))
-        count |= {r.prefix: ([u.canonical_url for u in r.u], r.n) for r in firsts.collect()}
-        below = metrics.where((F.col("depth") == depth + 1) & _parent(F.col("prefix")).isin(level)).select(_parent(F.col("prefix")).alias("p"), "prefix", "first_seq")
-        firsts = below.groupBy("p").agg(F.slice(F.array_sort(F.collect_list(F.struct("first_seq", "prefix"))), 1, children).alias("c"))
-        own_kids = {r.p: [c.prefix for c in r.c] for r in firsts.collect()}
-        kids |= own_kids
-        level = [c for some in own_kids.values() for c in some]
-    lines: list[str] = []
-
-    def walk(prefix: str, indent: int) -> None:
-        node, lead = held[prefix], "  " * (indent + 1)
-        lines.append(f"{'  ' * indent}{prefix.rpartition(SEP)[2] or 'root'} [descendants={node.descendant_count}, child_ratio={node.child_literal_ratio:.1f}]")
-        shown = [c for c in kids.get(prefix, []) if c in held]
-        for c in shown:
-            walk(c, indent + 1)
-        if node.child_count > len(shown):
-            lines.append(f"{lead}... ({node.child_count - len(shown)} more children)")
-        found, n = count.get(prefix, ([], 0))
-        lines.extend(f"{lead}→ {u}" for u in found)
-        if n > len(found):
-            lines.append(f"{lead}→ ... ({n - len(found)} more)")
-
-    if "" in held:
-        walk("", 0)
-    return "\n".join(lines)
+        levels.append(level)
+    nodes = levels[0]
+    for more in levels[1:]:
+        nodes = nodes.unionByName(more)
+    indent = lambda more: F.repeat(F.lit("  "), F.col("depth") + more)
+    after = lambda *at: F.concat("place", F.array(F.lit(1).cast("bigint"), *(F.lit(x).cast("bigint") if isinstance(x, int) else x.cast("bigint") for x in at)))
+    name = F.when(F.col("depth") == 0, "root").otherwise(_last(F.col("prefix")))
+    lines = [nodes.select("place", F.concat(indent(0), name, F.format_string(" [descendants=%d, child_ratio=%.1f]", "descendant_count", "child_literal_ratio")).alias("text"))]
+    kept = F.when(F.col("depth") < deepest, F.least(F.col("child_count"), F.lit(children))).otherwise(0)
+    lines.append(nodes.where(F.col("child_count") > kept).select(after(0).alias("place"), F.concat(indent(1), F.format_string("... (%d more children)", F.col("child_count") - kept)).alias("text")))
+    own = rows.select("seq", "canonical_url", F.array_join(urls.segments(path), SEP).alias("prefix")).join(nodes.where("own_urls > 0").select("prefix", "place", "depth"), "prefix")
+    firsts = _firsts(own, "prefix", "seq", urls_each, "_k")
+    lines.append(firsts.select(after(1, F.col("_k")).alias("place"), F.concat(indent(1), F.lit("→ "), "canonical_url").alias("text")))
+    lines.append(nodes.where(F.col("own_urls") > urls_each).select(after(2).alias("place"), F.concat(indent(1), F.format_string("→ ... (%d more)", F.col("own_urls") - urls_each)).alias("text")))
+    out = lines[0]
+    for more in lines[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def printed(rows: DataFrame, path: Column, **how: int) -> str:
+    """The lines of :func:`printed_lines` as one text."""
+    return "\n".join(r.text for r in printed_lines(rows, path, **how).orderBy("place").collect())
 
 
 def junctions(metrics: DataFrame, ratio: float = 0.7) -> DataFrame:

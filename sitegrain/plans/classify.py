@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from dataclasses import dataclass
 
@@ -46,6 +47,28 @@ class Classification:
         )
 
 
+    def sections(self, crawl_id: str, root_domain: str, most_uncovered: int = 50) -> documents.Sections:
+        """The classification document of one site as sections; no list of it passes through one task."""
+        spark = self.templates.sparkSession
+        name, confidence = self.generator
+        quote = lambda x: json.dumps(x, ensure_ascii=False)
+        head = ",".join(f'"{k}":{quote(v)}' for k, v in (("crawl_id", crawl_id), ("root_domain", root_domain), ("generator_detected", name), ("generator_confidence", confidence)))
+        first = self.report.select(F.lit(0).alias("key"), F.concat(F.lit("{" + head + ',"summary":'), F.to_json(F.struct(*self.report.columns)), F.lit(',"templates":[')).alias("line"))
+        listed = documents.elements(self.templates, F.struct((-F.col("member_count")).alias("m"), "rank"), F.to_json(F.struct(*(c for c in self.templates.columns if c != "rank"))))
+        left = documents.elements(self.uncovered.orderBy("seq").limit(most_uncovered), F.col("seq"), F.to_json(F.struct("url", "reason", "recommendation")))
+        outside = documents.elements(self.domains, F.struct("first_seq", "domain"), F.to_json(F.struct("domain", "url_count", "classification", "observed_paths", F.lit("").alias("note"))))
+        mapped = documents.grouped_elements(self.matches, self.templates, "template_id", "rank", F.struct("seq", "canonical_url"), documents.quoted(F.col("canonical_url")))
+        line = lambda text: documents.fixed(spark, text)
+        return [
+            ("head", first), ("templates", listed), ("then", line('],"uncovered_urls":[')), ("uncovered_urls", left), ("then", line('],"external_domains":[')),
+            ("external_domains", outside), ("then", line('],"template_map":{')), ("template_map", mapped), ("end", line("}}")),
+        ]
+
+    def summary(self, crawl_id: str, root_domain: str) -> DataFrame:
+        """A short report of one site; see :func:`documents.summary_lines`."""
+        return documents.summary_lines(crawl_id, root_domain, self.generator, self.report, self.templates, self.uncovered, self.domains)
+
+
 def classify(internal: DataFrame, external: DataFrame, signals: dict[str, object] | None = None, strict_literals: bool = False, use_versions: bool = True) -> Classification:
     """Classify link records (seq, url, source_url, depth, link_text) of one site.
 
@@ -92,12 +115,16 @@ def classify_sites(links: DataFrame, strict_literals: bool = False) -> tuple[Dat
     return ranked, found, counts.withColumn("coverage_percent", F.round(F.col("covered_urls") / F.col("total_internal_urls") * 100, 2))
 
 
+def classify_file(spark: SparkSession, path: str, **how) -> tuple[str, str, Classification]:
+    """Read a crawl document, in sections or in one file, and classify it: crawl_id, root_domain and what was found."""
+    head = documents.read_crawl_head(spark, path).select("crawl_id", "root_domain", "signals").first()
+    return head.crawl_id, head.root_domain, classify(documents.read_links(spark, path, "internal_urls"), documents.read_links(spark, path, "external_urls"), head.signals, **how)
+
+
 def classify_document(spark: SparkSession, path: str, **how) -> DataFrame:
     """Read a crawl document and classify it; a row in the form of a classification document."""
-    crawl = documents.read_crawl(spark, path)
-    head = crawl.select("crawl_id", "root_domain", "signals").first()
-    made = classify(documents.links_of(crawl, "internal_urls"), documents.links_of(crawl, "external_urls"), head.signals, **how)
-    return made.document(head.crawl_id, head.root_domain)
+    crawl_id, root_domain, made = classify_file(spark, path, **how)
+    return made.document(crawl_id, root_domain)
 
 
 def links_of_pages(pages: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The three steps from file to file: crawl, classify, extract."""
+"""The three steps from file to file: crawl, classify, extract. Files are folders of sections; see :mod:`documents`."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, urls
 from ..operators import frontier
+from ..schema import CLASSIFICATION
 from ..sources import documents, fetch, scraper
 from . import classify, extract
 
@@ -28,18 +29,17 @@ def crawl_to_file(pages: DataFrame, seed_url: str, path: str, crawl_id: str = "c
     inside, outside = frontier.crawl_pages(pages, seed_url, **limits)
     root = pages.sparkSession.range(1).select(urls.bare_host(F.lit(seed_url))).first()[0]
     order = F.struct("depth", "seq")
-    document = documents.crawl_document(crawl_id, root, [seed_url], site_signals(pages, seed_url), inside.withColumn("seq", order).withColumn("http_status", F.lit(200)), outside)
-    documents.write_json(document, path)
+    documents.write_sections(documents.crawl_sections(crawl_id, root, [seed_url], site_signals(pages, seed_url), inside.withColumn("seq", order).withColumn("http_status", F.lit(200)), outside), path)
 
 
 def classify_file(spark: SparkSession, path: str, out: str, **how) -> None:
     """Classify a crawl document and write a classification document; see :func:`classify.classify`."""
-    documents.write_json(classify.classify_document(spark, path, **how), out)
+    crawl_id, root_domain, made = classify.classify_file(spark, path, **how)
+    documents.write_sections(made.sections(crawl_id, root_domain), out)
 
 
 def extract_file(spark: SparkSession, path: str, pages: DataFrame, out: str, extractor: Callable[[DataFrame, int], DataFrame] | None = None, limit: int = 0, attempts: int = 2, accept: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Extract records for a classification document's URLs and write a result document; see :func:`extract.extract`."""
-    read = documents.read_classification(spark, path)
-    domain = read.first().root_domain
-    found = extract.extract(documents.template_urls(read), extractor or scraper.SelectorExtractor(pages), attempts, limit, accept)
-    extract.result_document(domain, *found).coalesce(1).write.mode("overwrite").text(out)
+    domain = documents.read_head(spark, path, CLASSIFICATION, "templates").first().root_domain
+    found = extract.extract(documents.read_template_urls(spark, path), extractor or scraper.SelectorExtractor(pages), attempts, limit, accept)
+    documents.write_sections(extract.result_sections(domain, *found), out)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import validation
+from ..sources import documents
 from ..tables import materialize
 
 
@@ -48,3 +49,16 @@ def result_document(domain: str, done: DataFrame, failed: DataFrame, counts: Dat
     head = F.to_json(F.struct(F.lit(domain).alias("domain"), F.col("processed").alias("total_processed"), F.col("healed").alias("total_healed"), "failed"))
     one = counts.crossJoin(results).crossJoin(lost)  # one row each
     return one.select(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"results":{'), "_results", F.lit('},"failed_urls":'), "_lost", F.lit("}")).alias("json"))
+
+
+def result_sections(domain: str, done: DataFrame, failed: DataFrame, counts: DataFrame) -> documents.Sections:
+    """The result document as sections; see :func:`result_document` for its form."""
+    spark = done.sparkSession
+    told = F.to_json(F.struct(F.lit(domain).alias("domain"), F.col("processed").alias("total_processed"), F.col("healed").alias("total_healed"), "failed"))
+    head = counts.select(F.lit(0).alias("key"), F.concat(F.substr(told, F.lit(1), F.length(told) - 1), F.lit(',"results":{')).alias("line"))
+    names = done.select("template_id").union(failed.select("template_id")).distinct().withColumn("order", F.lit(0))
+    about = F.to_json(F.struct("url", F.lit("extracted").alias("status")))
+    entry = F.concat(F.substr(about, F.lit(1), F.length(about) - 1), F.lit(',"data":'), F.col("data"), F.lit("}"))
+    results = documents.grouped_elements(done, names, "template_id", "order", F.struct("seq", "url"), entry)
+    lost = documents.elements(failed, F.struct("template_id", "seq", "url"), F.to_json(F.struct("url", "template_id")))
+    return [("head", head), ("results", results), ("then", documents.fixed(spark, '},"failed_urls":[')), ("failed_urls", lost), ("end", documents.fixed(spark, "]}"))]

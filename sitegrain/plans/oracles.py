@@ -241,11 +241,22 @@ dn AS (SELECT template_id, seq, url, round, v AS verdict, page_title, function_s
 
 
 _data = "'{' || concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || to_json({c})::VARCHAR END" for c in ("page_title", "function_signature", "description", "parameters")) + ") || '}'"
-_DOCUMENT = f"""WITH {_healed(True)}, e AS (SELECT template_id, string_agg('{{"url":' || to_json(url)::VARCHAR || ',"status":"extracted","data":' || {_data} || '}}', ',' ORDER BY seq) AS e FROM dn GROUP BY 1),
-  t2 AS (SELECT template_id, coalesce(e, '') AS e FROM (SELECT DISTINCT template_id FROM w) LEFT JOIN e USING (template_id))
-  SELECT '{{"domain":"{ROOT}","total_processed":' || (SELECT count(*) FROM w) || ',"total_healed":' || (SELECT count(*) FROM dn WHERE round > 0) || ',"failed":' || (SELECT count(*) FROM ls)
-    || ',"results":{{' || (SELECT string_agg(to_json(template_id)::VARCHAR || ':[' || e || ']', ',' ORDER BY template_id) FROM t2) || '}},"failed_urls":['
-    || (SELECT coalesce(string_agg('{{"url":' || to_json(url)::VARCHAR || ',"template_id":' || to_json(template_id)::VARCHAR || '}}', ',' ORDER BY template_id, seq), '') FROM ls) || ']}}' AS json"""
+#: Lines of documents: section, key (of the order in it) and line; a comma stands before each element of a list but the first.
+_numbered = "SELECT section, row_number() OVER (PARTITION BY section ORDER BY a, b, c) - 1 AS seq, line FROM x"
+_line = lambda section, text: f"SELECT '{section}' AS section, '' AS a, 0 AS b, 0::BIGINT AS c, '{text}' AS line"
+_DOCUMENT = f"""WITH {_healed(True)}, t2 AS (SELECT DISTINCT template_id FROM w), f AS (SELECT template_id, min(seq) AS first FROM dn GROUP BY 1), x AS (
+  SELECT '00-head' AS section, '' AS a, 0 AS b, 0::BIGINT AS c, '{{"domain":"{ROOT}","total_processed":' || (SELECT count(*) FROM w) || ',"total_healed":' || (SELECT count(*) FROM dn WHERE round > 0) || ',"failed":' || (SELECT count(*) FROM ls) || ',"results":{{' AS line
+  UNION ALL SELECT '01-results', template_id, 0, 0, CASE WHEN template_id = (SELECT min(template_id) FROM t2) THEN '' ELSE ',' END || to_json(template_id)::VARCHAR || ':[' FROM t2
+  UNION ALL SELECT '01-results', template_id, 1, seq, CASE WHEN seq = first THEN '' ELSE ',' END || '{{"url":' || to_json(url)::VARCHAR || ',"status":"extracted","data":' || {_data} || '}}' FROM dn JOIN f USING (template_id)
+  UNION ALL SELECT '01-results', template_id, 2, 0, ']' FROM t2
+  UNION ALL {_line("02-then", '}},"failed_urls":['.replace("}}", "}"))}
+  UNION ALL SELECT '03-failed_urls', template_id, 0, seq, CASE WHEN (template_id, seq) = (SELECT min((template_id, seq)) FROM ls) THEN '' ELSE ',' END || '{{"url":' || to_json(url)::VARCHAR || ',"template_id":' || to_json(template_id)::VARCHAR || '}}' FROM ls
+  UNION ALL {_line("04-end", "]}")}) {_numbered}"""
+_LINK = """'{"url":' || to_json(url)::VARCHAR || ',"source_url":' || to_json(source_url)::VARCHAR || ',"depth":' || depth || ',"link_text":' || to_json(link_text)::VARCHAR || '}'"""
+_listed = lambda section, rows: f"SELECT '{section}', '', 0, seq, CASE WHEN seq = (SELECT min(seq) FROM {rows}) THEN '' ELSE ',' END || {_LINK} FROM {rows}"
+_head = f'{{"crawl_id":"crawl_1","root_domain":"{ROOT}","root_urls":["https://{ROOT}/"],"signals":{{"has_objects_inv":"false"}},"internal_urls":['
+_CRAWL = f"""WITH {U}, i AS (SELECT * FROM u WHERE {internal('url')}), o AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY lower({part('url', 3)}) ORDER BY seq) AS k FROM u WHERE NOT {internal('url')}) WHERE k <= 50 ORDER BY seq LIMIT 500),
+  x AS ({_line("00-head", _head)} UNION ALL {_listed("01-internal_urls", "i")} UNION ALL {_line("02-then", '],"external_urls":[')} UNION ALL {_listed("03-external_urls", "o")} UNION ALL {_line("04-end", "]}")}) {_numbered}"""
 
 
 _scheme, _path = f"lower({part('url', 1)})", f"CASE WHEN {part('url', 4)} = '' THEN '/' ELSE {part('url', 4)} END"
@@ -321,7 +332,7 @@ ORACLE_SQL = {
     "url_classify_link": f"WITH {ALL} SELECT seq, CASE WHEN {internal('url')} THEN 'internal' ELSE 'external' END AS class FROM a",
     "seg_classify": f"WITH {SEGMENTS} SELECT raw, {kind('raw')} AS kind, count(*) AS n FROM s GROUP BY ALL",
     "seg_is_literal_like": f"WITH {SEGMENTS} SELECT raw, regexp_matches(raw, '^[a-z][a-z0-9_-]*$') AS literal, count(*) AS n FROM s GROUP BY ALL",
-    "seg_matches_template": f"SELECT raw, template, {fits('raw', 'template')} AS fits FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in SAMPLES)}) AS a(raw), (VALUES {_kinds}) AS b(template)",
+    "seg_matches_template": f"WITH {SEGMENTS}, every AS (SELECT DISTINCT raw FROM s) SELECT raw, template, {fits('raw', 'template')} AS fits FROM every, (VALUES {_kinds}) AS b(template)",
     "html_links": f"WITH {L0} SELECT page_id, pos::INT + 3 AS pos, href, text, rel FROM l UNION ALL SELECT page_id, pos, {_origin} || href, text, rel FROM pages, (VALUES (0, '/q', 'Eé ♥', ''), (1, '/l?a=1&copy=2', 'onetwo', 'a b'), (2, '/m', 'm', '')) AS awkward(pos, href, text, rel)",
     "html_signals": f"WITH {SIGNALS} SELECT * FROM g",
     "signals_best_guess": f"""WITH {SIGNALS}, b AS (SELECT page_id, CASE WHEN contains(lower(meta_generator), 'sphinx') THEN ['sphinx', '0.95'] WHEN contains(lower(meta_generator), 'mkdocs') THEN ['mkdocs', '0.95'] WHEN contains(lower(meta_generator), 'docusaurus') THEN ['docusaurus', '0.95']
@@ -378,6 +389,7 @@ ORACLE_SQL = {
     "llm_escalate": f"WITH {_healed(True)} SELECT verdict, round, count(*) AS n FROM dn GROUP BY ALL",
     "phase3_counts": f"WITH {_healed(True)} SELECT (SELECT count(*) FROM w) AS total_urls, (SELECT count(*) FROM w) AS processed, (SELECT count(*) FROM dn WHERE round > 0) AS healed, (SELECT count(*) FROM ls) AS failed",
     "snk_phase3_json": _DOCUMENT,
+    "snk_phase1_json": _CRAWL,
     "frontier_seed": f"WITH {U} SELECT {frontier('url')} AS key, depth FROM u ORDER BY seq LIMIT 1",
     "redirect_rehome": f"WITH {U}, x AS (SELECT seq, CASE WHEN seq % 4 = 0 THEN 'https://www.example.com:8080/moved' ELSE url END AS f FROM u) SELECT seq, {internal('f')} AS inside FROM x",
     "src_http_fetch_source": f"WITH {ALL}, k AS (SELECT {frontier('url')} AS key FROM u), x AS (SELECT {frontier('url')} IN (FROM k) AS hit FROM (SELECT DISTINCT url FROM a)) SELECT CASE WHEN hit THEN 'success' ELSE 'http_error' END AS crawl_status, CASE WHEN hit THEN 200 ELSE 404 END AS status_code, count(*) AS n FROM x GROUP BY ALL",

@@ -174,20 +174,10 @@ def seg_is_literal_like(spark, sf_dir):
 
 @query
 def seg_matches_template(spark, sf_dir):
-    kinds = spark.createDataFrame([(f"<{k}>",) for k in ("filename", "dotted_path", "literal", "unknown", "slug", "camel_case", "version", "integer", "hash")] + [("INDEX.html",)], "template string")
-    samples = spark.createDataFrame([(s,) for s in SAMPLES], "raw string")
-    return samples.crossJoin(kinds).select("raw", "template", segments.fits(F.col("raw"), F.col("template")).alias("fits"))  # two short lists
-
-
-#: What tag patterns trip over, in front of every page: comments, quoted brackets, scripts, named characters, what is not closed.
-AWKWARD = (
-    """<!-- <a href="/no">no</a><title>no</title><meta name="generator" content="no"><link rel="canonical" href="/no"> --><a title="x > y" href="/q">E&eacute; &hearts;</a>"""
-    """<script>var s = '<a href="/no">no</a>';</script><ul><li><A HREF = '/l?a=1&copy=2' rel="a\tb">one <b> two</b><li><a href=/m>m</li>out</ul><textarea><a href="/no"></textarea>"""
-)
-
-
-def _awkward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).withColumn("html", F.concat(F.lit(AWKWARD), "html"))
+    """All distinct segments against a short list of template segments."""
+    kinds = F.array(*(F.lit(f"<{k}>") for k in ("filename", "dotted_path", "literal", "unknown", "slug", "camel_case", "version", "integer", "hash")), F.lit("INDEX.html"))
+    samples = _segments(spark, sf_dir).distinct().select("raw", F.explode(kinds).alias("template"))
+    return samples.select("raw", "template", segments.fits(F.col("raw"), F.col("template")).alias("fits"))
 
 
 @query
@@ -355,8 +345,9 @@ def trie_collect_leaves(spark, sf_dir):
 
 @query
 def trie_print(spark, sf_dir):
-    text = grouping.printed(_canonical(spark, sf_dir), F.col("path"))
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")
+    """Lines of the printed tree with their places, as text that sorts."""
+    lines = grouping.printed_lines(_canonical(spark, sf_dir), F.col("path"))
+    return lines.select(F.array_join(F.transform("place", lambda x: F.lpad(x.cast("string"), 3, "0")), ".").alias("place"), "text")
 
 
 @query
@@ -780,45 +771,53 @@ def phase3_counts(spark, sf_dir):
     return _extraction(spark, sf_dir, _signed)[2]
 
 
+def _written(sections: documents.Sections, label: str) -> DataFrame:
+    """A document's lines, written in sections and read again."""
+    spark = sections[0][1].sparkSession
+    path = fresh_dir(spark, label)
+    documents.write_sections(sections, path)
+    return documents.document_lines(spark, path)
+
+
 @query
 def snk_phase3_json(spark, sf_dir):
-    return extract.result_document(ROOT, *_extraction(spark, sf_dir, _signed))
+    return _written(extract.result_sections(ROOT, *_extraction(spark, sf_dir, _signed)), "results")
 
 
-def _crawl_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _crawl_sections(spark: SparkSession, sf_dir: str) -> documents.Sections:
     inside, outside = classify.split_links(_urls(spark, sf_dir), ROOT)
-    return documents.crawl_document("crawl_1", ROOT, [f"https://{ROOT}/"], {"has_objects_inv": "false"}, inside, relation.capped_external(outside))
+    return documents.crawl_sections("crawl_1", ROOT, [f"https://{ROOT}/"], {"has_objects_inv": "false"}, inside, relation.capped_external(outside))
 
 
 @query
 def snk_phase1_json(spark, sf_dir):
-    return _crawl_document(spark, sf_dir).select(F.to_json(F.struct("*")).alias("json"))
+    return _written(_crawl_sections(spark, sf_dir), "crawl")
 
 
 @query
 def src_phase1_json(spark, sf_dir):
-    """A crawl document written as a file of JSON, read by its schema and taken apart into link records."""
+    """A crawl document written in sections, and its inner links read again with their places."""
     path = fresh_dir(spark, "crawl")
-    documents.write_json(_crawl_document(spark, sf_dir), path)
-    return documents.links_of(documents.read_crawl(spark, path), "internal_urls").select("seq", "url", "depth", "link_text")
+    documents.write_sections(_crawl_sections(spark, sf_dir), path)
+    return documents.read_links(spark, path, "internal_urls").select("seq", "url", "depth", "link_text")
 
 
-def _classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _classification(spark: SparkSession, sf_dir: str) -> classify.Classification:
     inside, outside = classify.split_links(_urls(spark, sf_dir), ROOT)
-    return classify.classify(inside, outside, {}, use_versions=False).document("crawl_1", ROOT)
+    return classify.classify(inside, outside, {}, use_versions=False)
 
 
 @query
 def snk_phase2_json(spark, sf_dir):
-    return _classification(spark, sf_dir).select(F.to_json(F.struct("*")).alias("json"))
+    return _written(_classification(spark, sf_dir).sections("crawl_1", ROOT), "classification")
 
 
 @query
 def src_phase2_json(spark, sf_dir):
-    """A classification written as a file of JSON, read by its schema: the URLs of its template map."""
+    """A classification written in sections, and the URLs of its template map read again."""
     path = fresh_dir(spark, "classification")
-    documents.write_json(_classification(spark, sf_dir), path)
-    return documents.template_urls(documents.read_classification(spark, path)).select("template_id", "url")
+    documents.write_sections(_classification(spark, sf_dir).sections("crawl_1", ROOT), path)
+    return documents.read_template_urls(spark, path).select("template_id", "url")
 
 
 @query
@@ -829,8 +828,7 @@ def snk_txt_csv(spark, sf_dir):
 
 @query
 def snk_summary(spark, sf_dir):
-    text = documents.summary_text(_classification(spark, sf_dir))
-    return spark.createDataFrame([(i, x) for i, x in enumerate(text.split("\n"))], "line int, text string")
+    return _classification(spark, sf_dir).summary("crawl_1", ROOT)
 
 
 @query

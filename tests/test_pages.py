@@ -218,21 +218,30 @@ def test_crawl_of_pages(spark):
     assert [r.url for r in outside.orderBy("seq").collect()] == ["https://out.org/1", "https://out.org/2"]
 
 
+def whole(spark, folder):
+    """A document in sections, by its files in order and by one file made from them."""
+    text = "".join(f.read_text() for f in sorted(folder.rglob("part-*"), key=lambda f: (f.parent.name, f.name)))
+    documents.write_one_file(spark, str(folder), str(folder) + ".json")
+    made = json.loads(text)
+    assert json.loads(open(str(folder) + ".json").read()) == made
+    return made
+
+
 def test_from_file_to_file(spark, tmp_path):
     page = lambda i, body="": f"<title>Function {i} of the site</title><pre>fit(X{i}, y)</pre><p>A page on function {i} and its use.</p><ul><li>X</ul>{body}"
     listed = "".join(f'<a href="/api/f{i}.html">f</a>' for i in range(6)) + '<a href="/index.html">i</a>' + '<a href="https://out.org/x">o</a>'
     rows = [(0, "https://h.org/", page(0, listed)), *((i + 1, f"https://h.org/api/f{i}.html", page(i + 1) if i != 3 else "") for i in range(6)), (8, "https://h.org/index.html", page(8)), (9, "https://h.org/objects.inv", ""), (10, "https://h.org/guide/a.html", page(10))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     commands.crawl_to_file(pages, "https://h.org/", str(tmp_path / "crawl"))
-    made = json.loads(next((tmp_path / "crawl").glob("part-*")).read_text())
+    made = whole(spark, tmp_path / "crawl")
     assert [u["url"] for u in made["internal_urls"]] == ["https://h.org/", *(f"https://h.org/api/f{i}.html" for i in range(6)), "https://h.org/index.html"] and [u["url"] for u in made["external_urls"]] == ["https://out.org/x"]
     assert made["signals"]["has_objects_inv"] == "true" and made["signals"]["detected_tool"] == "sphinx" and made["root_domain"] == "h.org"
     commands.classify_file(spark, str(tmp_path / "crawl"), str(tmp_path / "classes"))
-    classes = json.loads(next((tmp_path / "classes").glob("part-*")).read_text())
+    classes = whole(spark, tmp_path / "classes")
     assert classes["generator_detected"] == "sphinx" and [t["pattern"] for t in classes["templates"]] == ["/api/<filename>"]  # a section beside another child
     assert [u["url"] for u in classes["uncovered_urls"]] == ["https://h.org/", "https://h.org/index.html"] and classes["summary"]["covered_urls"] == 6
     commands.extract_file(spark, str(tmp_path / "classes"), pages, str(tmp_path / "out"))
-    out = json.loads(next((tmp_path / "out").glob("part-*")).read_text())
+    out = whole(spark, tmp_path / "out")
     (template,) = out["results"]
     assert (out["domain"], out["total_processed"], out["failed"]) == ("h.org", 6, 1) and out["failed_urls"] == [{"url": "https://h.org/api/f3.html", "template_id": template}]
     assert [r["data"]["function_signature"] for r in out["results"][template]] == [f"fit(X{i + 1}, y)" for i in range(6) if i != 3]
