@@ -39,7 +39,7 @@ def split_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = shared_tokenizer(vocabulary, 300_000)
         for batch in batches:
-            for rows in text_runs(batch, "text", 3 << 20):
+            for rows in text_runs(batch, "text", 1 << 20):
                 ids, counts = tokenizer.encode(rows.column("text"), end_id)
                 data, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(counts)
                 n = -(-counts // capacity)
