@@ -2,14 +2,11 @@
 
 Links, metadata and site signals come from one look through a page's tags, in Arrow batches on
 executors; addresses are resolved in the JVM. What needs a tree (page skeletons, selectors)
-uses the standard library's parser.
+builds one; see :mod:`tree`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +16,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from . import selectors, tags, urls
 from .columns import let
+from .tree import ENDS_PARAGRAPH, TABLE_PARTS, Node, parse
 from .values import CLOSING_RANKS, NOISE_TAGS, STRUCTURAL_CLASSES
 
 #: What one look through a page gives. Places count the anchors and link tags with an href from 0.
@@ -188,87 +186,6 @@ def best_guess(s: Column, has_objects_inv: Column, has_search_index: Column) ->
     return F.struct(tool.alias("tool"), confidence.alias("confidence"))
 
 
-#: Tags that end an open paragraph, and tags that end an open one of their own kind.
-_BLOCKS = frozenset(("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"))
-_SELF_ENDING = frozenset(("li", "dt", "dd", "tr", "td", "th", "option"))
-_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-
-
-class Node:
-    """An element: its tag, attributes, and children, which are elements and strings."""
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-    @property
-    def classes(self) -> list[str]:
-        return self.attrs.get("class", "").split()
-
-    def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
-
-    def walk(self) -> Iterator[Node]:
-        """All elements below, in document order."""
-        stack = self.elements()[::-1]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += node.elements()[::-1]
-
-    def strings(self) -> Iterator[str]:
-        stack: list = self.children[::-1]
-        while stack:
-            item = stack.pop()
-            if isinstance(item, str):
-                yield item
-            else:
-                stack += item.children[::-1]
-
-    def text(self) -> str:
-        """Text below, each piece without space around it."""
-        return "".join(s.strip() for s in self.strings())
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
-        self._open = [self.root]
-        self._paragraphs = 0  # open ones
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _BLOCKS and self._paragraphs:
-            self.handle_endtag("p")
-        elif tag in _SELF_ENDING and self._open[-1].tag == tag:
-            self._open.pop()
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self._open[-1].children.append(node)
-        if tag not in _VOID:
-            self._open.append(node)
-            self._paragraphs += tag == "p"
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self._open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i].tag == tag:
-                self._paragraphs -= sum(n.tag == "p" for n in self._open[i:])
-                del self._open[i:]
-                return
-
-    def handle_data(self, data: str) -> None:
-        self._open[-1].children.append(data)
-
-
-def parse(html: str | None) -> Node:
-    """A page's tree; what is not closed ends with the element around it."""
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
 #: Elements that belong to a page's head where it has no body tag.
 _HEAD = frozenset(("head", "title", "base", "link", "meta", "style", "script"))
 
@@ -294,7 +211,7 @@ def _body(root: Node) -> Node:
     for c in inner:
         if isinstance(c, Node) and c.tag in _HEAD:
             continue
-        if isinstance(c, Node) and c.tag in _BLOCKS | _SELF_ENDING:
+        if isinstance(c, Node) and c.tag in ENDS_PARAGRAPH | TABLE_PARTS:
             line = None
         elif isinstance(c, str) and c.strip() and line is None:
             line = Node("p", {})

@@ -17,7 +17,7 @@ from functools import lru_cache
 from typing import TYPE_CHECKING
 
 if TYPE_CHECKING:
-    from .html import Node
+    from .tree import Node
 
 _NAME = r"(?:[\w-]|[^\x00-\x7f]|\\[0-9a-fA-F]{1,6}[ \t\n]?|\\.)+"
 _TOKEN = re.compile(
