@@ -317,13 +317,21 @@ def contaminated(ratio: int = 20) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, ratio: int = 20) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged."""
+    """The rows of ``docs`` that are not contaminated, unchanged, whatever their columns are called.
+
+    Null and empty texts are clean; rows that repeat a doc_id, or have none, are each decided by
+    their own text; very long ones are taken whole. Empty tables are those of :func:`find_hits`.
+    """
     own, named = masked(docs, "text")
     return named(find_hits(own, benchmark, n).where(~contaminated(ratio)))
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """All rows of ``docs``, with every run of hit words cut from ``text``."""
+    """All rows of ``docs``, with every run of hit words cut from ``text``.
+
+    What stands before a run stays, what follows it goes on at the next word that is not hit.
+    Other columns, null and empty texts are unchanged; see :func:`find_hits` for the rest.
+    """
     own, named = masked(docs, "text")
     found, columns = find_hits(own, benchmark, n), own.columns
 

@@ -370,7 +370,10 @@ def read_tokens(manifest: DataFrame, files_a_task: int = 4) -> DataFrame:
     """Decode every file of a manifest: doc_id, start, n_tokens, ids_crc32.
 
     ``start`` counts the ids of all documents before; it is summed first over partitions
-    (one row each), then within a partition, so no window holds all files.
+    (one row each), then within a partition, so no window holds all files. Documents come as
+    they were written: null and empty texts have the end id alone, rows that repeat a doc_id
+    are documents of their own, and one without a doc_id comes with none. A manifest without
+    files gives an empty table.
     """
     whole = manifest.groupBy("partition").agg(F.sum("n_tokens").alias("_n"))
     whole = whole.select("partition", (F.sum("_n").over(Window.orderBy("partition")) - F.col("_n")).alias("_base"))

@@ -315,8 +315,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 1, width:
     shares no band with probability (1 - (percent / 100) ** rows) ** bands, 2.3e-6 by default;
     pairs that do share one are decided exactly. A text that is null or has no words has
     no shingles and is linked with nothing. Rows that repeat a doc_id count as one document
-    with the links of each. A row without doc_id has no component and is kept. Other columns
-    are ignored; an empty table gives an empty table.
+    with the links of each. A row without doc_id has no component and is kept. Very long
+    texts are taken whole, a run of texts or one of them at a time. Other columns are ignored;
+    an empty table gives an empty table.
     """
     drawn = materialize(sketch(docs, bands, rows, width), "sketch")
     told = drawn.where("doc_id is not null and n_shingles > 0")
@@ -335,6 +336,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 1, width:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are kept: of each group, the document with the smallest doc_id."""
+    """The rows of ``docs`` that are kept: of each group, the document with the smallest doc_id.
+
+    All columns stay as they are. Null and empty texts are in no group, rows without a doc_id
+    are kept, and rows that repeat one are kept or go together; see :func:`near_duplicates`.
+    """
     gone = near_duplicates(docs, **how).where("not kept").select("doc_id").distinct()
     return docs.join(_bounded(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)

@@ -490,15 +490,22 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 6, window: int
 
 
 def cut_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the words of every repeated passage cut from ``text``.
+    """The rows of ``docs`` with the words of every repeated passage (``found``) cut from ``text``.
 
-    White space before a cut stays, that after it goes with the cut words.
+    White space before a cut stays, that after it goes with the cut words. All rows and columns
+    stay, whatever their names; null, empty and very long texts are those of
+    :func:`repeated_passages`, rows without a doc_id are unchanged, and of rows that repeat a
+    doc_id those whose text it looked at are cut. An empty table gives an empty table.
     """
     import re
 
     word = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-    columns, cuts_of = docs.columns, spare("_spans", docs.columns)
+    columns = docs.columns
+    cuts_of, key = spare("_spans", columns), spare("_digest", columns)
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(cuts_of))
+    looked_at = docs.join(spans.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(digest).alias(key))
+    spans = spans.join(looked_at, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -510,4 +517,4 @@ def cut_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
                     texts[i] = texts[i][:lead] + "".join(m.group() for j, m in enumerate(word.finditer(texts[i])) if j not in gone)
             yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
 
-    return docs.join(spans, "doc_id", "left").select(*columns, cuts_of).mapInArrow(run, docs.schema)
+    return docs.withColumn(key, digest).join(spans, ["doc_id", key], "left").select(*columns, cuts_of).mapInArrow(run, docs.schema)

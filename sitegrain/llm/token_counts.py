@@ -102,7 +102,9 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
     """Per row of ``docs``: doc_id and n_tokens of the whole text.
 
     ``model_file`` is a sentencepiece file, whose pieces and scores are the unigram vocabulary.
-    A null or empty text has no tokens. Rows that repeat a doc_id each get their count.
+    A null or empty text has no tokens; a very long one is counted whole. Rows that repeat a
+    doc_id, or have none, each get their count. Other columns are ignored; an empty table gives
+    an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

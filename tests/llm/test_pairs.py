@@ -363,3 +363,20 @@ def test_two_edited_passages_of_one_source(spark):
     for d in (2, 3):
         at = docs[d].index("b0")
         assert [(r.start, r.end) for r in rows if (r.doc_id, r.source_id) == (d, 1) and r.source_start >= 300] == [(at, at + 90)]
+
+
+def test_cutting_passages_from_odd_rows(spark, odd, none):
+    """Columns that clash, missing ids and texts; of rows that repeat a doc_id those are cut whose text was looked at."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(20, f"first words {passage} end", "a"), (21, f"other things {passage} more", "b"), (21, f"zz {passage}", "c"), (22, None, "d"), (None, f"x {passage}", "e")]
+    docs = spark.createDataFrame([(i, t, s, "k", 1, 2) for i, t, s in rows], "doc_id long, text string, source_id string, _spans string, start int, `end` int")
+    found = passages.repeated_passages(docs)
+    got = passages.cut_repeats(docs, found)
+    assert got.schema == docs.schema
+    held = {r.source_id: r.text for r in got.collect()}
+    looked_at = min("bc", key=lambda s: hashlib.md5(dict((x, t) for _, t, x in rows)[s].encode()).hexdigest())
+    assert held["a"] == rows[0][1] and held["d"] is None and held["e"] == rows[4][1]
+    for s, cut in (("b", "other things more"), ("c", "zz ")):
+        assert held[s] == (cut if s == looked_at else dict((x, t) for _, t, x in rows)[s])
+    assert {r._spans for r in got.collect()} == {"k"}
+    assert passages.cut_repeats(odd, passages.repeated_passages(odd)).count() == odd.count() and passages.cut_repeats(none, passages.repeated_passages(none)).count() == 0
