@@ -1,8 +1,9 @@
 """Structural groups of URLs from their path prefixes.
 
-No tree is built. Every prefix of every path is a row; whether a prefix splits its URLs into
-sections depends on its children alone, so one aggregation over prefixes and one over
-parents decide all of them, and a URL belongs to its shallowest prefix that does not split.
+No tree is built. Every prefix of every path is a row, told by 128 bits of hashes; whether a
+prefix splits its URLs into sections depends on its children alone, so one aggregation over
+prefixes and one over parents decide all of them, and a URL belongs to its shallowest prefix
+that does not split. Texts of prefixes are made for the groups alone.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import segments, urls
-from ..tables import hot_keys, join_hot, materialize
+from ..tables import hot_keys, join_hot, materialize, release
 
 SEP = "/"
 #: Where rows are of many sites, a prefix begins with its site and this, which no segment holds.
@@ -209,31 +210,38 @@ def discover(rows: DataFrame, path: Column | None = None, least: int = 3, site:
     their order have rising ``group_order`` (struct<late, firsts, depth>).
     """
     path = F.coalesce("version_free_path", "path") if path is None else path
-    spread = materialize(prefixes(rows, path, site), "prefixes")
-    metrics = materialize(_metrics(spread), "metrics")
-    name = _last(F.col("prefix"))
-    lead = F.regexp_extract("prefix", SITE_PART, 0)
-    section = (F.col("depth") > 0) & segments.classify(name).isin("literal", "slug") & (F.col("descendant_count") >= 3)
-    below = metrics.where("depth > 0").withColumn("_section", section).groupBy(_parent(F.col("prefix")).alias("prefix")).agg(
+    lead = F.lit("") if site is None else F.concat(F.coalesce(site, F.lit("")), F.lit(SITE_END))
+    own = rows.select("seq", urls.segments(path).alias("_s"), lead.alias("_lead"))
+    spread = materialize(_told_prefixes(own), "prefixes")
+    nodes = spread.groupBy("key", "depth").agg(
+        F.min("seq").alias("first_seq"), F.count("*").alias("descendant_count"), F.any_value("parent").alias("parent"), F.any_value("name").alias("name")
+    )
+    children = nodes.where("depth > 0").groupBy("parent").agg(F.count("*").alias("child_count"), F.avg(segments.is_literal_like(F.col("name")).cast("int")).alias("ratio"))
+    nodes = nodes.join(children.withColumnRenamed("parent", "key"), "key", "left")
+    nodes = materialize(nodes.withColumns({"child_count": F.coalesce("child_count", F.lit(0)), "ratio": F.coalesce("ratio", F.lit(0.0))}), "nodes")
+    section = (F.col("depth") > 0) & segments.classify(F.col("name")).isin("literal", "slug") & (F.col("descendant_count") >= 3)
+    below = nodes.where("depth > 0").withColumn("_section", section).groupBy(F.col("parent").alias("key")).agg(
         F.count_if("_section").alias("_sections"),
-        F.max(F.when(F.col("_section"), F.col("child_literal_ratio"))).alias("_most"),
+        F.max(F.when(F.col("_section"), F.col("ratio"))).alias("_most"),
         F.min(F.when(F.col("_section"), (F.col("child_count") > 0).cast("int"))).alias("_lo"),
         F.max(F.when(F.col("_section"), (F.col("child_count") > 0).cast("int"))).alias("_hi"),
     )
     variants = (F.col("_most") < 0.5) & (F.col("_lo") == F.col("_hi"))
     splits = ((F.col("_sections") >= 2) & ~variants) | ((F.col("_sections") == 1) & (F.col("child_count") > 1))
-    nodes = metrics.join(below, "prefix", "left").select("prefix", "first_seq", "child_count", F.coalesce(splits, F.lit(False)).alias("_splits"))
-    hot = hot_keys(metrics.select("prefix", F.col("descendant_count").alias("_n")), spread.count())  # the root has all URLs
-    held = join_hot(spread, nodes, ["prefix"], hot, F.col("seq"))
-    owner = F.min(F.when(~F.col("_splits"), F.struct("depth", "prefix", "child_count"))).alias("_owner")
+    told = nodes.join(below, "key", "left").select("key", "first_seq", "child_count", F.coalesce(splits, F.lit(False)).alias("_splits"))
+    hot = hot_keys(nodes.select("key", F.col("descendant_count").alias("_n")), spread.count())  # the root has all URLs
+    held = join_hot(spread.select("seq", "depth", "key"), told, ["key"], hot, F.col("seq"))
+    owner = F.min(F.when(~F.col("_splits"), F.struct("depth", "key", "child_count"))).alias("_owner")
     firsts = F.array_sort(F.collect_list(F.struct("depth", "first_seq"))).alias("_firsts")  # as many as a path has prefixes
-    placed = held.groupBy("seq").agg(owner, firsts, F.max("n_segments").alias("_n"), F.min(lead).alias("_lead"))
-    placed = materialize(placed.withColumn("_prefix", F.when(F.col("_owner.child_count") > 0, F.col("_owner.prefix"))), "placed")
-    sizes = placed.where("_prefix is not null").groupBy("_prefix").agg(F.count("*").alias("_size")).where(F.col("_size") >= least)
-    placed = placed.join(sizes, "_prefix", "left")
+    placed = held.groupBy("seq").agg(owner, firsts)
+    placed = materialize(placed.withColumn("_key", F.when(F.col("_owner.child_count") > 0, F.col("_owner.key"))).join(own, "seq"), "placed")
+    release(spread, nodes)
+    sizes = placed.where("_key is not null").groupBy("_key").agg(F.count("*").alias("_size")).where(F.col("_size") >= least)
+    placed = placed.join(sizes, "_key", "left")
     trail = F.transform(F.filter("_firsts", lambda x: x["depth"] <= F.col("_owner.depth")), lambda x: x["first_seq"])
-    grouped = placed.where("_size is not null").select("seq", F.concat("_lead", F.lit("/"), F.regexp_replace("_prefix", SITE_PART, "")).alias("group_prefix"), F.struct(F.lit(0).alias("late"), trail.alias("firsts"), F.lit(0).alias("depth")).alias("group_order"))
-    rest = placed.where("_size is null").select("seq", "_n", "_lead")
+    prefix = F.concat("_lead", F.lit("/"), F.array_join(F.slice("_s", F.lit(1), F.col("_owner.depth")), SEP))
+    grouped = placed.where("_size is not null").select("seq", prefix.alias("group_prefix"), F.struct(F.lit(0).alias("late"), trail.alias("firsts"), F.lit(0).alias("depth")).alias("group_order"))
+    rest = placed.where("_size is null").select("seq", F.size("_s").alias("_n"), "_lead")
     enough = rest.groupBy("_lead", "_n").agg(F.count("*").alias("_size")).where(F.col("_size") >= least)
     order = "struct<late:int,firsts:array<bigint>,depth:int>"
     late = F.struct(F.lit(1).alias("late"), F.expr("cast(array() as array<bigint>)").alias("firsts"), F.col("_n").alias("depth")).cast(order)
@@ -242,6 +250,18 @@ def discover(rows: DataFrame, path: Column | None = None, least: int = 3, site:
     return grouped.withColumn("group_order", F.col("group_order").cast(order)).unionByName(by_depth)
 
 
+def _told_prefixes(own: DataFrame) -> DataFrame:
+    """A row for each prefix of each of ``own`` (seq, _s, _lead): seq, depth, and the prefix as a key of 128 bits, with its parent's and its last segment."""
+
+    def key(depth: Column) -> Column:
+        text = F.concat("_lead", F.array_join(F.slice("_s", F.lit(1), depth), SEP))
+        return F.struct(depth.alias("d"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("#"), text).alias("b"))
+
+    deep = own.select("seq", "_s", "_lead", F.explode(F.sequence(F.lit(0), F.size("_s"))).alias("depth"))
+    name = F.when(F.col("depth") > 0, F.element_at("_s", F.greatest("depth", F.lit(1)))).otherwise("")
+    return deep.select("seq", "depth", key(F.col("depth")).alias("key"), F.when(F.col("depth") > 0, key(F.col("depth") - 1)).alias("parent"), name.alias("name"))
+
+
 def position_frequencies(rows: DataFrame, path: Column) -> DataFrame:
     """pos, raw, n and freq of every segment at the positions that all paths have."""
     own = rows.select(urls.segments(path).alias("_s"))
