@@ -145,3 +145,15 @@ WITH t AS (
 )
 SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
 """
+
+#: For pages whose one article holds headings, paragraphs, bold text and line breaks alone, as the tables' do.
+_BLOCK = r'''trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))'''
+
+OP13 = rf"""
+WITH t AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(
+    regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), lambda x: {_BLOCK}), lambda x: x <> ''), chr(10)) AS text
+  FROM pages
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""

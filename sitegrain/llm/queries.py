@@ -107,4 +107,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_personal_data": oracles.OP9,
     "op10_exact_top_k": oracles.OP10,
     "op12_ranked_search": oracles.OP12,
+    "op13_html_extraction": oracles.OP13,
 }
