@@ -32,7 +32,7 @@ def server():
         def answer(self):
             name = self.path.strip("/").split("?")[0]
             if name == "slow":
-                time.sleep(3)
+                time.sleep(9)
             if name == "moved":
                 self.send_response(301)
                 self.send_header("Location", "/page1")
@@ -60,7 +60,7 @@ def test_over_the_network(spark, tmp_path, server):
     names = ["page1", "page2", "gone", "down", "late", "moved", "pdf", "latin", "odd", "slow", "cut"]
     wanted = spark.createDataFrame([(f"{base}/{n}",) for n in names] + [(f"{base}/page1",), (None,), ("",), ("http://127.0.0.1:9/refused",)], "url string").repartition(5)
     web.write_requests(wanted, str(tmp_path / "requests"), parts=8)
-    rows = web.fetched(spark, str(tmp_path / "requests"), pause=0.05, backoff=0.1, timeout=1.0).collect()
+    rows = web.fetched(spark, str(tmp_path / "requests"), pause=0.05, backoff=0.1, timeout=3.0).collect()
     got = {r.url.rpartition("/")[2]: r for r in rows}
     assert len(rows) == len(got) == 12
     assert {n: (r.crawl_status, r.status_code) for n, r in got.items()} == {
