@@ -333,6 +333,10 @@ ORACLE_SQL = {
     "seg_classify": f"WITH {SEGMENTS} SELECT raw, {kind('raw')} AS kind, count(*) AS n FROM s GROUP BY ALL",
     "seg_is_literal_like": f"WITH {SEGMENTS} SELECT raw, regexp_matches(raw, '^[a-z][a-z0-9_-]*$') AS literal, count(*) AS n FROM s GROUP BY ALL",
     "seg_matches_template": f"WITH {SEGMENTS}, every AS (SELECT DISTINCT raw FROM s) SELECT raw, template, {fits('raw', 'template')} AS fits FROM every, (VALUES {_kinds}) AS b(template)",
+    "extract_record": r"""SELECT page_id, CASE WHEN html IS NULL THEN 'failed' ELSE 'extracted' END AS status, (NOT regexp_matches(html, '(?i)<(title|h1)[\s>]'))::INT + (NOT regexp_matches(html, '(?i)<(pre|h1)[\s>]'))::INT
+      + (NOT regexp_matches(html, '(?i)<p[\s>]'))::INT + (NOT regexp_matches(html, '(?i)<ul[\s>]'))::INT AS fields_missing FROM pages""",
+    "css_extract": f"""SELECT page_id, '{{"page_title": ' || to_json({_title})::VARCHAR || ', "function_signature": ' || to_json({_text(r"regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")})::VARCHAR || ', "description": '
+      || to_json({_text(r"regexp_extract(html, '(?s)<p>(.*?)(?:</p>|<p>|</article>)', 1)")})::VARCHAR || ', "parameters": [' || array_to_string(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?s)<li>(.*?)</li>', 1), lambda li: to_json({_text("li")})::VARCHAR), ', ') || ']}}' AS data FROM pages""",
     "html_links": f"WITH {L0} SELECT page_id, pos::INT + 3 AS pos, href, text, rel FROM l UNION ALL SELECT page_id, pos, {_origin} || href, text, rel FROM pages, (VALUES (0, '/q', 'Eé ♥', ''), (1, '/l?a=1&copy=2', 'onetwo', 'a b'), (2, '/m', 'm', '')) AS awkward(pos, href, text, rel)",
     "html_signals": f"WITH {SIGNALS} SELECT * FROM g",
     "signals_best_guess": f"""WITH {SIGNALS}, b AS (SELECT page_id, CASE WHEN contains(lower(meta_generator), 'sphinx') THEN ['sphinx', '0.95'] WHEN contains(lower(meta_generator), 'mkdocs') THEN ['mkdocs', '0.95'] WHEN contains(lower(meta_generator), 'docusaurus') THEN ['docusaurus', '0.95']
