@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import fresh_dir, materialize, open_uri, write_file
+from .runtime import delete_folder, fresh_dir, materialize, open_uri, release, write_file
 
 FILES = "path string, dims int, n bigint, cell int"
 INDEX = FILES + ", lo array<bigint>, hi array<bigint>"
@@ -373,12 +373,21 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, group: int = 4096,
     all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     asked = queries.join(sizes, "dims").join(begun, ["dims", "cell"]).select("path", "dims", F.least(at, F.col("groups") - 1).alias("g"), "stripes")
     asked = asked.select("path", "dims", "g", all_of("stripes").alias("s"), F.lit(0).alias("kind"))
-    boxes = _stripes(index.join(sizes, "dims").withColumn("s", F.pmod(F.xxhash64("path"), F.col("stripes")).cast("int")))
-    boxes = boxes.join(sizes, "dims").select("path", "dims", all_of("groups").alias("g"), "s", F.lit(1).alias("kind"))
+    stripes = _stripes(index.join(sizes, "dims").withColumn("s", F.pmod(F.xxhash64("path"), F.col("stripes")).cast("int")))
+    boxes = stripes.join(sizes, "dims").select("path", "dims", all_of("groups").alias("g"), "s", F.lit(1).alias("kind"))
     grid = asked.unionByName(boxes).repartitionByRange(cells, "dims", "g", "s").sortWithinPartitions("dims", "g", "s", "kind", "path")
     found = grid.mapInArrow(_searcher(k), FOUND)
     best = Window.partitionBy("file", "place").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = materialize(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    drop_files(stripes)
+    return found
+
+
+def drop_files(table: DataFrame) -> None:
+    """Delete the files that a table of this operator names, and the table, once nothing searches them any more."""
+    for row in table.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).distinct().collect():  # one folder
+        delete_folder(table.sparkSession, row.folder)
+    release(table)
 
 
 def _stripes(index: DataFrame) -> DataFrame:
@@ -472,4 +481,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     table gives an empty table.
     """
     index = build_index(quantised(table))
-    return search(index, indexed_queries(index, every, k), k)
+    queries = indexed_queries(index, every, k)
+    found = search(index, queries, k)
+    drop_files(queries)
+    drop_files(index)
+    return found
