@@ -39,6 +39,15 @@ def test_metadata_and_signals(pages):
     assert tuple(guess[0].g) == ("sphinx", 0.95) and tuple(guess[1].g) == (None, 0.0)
 
 
+CUT = "<title>a&amp;&amp;&amp</title><h1>a &lt;b&gt &quot;&#39;&#39 &#x26; &ampx; &amp;lt; &quo</h1><p>x &am</p><ul><li>&amp</li></ul>"
+
+
+def test_fields_of_cut_references(spark):
+    """References count with their semicolon, as in the SQL; texts of the tables are cut within them."""
+    rows = html.with_fields(spark.createDataFrame([(1, CUT)], "page_id long, html string"), list(scraper.FIELDS)).collect()
+    assert json.loads(rows[0].data) == {"page_title": "a&&&amp", "function_signature": "a <b&gt \"'&#39 & &ampx; &lt; &quo", "description": "x &am", "parameters": ["&amp"]}
+
+
 AWKWARD = [
     '<a href="/x">one<p><a href="/y">two</a>', '<a href="/open">to the  end', '<!-- <a href="/hidden">no</a> --><a href="/a">yes</a>', '<script>var a = "<a href=/s>x</a>";</script><a href=/b>b</a>',
     "<a href='/c'> two <b> 2 </b> </a>", '<A CLASS="k" HREF="/d?x=1&amp;y=2">D &eacute; &#233;&#x2014;&lt;</A>', '<a data-href="/no">no</a><a name="x">no</a><a href="/e"\n rel="next nofollow">e</a>', "<a\nhref='/f'>f<br>g</a>", "<style>a{}</style><!-- open <a href='/g'>g</a>", "<abbr href='/no'>no</abbr><a href='/h'></a>",
