@@ -48,6 +48,12 @@ def test_fields_of_cut_references(spark):
     assert json.loads(rows[0].data) == {"page_title": "a&&&amp", "function_signature": "a <b&gt \"'&#39 & &ampx; &lt; &quo", "description": "x &am", "parameters": ["&amp"]}
 
 
+def test_metadata_of_cut_references(spark):
+    rows = spark.createDataFrame([(1, BASE, CUT + '<a href="/x">y&amp;&gt</a>')], "page_id long, url string, html string")
+    assert rows.select(html.metadata(F.col("html"), F.col("url"))["title"]).first()[0] == "a&&&amp"
+    assert [r.text for r in html.links(rows).collect()] == ["y&&gt"]
+
+
 AWKWARD = [
     '<a href="/x">one<p><a href="/y">two</a>', '<a href="/open">to the  end', '<!-- <a href="/hidden">no</a> --><a href="/a">yes</a>', '<script>var a = "<a href=/s>x</a>";</script><a href=/b>b</a>',
     "<a href='/c'> two <b> 2 </b> </a>", '<A CLASS="k" HREF="/d?x=1&amp;y=2">D &eacute; &#233;&#x2014;&lt;</A>', '<a data-href="/no">no</a><a name="x">no</a><a href="/e"\n rel="next nofollow">e</a>', "<a\nhref='/f'>f<br>g</a>", "<style>a{}</style><!-- open <a href='/g'>g</a>", "<abbr href='/no'>no</abbr><a href='/h'></a>",
