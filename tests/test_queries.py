@@ -1,5 +1,6 @@
 """Every query runs, and agrees with its SQL where there is any."""
 
+import json
 import os
 import random
 
@@ -97,3 +98,11 @@ def test_intervals_of_random_trees(spark, monkeypatch, seed):
     assert sorted(map(tuple, grouping.leaves_below(nodes, leaves).collect())) == want
     assert sorted(r.place for r in leaves.collect()) == list(range(len(rows)))
     assert not grouping.leaves_below(*grouping.intervals(table.limit(0), F.col("path"))).collect()
+
+
+def test_records_of_cut_titles(spark, tmp_path):
+    """A title that was cut within a reference stays cut in the records of an extraction."""
+    pages = [(3, "https://a.example.com/en/7", "<title>Of the sea &amp;&amp</title>"), (4, "https://b.example.com/en/8", "<title>Of the land &lt;&quo</title>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    lines = [json.loads(r.line.lstrip(","))["data"]["page_title"] for r in QUERIES["snk_phase3_json"](spark, str(tmp_path)).where("line like '%page_title%'").orderBy("seq").collect()]
+    assert lines == ["Of the sea &&amp", "Of the land <&quo"]
