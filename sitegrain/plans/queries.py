@@ -41,6 +41,8 @@ def query(f: Query) -> Query:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages; Python gets them in batches of so few bytes, in this session, that its memory does not grow with a task's rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 

@@ -2,7 +2,9 @@
 
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,21 @@ def test_metadata_of_cut_references(spark):
     assert [r.text for r in html.links(rows).collect()] == ["y&&gt"]
 
 
+def test_pages_in_runs():
+    """However many pages a batch has, Python holds the facts of a run of them; runs follow one another, and an empty batch has none."""
+    page = "<title>t</title>" + "".join(f'<a href="/{i}">text {i}</a>' for i in range(50))
+    peaks = []
+    for n in (200, 2000):
+        batch = pa.array([None, *[page] * n])
+        tracemalloc.start()
+        found = html._scanned(batch)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) == n + 1 and found[0].as_py()["anchors"] == [] and all(len(found[i]["anchors"]) == 50 for i in range(1, n + 1, 37))
+    assert peaks[1] < 1.5 * peaks[0]
+    assert html._scanned(pa.array([], pa.string())).to_pylist() == []
+
+
 AWKWARD = [
     '<a href="/x">one<p><a href="/y">two</a>', '<a href="/open">to the  end', '<!-- <a href="/hidden">no</a> --><a href="/a">yes</a>', '<script>var a = "<a href=/s>x</a>";</script><a href=/b>b</a>',
     "<a href='/c'> two <b> 2 </b> </a>", '<A CLASS="k" HREF="/d?x=1&amp;y=2">D &eacute; &#233;&#x2014;&lt;</A>', '<a data-href="/no">no</a><a name="x">no</a><a href="/e"\n rel="next nofollow">e</a>', "<a\nhref='/f'>f<br>g</a>", "<style>a{}</style><!-- open <a href='/g'>g</a>", "<abbr href='/no'>no</abbr><a href='/h'></a>",

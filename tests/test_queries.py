@@ -3,14 +3,19 @@
 import json
 import os
 import random
+import uuid
+from pathlib import Path
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 import __spark_entry__
 from sitegrain import tables as written
+from sitegrain.functions import html
 from sitegrain.operators import grouping
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +111,22 @@ def test_records_of_cut_titles(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     lines = [json.loads(r.line.lstrip(","))["data"]["page_title"] for r in QUERIES["snk_phase3_json"](spark, str(tmp_path)).where("line like '%page_title%'").orderBy("seq").collect()]
     assert lines == ["Of the sea &&amp", "Of the land <&quo"]
+
+
+@pytest.mark.parametrize("name", ["phase3_counts"])
+def test_batches_of_pages_have_a_size(spark, tmp_path, monkeypatch, name):
+    """Python meets few bytes of pages at a time, however many rows a task has."""
+    met = tmp_path / "met"
+    met.mkdir()
+    pages = spark.range(900).selectExpr("id AS page_id", "concat('https://h', id % 9, '.example.com/en/', id) AS url", "concat('<title>t', id, '</title>', repeat('x', 20000)) AS html").coalesce(1)
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    where = str(met)
+
+    def noted(batch: pa.Array) -> pa.Array:
+        (Path(where) / uuid.uuid4().hex).write_text(str(batch.nbytes))
+        return html._scanned(batch)
+
+    monkeypatch.setattr(html, "scanned", F.arrow_udf(noted, from_arrow_type(html.FACTS)))
+    QUERIES[name](spark, str(tmp_path)).collect()
+    sizes = [int(p.read_text()) for p in met.iterdir()]
+    assert sum(sizes) >= 900 * 20_000 and max(sizes) < 3 << 20
