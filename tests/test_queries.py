@@ -113,7 +113,7 @@ def test_records_of_cut_titles(spark, tmp_path):
     assert lines == ["Of the sea &&amp", "Of the land <&quo"]
 
 
-@pytest.mark.parametrize("name", ["phase3_counts"])
+@pytest.mark.parametrize("name", ["phase3_counts", "coverage_by_site"])
 def test_batches_of_pages_have_a_size(spark, tmp_path, monkeypatch, name):
     """Python meets few bytes of pages at a time, however many rows a task has."""
     met = tmp_path / "met"
