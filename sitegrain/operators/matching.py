@@ -80,7 +80,9 @@ def first_template(spark: SparkSession, templates: DataFrame, parts: Column) ->
     """Column function: the template_id of a path's first template in the order of ``rank``, or null.
 
     ``templates`` (template_id, rank, pattern, and site where paths begin with one) is collected;
-    ``parts`` are a path's segments.
+    ``parts`` are a path's segments. The function counts as one that may differ from call to call,
+    else a condition on its result would be pushed below it and walk every path again, in a second
+    Python worker of each task.
     """
     own = urls.segments(F.col("pattern"))
     if "site" in templates.columns:
@@ -92,4 +94,4 @@ def first_template(spark: SparkSession, templates: DataFrame, parts: Column) ->
         tree, names = shared.value
         return pa.array([None if w is None else names.get(tree.first(w, k)) for w, k in zip(words.to_pylist(), kinds.to_pylist())], pa.string())
 
-    return F.arrow_udf(walk, T.StringType())(F.transform(parts, F.lower), F.transform(parts, segments.classify))
+    return F.arrow_udf(walk, T.StringType()).asNondeterministic()(F.transform(parts, F.lower), F.transform(parts, segments.classify))

@@ -199,6 +199,14 @@ def test_tree_of_many_templates(spark):
     assert len(steps) < 8
 
 
+def test_paths_walk_the_tree_once(spark):
+    """The condition that a template was found is no second walk, in a second Python worker of each task."""
+    table = templates.as_table(spark, [("t0", templates.Template("x", "/a/<integer>", "", 0))])
+    found = coverage.matches(rows_of(spark, ["/a/1", "/b/1"]), table)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.template_id for r in found.collect()] == ["t0"]
+
+
 def test_many_sites_at_once(spark):
     """Templates, matches and coverage of each site are those of the site alone."""
     draw = random.Random(4)
