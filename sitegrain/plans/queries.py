@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, segments, urls
@@ -46,6 +46,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def _own_title(title: Column) -> Column:
+    """A page's title; a null page has none, as in the SQL."""
+    return F.when(F.col("html").isNotNull(), title)
+
+
 def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.links_of_pages(_pages(spark, sf_dir).select("page_id", "url"))
 
@@ -206,7 +211,8 @@ def html_link_tags(spark, sf_dir):
 
 @query
 def html_metadata(spark, sf_dir):
-    return _awkward(spark, sf_dir).select("page_id", html.metadata(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.*")
+    rows = _awkward(spark, sf_dir).select("page_id", "html", html.metadata(F.col("html"), F.col("url")).alias("m"))
+    return rows.select("page_id", "html", "m.*").withColumn("title", _own_title(F.col("title"))).drop("html")
 
 
 def _signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -701,7 +707,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = html.metadata(F.col("html"), F.col("url"))
     p = F.col("page_id")
     return _pages(spark, sf_dir).select(
-        "page_id", m["title"].alias("page_title"), F.when(p % 3 == 0, "f(x)").when(p % 3 == 1, "fit(X, y)").alias("function_signature"),
+        "page_id", _own_title(m["title"]).alias("page_title"), F.when(p % 3 == 0, "f(x)").when(p % 3 == 1, "fit(X, y)").alias("function_signature"),
         F.when(p % 5 == 0, " N/A ").when(p % 5 == 1, "").otherwise(F.col("url")).alias("description"), F.when(p % 2 == 0, "[]").alias("parameters"),
     )
 

@@ -113,6 +113,16 @@ def test_records_of_cut_titles(spark, tmp_path):
     assert lines == ["Of the sea &&amp", "Of the land <&quo"]
 
 
+@pytest.mark.parametrize("name", ["snk_phase3_json", "html_metadata", "validate_schema"])
+def test_titles_of_null_pages_agree_with_sql(spark, tmp_path, name):
+    """A null page has no title, an empty one has an empty title."""
+    pages = [(i, f"https://a.example.com/en/{i}", page) for i, page in enumerate([None, "", "<title>Of the sea</title>", None, None, "<title></title>", None, "<p>none</p>"])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    made = duckdb.connect()
+    made.sql(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert rows_of(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(made.sql(ORACLES[name]).df())
+
+
 @pytest.mark.parametrize("name", ["phase3_counts", "coverage_by_site"])
 def test_batches_of_pages_have_a_size(spark, tmp_path, monkeypatch, name):
     """Python meets few bytes of pages at a time, however many rows a task has."""
